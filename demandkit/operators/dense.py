@@ -101,8 +101,9 @@ def dense_panel(
             n = num_partitions
         days = F.sequence(F.lit(scal["lo"]), F.lit(scal["hi"]), F.expr("INTERVAL 1 DAY"))
         grid = pairs.repartition(n, _c(center), _c(item)).select(F.explode(days).alias(date), _c(center), _c(item))
-    observed = daily.repartition(n, _c(center), _c(item))
-    joined = grid.join(observed, [date, center, item], "left")
+    # No explicit shuffle of the observed side: the planner re-partitions it
+    # to the grid's hash(center, item) for a sort-merge join, or broadcasts it.
+    joined = grid.join(daily, [date, center, item], "left")
     fills = {spec.target: F.coalesce(_c(spec.target), F.lit(0.0))}
     for m in sum_measures:
         fills[m] = F.coalesce(_c(m), F.lit(0.0))

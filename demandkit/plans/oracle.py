@@ -93,3 +93,245 @@ SELECT date, center, item, round(pay_weight, {D}) AS pay_weight, round(amount, {
     "feature_table": BASE
     + f"\nSELECT {PANEL_COLS}, {DATE_COLS}, {LAG_COLS}, {ROLLING_COLS}, {SEASONAL_COLS} FROM panel",
 }
+
+
+def R2(x: str) -> str:
+    """Spark's round(x, 2) (half-up on the decimal text) in DuckDB."""
+    return f"CAST(round(CAST({x} AS DECIMAL(38, 9)), 2) AS DOUBLE)"
+
+
+NUMBER_RE = "[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?"
+
+
+def COERCE(x: str) -> str:
+    t = f"trim({x})"
+    v = (
+        f"CASE WHEN regexp_full_match({t}, '{NUMBER_RE}') OR lower({t}) IN "
+        f"('inf', '+inf', '-inf', 'infinity', '+infinity', '-infinity') THEN TRY_CAST({t} AS DOUBLE) END"
+    )
+    return f"coalesce(CASE WHEN isnan({v}) THEN NULL ELSE {v} END, 0.0)"
+
+
+RAW = """
+raw AS (
+  SELECT CAST(l.l_shipdate AS VARCHAR) AS "DATE", r.r_name AS "CENTER NAME", p.p_type AS "ITEM",
+         CAST(l.l_quantity AS VARCHAR) AS "PAY WEIGHT", CAST(l.l_extendedprice AS VARCHAR) AS "AMOUNT",
+         CAST(l.l_extendedprice / l.l_quantity AS VARCHAR) AS "RATE", CAST(l.l_linenumber AS VARCHAR) AS "BOX"
+  FROM lineitem l
+  JOIN part p ON l.l_partkey = p.p_partkey
+  JOIN supplier s ON l.l_suppkey = s.s_suppkey
+  JOIN nation n ON s.s_nationkey = n.n_nationkey
+  JOIN region r ON n.n_regionkey = r.r_regionkey)"""
+
+FEAT = f"""
+feat AS (
+  SELECT *, lag(pay_weight, 1) OVER (PARTITION BY center, item ORDER BY date) AS lag_1,
+         lag(pay_weight, 7) OVER (PARTITION BY center, item ORDER BY date) AS lag_7,
+         avg(pay_weight) {W.format(lo=6)} AS rolling_mean_7
+  FROM panel)"""
+
+PRED = """
+pred AS (
+  SELECT 'lag_1' AS model, pay_weight AS actual, coalesce(lag_1, 0.0) AS predicted FROM feat
+  UNION ALL SELECT 'lag_7', pay_weight, coalesce(lag_7, 0.0) FROM feat
+  UNION ALL SELECT 'rolling_mean_7', pay_weight, coalesce(rolling_mean_7, 0.0) FROM feat),
+met AS (
+  SELECT model, avg(abs(actual - predicted)) AS mae, avg((actual - predicted) * (actual - predicted)) AS mse,
+         sqrt(avg((actual - predicted) * (actual - predicted))) AS rmse,
+         avg(CASE WHEN actual > 0 THEN abs((actual - predicted) / actual) END) * 100 AS mape
+  FROM pred GROUP BY model)"""
+
+MET_COLS = f"model, round(mae, {D}) AS mae, round(mse, {D}) AS mse, round(rmse, {D}) AS rmse, round(mape, {D}) AS mape"
+
+SERIES = """
+series AS (SELECT center, item, max(date) AS last_date FROM daily GROUP BY center, item)"""
+
+
+def rule_forecast_sql(series: str, horizon: str) -> str:
+    level = """(CASE WHEN contains(upper(item), 'CHILAPI') THEN 1500.0 + 300.0 * sin(step * 0.2)
+                     WHEN contains(upper(item), 'MIX FISH') THEN 2000.0 + 400.0 * sin(step * 0.15)
+                     WHEN contains(upper(item), 'PRAWN') THEN 800.0 + 200.0 * sin(step * 0.25)
+                     WHEN contains(upper(item), 'MUNDI') THEN 600.0 + 150.0 * sin(step * 0.3)
+                     ELSE 1000.0 + 200.0 * sin(step * 0.1) END)"""
+    return f"""
+fsteps AS (
+  SELECT s.center, s.item, CAST(g.step AS INTEGER) AS step,
+         CAST(s.last_date + CAST(g.step + 1 AS INTEGER) AS DATE) AS date
+  FROM {series} s CROSS JOIN (SELECT unnest(generate_series(0, {horizon} - 1)) AS step) g),
+fval AS (
+  SELECT center, item, date, step + 1 AS step,
+         greatest(100.0, {level}
+                  * CASE WHEN isodow(date) >= 6 THEN 1.2 ELSE 1.0 END
+                  * CASE WHEN month(date) BETWEEN 3 AND 6 THEN 1.3 ELSE 1.0 END) AS v
+  FROM fsteps),
+fc AS (
+  SELECT center, item, date, step, {R2('v')} AS forecast, {R2('v * 0.85')} AS lower_bound,
+         {R2('v * 1.15')} AS upper_bound
+  FROM fval)"""
+
+
+STOCK = """
+stock AS (
+  SELECT center, item, length(center) * 700.0 + length(item) * 50.0 AS current_stock,
+         CAST(1 + (length(center) + length(item)) % 7 AS INTEGER) AS lead_time, last_date
+  FROM series)"""
+
+DRIFT_SIDES = """
+ev AS (SELECT *, CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 0 ELSE 1 END AS side FROM events),
+lng AS (
+  SELECT 'event_id' AS column_name, CAST(event_id AS DOUBLE) AS value, side FROM ev
+  UNION ALL SELECT 'user_id', CAST(user_id AS DOUBLE), side FROM ev
+  UNION ALL SELECT 'value', CAST(value AS DOUBLE), side FROM ev),
+vals AS (SELECT * FROM lng WHERE value IS NOT NULL AND NOT isnan(value)),
+moments AS (
+  SELECT column_name, side, count(value) AS count, avg(value) AS mean, stddev_samp(value) AS std,
+         skewness(value) AS skew, kurtosis(value) AS kurtosis
+  FROM vals GROUP BY column_name, side),
+cnt AS (SELECT column_name, value, sum(1 - side) AS c_ref, sum(side) AS c_cur FROM vals GROUP BY column_name, value),
+cum AS (
+  SELECT column_name,
+         sum(c_ref) OVER (PARTITION BY column_name ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS r_ref,
+         sum(c_cur) OVER (PARTITION BY column_name ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS r_cur,
+         sum(c_ref) OVER (PARTITION BY column_name) AS n_ref, sum(c_cur) OVER (PARTITION BY column_name) AS n_cur
+  FROM cnt),
+ks AS (
+  SELECT column_name, CAST(max(n_ref) AS BIGINT) AS n_ref, CAST(max(n_cur) AS BIGINT) AS n_cur,
+         max(abs(r_ref / n_ref - r_cur / n_cur)) AS ks_statistic
+  FROM cum GROUP BY column_name),
+lam AS (SELECT *, ks_statistic * sqrt(CAST(n_ref AS DOUBLE) * n_cur / (CAST(n_ref AS DOUBLE) + n_cur)) AS lam FROM ks),
+kp AS (
+  SELECT l.column_name, l.n_ref, l.n_cur, l.ks_statistic,
+         CASE WHEN l.lam < 0.2 THEN 1.0
+              ELSE least(greatest(2.0 * sum(CASE WHEN j % 2 = 1 THEN 1.0 ELSE -1.0 END
+                                            * exp(-2.0 * j * j * l.lam * l.lam)), 0.0), 1.0) END AS p_value
+  FROM lam l CROSS JOIN (SELECT unnest(generate_series(1, 100)) AS j) t
+  GROUP BY l.column_name, l.n_ref, l.n_cur, l.ks_statistic, l.lam),
+report AS (
+  SELECT k.column_name, k.ks_statistic, k.p_value, k.p_value < 0.05 AS drift_detected,
+         CASE WHEN r.std = 0 THEN NULL ELSE abs(r.mean - c.mean) / r.std END AS mean_shift,
+         CASE WHEN k.p_value < 0.01 THEN 'high' WHEN k.p_value < 0.05 THEN 'medium' ELSE 'low' END AS severity
+  FROM kp k JOIN moments r ON r.column_name = k.column_name AND r.side = 0
+  JOIN moments c ON c.column_name = k.column_name AND c.side = 1)"""
+
+ITEMS = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")  # p_type values of the test tables
+
+SQL.update(
+    {
+        "clean_numeric": "WITH " + RAW + f"""
+SELECT "DATE" AS date_text, coalesce("CENTER NAME", 'Unknown') AS center, coalesce("ITEM", 'Unknown') AS item,
+       round({COERCE('"PAY WEIGHT"')}, {D}) AS pay_weight, round({COERCE('"AMOUNT"')}, {D}) AS amount,
+       round({COERCE('"RATE"')}, {D}) AS rate, round({COERCE('"BOX"')}, {D}) AS box
+FROM raw""",
+        "clean_dates": "WITH " + RAW + """,
+txt AS (SELECT "DATE" AS s FROM raw UNION ALL SELECT CAST(ts AS VARCHAR) FROM events),
+parsed AS (SELECT CAST(TRY_CAST(trim(s) AS TIMESTAMP) AS DATE) AS date FROM txt)
+SELECT date, count(*) AS n_rows FROM parsed WHERE date IS NOT NULL GROUP BY date""",
+        "centers": "WITH " + ",".join([SALES, DAILY])
+        + "\nSELECT DISTINCT center FROM daily WHERE center IS NOT NULL AND trim(center) <> ''",
+        "items_by_center": "WITH " + ",".join([SALES, DAILY])
+        + "\nSELECT DISTINCT center, item FROM daily WHERE item IS NOT NULL AND trim(item) <> ''",
+        "history_range": BASE + f"""
+SELECT center, item, date, round(pay_weight, {D}) AS demand, round(amount, {D}) AS amount, round(rate, {D}) AS rate
+FROM panel WHERE date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'""",
+        "demand_by_center": "WITH " + SALES
+        + f"\nSELECT center, round(sum(pay_weight), {D}) AS total_demand FROM sales WHERE center IS NOT NULL GROUP BY center",
+        "top_items": "WITH " + SALES + f"""
+SELECT item, round(sum(pay_weight), {D}) AS total_demand FROM sales WHERE item IS NOT NULL
+GROUP BY item ORDER BY sum(pay_weight) DESC, item LIMIT 5""",
+        "weekday_mean": "WITH " + SALES + f"""
+SELECT CAST(isodow(date) - 1 AS INTEGER) AS day_of_week, dayname(date) AS weekday,
+       round(avg(pay_weight), {D}) AS mean_demand
+FROM sales WHERE date IS NOT NULL GROUP BY 1, 2""",
+        "monthly_total": "WITH " + SALES + f"""
+SELECT strftime(date, '%Y-%m') AS month, round(sum(pay_weight), {D}) AS total_demand
+FROM sales WHERE date IS NOT NULL GROUP BY 1""",
+        "monthly_by_series": "WITH " + SALES + f"""
+SELECT center, item, CAST(date_trunc('month', date) AS DATE) AS month, round(sum(pay_weight), {D}) AS demand
+FROM sales WHERE date IS NOT NULL AND center IS NOT NULL AND item IS NOT NULL GROUP BY 1, 2, 3""",
+        "center_item_pivot": "WITH " + SALES + "\nSELECT center, "
+        + ", ".join(f"round(coalesce(sum(CASE WHEN item = '{v}' THEN pay_weight END), 0), {D}) AS \"{v}\"" for v in ITEMS)
+        + " FROM sales GROUP BY center",
+        "summary": BASE + f"""
+SELECT count(*) AS total_records, min(date) AS min_date, max(date) AS max_date,
+       count(DISTINCT center) AS n_centers, count(DISTINCT item) AS n_items,
+       round(sum(pay_weight), {D}) AS total_demand, round(avg(pay_weight), {D}) AS avg_demand, 30 AS n_features
+FROM panel""",
+        "profile": "WITH " + RAW + f"""
+SELECT count(*) AS total_records,
+       CAST(min(TRY_CAST(trim("DATE") AS TIMESTAMP)) AS DATE) AS date_start,
+       CAST(max(TRY_CAST(trim("DATE") AS TIMESTAMP)) AS DATE) AS date_end,
+       count(DISTINCT "CENTER NAME") + max(CASE WHEN "CENTER NAME" IS NULL THEN 1 ELSE 0 END) AS n_centers,
+       count(DISTINCT "ITEM") + max(CASE WHEN "ITEM" IS NULL THEN 1 ELSE 0 END) AS n_products,
+       round(sum({COERCE('"PAY WEIGHT"')}), {D}) AS total_demand
+FROM raw""",
+        "last_n_rows": BASE + f"""
+SELECT {PANEL_COLS} FROM panel
+QUALIFY row_number() OVER (PARTITION BY center, item ORDER BY date DESC) <= 30""",
+        "naive_metrics": BASE + "," + FEAT + "," + PRED + f"\nSELECT {MET_COLS} FROM met",
+        "best_model": BASE + "," + FEAT + "," + PRED + f"\nSELECT {MET_COLS} FROM met ORDER BY rmse, model LIMIT 1",
+        "rule_forecast": "WITH " + ",".join([SALES, DAILY, SERIES, rule_forecast_sql("series", "30")])
+        + f"\nSELECT center, item, date, step, round(forecast, {D}) AS forecast, round(lower_bound, {D}) AS lower_bound,"
+        f" round(upper_bound, {D}) AS upper_bound FROM fc",
+        "forecast_summary": "WITH " + ",".join([SALES, DAILY, SERIES, rule_forecast_sql("series", "30")])
+        + f"""
+SELECT center, item, round(avg(forecast), {D}) AS mean_forecast, round(max(forecast), {D}) AS max_forecast,
+       round(min(forecast), {D}) AS min_forecast FROM fc GROUP BY center, item""",
+        "monthly_projection": "WITH " + SALES + f""",
+monthly AS (
+  SELECT center, item, CAST(date_trunc('month', date) AS DATE) AS month, sum(pay_weight) AS demand
+  FROM sales WHERE date IS NOT NULL AND center IS NOT NULL AND item IS NOT NULL GROUP BY 1, 2, 3),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY center, item ORDER BY month DESC) AS rn FROM monthly),
+base AS (
+  SELECT center, item, max(month) AS last_month,
+         coalesce(avg(CASE WHEN rn <= 3 THEN demand END), avg(demand)) AS tail, median(demand) AS med
+  FROM ranked GROUP BY center, item),
+bl AS (
+  SELECT center, item, last_month,
+         CASE WHEN tail IS NULL OR tail <= 0 THEN greatest(med, 1.0) ELSE tail END AS baseline FROM base),
+proj AS (
+  SELECT b.center, b.item, strftime(b.last_month + to_months(CAST(g.idx + 1 AS INTEGER)), '%Y-%m') AS month,
+         greatest(0.0, b.baseline * (1 + 0.12 * sin(g.idx / 12.0 * (2 * pi()))) * (1 + 0.015 * g.idx)) AS v
+  FROM bl b CROSS JOIN (SELECT unnest(generate_series(0, 11)) AS idx) g)
+SELECT center, item, month, round({R2('v')}, {D}) AS forecast, round({R2('v * 0.9')}, {D}) AS lower_bound,
+       round({R2('v * 1.1')}, {D}) AS upper_bound FROM proj""",
+        "inventory": "WITH " + ",".join(
+            [SALES, DAILY, SERIES, STOCK, rule_forecast_sql("stock", "(SELECT max(lead_time) FROM stock) + 7")]
+        )
+        + f""",
+sums AS (
+  SELECT s.center, s.item, s.current_stock, s.lead_time,
+         coalesce(sum(CASE WHEN f.step <= s.lead_time THEN f.forecast END), 0.0) AS lead_demand,
+         coalesce(sum(CASE WHEN f.step <= 7 THEN f.forecast END), 0.0) AS week_demand
+  FROM stock s LEFT JOIN fc f ON f.center = s.center AND f.item = s.item
+  GROUP BY s.center, s.item, s.current_stock, s.lead_time)
+SELECT center, item, round(current_stock, {D}) AS current_stock, lead_time,
+       round({R2('greatest(0.0, lead_demand + week_demand * 0.2 - current_stock)')}, {D}) AS recommended_order,
+       round({R2('lead_demand + week_demand * 0.2')}, {D}) AS reorder_point,
+       round({R2('week_demand * 0.2')}, {D}) AS safety_stock,
+       round({R2('week_demand')}, {D}) AS expected_demand,
+       round({R2('CASE WHEN lead_demand > 0 THEN greatest(0.0, (lead_demand - current_stock) / lead_demand * 100) ELSE 0.0 END')}, {D}) AS stock_out_risk
+FROM sums""",
+        "split_tail": BASE + """,
+idx AS (SELECT date, center, item, row_number() OVER (ORDER BY center, item, date) - 1 AS row_index FROM panel),
+tot AS (SELECT count(*) AS n FROM panel)
+SELECT date, center, item, row_index,
+       CASE WHEN row_index >= n - CAST(ceil(0.2 * n) AS BIGINT) THEN 'test' ELSE 'train' END AS split
+FROM idx CROSS JOIN tot""",
+        "split_by_date": BASE + """,
+nd AS (SELECT lo, CAST(hi - lo AS BIGINT) + 1 AS n_days FROM bounds)
+SELECT date, center, item,
+       CASE WHEN date >= CAST(lo + CAST(n_days - CAST(ceil(0.2 * n_days) AS BIGINT) AS INTEGER) AS DATE)
+            THEN 'test' ELSE 'train' END AS split
+FROM panel CROSS JOIN nd""",
+        "column_moments": "WITH " + DRIFT_SIDES + f"""
+SELECT column_name, count, round(mean, {D}) AS mean, round(std, {D}) AS std, round(skew, {D}) AS skew,
+       round(kurtosis, {D}) AS kurtosis, CASE WHEN side = 0 THEN 'reference' ELSE 'current' END AS side
+FROM moments""",
+        "ks_drift": "WITH " + DRIFT_SIDES + f"""
+SELECT column_name, n_ref, n_cur, round(ks_statistic, {D}) AS ks_statistic, round(p_value, {D}) AS p_value FROM kp""",
+        "drift_report": "WITH " + DRIFT_SIDES + f"""
+SELECT column_name, round(ks_statistic, {D}) AS ks_statistic, round(p_value, {D}) AS p_value, drift_detected,
+       round(mean_shift, {D}) AS mean_shift, severity FROM report""",
+        "drift_alerts": "WITH " + DRIFT_SIDES + "\nSELECT column_name FROM report WHERE severity = 'high'",
+    }
+)

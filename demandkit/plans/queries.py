@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demandkit.functions.calendar import DATE_FEATURES, SEASONAL_FEATURES
-from demandkit.operators import dense, features
+from demandkit.operators import clean, dense, drift, features, forecast, inventory, metrics, reports, split
 from demandkit.plans.common import rounded
 from demandkit.sources import testdata
 from demandkit.sources.testdata import SALES_SPEC as SPEC
@@ -70,6 +70,201 @@ def q_feature_table(spark, sf_dir):
     return rounded(feature_frame(spark, sf_dir))
 
 
+# ---------------------------------------------------------------- cleaning
+
+
+def q_clean_numeric(spark, sf_dir):
+    """P2/P3 on the CSV-shaped (all STRING) sales fact."""
+    raw = testdata.raw_sales(spark, sf_dir)
+    out = clean.fill_categorical(clean.coerce_numeric(raw))
+    return rounded(out.select(
+        F.col("DATE").alias("date_text"),
+        F.col("CENTER NAME").alias("center"),
+        F.col("ITEM").alias("item"),
+        F.col("PAY WEIGHT").alias("pay_weight"),
+        F.col("AMOUNT").alias("amount"),
+        F.col("RATE").alias("rate"),
+        F.col("BOX").alias("box"),
+    ))
+
+
+def q_clean_dates(spark, sf_dir):
+    """P1 on text timestamps: sales (midnight) and events (time of day);
+    rows per parsed day."""
+    raw = testdata.raw_sales(spark, sf_dir).select(F.col("DATE").alias("DATE"))
+    ev = testdata.events(spark, sf_dir).select(F.col("ts").cast("string").alias("DATE"))
+    parsed = clean.parse_dates(raw.unionByName(ev), "DATE")
+    return parsed.groupBy(F.col("DATE").alias("date")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+# ---------------------------------------------------------------- reports
+
+
+def q_centers(spark, sf_dir):
+    return reports.centers(daily(spark, sf_dir, persist=False), SPEC)
+
+
+def q_items_by_center(spark, sf_dir):
+    return reports.items_by_center(daily(spark, sf_dir, persist=False), SPEC)
+
+
+def q_history_range(spark, sf_dir):
+    """F2 + P10 over the feature table: every series, one calendar year."""
+    return rounded(clean.history(feature_frame(spark, sf_dir), SPEC, "1996-01-01", "1996-12-31", amount="amount", rate="rate"))
+
+
+def q_demand_by_center(spark, sf_dir):
+    return rounded(reports.demand_by(sales(spark, sf_dir), SPEC.center, SPEC))
+
+
+def q_top_items(spark, sf_dir):
+    return rounded(reports.top_k(sales(spark, sf_dir), SPEC.item, 5, SPEC))
+
+
+def q_weekday_mean(spark, sf_dir):
+    return rounded(reports.weekday_mean(sales(spark, sf_dir), SPEC))
+
+
+def q_monthly_total(spark, sf_dir):
+    return rounded(reports.monthly_total(sales(spark, sf_dir), SPEC))
+
+
+def q_monthly_by_series(spark, sf_dir):
+    return rounded(reports.monthly_by_series(sales(spark, sf_dir), SPEC))
+
+
+def q_center_item_pivot(spark, sf_dir):
+    return rounded(reports.center_item_pivot(sales(spark, sf_dir), SPEC))
+
+
+def q_summary(spark, sf_dir):
+    return rounded(reports.summary(feature_frame(spark, sf_dir), SPEC))
+
+
+def q_profile(spark, sf_dir):
+    """A20 on the CSV-shaped fact (roles found by keyword)."""
+    out, _ = reports.profile(testdata.raw_sales(spark, sf_dir))
+    return rounded(out.select("total_records", "date_start", "date_end", "n_centers", "n_products", "total_demand"))
+
+
+def q_last_n_rows(spark, sf_dir):
+    return rounded(forecast.last_n_rows(panel(spark, sf_dir), SPEC, 30))
+
+
+# ---------------------------------------------------------------- metrics
+
+NAIVE = {"lag_1": "lag_1", "lag_7": "lag_7", "rolling_mean_7": "rolling_mean_7"}
+
+
+def naive_predictions(spark, sf_dir):
+    """Naive forecasts (a feature as the prediction, NULL -> 0), stacked."""
+    ft = feature_frame(spark, sf_dir)
+    parts = [
+        ft.select(F.lit(name).alias("model"), F.col(SPEC.target).alias("actual"), F.coalesce(F.col(col), F.lit(0.0)).alias("predicted"))
+        for name, col in NAIVE.items()
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def q_naive_metrics(spark, sf_dir):
+    return rounded(metrics.accuracy(naive_predictions(spark, sf_dir), by=["model"]))
+
+
+def q_best_model(spark, sf_dir):
+    return rounded(metrics.best_model(metrics.accuracy(naive_predictions(spark, sf_dir), by=["model"])))
+
+
+# ---------------------------------------------------------------- forecasts
+
+
+def series_last_dates(spark, sf_dir):
+    d = daily(spark, sf_dir, persist=False)
+    return d.groupBy(F.col(SPEC.center).alias("center"), F.col(SPEC.item).alias("item")).agg(
+        F.max(SPEC.date).alias("last_date")
+    )
+
+
+def q_rule_forecast(spark, sf_dir):
+    return rounded(forecast.rule_forecast(series_last_dates(spark, sf_dir), 30, as_of="last_date"))
+
+
+def q_forecast_summary(spark, sf_dir):
+    return rounded(reports.forecast_summary(forecast.rule_forecast(series_last_dates(spark, sf_dir), 30, as_of="last_date")))
+
+
+def q_monthly_projection(spark, sf_dir):
+    return rounded(forecast.monthly_projection(sales(spark, sf_dir), SPEC, 12))
+
+
+def stock_table(spark, sf_dir):
+    """Stock position per series, derived from the keys (deterministic)."""
+    pairs = series_last_dates(spark, sf_dir)
+    return pairs.select(
+        "center",
+        "item",
+        (F.length("center") * F.lit(700.0) + F.length("item") * F.lit(50.0)).alias("current_stock"),
+        (F.lit(1) + (F.length("center") + F.length("item")) % 7).cast("int").alias("lead_time"),
+        "last_date",
+    )
+
+
+def q_inventory(spark, sf_dir):
+    stock = stock_table(spark, sf_dir)
+    fc = forecast.rule_forecast(stock.select("center", "item", "last_date"), inventory.required_horizon(stock), as_of="last_date")
+    return rounded(inventory.inventory_recommendations(fc, stock.drop("last_date")))
+
+
+# ---------------------------------------------------------------- splits
+
+
+def q_split_tail(spark, sf_dir):
+    out = split.split_rows_tail(panel(spark, sf_dir), SPEC, 0.2)
+    return out.select(*KEYS, "row_index", "split")
+
+
+def q_split_by_date(spark, sf_dir):
+    return split.split_by_date(panel(spark, sf_dir), SPEC, 0.2).select(*KEYS, "split")
+
+
+# ---------------------------------------------------------------- drift
+
+DRIFT_CUT = "2024-01-16"
+
+
+def drift_sides(spark, sf_dir):
+    ev = testdata.events(spark, sf_dir)
+    ref = ev.filter(F.col("ts") < F.lit(DRIFT_CUT).cast("timestamp_ntz"))
+    cur = ev.filter(F.col("ts") >= F.lit(DRIFT_CUT).cast("timestamp_ntz"))
+    return ref, cur
+
+
+def q_column_moments(spark, sf_dir):
+    ref, cur = drift_sides(spark, sf_dir)
+    return rounded(
+        drift.column_moments(ref).withColumn("side", F.lit("reference")).unionByName(
+            drift.column_moments(cur).withColumn("side", F.lit("current"))
+        )
+    )
+
+
+def q_ks_drift(spark, sf_dir):
+    ref, cur = drift_sides(spark, sf_dir)
+    return rounded(drift.ks_test(ref, cur))
+
+
+def q_drift_report(spark, sf_dir):
+    ref, cur = drift_sides(spark, sf_dir)
+    return rounded(drift.drift_report(ref, cur))
+
+
+def q_drift_alerts(spark, sf_dir):
+    ref, cur = drift_sides(spark, sf_dir)
+    return drift.drift_alerts(drift.drift_report(ref, cur))
+
+
 REGISTRY = {
     "daily_agg": q_daily_agg,
     "dense_panel": q_dense_panel,
@@ -78,4 +273,30 @@ REGISTRY = {
     "lag_features": q_lag_features,
     "rolling_features": q_rolling_features,
     "feature_table": q_feature_table,
+    "clean_numeric": q_clean_numeric,
+    "clean_dates": q_clean_dates,
+    "centers": q_centers,
+    "items_by_center": q_items_by_center,
+    "history_range": q_history_range,
+    "demand_by_center": q_demand_by_center,
+    "top_items": q_top_items,
+    "weekday_mean": q_weekday_mean,
+    "monthly_total": q_monthly_total,
+    "monthly_by_series": q_monthly_by_series,
+    "center_item_pivot": q_center_item_pivot,
+    "summary": q_summary,
+    "profile": q_profile,
+    "last_n_rows": q_last_n_rows,
+    "naive_metrics": q_naive_metrics,
+    "best_model": q_best_model,
+    "rule_forecast": q_rule_forecast,
+    "forecast_summary": q_forecast_summary,
+    "monthly_projection": q_monthly_projection,
+    "inventory": q_inventory,
+    "split_tail": q_split_tail,
+    "split_by_date": q_split_by_date,
+    "column_moments": q_column_moments,
+    "ks_drift": q_ks_drift,
+    "drift_report": q_drift_report,
+    "drift_alerts": q_drift_alerts,
 }
