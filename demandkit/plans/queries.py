@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demandkit.functions.calendar import DATE_FEATURES, SEASONAL_FEATURES
-from demandkit.operators import clean, dense, drift, features, forecast, inventory, metrics, reports, split
+from demandkit.operators import clean, dense, drift, features, forecast, inventory, metrics, models, reports, split
 from demandkit.plans.common import rounded
 from demandkit.sources import testdata
 from demandkit.sources.testdata import SALES_SPEC as SPEC
@@ -265,6 +265,52 @@ def q_drift_alerts(spark, sf_dir):
     return drift.drift_alerts(drift.drift_report(ref, cur))
 
 
+# ---------------------------------------------------------------- models (rows-only check)
+
+_FITTED: dict = {}
+
+
+def fitted_model(spark, sf_dir, name: str = "xgboost"):
+    """Model fitted on the date-split training rows of the feature table,
+    kept for the life of the SparkContext (one fit serves several queries)."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _FITTED:
+        data, feats = models.prepare(feature_frame(spark, sf_dir), SPEC)
+        train, _ = models.split(data, SPEC, 0.2, "date")
+        train = train.persist(StorageLevel.MEMORY_AND_DISK)
+        _FITTED[key] = models.fit(train, feats, SPEC, models.MODEL_PARAMS[name])
+        train.unpersist()
+    return _FITTED[key]
+
+
+def q_gbt_forecast(spark, sf_dir):
+    """R5 + R6: 30-day model forecast for every series."""
+    return rounded(models.forecast(fitted_model(spark, sf_dir), feature_frame(spark, sf_dir), 30, SPEC, CFG))
+
+
+def q_gbt_importance(spark, sf_dir):
+    """R4 + T4: top-10 feature importances."""
+    return rounded(models.feature_importance(fitted_model(spark, sf_dir), top=10))
+
+
+def q_gbt_backtest(spark, sf_dir):
+    """Pooled metrics on the last 30 rows of every series."""
+    return rounded(models.backtest(fitted_model(spark, sf_dir), feature_frame(spark, sf_dir), SPEC))
+
+
+def q_gbt_metrics(spark, sf_dir):
+    """R3 evaluation + A17: both model shapes on the test days, best flagged."""
+    data, _ = models.prepare(feature_frame(spark, sf_dir), SPEC)
+    _, test = models.split(data, SPEC, 0.2, "date")
+    parts = [models.evaluate(fitted_model(spark, sf_dir, n), test, SPEC, n) for n in models.MODEL_PARAMS]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    best = metrics.best_model(out).select("model", F.lit(True).alias("is_best"))
+    flagged = out.join(best, "model", "left").withColumn("is_best", F.coalesce("is_best", F.lit(False)))
+    return rounded(flagged)
+
+
 REGISTRY = {
     "daily_agg": q_daily_agg,
     "dense_panel": q_dense_panel,
@@ -299,4 +345,8 @@ REGISTRY = {
     "ks_drift": q_ks_drift,
     "drift_report": q_drift_report,
     "drift_alerts": q_drift_alerts,
+    "gbt_forecast": q_gbt_forecast,
+    "gbt_importance": q_gbt_importance,
+    "gbt_backtest": q_gbt_backtest,
+    "gbt_metrics": q_gbt_metrics,
 }
