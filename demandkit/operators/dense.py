@@ -51,19 +51,34 @@ def date_bounds(df: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:
     return df.agg(F.min(_c(spec.date)).alias("min_date"), F.max(_c(spec.date)).alias("max_date"))
 
 
-def series_pairs(daily: DataFrame, spec: PanelSpec, observed_only: bool = False) -> DataFrame:
+# Dimension lists up to this many values are inlined into the plan as a
+# literal array (checked with an exact count first); longer lists take the
+# distributed index path.
+INLINE_DIMENSION_LIMIT = 10_000
+
+
+def series_pairs(daily: DataFrame, spec: PanelSpec, observed_only: bool = False, n_centers: int | None = None) -> DataFrame:
     """(center, item) pairs of the grid: every center x every item, or only
-    pairs with at least one observation."""
+    pairs with at least one observation.
+
+    Each distinct item row explodes the center list: inlined when the
+    (counted) number of centers is small, otherwise through a distributed
+    dense index of the centers and an equi-join on that index."""
     center, item = spec.center, spec.item
     if observed_only:
         return daily.select(_c(center), _c(item)).distinct()
-    centers = dense_index(daily.select(_c(center)).distinct(), [center], "_c")
-    n_centers = centers.count()
+    if n_centers is None:
+        n_centers = daily.agg(F.count_distinct(_c(center))).first()[0]
     items = daily.select(_c(item)).distinct()
-    last = F.lit(max(n_centers - 1, 0)).cast("long")
+    if n_centers <= INLINE_DIMENSION_LIMIT:
+        names = sorted(r[0] for r in daily.select(_c(center)).distinct().collect())
+        if not names:
+            return items.select(F.lit(None).cast("string").alias(center), _c(item)).limit(0)
+        listed = F.array(*[F.lit(n) for n in names])
+        return items.select(F.explode(listed).alias(center), _c(item))
+    centers = dense_index(daily.select(_c(center)).distinct(), [center], "_c")
+    last = F.lit(n_centers - 1).cast("long")
     spread = items.select(_c(item), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("_c"))
-    if n_centers == 0:
-        spread = spread.limit(0)
     return spread.join(centers, "_c").select(_c(center), _c(item))
 
 
@@ -86,16 +101,19 @@ def dense_panel(
     scal = daily.agg(
         F.min(_c(date)).alias("lo"),
         F.max(_c(date)).alias("hi"),
+        F.count_distinct(_c(center)).alias("n_centers"),
+        F.count_distinct(_c(item)).alias("n_items"),
+        F.count_distinct(_c(center), _c(item)).alias("n_observed"),
         *[F.avg(_c(m)).alias(f"m{i}") for i, m in enumerate(mean_measures)],
     ).first()
-    pairs = series_pairs(daily, spec, observed_only)
+    pairs = series_pairs(daily, spec, observed_only, scal["n_centers"])
     if scal["lo"] is None:
         grid = pairs.select(F.lit(None).cast(daily.schema[date].dataType).alias(date), _c(center), _c(item)).limit(0)
         n = num_partitions or default_parallelism(daily.sparkSession)
     else:
         n_days = (scal["hi"] - scal["lo"]).days + 1
         if num_partitions is None:
-            n_pairs = pairs.count()
+            n_pairs = scal["n_observed"] if observed_only else scal["n_centers"] * scal["n_items"]
             n = max(default_parallelism(daily.sparkSession), math.ceil(n_pairs * n_days / ROWS_PER_PARTITION))
         else:
             n = num_partitions

@@ -14,6 +14,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from demandkit.operators.dense import INLINE_DIMENSION_LIMIT
 from demandkit.operators.indexing import dense_index
 from demandkit.spec import PanelSpec
 
@@ -34,10 +35,16 @@ def split_rows_tail(df: DataFrame, spec: PanelSpec = PanelSpec(), test_size: flo
     n_days = (bounds["hi"] - bounds["lo"]).days + 1
     pairs = df.select(_c(spec.center), _c(spec.item)).distinct()
     if dense:
-        ranked = dense_index(pairs, [spec.center, spec.item], "_pair")
-        n_pairs = ranked.count()
+        n_pairs = pairs.count()
         dense = n_pairs * n_days == total
     if dense:
+        if n_pairs <= INLINE_DIMENSION_LIMIT:
+            # Counted and small: rank on the driver, broadcast the ranks.
+            keys = sorted(tuple(r) for r in pairs.collect())
+            schema = df.select(_c(spec.center), _c(spec.item)).schema.add("_pair", "long")
+            ranked = F.broadcast(df.sparkSession.createDataFrame([(*k, i) for i, k in enumerate(keys)], schema))
+        else:
+            ranked = dense_index(pairs, [spec.center, spec.item], "_pair")
         offset = F.datediff(F.to_date(date), F.lit(bounds["lo"]))
         out = df.join(ranked, [spec.center, spec.item]).withColumn(
             "row_index", F.col("_pair") * F.lit(n_days) + offset.cast("long")

@@ -96,8 +96,9 @@ SELECT date, center, item, round(pay_weight, {D}) AS pay_weight, round(amount, {
 
 
 def R2(x: str) -> str:
-    """Spark's round(x, 2) (half-up on the decimal text) in DuckDB."""
-    return f"CAST(round(CAST({x} AS DECIMAL(38, 9)), 2) AS DOUBLE)"
+    """Spark's round(x, 2) in DuckDB: Spark rounds the shortest decimal text
+    of the double half-up, so round that text as a DECIMAL."""
+    return f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 17)), 2) AS DOUBLE)"
 
 
 NUMBER_RE = "[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?"

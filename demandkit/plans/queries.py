@@ -26,6 +26,13 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return testdata.sales(spark, sf_dir, "region", "type")
 
 
+def wide_feature_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature table of the larger nation x brand panel (625 series)."""
+    daily_wide = dense.daily_aggregate(testdata.sales(spark, sf_dir, "nation", "brand"), SPEC)
+    daily_wide = daily_wide.persist(StorageLevel.MEMORY_AND_DISK)
+    return features.build_features(dense.dense_panel(daily_wide, SPEC), SPEC, CFG)
+
+
 def daily(spark: SparkSession, sf_dir: str, persist: bool = True) -> DataFrame:
     out = dense.daily_aggregate(sales(spark, sf_dir), SPEC)
     return out.persist(StorageLevel.MEMORY_AND_DISK) if persist else out
