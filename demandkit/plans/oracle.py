@@ -336,3 +336,58 @@ SELECT column_name, round(ks_statistic, {D}) AS ks_statistic, round(p_value, {D}
         "drift_alerts": "WITH " + DRIFT_SIDES + "\nSELECT column_name FROM report WHERE severity = 'high'",
     }
 )
+
+
+FUTURE = f"""
+tail AS (
+  SELECT center, item, max(date) AS last_date, avg(pay_weight) AS tm, stddev_samp(pay_weight) AS ts,
+         min(pay_weight) AS tmin, max(pay_weight) AS tmax, avg(amount) AS ta, avg(rate) AS tr, avg(box) AS tb
+  FROM (SELECT * FROM panel QUALIFY row_number() OVER (PARTITION BY center, item ORDER BY date DESC) <= 30)
+  GROUP BY center, item),
+fut AS (
+  SELECT t.*, CAST(g.step AS INTEGER) AS step, CAST(t.last_date + CAST(g.step AS INTEGER) AS DATE) AS date
+  FROM tail t CROSS JOIN (SELECT unnest(generate_series(1, 30)) AS step) g)"""
+
+FUTURE_COLS = f"""center, item, date, step, round(coalesce(ta, 0), {D}) AS amount, round(coalesce(tr, 0), {D}) AS rate,
+  round(coalesce(tb, 0), {D}) AS box, {DATE_COLS},
+  round(coalesce(tm, 0), {D}) AS lag_1, round(coalesce(tm, 0), {D}) AS lag_3, round(coalesce(tm, 0), {D}) AS lag_7,
+  """ + ", ".join(
+    f"round(coalesce({src}, 0), {D}) AS rolling_{stat}_{w}"
+    for w in (7, 14)
+    for stat, src in (("mean", "tm"), ("std", "ts"), ("min", "tmin"), ("max", "tmax"))
+) + f", {SEASONAL_COLS}"
+
+SQL.update(
+    {
+        "date_bounds": "WITH " + ",".join([SALES, DAILY]) + "\nSELECT min(date) AS min_date, max(date) AS max_date FROM daily",
+        "key_counts": "WITH " + SALES
+        + "\nSELECT count(DISTINCT center) AS n_centers, count(DISTINCT item) AS n_items FROM sales",
+        "top_centers": "WITH " + SALES + f"""
+SELECT center, round(sum(pay_weight), {D}) AS total_demand FROM sales WHERE center IS NOT NULL
+GROUP BY center ORDER BY sum(pay_weight) DESC, center LIMIT 5""",
+        "feature_preview": BASE
+        + f"\nSELECT {PANEL_COLS}, {DATE_COLS}, {LAG_COLS}, {ROLLING_COLS}, {SEASONAL_COLS} FROM panel"
+        + "\nORDER BY date, center, item LIMIT 200",
+        "best_run": BASE + "," + FEAT.replace("SELECT *,", "SELECT *,") + f""",
+pred AS (
+  SELECT center AS experiment, 'lag_1' AS model, pay_weight AS actual, coalesce(lag_1, 0.0) AS predicted FROM feat
+  UNION ALL SELECT center, 'lag_7', pay_weight, coalesce(lag_7, 0.0) FROM feat
+  UNION ALL SELECT center, 'rolling_mean_7', pay_weight, coalesce(rolling_mean_7, 0.0) FROM feat),
+runs AS (
+  SELECT experiment, experiment || '/' || model AS run_id,
+         sqrt(avg((actual - predicted) * (actual - predicted))) AS rmse, avg(abs(actual - predicted)) AS mae,
+         avg(CASE WHEN actual > 0 THEN abs((actual - predicted) / actual) END) * 100 AS mape
+  FROM pred GROUP BY experiment, model)
+SELECT experiment, run_id, round(coalesce(rmse, 0), {D}) AS rmse, round(coalesce(mae, 0), {D}) AS mae,
+       round(coalesce(mape, 0), {D}) AS mape
+FROM runs QUALIFY row_number() OVER (PARTITION BY experiment ORDER BY rmse ASC NULLS LAST, run_id) = 1""",
+        "role_mapping": "WITH " + RAW + f"""
+SELECT CAST(TRY_CAST(trim("DATE") AS TIMESTAMP) AS DATE) AS date, "CENTER NAME" AS center, "ITEM" AS item,
+       round(TRY_CAST("PAY WEIGHT" AS DOUBLE), {D}) AS demand
+FROM raw WHERE TRY_CAST(trim("DATE") AS TIMESTAMP) IS NOT NULL""",
+        "profile_values": "WITH " + RAW + """
+SELECT DISTINCT 'center' AS role, "CENTER NAME" AS value FROM raw
+UNION ALL SELECT DISTINCT 'item', "ITEM" FROM raw""",
+        "future_features": BASE + "," + FUTURE + f"\nSELECT {FUTURE_COLS} FROM fut",
+    }
+)

@@ -272,6 +272,70 @@ def q_drift_alerts(spark, sf_dir):
     return drift.drift_alerts(drift.drift_report(ref, cur))
 
 
+# ---------------------------------------------------------------- more reports
+
+
+def q_date_bounds(spark, sf_dir):
+    return dense.date_bounds(daily(spark, sf_dir, persist=False), SPEC)
+
+
+def q_key_counts(spark, sf_dir):
+    return reports.count_distinct_keys(sales(spark, sf_dir), SPEC)
+
+
+def q_top_centers(spark, sf_dir):
+    return rounded(reports.top_k(sales(spark, sf_dir), SPEC.center, 5, SPEC))
+
+
+def q_feature_preview(spark, sf_dir):
+    """First 200 feature rows in (date, center, item) order."""
+    return rounded(reports.preview(feature_frame(spark, sf_dir), KEYS, 200))
+
+
+def q_best_run(spark, sf_dir):
+    """Naive models run per center (experiment = center); best run of
+    each experiment by RMSE."""
+    preds = naive_predictions_by_center(spark, sf_dir)
+    runs = metrics.accuracy(preds, by=["experiment", "model"]).withColumn(
+        "run_id", F.concat_ws("/", "experiment", "model")
+    )
+    return rounded(metrics.best_run(runs).select("experiment", "run_id", "rmse", "mae", "mape"))
+
+
+def naive_predictions_by_center(spark, sf_dir):
+    ft = feature_frame(spark, sf_dir)
+    parts = [
+        ft.select(
+            F.col(SPEC.center).alias("experiment"),
+            F.lit(name).alias("model"),
+            F.col(SPEC.target).alias("actual"),
+            F.coalesce(F.col(col), F.lit(0.0)).alias("predicted"),
+        )
+        for name, col in NAIVE.items()
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def q_role_mapping(spark, sf_dir):
+    """P5 + P6 on the CSV-shaped fact: columns found by keyword."""
+    mapped, _ = clean.map_roles(testdata.raw_sales(spark, sf_dir))
+    return rounded(mapped.withColumn("demand", F.col("demand").try_cast("double")))
+
+
+def q_profile_values(spark, sf_dir):
+    """Distinct center / product values of the profiled table."""
+    _, values = reports.profile(testdata.raw_sales(spark, sf_dir))
+    return values
+
+
+def q_future_features(spark, sf_dir):
+    """30 future days per series with model-ready features."""
+    return rounded(forecast.future_frame(panel(spark, sf_dir), 30, SPEC, CFG))
+
+
 # ---------------------------------------------------------------- models (rows-only check)
 
 _FITTED: dict = {}
@@ -352,6 +416,14 @@ REGISTRY = {
     "ks_drift": q_ks_drift,
     "drift_report": q_drift_report,
     "drift_alerts": q_drift_alerts,
+    "date_bounds": q_date_bounds,
+    "key_counts": q_key_counts,
+    "top_centers": q_top_centers,
+    "feature_preview": q_feature_preview,
+    "best_run": q_best_run,
+    "role_mapping": q_role_mapping,
+    "profile_values": q_profile_values,
+    "future_features": q_future_features,
     "gbt_forecast": q_gbt_forecast,
     "gbt_importance": q_gbt_importance,
     "gbt_backtest": q_gbt_backtest,
