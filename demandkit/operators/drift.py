@@ -110,6 +110,9 @@ def ks_statistic(reference: DataFrame, current: DataFrame, columns=None, buckets
     spark = reference.sparkSession
     if buckets is None:
         buckets = max(1, min(4 * default_parallelism(spark), 1024))
+        # The bucket expression holds ~2 nodes per boundary per column; keep
+        # the whole CASE tree around 16k nodes so it stays compact.
+        buckets = max(2, min(buckets, 8192 // max(len(columns), 1)))
     both = _long(reference, columns).withColumn("_cur", F.lit(0)).unionByName(
         _long(current, columns).withColumn("_cur", F.lit(1))
     )
