@@ -47,7 +47,7 @@ MODEL_PARAMS = {
 }
 
 
-def make_pipeline(features: list[str], label: str, params: BoostingParams) -> Pipeline:
+def build_estimator(features: list[str], label: str, params: BoostingParams) -> Pipeline:
     assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
     gbt = GBTRegressor(
         featuresCol="features",
@@ -106,7 +106,7 @@ def fit(train: DataFrame, features: list[str], spec: PanelSpec, params: Boosting
     ensure_checkpoint_dir(train.sparkSession)
     laid_out = training_layout(train).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return make_pipeline(features, spec.target, params).fit(laid_out)
+        return build_estimator(features, spec.target, params).fit(laid_out)
     finally:
         laid_out.unpersist()
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demandkit.functions.calendar import day_of_week, month_label, month_start, weekday_name
+from demandkit.functions.cleaning import DEFAULT_DATE_FORMATS, coerce_double, parse_timestamp
 from demandkit.spec import PanelSpec, detect_roles, feature_columns
 
 # Spark's own limit on pivot values; pivoting on more is refused.
@@ -117,7 +118,9 @@ def pivot_values(df: DataFrame, column: str, limit: int = MAX_PIVOT_VALUES) -> l
     """Sorted distinct values of a dimension column (checked size bound)."""
     vals = df.select(_c(column)).filter(_c(column).isNotNull()).distinct().limit(limit + 1).collect()
     if len(vals) > limit:
-        raise ValueError(f"{column} has more than {limit} distinct values; pivot would be too wide")
+        raise ValueError(
+            f"{column} has more than {limit} distinct values; use center_item_totals (long form) instead"
+        )
     return sorted(r[0] for r in vals)
 
 
@@ -132,6 +135,13 @@ def center_item_pivot(df: DataFrame, spec: PanelSpec = PanelSpec(), items: list
     return out.fillna(0, subset=[str(v) for v in values])
 
 
+def center_item_totals(df: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:
+    """A11 in long form: (center, item, total_demand) for any number of items."""
+    return df.groupBy(_c(spec.center).alias("center"), _c(spec.item).alias("item")).agg(
+        F.sum(_c(spec.target)).alias("total_demand")
+    )
+
+
 def forecast_summary(forecast: DataFrame, with_confidence: bool = False) -> DataFrame:
     """Mean / max / min forecast (and mean confidence) per series."""
     aggs = [
@@ -156,8 +166,6 @@ def profile(df: DataFrame, date_formats=None) -> tuple[DataFrame, DataFrame | No
     NULL, total demand, notes) and a ``(role, value)`` table of the distinct
     center and product values (kept apart: it can be large).
     """
-    from demandkit.functions.cleaning import DEFAULT_DATE_FORMATS, coerce_double, parse_timestamp
-
     roles = detect_roles(df.columns)
     aggs = [F.count(F.lit(1)).alias("total_records")]
     if roles["date"]:

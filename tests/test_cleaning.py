@@ -2,7 +2,6 @@ import math
 from datetime import date, datetime
 
 import pytest
-from pyspark.sql import functions as F
 
 from demandkit.operators import clean, dense
 from demandkit.sources import files
@@ -105,4 +104,3 @@ def test_map_roles_synthesizes_missing(spark):
     assert rows[20.0]["center"] == "All Locations" and rows[20.0]["item"] == "All Products"
     none, _ = clean.map_roles(spark.createDataFrame([(1,)], "x int"))
     assert none is None
-    _ = F  # keep functions import for readers

@@ -1,7 +1,7 @@
+import math
 from datetime import date, timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
 from demandkit.operators import forecast, inventory, metrics, reports
 from demandkit.spec import PanelSpec
@@ -66,7 +66,7 @@ def test_rule_forecast_shape_bounds_and_factors(spark):
     assert first["date"] == date(2024, 3, 2)  # Saturday in March: x1.2 x1.3
     assert first["forecast"] == round(2000.0 * 1.2 * 1.3, 2)
     prawn = [r for r in out if r["item"] == "prawn head" and r["step"] == 2][0]
-    assert abs(prawn["forecast"] - round((800 + 200 * __import__("math").sin(0.25)) * 1.2 * 1.3, 2)) < 1e-9
+    assert abs(prawn["forecast"] - round((800 + 200 * math.sin(0.25)) * 1.2 * 1.3, 2)) < 1e-9
     with pytest.raises(ValueError):
         forecast.rule_forecast(series, 0, as_of="2024-03-01")
 
@@ -83,8 +83,6 @@ def test_monthly_projection_baseline_and_fallback(spark):
     out = forecast.monthly_projection(sales(spark, rows), SPEC, 2).orderBy("center", "month").collect()
     a0, a1, b0 = out[0], out[1], out[2]
     assert a0["month"] == "2024-05" and a0["forecast"] == round(110 / 3, 2)
-    import math
-
     assert a1["forecast"] == round(110 / 3 * (1 + 0.12 * math.sin(2 * math.pi / 12)) * 1.015, 2)
     assert b0["forecast"] == 1.0  # baseline <= 0 -> max(median, 1) = max(-1.5, 1)
     assert a0["lower_bound"] == round(110 / 3 * 0.9, 2)
@@ -141,4 +139,3 @@ def test_best_run(spark):
     assert [(r["run_id"], r["mae"]) for r in best] == [("r3", 0.0)]
     assert metrics.best_run(runs, "missing").count() == 0
     assert metrics.best_run(runs).count() == 2
-    _ = F
