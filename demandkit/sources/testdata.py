@@ -30,16 +30,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+# Bytes per supplier row of the suppkey -> center map relative to the
+# (suppkey, nationkey) scan it is derived from (a name replaces an int key).
+CENTER_MAP_WIDTH_FACTOR = 4
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of a plan (file statistics for scans)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def supplier_centers(spark: SparkSession, sf_dir: str, level: str = "region") -> DataFrame:
-    """suppkey -> center name.  supplier grows with the data, nation/region
-    are fixed-size dimensions; the join strategy is left to Catalyst/AQE."""
+    """suppkey -> center name.
+
+    supplier grows with the data; nation / region are fixed-size.  The map
+    has one row per supplier, so its size is bounded by the supplier scan:
+    when that bound is under the broadcast threshold the map is broadcast
+    (Catalyst cannot size the join result itself without CBO, and would
+    otherwise shuffle the fact first); above it Catalyst/AQE decide."""
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     out = supplier.join(nation, supplier.s_nationkey == nation.n_nationkey)
     if level == "region":
         region = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
         out = out.join(region, out.n_regionkey == region.r_regionkey)
-    return out.select("s_suppkey", F.col(CENTER_LEVELS[level]).alias("center"))
+    out = out.select("s_suppkey", F.col(CENTER_LEVELS[level]).alias("center"))
+    limit = int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760").rstrip("b"))
+    if 0 < limit and estimated_bytes(supplier) * CENTER_MAP_WIDTH_FACTOR <= limit:
+        out = F.broadcast(out)
+    return out
 
 
 def sales(spark: SparkSession, sf_dir: str, center_level: str = "region", item_level: str = "type") -> DataFrame:
