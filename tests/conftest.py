@@ -11,12 +11,12 @@ from demandkit.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    ckpt = tempfile.mkdtemp(prefix="demandkit-test-ckpt-")
+    # No spark.checkpoint.dir here: a configured one is kept; otherwise
+    # ensure_checkpoint_dir creates a fresh local folder (local master only).
     session = build_session(
         master="local[4]",
         shuffle_partitions=8,
         extra={
-            "spark.checkpoint.dir": ckpt,
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "4g",
         },
