@@ -57,27 +57,27 @@ def date_bounds(df: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:
 INLINE_DIMENSION_LIMIT = 10_000
 
 
-def series_pairs(daily: DataFrame, spec: PanelSpec, observed_only: bool = False, n_centers: int | None = None) -> DataFrame:
+def series_pairs(daily: DataFrame, spec: PanelSpec, observed_only: bool = False) -> DataFrame:
     """(center, item) pairs of the grid: every center x every item, or only
     pairs with at least one observation.
 
-    Each distinct item row explodes the center list: inlined when the
-    (counted) number of centers is small, otherwise through a distributed
-    dense index of the centers and an equi-join on that index."""
+    Each distinct item row explodes the center list.  The list is inlined
+    when an exact check (``distinct().limit(N + 1)``) finds at most
+    ``INLINE_DIMENSION_LIMIT`` centers; otherwise the centers get a
+    distributed dense index and an equi-join maps indexes back to names."""
     center, item = spec.center, spec.item
     if observed_only:
         return daily.select(_c(center), _c(item)).distinct()
-    if n_centers is None:
-        n_centers = daily.agg(F.count_distinct(_c(center))).first()[0]
     items = daily.select(_c(item)).distinct()
-    if n_centers <= INLINE_DIMENSION_LIMIT:
-        names = sorted(r[0] for r in daily.select(_c(center)).distinct().collect())
+    distinct_centers = daily.select(_c(center)).distinct()
+    names = [r[0] for r in distinct_centers.limit(INLINE_DIMENSION_LIMIT + 1).collect()]
+    if len(names) <= INLINE_DIMENSION_LIMIT:
         if not names:
             return items.select(F.lit(None).cast("string").alias(center), _c(item)).limit(0)
-        listed = F.array(*[F.lit(n) for n in names])
+        listed = F.array(*[F.lit(n) for n in sorted(names, key=lambda v: (v is None, v))])
         return items.select(F.explode(listed).alias(center), _c(item))
-    centers = dense_index(daily.select(_c(center)).distinct(), [center], "_c")
-    last = F.lit(n_centers - 1).cast("long")
+    centers = dense_index(distinct_centers, [center], "_c")
+    last = F.lit(centers.count() - 1).cast("long")
     spread = items.select(_c(item), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("_c"))
     return spread.join(centers, "_c").select(_c(center), _c(item))
 
@@ -98,15 +98,17 @@ def dense_panel(
     date, center, item = spec.grain
     mean_measures = [n for n, how in spec.measures if how == "mean"]
     sum_measures = [n for n, how in spec.measures if how == "sum"]
+    # Distinct counts only size the partitions, so HyperLogLog estimates
+    # (one pass, no Expand) are enough here.
     scal = daily.agg(
         F.min(_c(date)).alias("lo"),
         F.max(_c(date)).alias("hi"),
-        F.count_distinct(_c(center)).alias("n_centers"),
-        F.count_distinct(_c(item)).alias("n_items"),
-        F.count_distinct(_c(center), _c(item)).alias("n_observed"),
+        F.approx_count_distinct(_c(center)).alias("n_centers"),
+        F.approx_count_distinct(_c(item)).alias("n_items"),
+        F.approx_count_distinct(F.struct(_c(center), _c(item))).alias("n_observed"),
         *[F.avg(_c(m)).alias(f"m{i}") for i, m in enumerate(mean_measures)],
     ).first()
-    pairs = series_pairs(daily, spec, observed_only, scal["n_centers"])
+    pairs = series_pairs(daily, spec, observed_only)
     if scal["lo"] is None:
         grid = pairs.select(F.lit(None).cast(daily.schema[date].dataType).alias(date), _c(center), _c(item)).limit(0)
         n = num_partitions or default_parallelism(daily.sparkSession)

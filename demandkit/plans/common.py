@@ -25,12 +25,19 @@ def round_half_away(x, digits: int = DIGITS):
     return F.when(F.isnan(out) | (F.abs(out) == float("inf")), x).otherwise(out)
 
 
+def round_half_away_sql(column: str, digits: int = DIGITS) -> str:
+    """``round_half_away`` as SQL text (one JVM call for a whole projection)."""
+    m = f"{float(10**digits)!r}D"
+    x = f"CAST(`{column}` AS DOUBLE)"
+    t = f"abs({x} * {m})"
+    out = f"(signum({x} * {m}) * ({t} - ({t} % 1.0D) + CASE WHEN ({t} % 1.0D) >= 0.5D THEN 1.0D ELSE 0.0D END) / {m})"
+    return f"CASE WHEN isnan({out}) OR abs({out}) = double('inf') THEN {x} ELSE {out} END AS `{column}`"
+
+
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     """Round every DOUBLE/FLOAT column (presentation only)."""
-    cols = []
-    for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (DoubleType, FloatType)):
-            c = round_half_away(c.cast("double"), digits).alias(f.name)
-        cols.append(c)
-    return df.select(*cols)
+    exprs = [
+        round_half_away_sql(f.name, digits) if isinstance(f.dataType, (DoubleType, FloatType)) else f"`{f.name}`"
+        for f in df.schema.fields
+    ]
+    return df.selectExpr(*exprs)

@@ -8,6 +8,8 @@ BOX = l_linenumber.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +29,13 @@ ITEM_LEVELS = {"type": "p_type", "brand": "p_brand"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """The Parquet table as a session temp view, registered on first use so
+    later queries skip file listing and footer reads."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    view = "dk_" + re.sub(r"[^0-9A-Za-z]+", "_", path).strip("_")
+    if not spark.catalog.tableExists(view):
+        spark.read.parquet(path).createOrReplaceTempView(view)
+    return spark.table(view)
 
 
 # Bytes per supplier row of the suppkey -> center map relative to the
