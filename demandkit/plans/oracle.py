@@ -391,3 +391,32 @@ UNION ALL SELECT DISTINCT 'item', "ITEM" FROM raw""",
         "future_features": BASE + "," + FUTURE + f"\nSELECT {FUTURE_COLS} FROM fut",
     }
 )
+
+
+def projection_sql(source: str) -> str:
+    """R9 over a CTE ``source(date, center, item, demand)``."""
+    return f"""
+monthly AS (
+  SELECT center, item, CAST(date_trunc('month', date) AS DATE) AS month, sum(demand) AS demand
+  FROM {source} WHERE date IS NOT NULL AND center IS NOT NULL AND item IS NOT NULL GROUP BY 1, 2, 3),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY center, item ORDER BY month DESC) AS rn FROM monthly),
+base AS (
+  SELECT center, item, max(month) AS last_month,
+         coalesce(avg(CASE WHEN rn <= 3 THEN demand END), avg(demand)) AS tail, median(demand) AS med
+  FROM ranked GROUP BY center, item),
+bl AS (
+  SELECT center, item, last_month,
+         CASE WHEN tail IS NULL OR tail <= 0 THEN greatest(med, 1.0) ELSE tail END AS baseline FROM base),
+proj AS (
+  SELECT b.center, b.item, strftime(b.last_month + to_months(CAST(g.idx + 1 AS INTEGER)), '%Y-%m') AS month,
+         greatest(0.0, b.baseline * (1 + 0.12 * sin(g.idx / 12.0 * (2 * pi()))) * (1 + 0.015 * g.idx)) AS v
+  FROM bl b CROSS JOIN (SELECT unnest(generate_series(0, 11)) AS idx) g)
+SELECT center, item, month, round({R2('v')}, {D}) AS forecast, round({R2('v * 0.9')}, {D}) AS lower_bound,
+       round({R2('v * 1.1')}, {D}) AS upper_bound FROM proj"""
+
+
+SQL["upload_projection"] = "WITH " + RAW + f""",
+mapped AS (
+  SELECT CAST(TRY_CAST(trim("DATE") AS TIMESTAMP) AS DATE) AS date, "CENTER NAME" AS center, "ITEM" AS item,
+         {COERCE('"PAY WEIGHT"')} AS demand
+  FROM raw),""" + projection_sql("mapped")

@@ -206,6 +206,14 @@ def q_monthly_projection(spark, sf_dir):
     return rounded(forecast.monthly_projection(sales(spark, sf_dir), SPEC, 12))
 
 
+def q_upload_projection(spark, sf_dir):
+    """P5 + P6 + R9: roles found by keyword on the CSV-shaped fact, demand
+    text coerced, then the 12-month projection."""
+    mapped, spec = clean.map_roles(testdata.raw_sales(spark, sf_dir))
+    mapped = clean.coerce_numeric(mapped, [spec.target])
+    return rounded(forecast.monthly_projection(mapped, spec, 12))
+
+
 def stock_table(spark, sf_dir):
     """Stock position per series, derived from the keys (deterministic)."""
     pairs = series_last_dates(spark, sf_dir)
@@ -409,6 +417,7 @@ REGISTRY = {
     "rule_forecast": q_rule_forecast,
     "forecast_summary": q_forecast_summary,
     "monthly_projection": q_monthly_projection,
+    "upload_projection": q_upload_projection,
     "inventory": q_inventory,
     "split_tail": q_split_tail,
     "split_by_date": q_split_by_date,

@@ -13,7 +13,7 @@ EXPECTED = set(
     "monthly_total monthly_by_series center_item_pivot summary profile naive_metrics best_model "
     "monthly_projection rule_forecast forecast_summary inventory column_moments ks_drift drift_report "
     "drift_alerts last_n_rows split_tail split_by_date date_bounds key_counts top_centers feature_preview "
-    "best_run role_mapping profile_values future_features".split()
+    "best_run role_mapping profile_values future_features upload_projection".split()
 )
 ROWS_ONLY = {"gbt_forecast", "gbt_importance", "gbt_backtest", "gbt_metrics"}
 
