@@ -108,3 +108,38 @@ def test_streaming_daily_aggregate_and_drift_monitor(spark, tmp_out):
     mon.processAllAvailable()
     mon.stop()
     assert reports and reports[0][0]["column_name"] == "PAY WEIGHT"
+
+
+def test_train_and_forecast_jobs_with_inventory(spark, tmp_out):
+    ft = feature_table(spark)
+    ft.write.parquet(f"{tmp_out}/features")
+    small = {"xgboost": SMALL["xgboost"]}
+    result = jobs.train(spark, f"{tmp_out}/features", f"{tmp_out}/models", f"{tmp_out}/results", SPEC, params=small)
+    assert result.best == "xgboost"
+    assert results.read_record(spark, f"{tmp_out}/results").count() == 1
+    stock = spark.createDataFrame(
+        [("KASARA", "CHILAPI", 10.0, 3), ("VASAI", "MUNDI", 1e9, 2), ("NOWHERE", "X", 5.0, 1)],
+        "center string, item string, current_stock double, lead_time int",
+    )
+    fc, recs, bt = jobs.forecast_job(spark, f"{tmp_out}/features", f"{tmp_out}/models", "xgboost", 5, stock, SPEC)
+    assert fc.count() == 4 * 5 and fc.agg(F.max("step")).first()[0] == 5
+    by = {(r["center"], r["item"]): r for r in recs.collect()}
+    assert by[("VASAI", "MUNDI")]["recommended_order"] == 0.0
+    assert by[("NOWHERE", "X")]["reorder_point"] == 0.0  # no forecast for the pair
+    assert by[("KASARA", "CHILAPI")]["expected_demand"] > 0
+    assert bt.first()["rmse"] is not None
+    import pytest
+
+    with pytest.raises(ValueError):
+        models.load_model(f"{tmp_out}/models", "unknown")
+
+
+def test_drift_job_from_parquet(spark, tmp_out):
+    ref = spark.createDataFrame([(float(k), k % 3) for k in range(300)], "v double, g int")
+    cur = spark.createDataFrame([(float(k) * 2, k % 3) for k in range(300)], "v double, g int")
+    ref.write.parquet(f"{tmp_out}/ref")
+    cur.write.parquet(f"{tmp_out}/cur")
+    report, alerts = jobs.drift_job(spark, f"{tmp_out}/ref", f"{tmp_out}/cur")
+    rows = {r["column_name"]: r for r in report.collect()}
+    assert rows["g"]["ks_statistic"] == 0.0 and rows["g"]["severity"] == "low"
+    assert rows["v"]["drift_detected"] and [r[0] for r in alerts.collect()] == ["v"]
