@@ -34,7 +34,10 @@ def _c(name: str):
 
 
 def daily_aggregate(df: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:
-    """A1: sum(target) and each measure by its rule per (date, center, item)."""
+    """A1: sum(target) and each measure by its rule per (date, center, item).
+
+    Rows with a NULL date, center or item form no group (as in a default
+    pandas ``groupby``); cleaning normally replaced such labels already."""
     aggs = [F.sum(_c(spec.target)).alias(spec.target)]
     for name, how in spec.measures:
         if how == "sum":
@@ -43,7 +46,8 @@ def daily_aggregate(df: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:
             aggs.append(F.avg(_c(name)).alias(name))
         else:
             raise ValueError(f"unknown measure aggregation {how!r} for {name}")
-    return df.groupBy(*[_c(k) for k in spec.grain]).agg(*aggs)
+    keyed = df.filter(_c(spec.date).isNotNull() & _c(spec.center).isNotNull() & _c(spec.item).isNotNull())
+    return keyed.groupBy(*[_c(k) for k in spec.grain]).agg(*aggs)
 
 
 def date_bounds(df: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:
@@ -74,7 +78,7 @@ def series_pairs(daily: DataFrame, spec: PanelSpec, observed_only: bool = False)
     if len(names) <= INLINE_DIMENSION_LIMIT:
         if not names:
             return items.select(F.lit(None).cast("string").alias(center), _c(item)).limit(0)
-        listed = F.array(*[F.lit(n) for n in sorted(names, key=lambda v: (v is None, v))])
+        listed = F.array(*[F.lit(n) for n in sorted(names)])
         return items.select(F.explode(listed).alias(center), _c(item))
     centers = dense_index(distinct_centers, [center], "_c")
     last = F.lit(centers.count() - 1).cast("long")
@@ -119,7 +123,11 @@ def dense_panel(
             n = max(default_parallelism(daily.sparkSession), math.ceil(n_pairs * n_days / ROWS_PER_PARTITION))
         else:
             n = num_partitions
-        days = F.sequence(F.lit(scal["lo"]), F.lit(scal["hi"]), F.expr("INTERVAL 1 DAY"))
+        # Bounds go back as text cast to the column's own type (DATE or
+        # TIMESTAMP_NTZ), so the grid's join key type matches exactly.
+        dtype = daily.schema[date].dataType
+        lo, hi = (F.lit(str(scal[k])).cast(dtype) for k in ("lo", "hi"))
+        days = F.sequence(lo, hi, F.expr("INTERVAL 1 DAY"))
         grid = pairs.repartition(n, _c(center), _c(item)).select(F.explode(days).alias(date), _c(center), _c(item))
     # No explicit shuffle of the observed side: the planner re-partitions it
     # to the grid's hash(center, item) for a sort-merge join, or broadcasts it.

@@ -24,7 +24,8 @@ DAILY = """
 daily AS (
   SELECT date, center, item, sum(pay_weight) AS pay_weight, sum(amount) AS amount,
          avg(rate) AS rate, sum(box) AS box
-  FROM sales GROUP BY date, center, item)"""
+  FROM sales WHERE date IS NOT NULL AND center IS NOT NULL AND item IS NOT NULL
+  GROUP BY date, center, item)"""
 
 PANEL = """
 bounds AS (SELECT min(date) AS lo, max(date) AS hi, avg(rate) AS mrate FROM daily),

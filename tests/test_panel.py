@@ -102,3 +102,29 @@ def test_split_large_pair_path(spark, monkeypatch):
     monkeypatch.setattr(split, "INLINE_DIMENSION_LIMIT", 0)
     big = sorted(tuple(r) for r in split.split_rows_tail(panel, SPEC).collect())
     assert small == big
+
+
+def test_null_keys_form_no_group(spark):
+    rows = [(date(2024, 1, 1), None, "x", 5.0, 1.0, 1.0), (date(2024, 1, 1), "A", "x", 2.0, 1.0, 1.0), (None, "A", "x", 9.0, 1.0, 1.0)]
+    daily = dense.daily_aggregate(fact(spark, rows), SPEC)
+    assert [(r["c"], r["y"]) for r in daily.collect()] == [("A", 2.0)]
+    assert dense.dense_panel(daily, SPEC).count() == 1
+
+
+def test_keep_time_parity_panel_on_timestamps(spark):
+    from datetime import datetime
+
+    from demandkit.operators import clean
+
+    spec = PanelSpec(measures=())
+    raw = spark.createDataFrame(
+        [("2024-01-01 06:00:00", "A", "x", "1"), ("2024-01-02 06:00:00", "A", "x", "2"), ("2024-01-02 18:00:00", "A", "x", "4")],
+        "DATE string, `CENTER NAME` string, ITEM string, `PAY WEIGHT` string",
+    )
+    cleaned = clean.clean_sales(raw, spec, keep_time=True)
+    assert dict(cleaned.dtypes)["DATE"] == "timestamp_ntz"
+    panel = dense.dense_panel(dense.daily_aggregate(cleaned, spec), spec).orderBy("DATE").collect()
+    # daily steps from the first timestamp: the 18:00 row never matches the grid (parity)
+    assert [(r["DATE"], r["PAY WEIGHT"]) for r in panel] == [(datetime(2024, 1, 1, 6), 1.0), (datetime(2024, 1, 2, 6), 2.0)]
+    by_day = dense.dense_panel(dense.daily_aggregate(clean.clean_sales(raw, spec), spec), spec).collect()
+    assert sorted(r["PAY WEIGHT"] for r in by_day) == [1.0, 6.0]  # default: truncated to DATE, nothing lost
