@@ -174,7 +174,7 @@ fc AS (
 
 STOCK = """
 stock AS (
-  SELECT center, item, length(center) * 700.0 + length(item) * 50.0 AS current_stock,
+  SELECT center, item, CAST(length(center) * 700.0 + length(item) * 50.0 AS DOUBLE) AS current_stock,
          CAST(1 + (length(center) + length(item)) % 7 AS INTEGER) AS lead_time, last_date
   FROM series)"""
 

@@ -42,6 +42,23 @@ def _norm(v):
     return v
 
 
+SPARK_TO_DUCK = {
+    "string": "VARCHAR",
+    "int": "INTEGER",
+    "bigint": "BIGINT",
+    "double": "DOUBLE",
+    "date": "DATE",
+    "boolean": "BOOLEAN",
+    "timestamp_ntz": "TIMESTAMP",
+    "float": "FLOAT",
+}
+
+
+def type_mismatches(spark_dtypes, duck_cols, duck_types):
+    duck = dict(zip(duck_cols, (str(t) for t in duck_types)))
+    return [(c, t, duck.get(c)) for c, t in spark_dtypes if SPARK_TO_DUCK.get(t, t) != duck.get(c)]
+
+
 def rows_of(columns, rows):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     return Counter(tuple(_norm(r[i]) for i in order) for r in rows)
@@ -58,6 +75,7 @@ def compare(spark, sf_dir: str, names=None, verbose=True):
         try:
             sdf = qs[name](spark, sf_dir)
             s_cols = sdf.columns
+            s_types = sdf.dtypes
             s_rows = [tuple(r) for r in sdf.collect()]
         except Exception as exc:  # noqa: BLE001
             results[name] = f"SPARK ERROR {type(exc).__name__}: {str(exc)[:300]}"
@@ -71,6 +89,7 @@ def compare(spark, sf_dir: str, names=None, verbose=True):
         try:
             rel = con.sql(sqls[name])
             d_cols = rel.columns
+            d_types = rel.types
             d_rows = rel.fetchall()
         except Exception as exc:  # noqa: BLE001
             results[name] = f"DUCKDB ERROR {str(exc)[:300]}"
@@ -80,12 +99,15 @@ def compare(spark, sf_dir: str, names=None, verbose=True):
         ok_n = len(s_rows) == len(d_rows)
         a, b = rows_of(s_cols, s_rows), rows_of(d_cols, d_rows)
         ok_v = a == b
-        status = "OK" if (ok_cols and ok_n and ok_v) else "MISMATCH"
+        bad_types = type_mismatches(s_types, d_cols, d_types) if ok_cols else []
+        status = "OK" if (ok_cols and ok_n and ok_v and not bad_types) else "MISMATCH"
         results[name] = status
         print(f"{name:22s} {status} rows {len(s_rows)}/{len(d_rows)} cols {ok_cols}  spark {t1 - t0:.1f}s", flush=True)
         if status != "OK" and verbose:
             if not ok_cols:
                 print("   spark cols:", s_cols, "\n   duck cols: ", d_cols)
+            elif bad_types:
+                print("   types (column, spark, duckdb):", bad_types)
             else:
                 print("   spark-only:", list((a - b).items())[:3])
                 print("   duck-only: ", list((b - a).items())[:3])
