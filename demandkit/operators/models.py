@@ -9,6 +9,7 @@ lineage through the session's checkpoint directory.
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -111,6 +112,19 @@ def fit(train: DataFrame, features: list[str], spec: PanelSpec, params: Boosting
         laid_out.unpersist()
 
 
+def fit_all(train: DataFrame, features: list[str], spec: PanelSpec, params: dict[str, BoostingParams]) -> dict[str, PipelineModel]:
+    """Fit every model shape concurrently (one driver thread each).
+
+    A boosting round is a chain of small jobs, so fits submitted from
+    separate threads overlap their scheduling latency and share the
+    executors; the models are the same as fitted one after another."""
+    if len(params) <= 1:
+        return {name: fit(train, features, spec, p) for name, p in params.items()}
+    with ThreadPoolExecutor(max_workers=len(params)) as pool:
+        futures = {name: pool.submit(fit, train, features, spec, p) for name, p in params.items()}
+        return {name: f.result() for name, f in futures.items()}
+
+
 def predictions(model: PipelineModel, df: DataFrame, spec: PanelSpec) -> DataFrame:
     scored = model.transform(df)
     return scored.select(
@@ -172,10 +186,8 @@ def train_models(
     train, test = split(data, spec, test_size, split_how)
     train = train.persist(StorageLevel.MEMORY_AND_DISK)
     test = test.persist(StorageLevel.MEMORY_AND_DISK)
-    models, parts = {}, []
-    for name, p in params.items():
-        models[name] = fit(train, features, spec, p)
-        parts.append(evaluate(models[name], test, spec, name))
+    models = fit_all(train, features, spec, params)
+    parts = [evaluate(models[name], test, spec, name) for name in params]
     metrics = parts[0]
     for p in parts[1:]:
         metrics = metrics.unionByName(p)

@@ -350,16 +350,19 @@ _FITTED: dict = {}
 
 
 def fitted_model(spark, sf_dir, name: str = "xgboost"):
-    """Model fitted on the date-split training rows of the feature table,
-    kept for the life of the SparkContext (one fit serves several queries)."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """Model fitted on the date-split training rows of the feature table.
+
+    Both model shapes are fitted together (concurrently) on first use and
+    kept for the life of the SparkContext, so one training serves all the
+    model queries."""
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _FITTED:
         data, feats = models.prepare(feature_frame(spark, sf_dir), SPEC)
         train, _ = models.split(data, SPEC, 0.2, "date")
         train = train.persist(StorageLevel.MEMORY_AND_DISK)
-        _FITTED[key] = models.fit(train, feats, SPEC, models.MODEL_PARAMS[name])
+        _FITTED[key] = models.fit_all(train, feats, SPEC, models.MODEL_PARAMS)
         train.unpersist()
-    return _FITTED[key]
+    return _FITTED[key][name]
 
 
 def q_gbt_forecast(spark, sf_dir):
