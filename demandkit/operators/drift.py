@@ -54,10 +54,10 @@ def _long(df: DataFrame, columns) -> DataFrame:
     return out.filter(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
-def column_moments(df: DataFrame, columns=None) -> DataFrame:
+def column_moments(df: DataFrame, columns=None, by: str | None = None) -> DataFrame:
     """Count, mean, sample std, skew (G1), excess kurtosis (G2) per
-    numeric column - one aggregation pass, then unpivoted."""
-    columns = list(columns) if columns is not None else numeric_columns(df)
+    numeric column - one aggregation pass (per ``by`` group), then unpivoted."""
+    columns = list(columns) if columns is not None else [c for c in numeric_columns(df) if c != by]
     aggs = []
     for i, c in enumerate(columns):
         x = F.nanvl(_c(c).cast("double"), F.lit(None).cast("double"))
@@ -68,7 +68,7 @@ def column_moments(df: DataFrame, columns=None) -> DataFrame:
             sample_skewness(x).alias(f"k{i}"),
             sample_kurtosis(x).alias(f"u{i}"),
         ]
-    wide = df.agg(*aggs)
+    wide = df.groupBy(by).agg(*aggs) if by else df.agg(*aggs)
     rows = F.explode(
         F.array(
             *[
@@ -84,7 +84,7 @@ def column_moments(df: DataFrame, columns=None) -> DataFrame:
             ]
         )
     ).alias("_m")
-    return wide.select(rows).select("_m.*")
+    return wide.select(*([by] if by else []), rows).select(*([by] if by else []), "_m.*")
 
 
 def _bucket_expr(value: Column, name: Column, bounds: dict[str, list[float]]) -> Column:
@@ -173,10 +173,17 @@ def drift_report(
     (p < threshold), mean shift |mu_ref - mu_cur| / sd_ref, severity."""
     columns = list(columns) if columns is not None else shared_numeric_columns(reference, current)
     ks = ks_test(reference, current, columns, buckets)
-    ref_m = column_moments(reference, columns).select(NAME, F.col("mean").alias("ref_mean"), F.col("std").alias("ref_std"))
-    cur_m = column_moments(current, columns).select(NAME, F.col("mean").alias("cur_mean"))
-    # One row per column on every side: tiny, broadcast is safe.
-    out = ks.join(F.broadcast(ref_m), NAME).join(F.broadcast(cur_m), NAME)
+    tagged = reference.select(*[_c(c) for c in columns], F.lit(0).alias("_side")).unionByName(
+        current.select(*[_c(c) for c in columns], F.lit(1).alias("_side"))
+    )
+    m = column_moments(tagged, columns, by="_side")  # both sides in one pass
+    stats = m.groupBy(NAME).agg(
+        F.max(F.when(F.col("_side") == 0, F.col("mean"))).alias("ref_mean"),
+        F.max(F.when(F.col("_side") == 0, F.col("std"))).alias("ref_std"),
+        F.max(F.when(F.col("_side") == 1, F.col("mean"))).alias("cur_mean"),
+    )
+    # One row per column: tiny, broadcast is safe.
+    out = ks.join(F.broadcast(stats), NAME)
     return out.select(
         NAME,
         "ks_statistic",
