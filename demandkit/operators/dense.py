@@ -47,7 +47,11 @@ def daily_aggregate(df: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:
         else:
             raise ValueError(f"unknown measure aggregation {how!r} for {name}")
     keyed = df.filter(_c(spec.date).isNotNull() & _c(spec.center).isNotNull() & _c(spec.item).isNotNull())
-    return keyed.groupBy(*[_c(k) for k in spec.grain]).agg(*aggs)
+    # Grouped (and so hash-shuffled) on all three keys, so a hot series still
+    # spreads over its days; the key order (center, item, date) is what the
+    # panel join and the per-series window sort on.
+    out = keyed.groupBy(_c(spec.center), _c(spec.item), _c(spec.date)).agg(*aggs)
+    return out.select(*[_c(k) for k in spec.grain], _c(spec.target), *[_c(m) for m in spec.measure_names])
 
 
 def date_bounds(df: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:
@@ -131,7 +135,9 @@ def dense_panel(
         grid = pairs.repartition(n, _c(center), _c(item)).select(F.explode(days).alias(date), _c(center), _c(item))
     # No explicit shuffle of the observed side: the planner re-partitions it
     # to the grid's hash(center, item) for a sort-merge join, or broadcasts it.
-    joined = grid.join(daily, [date, center, item], "left")
+    # Keys go in (center, item, date) order, so the sort-merge join's sort is
+    # the one the per-series feature window needs (no second sort).
+    joined = grid.join(daily, [center, item, date], "left")
     fills = {spec.target: F.coalesce(_c(spec.target), F.lit(0.0))}
     for m in sum_measures:
         fills[m] = F.coalesce(_c(m), F.lit(0.0))

@@ -82,6 +82,7 @@ def test_plan_single_window_no_python_no_reshuffle(spark):
     assert plan.count("Window [") == 1, plan  # lags and all rolling stats share one node
     between = plan.split("SortMergeJoin")[0]  # part of the plan above the panel join
     assert "Exchange" not in between, plan
+    assert "Sort [" not in between, plan  # the join's sort already orders each series by date
 
 
 def test_large_dimension_path_gives_same_panel(spark, monkeypatch):
