@@ -28,15 +28,20 @@ def split_rows_tail(df: DataFrame, spec: PanelSpec = PanelSpec(), test_size: flo
     if not 0 < test_size < 1:
         raise ValueError("test_size must be in (0, 1)")
     date = _c(spec.date)
-    bounds = df.agg(F.min(date).alias("lo"), F.max(date).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    # Bounds, row count and pair count in one pass (the dense check needs all three).
+    bounds = df.agg(
+        F.min(date).alias("lo"),
+        F.max(date).alias("hi"),
+        F.count(F.lit(1)).alias("n"),
+        F.count_distinct(F.struct(_c(spec.center), _c(spec.item))).alias("n_pairs"),
+    ).first()
     total = bounds["n"]
     if total == 0:
         return df.withColumn("row_index", F.lit(None).cast("long")).withColumn("split", F.lit(None).cast("string"))
     n_days = (bounds["hi"] - bounds["lo"]).days + 1
     pairs = df.select(_c(spec.center), _c(spec.item)).distinct()
-    if dense:
-        n_pairs = pairs.count()
-        dense = n_pairs * n_days == total
+    n_pairs = bounds["n_pairs"]
+    dense = dense and n_pairs * n_days == total
     if dense:
         if n_pairs <= INLINE_DIMENSION_LIMIT:
             # Counted and small: rank on the driver, broadcast the ranks.

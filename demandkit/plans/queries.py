@@ -163,17 +163,19 @@ def q_last_n_rows(spark, sf_dir):
 NAIVE = {"lag_1": "lag_1", "lag_7": "lag_7", "rolling_mean_7": "rolling_mean_7"}
 
 
+def _stack_naive(ft: DataFrame, *keep) -> DataFrame:
+    """One row per (feature row, naive model): the models are exploded from
+    one pass over the feature frame, so its window runs once (a union of
+    three selects would evaluate it three times)."""
+    models = F.explode(
+        F.array(*[F.struct(F.lit(name).alias("model"), F.coalesce(F.col(col), F.lit(0.0)).alias("predicted")) for name, col in NAIVE.items()])
+    ).alias("_m")
+    return ft.select(*keep, F.col(SPEC.target).alias("actual"), models).select(*keep, "_m.model", "actual", "_m.predicted")
+
+
 def naive_predictions(spark, sf_dir):
     """Naive forecasts (a feature as the prediction, NULL -> 0), stacked."""
-    ft = feature_frame(spark, sf_dir)
-    parts = [
-        ft.select(F.lit(name).alias("model"), F.col(SPEC.target).alias("actual"), F.coalesce(F.col(col), F.lit(0.0)).alias("predicted"))
-        for name, col in NAIVE.items()
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return _stack_naive(feature_frame(spark, sf_dir))
 
 
 def q_naive_metrics(spark, sf_dir):
@@ -311,20 +313,8 @@ def q_best_run(spark, sf_dir):
 
 
 def naive_predictions_by_center(spark, sf_dir):
-    ft = feature_frame(spark, sf_dir)
-    parts = [
-        ft.select(
-            F.col(SPEC.center).alias("experiment"),
-            F.lit(name).alias("model"),
-            F.col(SPEC.target).alias("actual"),
-            F.coalesce(F.col(col), F.lit(0.0)).alias("predicted"),
-        )
-        for name, col in NAIVE.items()
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    ft = feature_frame(spark, sf_dir).withColumnRenamed(SPEC.center, "experiment")
+    return _stack_naive(ft, "experiment")
 
 
 def q_role_mapping(spark, sf_dir):
