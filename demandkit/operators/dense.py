@@ -26,7 +26,11 @@ from demandkit.operators.indexing import dense_index
 from demandkit.session import default_parallelism
 from demandkit.spec import PanelSpec
 
-ROWS_PER_PARTITION = 4_000_000
+# Grid rows per partition.  The grid's partitioning is kept through the
+# panel join, the sort and the feature window (no Exchange in between), where
+# rows widen to ~40 columns, so this sizes those tasks too: 1M rows is about
+# 100 MB of panel rows per sort.
+ROWS_PER_PARTITION = 1_000_000
 
 
 def _c(name: str):
