@@ -1,3 +1,4 @@
+import re
 from datetime import date, timedelta
 
 from pyspark.sql import functions as F
@@ -85,6 +86,16 @@ def test_plan_single_window_no_python_no_reshuffle(spark):
     assert "Sort [" not in between, plan  # the join's sort already orders each series by date
 
 
+def test_daily_aggregate_shuffles_on_all_three_keys(spark):
+    # A hot (center, item) series must still spread over its days: the final
+    # aggregate is hash-partitioned on (center, item, date), not on the pair.
+    rows = [(date(2024, 1, 1) + timedelta(days=k), "A", "x", 1.0, 1.0, 1.0) for k in range(10)]
+    daily = dense.daily_aggregate(fact(spark, rows), SPEC)
+    plan = daily._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(c#\d+, i#\d+, d#\d+", plan), plan
+    assert daily.columns == ["d", "c", "i", "y", "amt", "rate"]
+
+
 def test_large_dimension_path_gives_same_panel(spark, monkeypatch):
     rows = [(date(2024, 1, 1) + timedelta(days=k), c, i, float(k), 1.0, 2.0) for k in range(0, 6, 5) for c in "ABC" for i in "xy"]
     daily = dense.daily_aggregate(fact(spark, rows), SPEC).cache()
