@@ -38,24 +38,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.table(view)
 
 
-# Bytes per supplier row of the suppkey -> center map relative to the
-# (suppkey, nationkey) scan it is derived from (a name replaces an int key).
-CENTER_MAP_WIDTH_FACTOR = 4
+# Bytes per entry of the broadcast suppkey -> center map besides the name
+# itself: an UnsafeRow of (BIGINT, STRING) is an 8-byte null bitset plus two
+# 8-byte slots, and the hashed relation adds about 16 bytes per key.
+MAP_ENTRY_OVERHEAD = 8 + 2 * 8 + 16
 
+_MAP_BOUNDS: dict[tuple, int] = {}
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan (file statistics for scans)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+def center_map_bytes(spark: SparkSession, sf_dir: str, level: str) -> int:
+    """Upper bound on the in-memory size of the suppkey -> center map:
+    exact supplier count x (overhead + longest center name, 8-byte aligned).
+    Two small jobs, run once per table and session."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), level)
+    if key not in _MAP_BOUNDS:
+        n = table(spark, sf_dir, "supplier").count()
+        names = table(spark, sf_dir, "region" if level == "region" else "nation")
+        longest = names.agg(F.max(F.octet_length(CENTER_LEVELS[level]))).first()[0] or 0
+        _MAP_BOUNDS[key] = n * (MAP_ENTRY_OVERHEAD + -(-longest // 8) * 8)
+    return _MAP_BOUNDS[key]
+
+
+_UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
+
+
+def broadcast_threshold(spark: SparkSession) -> int:
+    """``spark.sql.autoBroadcastJoinThreshold`` in bytes (-1 = disabled);
+    accepts Spark's size suffixes (``10485760b``, ``10MB``, ``10m``)."""
+    text = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760").strip().lower()
+    m = re.fullmatch(r"(-?\d+)\s*([kmg]?b?)", text)
+    if not m:
+        raise ValueError(f"cannot read spark.sql.autoBroadcastJoinThreshold={text!r}")
+    return int(m.group(1)) * _UNITS[m.group(2)]
 
 
 def supplier_centers(spark: SparkSession, sf_dir: str, level: str = "region") -> DataFrame:
     """suppkey -> center name.
 
     supplier grows with the data; nation / region are fixed-size.  The map
-    has one row per supplier, so its size is bounded by the supplier scan:
-    when that bound is under the broadcast threshold the map is broadcast
-    (Catalyst cannot size the join result itself without CBO, and would
-    otherwise shuffle the fact first); above it Catalyst/AQE decide."""
+    has one row per supplier; it is broadcast only when its proven size bound
+    (``center_map_bytes``) is under the broadcast threshold (Catalyst cannot
+    size the join result itself without CBO, and would otherwise shuffle the
+    fact first).  Above it Catalyst/AQE decide from measured sizes."""
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     out = supplier.join(nation, supplier.s_nationkey == nation.n_nationkey)
@@ -63,8 +87,8 @@ def supplier_centers(spark: SparkSession, sf_dir: str, level: str = "region") ->
         region = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
         out = out.join(region, out.n_regionkey == region.r_regionkey)
     out = out.select("s_suppkey", F.col(CENTER_LEVELS[level]).alias("center"))
-    limit = int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760").rstrip("b"))
-    if 0 < limit and estimated_bytes(supplier) * CENTER_MAP_WIDTH_FACTOR <= limit:
+    limit = broadcast_threshold(spark)
+    if 0 < limit and center_map_bytes(spark, sf_dir, level) <= limit:
         out = F.broadcast(out)
     return out
 

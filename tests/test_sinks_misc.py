@@ -2,7 +2,7 @@ import os
 from datetime import date
 
 from demandkit.operators import reports
-from demandkit.sources import files
+from demandkit.sources import files, testdata
 from demandkit.spec import PanelSpec
 
 SPEC = PanelSpec(date="d", center="c", item="i", target="y", measures=())
@@ -34,3 +34,21 @@ def test_totals_counts_and_preview(spark):
     head = reports.preview(df, ["d", "c", "i"], 5).collect()
     assert len(head) == 5 and all(r["d"] == date(2024, 1, 1) for r in head)
     assert reports.centers(df, SPEC).count() == 3 and reports.items_by_center(df, SPEC, "c0").count() == 4
+
+
+def test_center_map_broadcast_only_under_proven_bound(spark):
+    sf = "/root/testdata/sf0.001"
+    n = testdata.table(spark, sf, "supplier").count()
+    longest = max(len(r[0].encode()) for r in testdata.table(spark, sf, "region").select("r_name").collect())
+    assert testdata.center_map_bytes(spark, sf, "region") == n * (testdata.MAP_ENTRY_OVERHEAD + -(-longest // 8) * 8)
+    try:
+        for value, expected in (("10MB", 10 << 20), ("10485760b", 10485760), ("64k", 64 << 10), ("-1", -1)):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", value)
+            assert testdata.broadcast_threshold(spark) == expected
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+        plan = testdata.sales(spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin [l_suppkey" not in plan  # bound above threshold: no hint
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plan = testdata.sales(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [l_suppkey" in plan
