@@ -13,6 +13,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from demandkit.session import default_parallelism
 from demandkit.spec import PanelSpec
 
 # Column names used by every registered query on the test tables.
@@ -28,6 +29,15 @@ CENTER_LEVELS = {"region": "r_name", "nation": "n_name"}
 ITEM_LEVELS = {"type": "p_type", "brand": "p_brand"}
 
 
+def spread_narrow_scan(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that has fewer input splits than the session has
+    shuffle partitions (e.g. one large Parquet row group), so CPU-heavy
+    narrow work after it runs on every core.  A scan of a large table has far
+    more splits than that and is returned unchanged: no shuffle at scale."""
+    n = default_parallelism(df.sparkSession)
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table as a session temp view, registered on first use so
     later queries skip file listing and footer reads."""
@@ -118,8 +128,13 @@ def sales(spark: SparkSession, sf_dir: str, center_level: str = "region", item_l
 def raw_sales(spark: SparkSession, sf_dir: str, center_level: str = "region", item_level: str = "type") -> DataFrame:
     """The same fact as it would arrive in a CSV: every column a STRING,
     reference-style names, timestamps with time of day kept as text."""
-    li = table(spark, sf_dir, "lineitem").select(
-        "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate"
+    # Formatting every value as text is the CPU-heavy part, so an under-split
+    # scan is spread first (measured at sf0.1: 5.4 s -> 3.0 s for the numeric
+    # coercion query; the typed fact above gains nothing and is not spread).
+    li = spread_narrow_scan(
+        table(spark, sf_dir, "lineitem").select(
+            "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate"
+        )
     )
     part = table(spark, sf_dir, "part").select("p_partkey", F.col(ITEM_LEVELS[item_level]).alias("item"))
     centers = supplier_centers(spark, sf_dir, center_level)
