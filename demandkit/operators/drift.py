@@ -20,13 +20,15 @@ No window ever spans a whole column, so one column cannot land in one task.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
 from demandkit.functions.stats import ks_pvalue, sample_kurtosis, sample_skewness, severity
-from demandkit.session import default_parallelism
+from demandkit.session import default_parallelism, ensure_checkpoint_dir
 
 NAME = "column_name"
 
@@ -107,20 +109,23 @@ def _bucket_expr(value: Column, name: Column, bounds: dict[str, list[float]]) ->
 def ks_statistic(reference: DataFrame, current: DataFrame, columns=None, buckets: int | None = None) -> DataFrame:
     """K1: (column_name, n_ref, n_cur, ks_statistic) for each shared numeric column."""
     columns = list(columns) if columns is not None else shared_numeric_columns(reference, current)
-    spark = reference.sparkSession
+    both = _long(reference, columns).withColumn("_cur", F.lit(0)).unionByName(
+        _long(current, columns).withColumn("_cur", F.lit(1))
+    )
+    counts = both.groupBy(NAME, "value").agg(F.sum(1 - F.col("_cur")).alias("c_ref"), F.sum("_cur").alias("c_cur"))
+    return ks_from_counts(counts, columns, buckets)
+
+
+def ks_from_counts(counts: DataFrame, columns, buckets: int | None = None) -> DataFrame:
+    """K1 from per-(column_name, value) side counts ``c_ref`` / ``c_cur``."""
+    columns = list(columns)
+    spark = counts.sparkSession
     if buckets is None:
         buckets = max(1, min(4 * default_parallelism(spark), 1024))
         # The bucket expression holds ~2 nodes per boundary per column; keep
         # the whole CASE tree around 16k nodes so it stays compact.
         buckets = max(2, min(buckets, 8192 // max(len(columns), 1)))
-    both = _long(reference, columns).withColumn("_cur", F.lit(0)).unionByName(
-        _long(current, columns).withColumn("_cur", F.lit(1))
-    )
-    counts = (
-        both.groupBy(NAME, "value")
-        .agg(F.sum(1 - F.col("_cur")).alias("c_ref"), F.sum("_cur").alias("c_cur"))
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
+    counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
     bounds: dict[str, list[float]] = {c: [] for c in columns}
     if buckets > 1:
         fractions = [i / buckets for i in range(1, buckets)]
@@ -151,7 +156,7 @@ def ks_statistic(reference: DataFrame, current: DataFrame, columns=None, buckets
     d = cdfs.groupBy(NAME).agg(
         F.max("n_ref").alias("n_ref"), F.max("n_cur").alias("n_cur"), F.max("_gap").alias("ks_statistic")
     )
-    present = reference.sparkSession.createDataFrame([(c,) for c in columns], f"{NAME} string")
+    present = spark.createDataFrame([(c,) for c in columns], f"{NAME} string")
     return present.join(d, NAME, "left").select(
         NAME,
         F.coalesce(F.col("n_ref"), F.lit(0)).cast("long").alias("n_ref"),
@@ -194,6 +199,70 @@ def drift_report(
     )
 
 
+@dataclass(frozen=True)
+class ReferenceProfile:
+    """What a drift check needs from the reference table, computed once:
+    per-(column_name, value) counts (``c_cur`` = 0) and per-column mean /
+    sample std.  Both are pinned with a reliable checkpoint, so repeated
+    checks (e.g. one per stream micro-batch) neither rescan the reference
+    nor rebuild its lineage."""
+
+    columns: tuple[str, ...]
+    counts: DataFrame
+    stats: DataFrame
+
+
+def reference_profile(reference: DataFrame, columns=None) -> ReferenceProfile:
+    """Build the ``ReferenceProfile`` of ``reference`` (eager: two jobs)."""
+    ensure_checkpoint_dir(reference.sparkSession)
+    columns = tuple(columns) if columns is not None else tuple(numeric_columns(reference))
+    counts = (
+        _long(reference, columns)
+        .groupBy(NAME, "value")
+        .agg(F.count(F.lit(1)).alias("c_ref"))
+        .withColumn("c_cur", F.lit(0).cast("long"))
+        .checkpoint(eager=True)
+    )
+    stats = (
+        column_moments(reference, columns)
+        .select(NAME, F.col("mean").alias("ref_mean"), F.col("std").alias("ref_std"))
+        .checkpoint(eager=True)
+    )
+    return ReferenceProfile(columns, counts, stats)
+
+
+def drift_report_from_profile(
+    profile: ReferenceProfile, current: DataFrame, threshold: float = 0.05, buckets: int | None = None
+) -> DataFrame:
+    """K4 against a precomputed reference profile; same output as
+    ``drift_report(reference, current)``.  Only ``current`` is scanned."""
+    cur_numeric = set(numeric_columns(current))
+    columns = [c for c in profile.columns if c in cur_numeric]
+    ref_counts = profile.counts.filter(F.col(NAME).isin(columns)) if columns else profile.counts.limit(0)
+    cur_counts = (
+        _long(current, columns)
+        .groupBy(NAME, "value")
+        .agg(F.count(F.lit(1)).alias("c_cur"))
+        .select(NAME, "value", F.lit(0).cast("long").alias("c_ref"), "c_cur")
+    )
+    counts = ref_counts.unionByName(cur_counts).groupBy(NAME, "value").agg(
+        F.sum("c_ref").alias("c_ref"), F.sum("c_cur").alias("c_cur")
+    )
+    ks = ks_from_counts(counts, columns, buckets)
+    ks = ks.withColumn("p_value", ks_pvalue("ks_statistic", "n_ref", "n_cur"))
+    cur = column_moments(current, columns).select(NAME, F.col("mean").alias("cur_mean"))
+    # One row per column on both sides: tiny, broadcast is safe.
+    out = ks.join(F.broadcast(profile.stats), NAME).join(F.broadcast(cur), NAME)
+    return out.select(
+        NAME,
+        "ks_statistic",
+        "p_value",
+        (F.col("p_value") < F.lit(threshold)).alias("drift_detected"),
+        F.try_divide(F.abs(F.col("ref_mean") - F.col("cur_mean")), F.col("ref_std")).alias("mean_shift"),
+        severity("p_value").alias("severity"),
+    )
+
+
 def drift_alerts(report: DataFrame) -> DataFrame:
     """K5: columns whose drift severity is high."""
     return report.filter(F.col("severity") == "high").select(NAME)

@@ -4,7 +4,7 @@
   sales stream, as an event-time ``window('1 day')`` aggregation with a
   watermark so state for closed days is dropped.
 * ``drift_monitor``: the drift report (K4) of every micro-batch against a
-  static reference table, through ``foreachBatch``.
+  static reference table (profiled once), through ``foreachBatch``.
 
 State and progress live under the session's checkpoint directory (a
 shared folder on a cluster), so a restarted query resumes where it stopped.
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from demandkit.operators.drift import drift_report
+from demandkit.operators.drift import drift_report_from_profile, reference_profile
 from demandkit.session import ensure_checkpoint_dir
 from demandkit.spec import PanelSpec
 
@@ -56,13 +56,18 @@ def drift_monitor(
     name: str = "drift_monitor",
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Start a query computing ``drift_report(reference, batch)`` per
-    micro-batch and handing it to ``on_report(report_df, batch_id)``."""
+    """Start a query computing the drift report of every micro-batch against
+    ``reference`` and handing it to ``on_report(report_df, batch_id)``.
+
+    The reference's value counts and moments are computed once, before the
+    stream starts (``reference_profile``, checkpointed), so a micro-batch
+    scans only its own rows."""
+    profile = reference_profile(reference)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        on_report(drift_report(reference, batch, threshold), batch_id)
+        on_report(drift_report_from_profile(profile, batch, threshold), batch_id)
 
     writer = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_location(stream, name))
     if trigger:

@@ -3,6 +3,7 @@ import random
 from datetime import date, timedelta
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from demandkit.functions.stats import ks_pvalue
@@ -97,3 +98,21 @@ def test_split_rows_tail_matches_row_order(spark):
     assert sorted(r["row_index"] for r in sparse) == list(range(12))
     by_date = split.split_by_date(panel, SPEC, 0.2).collect()
     assert {r["d"] for r in by_date if r["split"] == "test"} == {date(2024, 1, 8), date(2024, 1, 9)}
+
+
+def test_report_from_reference_profile_equals_batch_report(spark):
+    ref = spark.createDataFrame([(float(k % 7), k, None) for k in range(40)], "a double, b int, c double")
+    cur = spark.createDataFrame([(float(k % 5) + 0.5, k * 2, 1.0) for k in range(25)], "a double, b int, c double")
+    batch = {r["column_name"]: r.asDict() for r in drift.drift_report(ref, cur, buckets=3).collect()}
+    profile = drift.reference_profile(ref)
+    streamed = {r["column_name"]: r.asDict() for r in drift.drift_report_from_profile(profile, cur, buckets=3).collect()}
+    assert batch.keys() == streamed.keys() == {"a", "b", "c"}
+    for name, row in batch.items():
+        for key, value in row.items():
+            other = streamed[name][key]
+            if isinstance(value, float):
+                assert other == pytest.approx(value, rel=1e-12, abs=1e-12), (name, key)
+            else:
+                assert other == value, (name, key)
+    only_a = spark.createDataFrame([(1.0,)], "a double")  # columns absent from current are skipped
+    assert [r["column_name"] for r in drift.drift_report_from_profile(profile, only_a).collect()] == ["a"]
