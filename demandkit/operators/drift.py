@@ -116,8 +116,12 @@ def ks_statistic(reference: DataFrame, current: DataFrame, columns=None, buckets
     return ks_from_counts(counts, columns, buckets)
 
 
-def ks_from_counts(counts: DataFrame, columns, buckets: int | None = None) -> DataFrame:
-    """K1 from per-(column_name, value) side counts ``c_ref`` / ``c_cur``."""
+def ks_from_counts(counts: DataFrame, columns, buckets: int | None = None, held: list | None = None) -> DataFrame:
+    """K1 from per-(column_name, value) side counts ``c_ref`` / ``c_cur``.
+
+    The counts are persisted (read for the boundaries and for the result);
+    when ``held`` is given the persisted frame is appended to it so the
+    caller can unpersist it once the result has been consumed."""
     columns = list(columns)
     spark = counts.sparkSession
     if buckets is None:
@@ -126,6 +130,8 @@ def ks_from_counts(counts: DataFrame, columns, buckets: int | None = None) -> Da
         # the whole CASE tree around 16k nodes so it stays compact.
         buckets = max(2, min(buckets, 8192 // max(len(columns), 1)))
     counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
+    if held is not None:
+        held.append(counts)
     bounds: dict[str, list[float]] = {c: [] for c in columns}
     if buckets > 1:
         fractions = [i / buckets for i in range(1, buckets)]
@@ -232,10 +238,15 @@ def reference_profile(reference: DataFrame, columns=None) -> ReferenceProfile:
 
 
 def drift_report_from_profile(
-    profile: ReferenceProfile, current: DataFrame, threshold: float = 0.05, buckets: int | None = None
+    profile: ReferenceProfile,
+    current: DataFrame,
+    threshold: float = 0.05,
+    buckets: int | None = None,
+    held: list | None = None,
 ) -> DataFrame:
     """K4 against a precomputed reference profile; same output as
-    ``drift_report(reference, current)``.  Only ``current`` is scanned."""
+    ``drift_report(reference, current)``.  Only ``current`` is scanned.
+    ``held`` collects persisted intermediates (see ``ks_from_counts``)."""
     cur_numeric = set(numeric_columns(current))
     columns = [c for c in profile.columns if c in cur_numeric]
     ref_counts = profile.counts.filter(F.col(NAME).isin(columns)) if columns else profile.counts.limit(0)
@@ -248,7 +259,7 @@ def drift_report_from_profile(
     counts = ref_counts.unionByName(cur_counts).groupBy(NAME, "value").agg(
         F.sum("c_ref").alias("c_ref"), F.sum("c_cur").alias("c_cur")
     )
-    ks = ks_from_counts(counts, columns, buckets)
+    ks = ks_from_counts(counts, columns, buckets, held)
     ks = ks.withColumn("p_value", ks_pvalue("ks_statistic", "n_ref", "n_cur"))
     cur = column_moments(current, columns).select(NAME, F.col("mean").alias("cur_mean"))
     # One row per column on both sides: tiny, broadcast is safe.

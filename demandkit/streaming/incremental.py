@@ -67,7 +67,14 @@ def drift_monitor(
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        on_report(drift_report_from_profile(profile, batch, threshold), batch_id)
+        held: list[DataFrame] = []
+        try:
+            on_report(drift_report_from_profile(profile, batch, threshold, held=held), batch_id)
+        finally:
+            # Release this batch's cached counts: a long-running stream must
+            # not accumulate one cached frame per micro-batch.
+            for df in held:
+                df.unpersist()
 
     writer = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_location(stream, name))
     if trigger:

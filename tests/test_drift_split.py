@@ -114,5 +114,10 @@ def test_report_from_reference_profile_equals_batch_report(spark):
                 assert other == pytest.approx(value, rel=1e-12, abs=1e-12), (name, key)
             else:
                 assert other == value, (name, key)
+    held = []
+    drift.drift_report_from_profile(profile, cur, buckets=3, held=held).collect()
+    assert len(held) == 1 and held[0].is_cached
+    held[0].unpersist()
+    assert not held[0].is_cached
     only_a = spark.createDataFrame([(1.0,)], "a double")  # columns absent from current are skipped
     assert [r["column_name"] for r in drift.drift_report_from_profile(profile, only_a).collect()] == ["a"]
