@@ -20,9 +20,11 @@ ROWS_ONLY = {"gbt_forecast", "gbt_importance", "gbt_backtest", "gbt_metrics"}
 
 def test_registry_keys():
     from __spark_entry__ import oracle_sql, queries
+    from demandkit.plans.oracle import SQL
+    from demandkit.plans.queries import REGISTRY
 
-    assert set(queries()) == EXPECTED | ROWS_ONLY
-    assert set(oracle_sql()) == EXPECTED
+    assert set(REGISTRY) == EXPECTED | ROWS_ONLY and set(REGISTRY) <= set(queries())
+    assert set(SQL) == EXPECTED and set(SQL) <= set(oracle_sql())
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
