@@ -2,6 +2,22 @@
 
 from __future__ import annotations
 
+from demandkit.llm.license_scan import BLOCK_WORDS, PHRASES, TEMPLATES, THRESHOLD
+
+# Words of a text as in demandkit.llm.text.words.
+WORDS = (
+    r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(f"'{v}'" for v in row) + ")" for row in rows)
+
+
+_PHRASES = _values(PHRASES.items())
+_TEMPLATES = _values((i, label, text) for i, (label, text) in enumerate(TEMPLATES))
+
 SQL = {
     "op8_exact_dedup": r"""
 WITH d AS (
@@ -14,5 +30,61 @@ WITH d AS (
   FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY pts DESC, doc_id)
 )
 SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM g
+""",
+    "op9_license_scan": rf"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+phrases(label, words) AS (SELECT label, string_split(phrase, ' ') FROM (VALUES {_PHRASES}) p(label, phrase)),
+places AS (
+  SELECT doc_id, label, i FROM (
+    SELECT doc_id, w, label, words, unnest(range(len(w) - len(words) + 1)) AS i
+    FROM d JOIN phrases ON list_has_all(w, words)
+  ) WHERE w[i + 1 : i + len(words)] = words
+),
+base AS (
+  SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_sort(list(DISTINCT label)) AS labels
+  FROM places GROUP BY doc_id
+),
+templates(label, tokens) AS (SELECT label, list_distinct(string_split(words, ' ')) FROM (VALUES {_TEMPLATES}) t(i, label, words)),
+vocabulary AS (SELECT list(DISTINCT token) AS held FROM (SELECT unnest(tokens) AS token FROM templates)),
+blocks AS (
+  SELECT doc_id, list_distinct(w[i + 1 : i + {BLOCK_WORDS}]) AS block
+  FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - {BLOCK_WORDS // 2}, 1), {BLOCK_WORDS // 2})) AS i FROM d)
+),
+small AS (SELECT doc_id, list_intersect(block, held) AS block FROM blocks, vocabulary WHERE len(list_intersect(block, held)) >= 4),
+shares AS (
+  SELECT doc_id, label, len(list_intersect(block, tokens)) / len(tokens) AS share FROM small, templates
+),
+more AS (
+  SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS share FROM shares WHERE share >= {THRESHOLD} - 1e-9 GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(array_to_string(base.labels, ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ','), '') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0)::DOUBLE END AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id)
+""",
+    "op10_decontamination": rf"""
+WITH items AS (SELECT item_id, {WORDS} AS w FROM benchmark),
+cut AS (
+  SELECT item_id, w, unnest(range(greatest(len(w) - 10, 0) + 1)) AS i FROM items WHERE len(w) > 0
+),
+windows AS (SELECT DISTINCT item_id, array_to_string(w[i + 1 : i + 10], ' ') AS win, least(len(w), 10) AS n FROM cut),
+lengths AS (SELECT DISTINCT n FROM windows),
+d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+grams AS (
+  SELECT doc_id, i, n, array_to_string(w[i + 1 : i + n], ' ') AS win
+  FROM (SELECT doc_id, w, n, unnest(range(len(w) - n + 1)) AS i FROM d, lengths WHERE len(w) >= n)
+),
+hits AS (SELECT doc_id, i, g.n, item_id FROM grams g JOIN windows w ON g.win = w.win AND g.n = w.n),
+covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id
+),
+listed AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN listed USING (doc_id)
 """,
 }
