@@ -19,6 +19,29 @@ _PHRASES = _values(PHRASES.items())
 _TEMPLATES = _values((i, label, text) for i, (label, text) in enumerate(TEMPLATES))
 
 SQL = {
+    "op3_chat_format": r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(turn, -1), coalesce(role, ''), coalesce(text, '')) AS i
+  FROM conversations
+),
+ends AS (SELECT conv_id, max(i) AS k FROM t WHERE role = 'assistant' GROUP BY conv_id),
+replies AS (SELECT conv_id, k, text FROM t JOIN ends USING (conv_id) WHERE i = k),
+pairs AS (
+  SELECT a.conv_id, a.k, a.text AS yes, b.text AS no, CASE WHEN a.text = b.text THEN a.k ELSE a.k - 1 END AS n
+  FROM replies a LEFT JOIN replies b ON b.conv_id = a.conv_id + 1
+),
+prompts AS (
+  SELECT p.conv_id, string_agg('<|' || role || '|>' || chr(10) || t.text || '<|end|>' || chr(10), '' ORDER BY i) AS prompt
+  FROM pairs p JOIN t ON t.conv_id = p.conv_id AND i <= n GROUP BY p.conv_id
+)
+SELECT conv_id, n::INTEGER AS n_common, coalesce(prompt, '') AS prompt,
+       CASE WHEN n < k THEN '<|assistant|>' || chr(10) || yes || '<|end|>' || chr(10) ELSE '' END AS chosen,
+       CASE WHEN n < k AND no IS NOT NULL THEN '<|assistant|>' || chr(10) || no || '<|end|>' || chr(10) ELSE '' END AS rejected,
+       CASE WHEN n < k THEN '14-' || (22 + length(yes)) ELSE '' END AS chosen_spans,
+       CASE WHEN n < k AND no IS NOT NULL THEN '14-' || (22 + length(no)) ELSE '' END AS rejected_spans
+FROM pairs LEFT JOIN prompts USING (conv_id)
+""",
     "op8_exact_dedup": r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS pts,

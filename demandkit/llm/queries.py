@@ -5,9 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandkit.llm import decontam, exact_dedup, license_scan, packing, sharding, simhash, toxicity
+from demandkit.llm import (
+    chat_format,
+    decontam,
+    exact_dedup,
+    license_scan,
+    packing,
+    quality,
+    sharding,
+    simhash,
+    token_count,
+    toxicity,
+)
 
 PACKING_TOKENIZER = "word_bpe_49k.json"
+COUNTING_MODEL = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,12 +49,34 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _spans(name: str):
+    return F.array_join(F.transform(name, lambda s: F.concat_ws("-", s["start"], s["end"])), ",").alias(name)
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = chat_format.neighbour_pairs(table(spark, sf_dir, "conversations"))
+    return chat_format.format_pairs(pairs).select(
+        "conv_id", "n_common", "prompt", "chosen", "rejected", _spans("chosen_spans"), _spans("rejected_spans")
+    )
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(PACKING_TOKENIZER))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents have no URL: the source is the host, the source's language the path."""
+    path = F.concat_ws("/", "source", "lang")
+    out = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), path)
+    return out.withColumn("held_out", ~quality.training_row(F.col("doc_id")))
+
+
+def op6_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(COUNTING_MODEL))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("row_key")
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("row_key", "root")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +97,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY = {
     "op1_toxicity": op1_toxicity,
     "op2_sharding": op2_sharding,
+    "op3_chat_format": op3_chat_format,
     "op4_packing": op4_packing,
+    "op5_quality": op5_quality,
+    "op6_token_count": op6_token_count,
     "op7_simhash": op7_simhash,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_license_scan": op9_license_scan,

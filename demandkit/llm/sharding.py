@@ -100,18 +100,18 @@ def place(rows: DataFrame, key: str, shards: int = SHARDS, virtual_nodes: int =
     cells = _cells(spark, arcs, cell_bits).join(counts, F.col("cell") == F.col("_cell"), "left")
     cells = cells.select("cell", "arc", "clock", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
     before = F.sum("n").over(W.partitionBy("arc").orderBy("clock")) - F.col("n")
-    offsets = cells.select(F.col("cell").alias("_cell"), "arc", before.alias("before"))
+    offsets = cells.select(F.col("cell").alias("_cell"), F.col("arc").alias("_arc"), before.alias("_before"))
     totals = cells.groupBy("arc").agg(F.sum("n").alias("n"))
     loads = arcs.join(totals, "arc").agg(
         F.array_sort(F.collect_list(F.struct("arc", "n", "walk"))).alias("arcs"), F.sum("n").alias("total")
     )
     room = f"(total div {shards} + if({{0}} < total % {shards}, 1L, 0L))"
     walk = _WALK.format(shards=shards).replace("room(t)", room.format("t"))
-    pieces = loads.select(F.explode(F.expr(walk)).alias("p")).select("p.*")
+    pieces = loads.select(F.explode(F.expr(walk)).alias("p")).select(*[F.col(f"p.{c}").alias(f"_{c}") for c in ("lo", "hi", "shard", "slot")], F.col("p.arc").alias("_on"))
     # Both tables are bounded by the ring: 2^cell_bits cells, and a piece per arc and per shard that it fills.
     rank = F.row_number().over(W.partitionBy("_cell").orderBy("_spot", key, *others)) - 1
-    ranked = placed.withColumn("_n", rank).join(F.broadcast(offsets), "_cell").withColumn("_rank", F.col("before") + F.col("_n"))
-    here = (ranked["arc"] == pieces["arc"]) & (F.col("_rank") >= F.col("lo")) & (F.col("_rank") < F.col("hi"))
+    ranked = placed.withColumn("_n", rank).join(F.broadcast(offsets), "_cell").withColumn("_rank", F.col("_before") + F.col("_n"))
+    here = (F.col("_arc") == F.col("_on")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi"))
     return ranked.join(F.broadcast(pieces), here).select(
-        *[ranked[c] for c in rows.columns], "shard", (F.col("slot") + F.col("_rank") - F.col("lo")).alias("slot")
+        *rows.columns, F.col("_shard").alias("shard"), (F.col("_slot") + F.col("_rank") - F.col("_lo")).alias("slot")
     )

@@ -146,11 +146,12 @@ def near_duplicates(
     blocks: int = BLOCKS,
     hot_bucket: int = HOT_BUCKET,
 ) -> DataFrame:
-    """doc_id, row_key, fingerprint (16 hex digits), component_id, n_linked, per input row.
+    """doc_id, row_key, fingerprint (16 hex digits), component_id, n_linked, root, per input row.
 
     ``component_id`` is the smallest doc_id that links of at most
     ``max_distance`` bits reach, the row's own included; NULL only if every
-    doc_id reached is NULL.  ``n_linked`` counts distinct fingerprints in the
+    doc_id reached is NULL.  ``root`` is the component's smallest fingerprint, as a
+    long; ``n_linked`` counts distinct fingerprints in the
     component.  NULL and empty texts have fingerprint 0 and link like any other.
     Repeated rows give repeated results; other columns are ignored; an empty
     table gives an empty result.
@@ -161,11 +162,13 @@ def near_duplicates(
     roots = connected_components(edges)
     linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp")
     whole = linked.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n_linked"))
-    classes = linked.join(whole, "root").select("fp", "component_id", "n_linked")
-    alone = nodes.join(classes, "fp", "left_anti").select("fp", F.col("first_id").alias("component_id"), F.lit(1).cast("long").alias("n_linked"))
+    classes = linked.join(whole, "root").select("fp", "component_id", "n_linked", "root")
+    alone = nodes.join(classes, "fp", "left_anti").select(
+        "fp", F.col("first_id").alias("component_id"), F.lit(1).cast("long").alias("n_linked"), F.col("fp").alias("root")
+    )
     found = classes.unionByName(alone)
     return rows.join(found, "fp").select(
-        "doc_id", "row_key", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_linked"
+        "doc_id", "row_key", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_linked", "root"
     )
 
 
@@ -175,14 +178,11 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     Rows that repeat that document are reduced to one; a NULL doc_id is kept
     only if its component has no other.
     """
-    near = pin(near_duplicates(docs, **options).select("doc_id", "row_key", "fingerprint", "component_id"), "simhash-plan")
-    # Several texts can share one doc_id; the smallest row_key of the kept id stands.
-    kept = (
-        near.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("part"))
-        .agg(F.min("row_key").alias("row_key"), F.count("*").alias("n"))
-    )
-    keep = pin(kept.select(F.col("component_id").alias("doc_id"), "row_key", "n"), "simhash-kept")
+    near = pin(near_duplicates(docs, **options).select("doc_id", "row_key", "component_id", "root"), "simhash-plan")
+    # Several texts can share one doc_id; of the id that stays, the smallest row_key does.
+    firsts = near.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "doc_id", "row_key").agg(F.count("*").alias("n"))
+    best = firsts.groupBy("root").agg(F.min(F.struct("row_key", "doc_id", "n")).alias("b"))
+    keep = pin(best.select("b.doc_id", "b.row_key", "b.n"), "simhash-kept")
     gone = near.select("doc_id", "row_key").distinct().join(
         keep.select(F.col("doc_id").alias("k_id"), F.col("row_key").alias("k_key")),
         F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("row_key") == F.col("k_key")),
