@@ -5,7 +5,8 @@ one window).  A document holds a window only if it holds all of its words, so
 the necessary prefix is a single token: the window's rarest word, by counts over
 all documents.  Only document words that are some window's rarest are joined;
 the window's length and the word's position in it fix where it would have to
-start, and the words there are compared exactly.
+start, and the words there are compared exactly (by hash where they are read,
+then word for word).
 """
 
 from __future__ import annotations
@@ -35,26 +36,29 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 def occurrences(docs: DataFrame, windows: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, row_key, start, length, win): every place where a window's words stand in a document.
 
-    ``windows`` holds (win, tokens), distinct.  The tables joined to documents'
-    words are written first, so Spark broadcasts them only if their real size
-    allows and shuffles (with skewed words split) otherwise.
+    ``windows`` holds (win, tokens), distinct.  The windows' rarest words are
+    written first, so Spark broadcasts them to documents' words only if their
+    real size allows and shuffles (with skewed words split) otherwise.
     """
     spots = windows.select("win", "tokens", F.posexplode("tokens").alias("at", "word"))
-    vocabulary = pin(spots.select("word").distinct(), "decontam-vocabulary")
+    vocabulary = spots.select("word").distinct()
     seen = (
         docs.select(F.explode(words(F.col("text"))).alias("word"))
         .join(vocabulary, "word", "left_semi")
         .groupBy("word")
         .agg(F.count("*").alias("n"))
     )
-    seen = pin(seen, "decontam-counts")
     ranked = spots.join(seen, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     rarest = ranked.groupBy("win").agg(F.min(F.struct("n", "word", "at")).alias("r"), F.first("tokens").alias("tokens"))
     # A window with a word that no document holds cannot occur.
     anchors = pin(
-        rarest.filter("r.n > 0").select(F.col("r.word").alias("word"), F.col("r.at").alias("at"), "win", "tokens"), "decontam-anchors"
+        rarest.filter("r.n > 0").select(
+            F.col("r.word").alias("word"), F.col("r.at").alias("at"), F.size("tokens").alias("length"), F.xxhash64("win").alias("hash")
+        ),
+        "decontam-anchors",
+        few_files=True,
     )
-    keys = pin(anchors.select("word").distinct(), "decontam-keys")
+    keys = anchors.select("word").distinct()
     around = window - 1
     pos = F.col("pos")
     low = F.greatest(pos - around, F.lit(0))
@@ -72,15 +76,18 @@ def occurrences(docs: DataFrame, windows: DataFrame, window: int = WINDOW) -> Da
             F.slice("words", low + 1, pos - low + window).alias("context"),
         )
     )
-    length = F.size("tokens")
-    fits = (F.col("before") >= F.col("at")) & (F.col("after") >= length - F.col("at"))
-    equal = F.slice("context", F.col("before") - F.col("at") + 1, length) == F.col("tokens")
-    return (
+    fits = (F.col("before") >= F.col("at")) & (F.col("after") >= F.col("length") - F.col("at"))
+    # Filters may run after the slice, whose start must be positive.
+    there = F.array_join(F.slice("context", F.greatest(F.col("before") - F.col("at") + 1, F.lit(1)), F.col("length")), " ")
+    likely = (
         near.join(anchors, "word")
         .filter(fits)
-        .filter(equal)
-        .select("doc_id", "row_key", (pos - F.col("at")).alias("start"), length.alias("length"), "win")
+        .withColumn("win", there)
+        .filter(F.xxhash64("win") == F.col("hash"))
+        .select("doc_id", "row_key", (pos - F.col("at")).alias("start"), "length", "win")
     )
+    # The hash only spares moving words that differ; this compares them.
+    return likely.join(windows.select("win"), "win", "left_semi").select("doc_id", "row_key", "start", "length", "win")
 
 
 def _covered(spans):
@@ -106,39 +113,30 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     Other columns are ignored; an empty documents table gives an empty result,
     an empty benchmark no hits.
     """
-    links = pin(benchmark_windows(benchmark, window), "decontam-windows")
-    hits = pin(occurrences(docs, links.select("win", "tokens").distinct(), window), "decontam-hits")
+    links = benchmark_windows(benchmark, window)
+    hits = occurrences(docs, links.select("win", "tokens").distinct(), window)
     key = ["doc_id", "row_key"]
     spans = hits.groupBy(*key).agg(
-        F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end")))).alias("spans")
+        F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end")))).alias("spans"),
+        F.collect_set("win").alias("wins"),
     )
-    listed = (
-        hits.select(*key, "win")
-        .distinct()
-        .join(links.filter("item_id is not null").select("win", "item_id"), "win")
-        .groupBy(*key)
+    covered = spans.select(*key, _covered(F.col("spans")).cast("long").alias("n_hit"), F.explode("wins").alias("win"))
+    found = (
+        covered.join(links.select("win", "item_id"), "win")
+        .groupBy(*key, "n_hit")
         .agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+        .alias("h")
     )
-    found = spans.select(*key, _covered(F.col("spans")).cast("long").alias("n_hit")).alias("s")
-    items = listed.alias("i")
     rows = _tokenised(docs).select(*key, F.size("words").cast("long").alias("n_words")).alias("d")
-
-    def same(x: str, y: str):
-        return F.col(f"{x}.doc_id").eqNullSafe(F.col(f"{y}.doc_id")) & (F.col(f"{x}.row_key") == F.col(f"{y}.row_key"))
-
-    per_doc = pin(
-        found.join(items, same("s", "i"), "left").select(
-            "s.doc_id", "s.row_key", "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items")
-        ),
-        "decontam-documents",
-    ).alias("h")
-    return rows.join(per_doc, same("d", "h"), "left").select(
+    same = F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.row_key") == F.col("h.row_key"))
+    none = F.array().cast("array<string>")
+    return rows.join(found, same, "left").select(
         "d.doc_id",
         "d.row_key",
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        F.coalesce("items", none).alias("items"),
         F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
     )
 
@@ -146,7 +144,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without the documents that hold a window of the benchmark, all columns kept."""
     found = contamination(docs, benchmark, window).filter("contaminated")
-    bad = pin(found.select("doc_id", "row_key").distinct(), "decontam-dropped").alias("b")
+    bad = pin(found.select("doc_id", "row_key").distinct(), "decontam-dropped", few_files=True).alias("b")
     keyed = docs.withColumn("__row_key", F.xxhash64(F.coalesce(F.col("text"), F.lit("")))).alias("a")
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.__row_key") == F.col("b.row_key"))
     return keyed.join(bad, same, "left_anti").drop("__row_key")

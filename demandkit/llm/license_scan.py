@@ -22,7 +22,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandkit.llm.text import pin, words
+from demandkit.llm.text import words
 
 # Phrases whose consecutive words name a license outright.
 PHRASES = {
@@ -168,11 +168,10 @@ def scan(
         F.array_max(all_starts).cast("long").alias("last_word"),
         F.array_sort(F.array_distinct(label_list)).alias("base_list"),
     )
-    blocks = pin(
+    blocks = (
         matches(docs, templates, threshold, block_words)
         .groupBy("doc_id", "row_key")
-        .agg(F.collect_set("label").alias("more"), F.max(F.col("overlap") / F.col("n")).alias("share")),
-        "license-blocks",
+        .agg(F.collect_set("label").alias("more"), F.max(F.col("overlap") / F.col("n")).alias("share"))
     )
     a, b = named.alias("a"), blocks.alias("b")
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.row_key") == F.col("b.row_key"))

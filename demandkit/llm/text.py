@@ -43,15 +43,18 @@ def without_spaces(text: Column) -> Column:
     return out
 
 
-def pin(df: DataFrame, name: str) -> DataFrame:
+def pin(df: DataFrame, name: str, few_files: bool = False) -> DataFrame:
     """Write ``df`` under the shared checkpoint folder and read it back.
 
     Cuts lineage with files every executor can read, so a lost executor costs a
     re-read and not a recomputation; later joins also see real table sizes.
+    ``few_files`` is for what comes out of a shuffle and is much smaller than
+    the documents: at most one file per core, however many shuffle partitions.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    out = df.coalesce(max(1, spark.sparkContext.defaultParallelism)) if few_files else df
+    out.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
