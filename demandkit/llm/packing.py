@@ -14,13 +14,14 @@ is the price.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,43 +32,68 @@ END_ID = 1
 SEQUENCE_TOKENS = 2048
 MAX_SEGMENTS = 64
 MIN_CUT = 16
-CHUNK_TOKENS = 1 << 22
-CHUNK_DOCS = 1 << 15
-CACHED_CHUNKS = 1 << 18
+CHUNK_TOKENS = 1 << 20
+CHUNK_DOCS = 1 << 13
+CACHED_PIECES = 1 << 19
+ENCODED_DOCS = 256  # at once, so that their words stay few
 # Python's split() takes these for spaces, the tokenizer does not.
-ODD_SPACES = regex.compile(r"[\x1c-\x1f]")
+ODD_SPACES = re.compile(r"[\x1c-\x1f]")
+# Texts of ASCII (no apostrophe, which may begin a contraction) and accented Latin-1 letters, and their pieces.
+PLAIN = re.compile(r"[\x00-\x1b !-&(-\x7fÀ-ÖØ-öø-ÿ]*")
+WORDS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^\sA-Za-z0-9À-ÖØ-öø-ÿ]+")
 
 
 class Encoder:
     """Token ids of texts by a ``tokenizers`` file that drops white space between words.
 
-    Such a tokenizer treats each run without white space alone, so ids of runs
-    are kept (a bounded number) and only new runs are encoded.
+    Such a tokenizer treats each run without white space alone, and in plain
+    Latin text each word and each string of marks, so the ids of those pieces
+    are kept (a bounded number).  New words are encoded many at a time: a word's
+    last token ends in the word-end suffix, which tells where it ends among the
+    ids.
     """
 
-    def __init__(self, path: str, cached: int = CACHED_CHUNKS):
+    def __init__(self, path: str, cached: int = CACHED_PIECES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None) or ""
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        for token, i in vocabulary.items():
+            self.ends[i] = bool(suffix) and token.endswith(suffix)
         self.cached = cached
         self.known: dict[str, bytes] = {}
 
-    def _ids(self, encoding) -> bytes:
+    def _whole(self, encoding) -> bytes:
         return np.array(encoding.ids, dtype="<u4").tobytes()
 
+    def _learn(self, words: list[str], runs: list[str]) -> None:
+        """Keep the ids of words (one word end each) and of runs."""
+        for lo in range(0, len(words), 4096):
+            part = words[lo : lo + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(part):
+                raw, stops = ids.tobytes(), (4 * ends).tolist()
+                self.known.update(zip(part, [raw[a:b] for a, b in zip([0, *stops], stops)]))
+            else:
+                runs = runs + part
+        self.known.update(zip(runs, map(self._whole, self.tokenizer.encode_batch_fast(runs, add_special_tokens=False))))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        runs = [None if ODD_SPACES.search(t) else t.split() for t in texts]
-        new = list({r for own in runs if own for r in own if r not in self.known})
-        if len(self.known) + len(new) > self.cached:
+        plain = [PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]
+        pieces = [WORDS.findall(t) if easy else None if ODD_SPACES.search(t) else t.split() for t, easy in zip(texts, plain)]
+        words = set(chain.from_iterable(p for p, easy in zip(pieces, plain) if easy))
+        runs = set(chain.from_iterable(p for p, easy in zip(pieces, plain) if p and not easy))
+        if len(self.known) + len(words) + len(runs) > self.cached:
             self.known = {}
-            new = list({r for own in runs if own for r in own})
-        for lo in range(0, len(new), 1 << 14):
-            part = new[lo : lo + (1 << 14)]
-            self.known.update(zip(part, map(self._ids, self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
+        words.difference_update(self.known)
+        self._learn(list(words), list(runs.difference(self.known, words)))
         return [
-            self._ids(self.tokenizer.encode(t, add_special_tokens=False)) if own is None else b"".join([self.known[r] for r in own])
-            for t, own in zip(texts, runs)
+            self._whole(self.tokenizer.encode(t, add_special_tokens=False)) if own is None else b"".join(map(self.known.__getitem__, own))
+            for t, own in zip(texts, pieces)
         ]
 
 
@@ -130,12 +156,12 @@ def pack(
     left = int(count.sum())
     room, offset = limits.copy(), 0
     while left:
-        live = count[:used] > 0
-        d = demand[:used]
-        score = np.where(live, (d / limits) @ (weights * room / limits), -1.0)
-        fits = live & (d <= room).all(1)
-        if fits.any():
-            r = int(np.where(fits, score, -1.0).argmax())
+        score = demand[:used] @ (weights * room / limits**2)
+        score[count[:used] == 0] = -1.0
+        fitting = score.copy()
+        fitting[(demand[:used, 0] > room[0]) | (demand[:used, 2] > room[2])] = -1.0
+        r = int(fitting.argmax())
+        if room[1] >= 1 and fitting[r] >= 0:
             n = int(demand[r, 0])
         else:
             n = int(min(room[0], room[2]))
@@ -208,7 +234,8 @@ def pack_documents(
         size = 0
         for batch in batches:
             texts = ["" if t is None else t for t in batch["text"]]
-            for doc_id, encoded in zip(batch["doc_id"], encoder.encode(texts)):
+            encoded_texts = chain.from_iterable(encoder.encode(texts[i : i + ENCODED_DOCS]) for i in range(0, len(texts), ENCODED_DOCS))
+            for doc_id, encoded in zip(batch["doc_id"], encoded_texts):
                 ids.append(doc_id)
                 held.append(encoded + end)
                 size += len(encoded) // 4 + 1
