@@ -25,7 +25,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Self-links and repeated links are allowed; no links give no rows.
     """
     edges = edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = pin(edges, "components")
+    edges = pin(edges, "components", few_files=True)
     seen = _digest(edges)
     for _ in range(MAX_ROUNDS):
         # Large star: both directions, each node's larger neighbours move to its minimum.
@@ -33,10 +33,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # Small star: links point from larger to smaller; the smaller ones move to their minimum.
-        large = pin(large, "components-large")
+        large = pin(large, "components-large", few_files=True)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(least, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = pin(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "components")
+        edges = pin(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "components", few_files=True)
         now = _digest(edges)
         if now == seen:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(

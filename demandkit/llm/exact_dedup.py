@@ -55,7 +55,7 @@ def decisions(docs: DataFrame, hash_unique: bool = False, prefix_chars: int = PR
     )
     lengths = rows.groupBy("n_bytes").agg(F.count("*").alias("n")).filter("n > 1").select("n_bytes")
     prefixes = rows.groupBy("n_bytes", "prefix").agg(F.count("*").alias("n"))
-    suspects = pin(prefixes.join(lengths, "n_bytes", "left_semi").filter("n > 1").select("n_bytes", "prefix"), "dedup-suspects")
+    suspects = pin(prefixes.join(lengths, "n_bytes", "left_semi").filter("n > 1").select("n_bytes", "prefix"), "dedup-suspects", few_files=True)
     pages = min(max_pages, max(1, -(-16 * suspects.count() // PAGE_BITS)))
     slot = _key_slot(pages * PAGE_BITS)
     bitmap = (
@@ -118,7 +118,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     Only the dropped documents' keys are joined to the texts.  Rows that repeat
     a whole document are reduced to one afterwards, over just those documents.
     """
-    plan = pin(decisions(docs).filter("group_size > 1").select("doc_id", "row_key", "copy", "kept"), "dedup-plan")
+    plan = pin(decisions(docs).filter("group_size > 1").select("doc_id", "row_key", "copy", "kept"), "dedup-plan", few_files=True)
     keyed = docs.withColumn("__row_key", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
 
     def match(side: str):

@@ -146,6 +146,7 @@ def posteriors(evidence: DataFrame, prior: float) -> DataFrame:
     paths = pin(
         rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s1"), F.sum(F.col("p") * F.col("p")).alias("s2")),
         "quality-paths",
+        few_files=True,
     )
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"))
     mean, host_strength = shrinkage(hosts)

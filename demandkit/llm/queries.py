@@ -36,7 +36,7 @@ def tokenizer_path(name: str) -> str:
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     index = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, index).withColumn("held_out", ~toxicity.training_row(F.col("doc_id")))
+    return toxicity.score(docs, index).withColumn("held_out", F.coalesce(~toxicity.training_row(F.col("doc_id")), F.lit(False)))
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents have no URL: the source is the host, the source's language the path."""
     path = F.concat_ws("/", "source", "lang")
     out = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), path)
-    return out.withColumn("held_out", ~quality.training_row(F.col("doc_id")))
+    return out.withColumn("held_out", F.coalesce(~quality.training_row(F.col("doc_id")), F.lit(False)))
 
 
 def op6_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -119,12 +119,13 @@ def links(fps: DataFrame, max_distance: int = MAX_DISTANCE, blocks: int = BLOCKS
     """Links (a, b) between distinct fingerprints that connect all pairs within ``max_distance`` bits."""
     if not 0 <= max_distance < blocks <= 64:
         raise ValueError(f"need 0 <= max_distance < blocks <= 64, got {max_distance} and {blocks}")
-    keys = pin(_block_keys(fps, max_distance, blocks), "simhash-keys")
+    keys = _block_keys(fps, max_distance, blocks)  # a projection of the written nodes, made again where it is read
     sizes = pin(
         keys.groupBy("k", "key")
         .agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"))
         .filter("n > 1"),
         "simhash-buckets",
+        few_files=True,
     )
 
     def close(a: str, b: str):
@@ -157,8 +158,8 @@ def near_duplicates(
     table gives an empty result.
     """
     rows = pin(fingerprints(docs, shingle), "simhash-fingerprints")
-    nodes = pin(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
-    edges = pin(links(nodes.select("fp"), max_distance, blocks, hot_bucket), "simhash-links")
+    nodes = pin(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-nodes", few_files=True)
+    edges = pin(links(nodes.select("fp"), max_distance, blocks, hot_bucket), "simhash-links", few_files=True)
     roots = connected_components(edges)
     linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp")
     whole = linked.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n_linked"))
@@ -178,11 +179,11 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     Rows that repeat that document are reduced to one; a NULL doc_id is kept
     only if its component has no other.
     """
-    near = pin(near_duplicates(docs, **options).select("doc_id", "row_key", "component_id", "root"), "simhash-plan")
+    near = pin(near_duplicates(docs, **options).select("doc_id", "row_key", "component_id", "root"), "simhash-plan", few_files=True)
     # Several texts can share one doc_id; of the id that stays, the smallest row_key does.
     firsts = near.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "doc_id", "row_key").agg(F.count("*").alias("n"))
     best = firsts.groupBy("root").agg(F.min(F.struct("row_key", "doc_id", "n")).alias("b"))
-    keep = pin(best.select("b.doc_id", "b.row_key", "b.n"), "simhash-kept")
+    keep = pin(best.select("b.doc_id", "b.row_key", "b.n"), "simhash-kept", few_files=True)
     gone = near.select("doc_id", "row_key").distinct().join(
         keep.select(F.col("doc_id").alias("k_id"), F.col("row_key").alias("k_key")),
         F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("row_key") == F.col("k_key")),

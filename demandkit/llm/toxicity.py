@@ -38,6 +38,7 @@ MAX_TERMS = 256
 MIN_CHI2 = 12.0  # p about 0.0005
 MIN_SHARE = 0.02  # of the toxic training rows must hold a term, and at least MIN_ROWS
 MIN_ROWS = 3
+HELD_TERMS = 1 << 17  # counted in a task before they are handed on
 NEIGHBOURS = 15
 BLOCK = 64
 PRIOR_VOTES = 0.5
@@ -75,7 +76,7 @@ class TermIds(dict):
         self.stems = {t.split(" ")[0] for t in terms}
 
     def __missing__(self, head: str) -> tuple[str, ...]:
-        if len(self) > 1 << 18:
+        if len(self) > 1 << 17:
             self.clear()
         found = self[head] = tuple(stems(head) & self.stems)
         return found
@@ -200,23 +201,32 @@ def fit(
     ship_package(docs.sparkSession)
     sample, sizes = _sampled_labels(labels, fit_per_class)
     # At most 2 x fit_per_class small rows, so the broadcast is bounded and texts are not shuffled.
-    rows = docs.select("doc_id", "text").join(F.broadcast(pin(sample, "toxicity-labels")), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(pin(sample, "toxicity-labels", few_files=True)), "doc_id")
     text = F.coalesce(F.col("text"), F.lit(""))
     once = rows.groupBy(F.xxhash64(text).alias("row_key")).agg(
         F.min("doc_id").alias("doc_id"), F.max("y").alias("y"), F.first(text).alias("text")
     )
-    train = pin(once, "toxicity-train")
+    train = pin(once, "toxicity-train", few_files=True)
     of = {r.y: r.n for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = of.get(1, 0), of.get(0, 0)
     base_rate = sizes.get(1, 0) / max(1, sum(sizes.values()))
 
     def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found = (Counter(), Counter())
+        found: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def counted() -> pd.DataFrame:
+            out = pd.DataFrame([(t, found[0][t], found[1][t]) for t in found[0] | found[1]], columns=["term", "n0", "n1"])
+            for c in found:
+                c.clear()
+            return out
+
         for batch in batches:
             for text, y in zip(batch["text"], batch["y"]):
                 counts = Counter(s for w in stem_words(text) for s in stems(w))
                 found[y].update({t for t, _ in terms_of(counts)})
-        yield pd.DataFrame([(t, found[0][t], found[1][t]) for t in found[0] | found[1]], columns=["term", "n0", "n1"])
+                if len(found[0]) + len(found[1]) > HELD_TERMS:
+                    yield counted()
+        yield counted()
 
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     table = train.mapInPandas(held, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n1").alias("a"), F.sum("n0").alias("b"))
@@ -284,7 +294,7 @@ def score(docs: DataFrame, index: Index, neighbours: int = NEIGHBOURS, prior_vot
                 counts = ids.counts(text)
                 key = tuple(sorted(counts.items()))
                 if key not in known:
-                    if len(known) > 1 << 16:
+                    if len(known) > 1 << 14:
                         known.clear()
                     value, near, _ = index.score(*index.vector(counts), neighbours, prior_votes)
                     known[key] = value, index.example_id[near[:3]].tolist()
@@ -315,7 +325,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 
     keyed = docs.select("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("row_key"), "text")
     keyed = keyed.withColumn("doc_id", F.col("doc_id").cast("string"))
-    bad = pin(keyed.mapInPandas(toxic, "doc_id string, row_key long").distinct(), "toxicity-dropped")
+    bad = pin(keyed.mapInPandas(toxic, "doc_id string, row_key long").distinct(), "toxicity-dropped", few_files=True)
     bad = bad.withColumn("doc_id", F.col("doc_id").cast("long")).alias("b")
     all_rows = docs.withColumn("__row_key", F.xxhash64(F.coalesce(F.col("text"), F.lit("")))).alias("a")
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.__row_key") == F.col("b.row_key"))
