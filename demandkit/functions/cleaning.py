@@ -14,15 +14,22 @@ from pyspark.sql.types import DataType, NumericType
 NUMBER_PATTERN = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 INFINITY_WORDS = ("inf", "+inf", "-inf", "infinity", "+infinity", "-infinity")
 
-# Date formats tried in order (first successful parse wins).
-DEFAULT_DATE_FORMATS = (
-    "yyyy-MM-dd[ HH:mm:ss[.SSSSSS]]",
-    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]",
-    "yyyy/MM/dd[ HH:mm:ss]",
-    "MM/dd/yyyy[ HH:mm:ss]",
-    "dd-MM-yyyy[ HH:mm:ss]",
-    "dd.MM.yyyy",
-)
+# Text that a sales file uses for a missing value.
+MISSING_TOKENS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
+    "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+
+# Date layouts.  A time and a zone may follow each; the wall-clock time counts.
+_TIME = r"(?:[T ]+([0-9]{1,2}):([0-9]{2})(?::([0-9]{2})(?:[.,]([0-9]{1,9}))?)?)? *(?:Z|UTC|[+-][0-9]{2}:?[0-9]{2})?$"
+YEAR_FIRST = r"^([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})" + _TIME
+COMPACT = r"^([0-9]{4})([0-9]{2})([0-9]{2})" + _TIME
+YEAR_LAST = r"^([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{4}|[0-9]{2})" + _TIME
+MONTH_NAME = r"^([A-Za-z]{3,9})[.]? +([0-9]{1,2}),? +([0-9]{4})" + _TIME
+NAME_BETWEEN = r"^([0-9]{1,2})[ -]+([A-Za-z]{3,9})[.]?,?[ -]+([0-9]{4})" + _TIME
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+FULL_MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+PIVOT_YEAR = 69  # two-digit years from here on are 19xx
 
 
 def _col(c) -> Column:
@@ -41,16 +48,70 @@ def coerce_double(c, dtype: DataType | None = None, fill: float = 0.0) -> Column
     return F.coalesce(F.nanvl(value, F.lit(None).cast("double")), F.lit(float(fill)))
 
 
-def parse_timestamp(c, formats=DEFAULT_DATE_FORMATS) -> Column:
-    """First successful parse over ``formats``; NULL when none matches."""
+def missing_to_null(c) -> Column:
+    """NULL for a value that is one of ``MISSING_TOKENS`` as it stands."""
+    col = _col(c)
+    return F.when(~col.isin(*MISSING_TOKENS), col)
+
+
+def _month_number(name: Column) -> Column:
+    """Month of an English name or its first three letters (also "sept"); NULL for other words."""
+    low = F.lower(name)
+    known = low.isin(*MONTHS, *FULL_MONTHS, "sept")
+    short = F.substring(low, 1, 3)
+    return F.when(known, F.array_position(F.array(*[F.lit(m) for m in MONTHS]), short)).cast("int")
+
+
+def parse_timestamp(c, day_first: bool = False) -> Column:
+    """TIMESTAMP_NTZ of the known layouts; NULL for any other text and for impossible dates.
+
+    Year-first dates (any of ``- / .``), ``yyyyMMdd``, numeric dates with the
+    year last and dates with an English month name, each with an optional time
+    and zone.  ``day_first`` decides how ``05/01/2024`` is read, whatever the
+    separator; a date that this order makes impossible is NULL, not guessed.
+    The zone is dropped and never applied, so the session's zone has no say.
+    """
     text = F.trim(_col(c).cast("string"))
-    parsed = [F.try_to_timestamp(text, F.lit(fmt)) for fmt in formats]
-    return F.coalesce(*parsed).cast("timestamp_ntz")
+    middle = "$2|$1" if day_first else "$1|$2"
+    # Each layout with its groups put in the order year|month|day|hour|minute|second|fraction.
+    layouts = (
+        (YEAR_FIRST, "$1|$2|$3|$4|$5|$6|$7"),
+        (COMPACT, "$1|$2|$3|$4|$5|$6|$7"),
+        (YEAR_LAST, f"$3|{middle}|$4|$5|$6|$7"),
+        (MONTH_NAME, "$3|$1|$2|$4|$5|$6|$7"),
+        (NAME_BETWEEN, "$3|$2|$1|$4|$5|$6|$7"),
+    )
+
+    def ordered(t: Column) -> Column:
+        out = None
+        for pattern, groups in layouts:
+            value = F.regexp_replace(t, pattern, groups)
+            out = F.when(t.rlike(pattern), value) if out is None else out.when(t.rlike(pattern), value)
+        return out
+
+    def build(part: Column) -> Column:
+        def number(i: int) -> Column:
+            return F.coalesce(F.nullif(part[i], F.lit("")).try_cast("int"), F.lit(0))
+
+        short = number(0) + F.when(number(0) >= PIVOT_YEAR, 1900).otherwise(2000)
+        second = F.concat(number(5).cast("string"), F.lit("."), F.rpad(part[6], 6, "0"))
+        return F.try_make_timestamp_ntz(
+            F.when(F.length(part[0]) == 2, short).otherwise(number(0)),
+            F.coalesce(_month_number(part[1]), number(1)),
+            number(2),
+            number(3),
+            number(4),
+            second.try_cast("decimal(16,6)"),
+        )
+
+    # As lambda arguments the text, its ordered form and its parts are each made once.
+    found = F.transform(F.array(text), lambda t: F.split(ordered(t), "[|]"))
+    return F.transform(found, build)[0]
 
 
-def parse_date(c, formats=DEFAULT_DATE_FORMATS) -> Column:
+def parse_date(c, day_first: bool = False) -> Column:
     """``parse_timestamp`` truncated to a DATE (time of day dropped)."""
-    return F.to_date(parse_timestamp(c, formats))
+    return F.to_date(parse_timestamp(c, day_first))
 
 
 def fill_unknown(c, value: str = "Unknown") -> Column:

@@ -40,19 +40,20 @@ PROJECTION_LOWER, PROJECTION_UPPER = 0.9, 1.1
 
 def keyword_case(item: Column, rules, default) -> Column:
     """CASE chain over ``contains(item, keyword)``; order matters."""
+    default = default if isinstance(default, Column) else F.lit(default)
     expr = None
     for keyword, value in rules:
         cond = item.contains(keyword)
         expr = F.when(cond, value) if expr is None else expr.when(cond, value)
-    return F.lit(default) if expr is None else expr.otherwise(default)
+    return default if expr is None else expr.otherwise(default)
 
 
-def rule_level(item: Column, step: Column) -> Column:
-    """base + amplitude * sin(step * frequency) by upper-cased item keyword."""
+def rule_level(item: Column, step: Column, rules=FORECAST_RULES, default=FORECAST_DEFAULT) -> Column:
+    """base + amplitude * sin(step * frequency) by upper-cased item keyword (first rule that matches)."""
     upper = F.upper(item)
-    base = keyword_case(upper, [(k, F.lit(b)) for k, b, _, _ in FORECAST_RULES], F.lit(FORECAST_DEFAULT[0]))
-    amp = keyword_case(upper, [(k, F.lit(a)) for k, _, a, _ in FORECAST_RULES], F.lit(FORECAST_DEFAULT[1]))
-    freq = keyword_case(upper, [(k, F.lit(f)) for k, _, _, f in FORECAST_RULES], F.lit(FORECAST_DEFAULT[2]))
+    base, amp, freq = (
+        keyword_case(upper, [(rule[0], F.lit(float(rule[1 + k]))) for rule in rules], F.lit(float(default[k]))) for k in range(3)
+    )
     return base + amp * F.sin(step.cast("double") * freq)
 
 

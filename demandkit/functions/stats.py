@@ -71,5 +71,6 @@ def ks_pvalue(d, n_ref, n_cur) -> Column:
 
 
 def severity(p) -> Column:
+    """'high', 'medium' or 'low'; NULL when there is no p-value to judge by."""
     p = _col(p)
-    return F.when(p < HIGH_P, F.lit("high")).when(p < MEDIUM_P, F.lit("medium")).otherwise(F.lit("low"))
+    return F.when(p < HIGH_P, F.lit("high")).when(p < MEDIUM_P, F.lit("medium")).when(p.isNotNull(), F.lit("low"))

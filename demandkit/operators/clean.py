@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demandkit.functions.cleaning import DEFAULT_DATE_FORMATS, coerce_double, fill_unknown, parse_date, parse_timestamp
+from demandkit.functions.cleaning import coerce_double, fill_unknown, parse_date, parse_timestamp
 from demandkit.operators.indexing import dense_index
 from demandkit.spec import (
     ALL_LOCATIONS,
@@ -20,14 +20,24 @@ from demandkit.spec import (
 )
 
 
-def parse_dates(df: DataFrame, date_col: str, formats=DEFAULT_DATE_FORMATS, keep_time: bool = False) -> DataFrame:
-    """Parse ``date_col`` (first matching format), drop rows that fail.
+def parse_dates(df: DataFrame, date_col: str, day_first: bool = False, keep_time: bool = False) -> DataFrame:
+    """Parse ``date_col``, drop rows that fail (``date_rejects`` has them).
 
     By default the time of day is dropped (DATE); ``keep_time=True`` keeps a
     TIMESTAMP_NTZ, as the original pipeline did.
     """
-    parsed = parse_timestamp(date_col, formats) if keep_time else parse_date(date_col, formats)
-    return df.withColumn(date_col, parsed).filter(F.col(date_col).isNotNull())
+    col = F.col(f"`{date_col}`")
+    parsed = parse_timestamp(col, day_first) if keep_time else parse_date(col, day_first)
+    return df.withColumn(date_col, parsed).filter(col.isNotNull())
+
+
+def date_rejects(df: DataFrame, date_col: str, day_first: bool = False) -> DataFrame:
+    """The rows that ``parse_dates`` drops, as they came, with ``reject_reason``
+    ('missing date' or 'unreadable date')."""
+    col = F.col(f"`{date_col}`")
+    blank = col.isNull() | (F.trim(col.cast("string")) == "")
+    reason = F.when(blank, "missing date").otherwise("unreadable date")
+    return df.filter(parse_timestamp(col, day_first).isNull()).withColumn("reject_reason", reason)
 
 
 def coerce_numeric(df: DataFrame, columns=NUMERIC_COLUMNS, fill: float = 0.0) -> DataFrame:
@@ -50,11 +60,13 @@ def clean_sales(
     spec: PanelSpec = PanelSpec(),
     numeric=NUMERIC_COLUMNS,
     categorical=CATEGORICAL_COLUMNS,
-    formats=DEFAULT_DATE_FORMATS,
+    day_first: bool = False,
     keep_time: bool = False,
 ) -> DataFrame:
-    """P1-P3 as one narrow stage: parse dates, coerce numbers, fill labels."""
-    out = parse_dates(df, spec.date, formats, keep_time)
+    """P1-P3 as one narrow stage: parse dates, coerce numbers, fill labels.
+
+    Rows without a readable date are dropped; ``date_rejects`` returns them."""
+    out = parse_dates(df, spec.date, day_first, keep_time)
     out = coerce_numeric(out, numeric)
     return fill_categorical(out, categorical)
 
@@ -128,8 +140,9 @@ def history(
     amount: str | None = "AMOUNT",
     rate: str | None = "RATE",
 ) -> DataFrame:
-    """F2 + P10: rows of [start, end] (inclusive) as (center, item, date,
-    demand, amount, rate); absent measures are 0."""
+    """F2 + P10: rows of [start, end] as (center, item, date, demand, amount,
+    rate); absent measures are 0.  Both days count whole: a timestamp later on
+    the end day is inside (the original stopped at that day's midnight)."""
     d = F.col(f"`{spec.date}`")
     out = select_series(df, spec, center, item).filter(
         (F.to_date(d) >= F.to_date(F.lit(start))) & (F.to_date(d) <= F.to_date(F.lit(end)))

@@ -4,33 +4,35 @@ KS statistic, distributed and exact:
 
 1. unpivot the numeric columns to (column_name, value), tag the side;
 2. ``groupBy(column_name, value)`` -> per-side counts (partial aggregation
-   collapses hot values, ties handled);
-3. split each column's distinct values into ordered buckets at
-   approximate quantiles (the boundaries only balance work; results are
-   exact whatever they are).  Boundaries are collected - at most
-   ``buckets`` numbers per column - so bucket ids are a pure function of
-   the value and survive recomputation;
-4. per-(column, bucket) totals -> exclusive prefix offsets (tiny table,
-   broadcast);
-5. running sums in a window partitioned by (column, bucket) + offsets give
-   both empirical CDFs at every distinct value; D = max |F_ref - F_cur|.
-
-No window ever spans a whole column, so one column cannot land in one task.
+   collapses hot values, ties handled), pinned with a reliable checkpoint;
+3. range-partition the distinct values on (column, value) into
+   ceil(rows / ``rows_per_task``) partitions and pin that layout, so a task
+   never grows with a column;
+4. per-(partition, column) totals -> exclusive prefix offsets (a table with one
+   row per partition and column, broadcast);
+5. running sums in a window over (partition, column) + offsets give both
+   empirical CDFs at every distinct value; D = max |F_ref - F_cur|.
+
+Means and standard deviations come from the same counts, so a report reads each
+table once.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, NumericType
+from pyspark.sql.types import BooleanType, NumericType, StructType
 
 from demandkit.functions.stats import ks_pvalue, sample_kurtosis, sample_skewness, severity
-from demandkit.session import default_parallelism, ensure_checkpoint_dir
+from demandkit.session import ensure_checkpoint_dir
 
 NAME = "column_name"
+# Distinct values per task of the KS window: about 50 MB of rows.
+ROWS_PER_TASK = 1_000_000
+REPORT = f"{NAME} string, ks_statistic double, p_value double, drift_detected boolean, mean_shift double, severity string"
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -49,6 +51,8 @@ def _c(name: str):
 
 def _long(df: DataFrame, columns) -> DataFrame:
     """(column_name, value DOUBLE) without NULL / NaN values."""
+    if not columns:
+        return df.sparkSession.createDataFrame([], f"{NAME} string, value double")
     pairs = F.explode(
         F.array(*[F.struct(F.lit(c).alias(NAME), _c(c).cast("double").alias("value")) for c in columns])
     ).alias("_kv")
@@ -60,6 +64,10 @@ def column_moments(df: DataFrame, columns=None, by: str | None = None) -> DataFr
     """Count, mean, sample std, skew (G1), excess kurtosis (G2) per
     numeric column - one aggregation pass (per ``by`` group), then unpivoted."""
     columns = list(columns) if columns is not None else [c for c in numeric_columns(df) if c != by]
+    if not columns:
+        moments = f"{NAME} string, count long, mean double, std double, skew double, kurtosis double"
+        side = [df.schema[by]] if by else []
+        return df.sparkSession.createDataFrame([], StructType(side + StructType.fromDDL(moments).fields))
     aggs = []
     for i, c in enumerate(columns):
         x = F.nanvl(_c(c).cast("double"), F.lit(None).cast("double"))
@@ -89,68 +97,52 @@ def column_moments(df: DataFrame, columns=None, by: str | None = None) -> DataFr
     return wide.select(*([by] if by else []), rows).select(*([by] if by else []), "_m.*")
 
 
-def _bucket_expr(value: Column, name: Column, bounds: dict[str, list[float]]) -> Column:
-    """Number of a column's boundaries strictly below ``value`` - a
-    binary-search CASE tree per column (log2(buckets) comparisons)."""
+def value_counts(reference: DataFrame, current: DataFrame, columns) -> DataFrame:
+    """(column_name, value, c_ref, c_cur) for every distinct value of either side."""
+    both = _long(reference, columns).withColumn("_cur", F.lit(0)).unionByName(
+        _long(current, columns).withColumn("_cur", F.lit(1))
+    )
+    return both.groupBy(NAME, "value").agg(F.sum(1 - F.col("_cur")).alias("c_ref"), F.sum("_cur").alias("c_cur"))
+
 
-    def tree(b, lo, hi):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(value <= F.lit(b[mid]), tree(b, lo, mid)).otherwise(tree(b, mid + 1, hi))
+def pinned_counts(counts: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """``counts`` laid out by (column, value), written to the checkpoint folder (eager).
 
-    expr = None
-    for col, b in bounds.items():
-        branch = tree(b, 0, len(b)) if b else F.lit(0)
-        expr = F.when(name == F.lit(col), branch) if expr is None else expr.when(name == F.lit(col), branch)
-    return F.lit(0) if expr is None else expr.otherwise(F.lit(0))
+    The layout is on disk, so partition ids and positions survive a lost
+    executor, and nothing stays cached.  Counts that fit one task's share are
+    one partition; more are range-partitioned first."""
+    ensure_checkpoint_dir(counts.sparkSession)
+    pinned = counts.checkpoint(eager=True)
+    parts = max(1, math.ceil(pinned.count() / rows_per_task))
+    if parts == 1:
+        return pinned.coalesce(1)
+    return pinned.repartitionByRange(parts, NAME, "value").checkpoint(eager=True)
 
 
-def ks_statistic(reference: DataFrame, current: DataFrame, columns=None, buckets: int | None = None) -> DataFrame:
+def ks_statistic(reference: DataFrame, current: DataFrame, columns=None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """K1: (column_name, n_ref, n_cur, ks_statistic) for each shared numeric column."""
     columns = list(columns) if columns is not None else shared_numeric_columns(reference, current)
-    both = _long(reference, columns).withColumn("_cur", F.lit(0)).unionByName(
-        _long(current, columns).withColumn("_cur", F.lit(1))
-    )
-    counts = both.groupBy(NAME, "value").agg(F.sum(1 - F.col("_cur")).alias("c_ref"), F.sum("_cur").alias("c_cur"))
-    return ks_from_counts(counts, columns, buckets)
-
-
-def ks_from_counts(counts: DataFrame, columns, buckets: int | None = None, held: list | None = None) -> DataFrame:
-    """K1 from per-(column_name, value) side counts ``c_ref`` / ``c_cur``.
-
-    The counts are persisted (read for the boundaries and for the result);
-    when ``held`` is given the persisted frame is appended to it so the
-    caller can unpersist it once the result has been consumed."""
-    columns = list(columns)
-    spark = counts.sparkSession
-    if buckets is None:
-        buckets = max(1, min(4 * default_parallelism(spark), 1024))
-        # The bucket expression holds ~2 nodes per boundary per column; keep
-        # the whole CASE tree around 16k nodes so it stays compact.
-        buckets = max(2, min(buckets, 8192 // max(len(columns), 1)))
-    counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
-    if held is not None:
-        held.append(counts)
-    bounds: dict[str, list[float]] = {c: [] for c in columns}
-    if buckets > 1:
-        fractions = [i / buckets for i in range(1, buckets)]
-        for row in counts.groupBy(NAME).agg(F.percentile_approx("value", fractions, 10_000).alias("q")).collect():
-            bounds[row[NAME]] = sorted(set(float(v) for v in row["q"] or []))
-    bucketed = counts.withColumn("_b", _bucket_expr(F.col("value"), F.col(NAME), bounds))
-    totals = bucketed.groupBy(NAME, "_b").agg(F.sum("c_ref").alias("b_ref"), F.sum("c_cur").alias("b_cur"))
-    before = Window.partitionBy(NAME).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    return ks_from_counts(pinned_counts(value_counts(reference, current, columns), rows_per_task), columns)
+
+
+def ks_from_counts(pinned: DataFrame, columns) -> DataFrame:
+    """K1 from per-(column_name, value) side counts ``c_ref`` / ``c_cur`` as ``pinned_counts`` lays them out."""
+    spark = pinned.sparkSession
+    placed = pinned.withColumn("_part", F.spark_partition_id())
+    totals = placed.groupBy("_part", NAME).agg(F.sum("c_ref").alias("b_ref"), F.sum("c_cur").alias("b_cur"))
+    # One row per partition and column; range partitions follow each other in value order.
+    before = Window.partitionBy(NAME).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(NAME)
     offsets = totals.select(
         NAME,
-        "_b",
+        "_part",
         F.coalesce(F.sum("b_ref").over(before), F.lit(0)).alias("o_ref"),
         F.coalesce(F.sum("b_cur").over(before), F.lit(0)).alias("o_cur"),
         F.sum("b_ref").over(everything).alias("n_ref"),
         F.sum("b_cur").over(everything).alias("n_cur"),
     )
-    running = Window.partitionBy(NAME, "_b").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    cdfs = bucketed.join(F.broadcast(offsets), [NAME, "_b"]).select(
+    running = Window.partitionBy("_part", NAME).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    cdfs = placed.join(F.broadcast(offsets), [NAME, "_part"]).select(
         NAME,
         "n_ref",
         "n_cur",
@@ -171,31 +163,31 @@ def ks_from_counts(counts: DataFrame, columns, buckets: int | None = None, held:
     )
 
 
-def ks_test(reference: DataFrame, current: DataFrame, columns=None, buckets: int | None = None) -> DataFrame:
-    """K1 + K2: KS statistic and its asymptotic two-sided p-value."""
-    ks = ks_statistic(reference, current, columns, buckets)
+def ks_test(reference: DataFrame, current: DataFrame, columns=None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """K1 + K2: KS statistic and its asymptotic two-sided p-value (both NULL where a side has no values)."""
+    ks = ks_statistic(reference, current, columns, rows_per_task)
     return ks.withColumn("p_value", ks_pvalue("ks_statistic", "n_ref", "n_cur"))
 
 
-def drift_report(
-    reference: DataFrame, current: DataFrame, threshold: float = 0.05, columns=None, buckets: int | None = None
-) -> DataFrame:
-    """K4: per shared numeric column: KS statistic, p-value, drift flag
-    (p < threshold), mean shift |mu_ref - mu_cur| / sd_ref, severity."""
-    columns = list(columns) if columns is not None else shared_numeric_columns(reference, current)
-    ks = ks_test(reference, current, columns, buckets)
-    tagged = reference.select(*[_c(c) for c in columns], F.lit(0).alias("_side")).unionByName(
-        current.select(*[_c(c) for c in columns], F.lit(1).alias("_side"))
+def _moments_from_counts(pinned: DataFrame) -> DataFrame:
+    """(column_name, ref_mean, ref_std, cur_mean): deviations from the mean, so large offsets cost no digits."""
+    n_ref, n_cur = F.sum("c_ref").cast("double"), F.sum("c_cur").cast("double")
+    means = pinned.groupBy(NAME).agg(
+        F.try_divide(F.sum(F.col("c_ref") * F.col("value")), n_ref).alias("ref_mean"),
+        F.try_divide(F.sum(F.col("c_cur") * F.col("value")), n_cur).alias("cur_mean"),
     )
-    m = column_moments(tagged, columns, by="_side")  # both sides in one pass
-    stats = m.groupBy(NAME).agg(
-        F.max(F.when(F.col("_side") == 0, F.col("mean"))).alias("ref_mean"),
-        F.max(F.when(F.col("_side") == 0, F.col("std"))).alias("ref_std"),
-        F.max(F.when(F.col("_side") == 1, F.col("mean"))).alias("cur_mean"),
+    gap = F.col("value") - F.col("ref_mean")
+    # One row per column: broadcast is safe.
+    spread = pinned.join(F.broadcast(means), NAME).groupBy(NAME).agg(
+        F.sqrt(F.try_divide(F.sum(F.col("c_ref") * gap * gap), n_ref - 1)).alias("ref_std")
     )
-    # One row per column: tiny, broadcast is safe.
-    out = ks.join(F.broadcast(stats), NAME)
-    return out.select(
+    return means.join(F.broadcast(spread), NAME)
+
+
+def _report(pinned: DataFrame, columns, stats: DataFrame, threshold: float) -> DataFrame:
+    ks = ks_from_counts(pinned, columns).withColumn("p_value", ks_pvalue("ks_statistic", "n_ref", "n_cur"))
+    # One row per column on both sides: broadcast is safe.
+    return ks.join(F.broadcast(stats), NAME, "left").select(
         NAME,
         "ks_statistic",
         "p_value",
@@ -205,6 +197,21 @@ def drift_report(
     )
 
 
+def drift_report(
+    reference: DataFrame, current: DataFrame, threshold: float = 0.05, columns=None, rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
+    """K4: per shared numeric column: KS statistic, p-value, drift flag
+    (p < threshold), mean shift |mu_ref - mu_cur| / sd_ref, severity.
+
+    A column without values on a side keeps its row with NULL everywhere (there
+    is nothing to compare); no shared numeric column gives an empty report."""
+    columns = list(columns) if columns is not None else shared_numeric_columns(reference, current)
+    if not columns:
+        return reference.sparkSession.createDataFrame([], REPORT)
+    pinned = pinned_counts(value_counts(reference, current, columns), rows_per_task)
+    return _report(pinned, columns, _moments_from_counts(pinned), threshold)
+
+
 @dataclass(frozen=True)
 class ReferenceProfile:
     """What a drift check needs from the reference table, computed once:
@@ -238,42 +245,30 @@ def reference_profile(reference: DataFrame, columns=None) -> ReferenceProfile:
 
 
 def drift_report_from_profile(
-    profile: ReferenceProfile,
-    current: DataFrame,
-    threshold: float = 0.05,
-    buckets: int | None = None,
-    held: list | None = None,
+    profile: ReferenceProfile, current: DataFrame, threshold: float = 0.05, rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
     """K4 against a precomputed reference profile; same output as
-    ``drift_report(reference, current)``.  Only ``current`` is scanned.
-    ``held`` collects persisted intermediates (see ``ks_from_counts``)."""
+    ``drift_report(reference, current)``.  Only ``current`` is scanned, and
+    nothing stays cached."""
     cur_numeric = set(numeric_columns(current))
     columns = [c for c in profile.columns if c in cur_numeric]
-    ref_counts = profile.counts.filter(F.col(NAME).isin(columns)) if columns else profile.counts.limit(0)
+    if not columns:
+        return current.sparkSession.createDataFrame([], REPORT)
     cur_counts = (
         _long(current, columns)
         .groupBy(NAME, "value")
         .agg(F.count(F.lit(1)).alias("c_cur"))
         .select(NAME, "value", F.lit(0).cast("long").alias("c_ref"), "c_cur")
     )
-    counts = ref_counts.unionByName(cur_counts).groupBy(NAME, "value").agg(
+    counts = profile.counts.filter(F.col(NAME).isin(columns)).unionByName(cur_counts).groupBy(NAME, "value").agg(
         F.sum("c_ref").alias("c_ref"), F.sum("c_cur").alias("c_cur")
     )
-    ks = ks_from_counts(counts, columns, buckets, held)
-    ks = ks.withColumn("p_value", ks_pvalue("ks_statistic", "n_ref", "n_cur"))
-    cur = column_moments(current, columns).select(NAME, F.col("mean").alias("cur_mean"))
-    # One row per column on both sides: tiny, broadcast is safe.
-    out = ks.join(F.broadcast(profile.stats), NAME).join(F.broadcast(cur), NAME)
-    return out.select(
-        NAME,
-        "ks_statistic",
-        "p_value",
-        (F.col("p_value") < F.lit(threshold)).alias("drift_detected"),
-        F.try_divide(F.abs(F.col("ref_mean") - F.col("cur_mean")), F.col("ref_std")).alias("mean_shift"),
-        severity("p_value").alias("severity"),
-    )
+    pinned = pinned_counts(counts, rows_per_task)
+    mean = F.try_divide(F.sum(F.col("c_cur") * F.col("value")), F.sum("c_cur").cast("double"))
+    cur = pinned.groupBy(NAME).agg(mean.alias("cur_mean"))
+    return _report(pinned, columns, profile.stats.join(F.broadcast(cur), NAME), threshold)
 
 
 def drift_alerts(report: DataFrame) -> DataFrame:
-    """K5: columns whose drift severity is high."""
+    """K5: columns whose drift severity is high (a column without values is not: its severity is NULL)."""
     return report.filter(F.col("severity") == "high").select(NAME)

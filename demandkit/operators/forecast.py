@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from demandkit.functions.calendar import date_feature_columns, seasonal_feature_columns
 from demandkit.functions.rules import (
     CONFIDENCE_RANGE,
+    FORECAST_DEFAULT,
     FORECAST_FLOOR,
+    FORECAST_RULES,
     PROJECTION_LOWER,
     PROJECTION_SEASONAL_AMPLITUDE,
     PROJECTION_TREND,
@@ -63,9 +65,17 @@ def last_window_stats(df: DataFrame, spec: PanelSpec = PanelSpec(), n: int = 30,
     return tail.groupBy(_c(spec.center).alias(spec.center), _c(spec.item).alias(spec.item)).agg(*aggs)
 
 
+def _last_step(horizon: int | str) -> Column:
+    """The horizon as a column: a number of days within the request limits, or the name of a column."""
+    if isinstance(horizon, str):
+        return F.col(f"`{horizon}`").cast("int")
+    validate_horizon(days=horizon)
+    return F.lit(horizon)
+
+
 def future_frame(
     history: DataFrame,
-    horizon: int,
+    horizon: int | str,
     spec: PanelSpec = PanelSpec(),
     cfg: FeatureConfig = FeatureConfig(),
     n_tail: int = 30,
@@ -77,13 +87,21 @@ def future_frame(
     Lags and rolling means = mean of the last ``n_tail`` rows, rolling stds
     = their sample std, rolling min / max = their min / max, measures =
     their means; calendar and cyclical terms from the future date; NULL -> 0.
-    ``series`` (center, item) restricts the series (inner join)."""
-    validate_horizon(days=horizon)
+    ``series`` (center, item) restricts the series (inner join).  ``horizon``
+    may name a column of ``series``: each series' own number of days, without
+    an upper limit (the largest counts if a series is listed twice)."""
+    last = _last_step(horizon)
+    if isinstance(horizon, str) and series is None:
+        raise ValueError("a horizon per series needs the series table that holds it")
     measures = list(spec.measure_names)
     stats = last_window_stats(history, spec, n_tail, measures)
     if series is not None:
-        stats = stats.join(series.select(spec.center, spec.item).distinct(), [spec.center, spec.item])
-    steps = F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step")
+        own = [F.max(_c(horizon)).alias(horizon)] if isinstance(horizon, str) else [F.count(F.lit(1)).alias("_listed")]
+        listed = series.groupBy(_c(spec.center), _c(spec.item)).agg(*own)
+        stats = stats.join(listed, [spec.center, spec.item]).drop("_listed")
+    steps = F.explode(F.sequence(F.lit(1), last)).alias("step")
+    if isinstance(horizon, str):
+        stats = stats.filter(last >= 1)
     fut = stats.select("*", steps).withColumn(spec.date, F.date_add(F.to_date("last_date"), F.col("step")))
     d = _c(spec.date)
     cols = [_c(spec.center), _c(spec.item), d, F.col("step")]
@@ -116,10 +134,12 @@ def model_forecast(model, future: DataFrame, spec: PanelSpec = PanelSpec(), pred
 
 def rule_forecast(
     series: DataFrame,
-    horizon: int,
+    horizon: int | str,
     as_of: str | Column | None = None,
     noise_sd: float = 0.0,
     seed: int = 42,
+    rules=FORECAST_RULES,
+    default=FORECAST_DEFAULT,
 ) -> DataFrame:
     """Keyword-rule forecast for each (center, item) row of ``series``.
 
@@ -129,8 +149,15 @@ def rule_forecast(
     2 decimals.  ``as_of`` is a date literal, a column of ``series``
     (e.g. each series' last date), or NULL -> ``current_date()``.
     A random confidence in [0.70, 0.95] is added only when noise is on.
+
+    ``horizon`` is a number of days or a column of ``series`` with each row's
+    own (no upper limit).  ``rules`` are (keyword, base, amplitude, frequency),
+    the first keyword found in the upper-cased item wins; ``default`` holds the
+    three numbers for other items.
     """
-    validate_horizon(days=horizon)
+    last = _last_step(horizon)
+    if isinstance(horizon, str):
+        series = series.filter(last >= 1)
     if as_of is None:
         base_date = F.current_date()
     elif isinstance(as_of, str) and as_of in series.columns:
@@ -139,10 +166,10 @@ def rule_forecast(
         base_date = F.to_date(F.lit(as_of))
     else:
         base_date = F.to_date(as_of)
-    steps = F.explode(F.sequence(F.lit(0), F.lit(horizon - 1))).alias("step")
+    steps = F.explode(F.sequence(F.lit(0), last - 1)).alias("step")
     grid = series.select("center", "item", base_date.alias("_as_of"), steps)
     d = F.date_add(F.col("_as_of"), F.col("step") + 1)
-    level = rule_level(F.col("item"), F.col("step"))
+    level = rule_level(F.col("item"), F.col("step"), rules, default)
     level = level * F.when(F.weekday(d) >= 5, F.lit(WEEKEND_FACTOR)).otherwise(F.lit(1.0))
     level = level * F.when(F.month(d).between(*SUMMER_MONTHS), F.lit(SUMMER_FACTOR)).otherwise(F.lit(1.0))
     if noise_sd:

@@ -34,11 +34,12 @@ def best_model(metrics: DataFrame, metric: str = "rmse", name: str = "model") ->
 
 
 def best_run(runs: DataFrame, experiment: str | None = None, metric: str = "rmse", metrics=("rmse", "mae", "mape")) -> DataFrame:
-    """Best run per experiment by ``metric`` ascending; missing metric
-    values read as 0.  With ``experiment`` only that experiment is kept.
+    """Best run per experiment by ``metric`` ascending, with the URI of its
+    model; missing metric values read as 0.  With ``experiment`` only that experiment is kept.
     An experiment without runs yields no row."""
     if experiment is not None:
         runs = runs.filter(F.col("experiment") == F.lit(experiment))
     w = Window.partitionBy("experiment").orderBy(F.asc_nulls_last(metric), F.asc("run_id"))
     best = runs.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank")
+    best = best.withColumn("model_uri", F.format_string("runs:/%s/model", F.col("run_id")))
     return best.fillna(0, subset=[m for m in metrics if m in runs.columns])

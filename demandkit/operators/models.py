@@ -61,6 +61,7 @@ def build_estimator(features: list[str], label: str, params: BoostingParams) ->
         subsamplingRate=params.subsampling_rate,
         maxBins=params.max_bins,
         seed=params.seed,
+        maxMemoryInMB=1024,  # a tree level in one pass over the rows
         checkpointInterval=params.checkpoint_interval,
     )
     return Pipeline(stages=[assembler, gbt])
@@ -104,12 +105,7 @@ def training_layout(train: DataFrame) -> DataFrame:
 
 def fit(train: DataFrame, features: list[str], spec: PanelSpec, params: BoostingParams) -> PipelineModel:
     """Fit one boosted-tree pipeline."""
-    ensure_checkpoint_dir(train.sparkSession)
-    laid_out = training_layout(train).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return build_estimator(features, spec.target, params).fit(laid_out)
-    finally:
-        laid_out.unpersist()
+    return fit_all(train, features, spec, {"model": params})["model"]
 
 
 def fit_all(train: DataFrame, features: list[str], spec: PanelSpec, params: dict[str, BoostingParams]) -> dict[str, PipelineModel]:
@@ -117,12 +113,17 @@ def fit_all(train: DataFrame, features: list[str], spec: PanelSpec, params: dict
 
     A boosting round is a chain of small jobs, so fits submitted from
     separate threads overlap their scheduling latency and share the
-    executors; the models are the same as fitted one after another."""
-    if len(params) <= 1:
-        return {name: fit(train, features, spec, p) for name, p in params.items()}
-    with ThreadPoolExecutor(max_workers=len(params)) as pool:
-        futures = {name: pool.submit(fit, train, features, spec, p) for name, p in params.items()}
-        return {name: f.result() for name, f in futures.items()}
+    executors; the models are the same as fitted one after another.  All fits
+    read one persisted layout, released when the last one is done."""
+    ensure_checkpoint_dir(train.sparkSession)
+    laid_out = training_layout(train).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        with ThreadPoolExecutor(max_workers=max(1, len(params))) as pool:
+            estimators = {name: build_estimator(features, spec.target, p) for name, p in params.items()}
+            futures = {name: pool.submit(e.fit, laid_out) for name, e in estimators.items()}
+            return {name: f.result() for name, f in futures.items()}
+    finally:
+        laid_out.unpersist()
 
 
 def predictions(model: PipelineModel, df: DataFrame, spec: PanelSpec) -> DataFrame:
@@ -159,12 +160,21 @@ def backtest(
 ) -> DataFrame:
     """Score the last ``n`` rows of each series that has more than
     ``min_rows`` rows; pooled metrics over all of them (F6, W6, A13)."""
-    w_count = F.count(F.lit(1)).over(Window.partitionBy(f"`{spec.center}`", f"`{spec.item}`"))
-    eligible = df.withColumn("_n", w_count).filter(F.col("_n") > min_rows).drop("_n")
-    tail = last_n_rows(eligible, spec, n)
+    # The window limit keeps at most max(n, min_rows + 1) rows of a series in
+    # each map task, so neither the shuffle nor the count sees whole series.
+    enough = last_n_rows(df, spec, max(n, min_rows + 1))
+    series = Window.partitionBy(f"`{spec.center}`", f"`{spec.item}`")
+    newest = series.orderBy(F.col(f"`{spec.date}`").desc())
+    ranked = enough.withColumn("_n", F.count(F.lit(1)).over(series)).withColumn("_rn", F.row_number().over(newest))
+    tail = ranked.filter((F.col("_n") > min_rows) & (F.col("_rn") <= n)).drop("_n", "_rn")
     return accuracy(predictions(model, tail, spec))
 
 
+def df_of_rows(small: DataFrame) -> DataFrame:
+    """A table of a few rows (one per model), evaluated now and kept as values."""
+    return small.sparkSession.createDataFrame(small.collect(), small.schema)
+
+
 @dataclass
 class TrainingResult:
     models: dict[str, PipelineModel]
@@ -184,14 +194,15 @@ def train_models(
     params = params or MODEL_PARAMS
     data, features = prepare(features_df, spec)
     train, test = split(data, spec, test_size, split_how)
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
-    test = test.persist(StorageLevel.MEMORY_AND_DISK)
     models = fit_all(train, features, spec, params)
+    test = test.persist(StorageLevel.MEMORY_AND_DISK)
     parts = [evaluate(models[name], test, spec, name) for name in params]
     metrics = parts[0]
     for p in parts[1:]:
         metrics = metrics.unionByName(p)
-    metrics = metrics.cache()
+    # One row per model: kept as a local table, so nothing stays cached.
+    metrics = df_of_rows(metrics)
+    test.unpersist()
     best = best_model(metrics).first()["model"]
     return TrainingResult(models, metrics, best, features)
 
@@ -199,12 +210,13 @@ def train_models(
 def forecast(
     model: PipelineModel,
     history: DataFrame,
-    horizon: int = 30,
+    horizon: int | str = 30,
     spec: PanelSpec = PanelSpec(),
     cfg: FeatureConfig = FeatureConfig(),
     series: DataFrame | None = None,
 ) -> DataFrame:
-    """R5 + R6: model forecast for every series (or those in ``series``)."""
+    """R5 + R6: model forecast for every series (or those in ``series``, each
+    with its own horizon if ``horizon`` names a column there)."""
     fut = future_frame(history, horizon, spec, cfg, series=series)
     return model_forecast(model, fut, spec)
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demandkit.functions.calendar import day_of_week, month_label, month_start, weekday_name
-from demandkit.functions.cleaning import DEFAULT_DATE_FORMATS, coerce_double, parse_timestamp
+from demandkit.functions.cleaning import coerce_double, parse_timestamp
 from demandkit.spec import PanelSpec, detect_roles, feature_columns
 
 # Spark's own limit on pivot values; pivoting on more is refused.
@@ -124,15 +124,21 @@ def pivot_values(df: DataFrame, column: str, limit: int = MAX_PIVOT_VALUES) -> l
     return sorted(r[0] for r in vals)
 
 
-def center_item_pivot(df: DataFrame, spec: PanelSpec = PanelSpec(), items: list | None = None) -> DataFrame:
-    """One row per center, one column per item (sum of target), 0 if absent."""
-    values = items if items is not None else pivot_values(df, spec.item)
-    out = (
-        df.groupBy(_c(spec.center).alias("center"))
-        .pivot(spec.item, values)
-        .agg(F.sum(_c(spec.target)))
-    )
-    return out.fillna(0, subset=[str(v) for v in values])
+def center_item_pivot(
+    df: DataFrame, spec: PanelSpec = PanelSpec(), items: list | None = None, max_items: int = MAX_PIVOT_VALUES
+) -> DataFrame:
+    """A11 in wide form: one row per center, one column per item (sum of target), 0 if absent.
+
+    For lists that are known to be short; ``max_items`` is the most columns that
+    are made (more raise).  ``center_item_totals`` has the same totals for any
+    number of items.  An item called like the center column gets its column
+    under ``item:<name>``."""
+    values = items if items is not None else pivot_values(df, spec.item, max_items)
+    names = {v: f"item:{v}" if str(v) == "center" else str(v) for v in values}
+    amounts = [F.sum(F.when(_c(spec.item) == F.lit(v), _c(spec.target))) for v in values]
+    return df.groupBy(_c(spec.center).alias("center")).agg(
+        F.count(F.lit(1)).alias("_rows"), *[F.coalesce(a, F.lit(0.0)).alias(names[v]) for a, v in zip(amounts, values)]
+    ).drop("_rows")
 
 
 def center_item_totals(df: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:
@@ -158,7 +164,7 @@ def _count_distinct_with_null(c):
     return F.count_distinct(c) + F.max(F.when(c.isNull(), 1).otherwise(0))
 
 
-def profile(df: DataFrame, date_formats=None) -> tuple[DataFrame, DataFrame | None]:
+def profile(df: DataFrame, day_first: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """Profile of an arbitrary table via keyword role detection.
 
     Returns ``(summary, distinct_values)``: a one-row summary (records,
@@ -169,7 +175,7 @@ def profile(df: DataFrame, date_formats=None) -> tuple[DataFrame, DataFrame | No
     roles = detect_roles(df.columns)
     aggs = [F.count(F.lit(1)).alias("total_records")]
     if roles["date"]:
-        ts = parse_timestamp(_c(roles["date"]), date_formats or DEFAULT_DATE_FORMATS)
+        ts = parse_timestamp(_c(roles["date"]), day_first)
         aggs += [F.to_date(F.min(ts)).alias("date_start"), F.to_date(F.max(ts)).alias("date_end")]
     else:
         aggs += [F.lit(None).cast("date").alias("date_start"), F.lit(None).cast("date").alias("date_end")]
@@ -186,14 +192,11 @@ def profile(df: DataFrame, date_formats=None) -> tuple[DataFrame, DataFrame | No
         F.array(*[F.lit(c) for c in df.columns]).alias("columns"),
         F.create_map(*[x for r, c in roles.items() for x in (F.lit(r), F.lit(c))]).alias("roles"),
     )
+    def found(column: str, what: str):
+        return F.when(F.col(column) > 0, F.format_string(f"{what}: %d", F.col(column))).otherwise(F.lit(f"{what}: none"))
+
     notes = F.array(
-        F.concat(F.lit("Found "), F.col("total_records").cast("string"), F.lit(" records for processing")),
-        F.when(F.col("n_centers") > 0, F.concat(F.col("n_centers").cast("string"), F.lit(" centers detected"))).otherwise(
-            F.lit("No centers detected")
-        ),
-        F.when(F.col("n_products") > 0, F.concat(F.col("n_products").cast("string"), F.lit(" products detected"))).otherwise(
-            F.lit("No products detected")
-        ),
+        F.format_string("rows read: %d", F.col("total_records")), found("n_centers", "locations"), found("n_products", "products")
     )
     out = out.withColumn("notes", notes)
     parts = [

@@ -23,49 +23,73 @@ def _c(name: str):
     return F.col(f"`{name}`")
 
 
-def split_rows_tail(df: DataFrame, spec: PanelSpec = PanelSpec(), test_size: float = 0.2, dense: bool = True) -> DataFrame:
-    """Add ``row_index`` and ``split`` ('train'/'test') in stored-row order."""
+def split_rows_tail(
+    df: DataFrame, spec: PanelSpec = PanelSpec(), test_size: float = 0.2, keys: DataFrame | None = None, dense: bool = True
+) -> DataFrame:
+    """Add ``row_index`` and ``split`` ('train'/'test') in stored-row order.
+
+    ``keys`` is a small table with the date, center and item columns that the
+    panel was made from (the daily aggregate): with it the bounds and the pair
+    list come from there, the caller vouches that the panel is dense over them,
+    and the panel itself is evaluated once.  Without it one pass over ``df``
+    checks that every pair has every day exactly once; otherwise, or with
+    ``dense=False``, the rows get a distributed index."""
     if not 0 < test_size < 1:
         raise ValueError("test_size must be in (0, 1)")
     date = _c(spec.date)
-    # Bounds, row count and pair count in one pass (the dense check needs all three).
-    bounds = df.agg(
-        F.min(date).alias("lo"),
-        F.max(date).alias("hi"),
-        F.count(F.lit(1)).alias("n"),
-        F.count_distinct(F.struct(_c(spec.center), _c(spec.item))).alias("n_pairs"),
-    ).first()
-    total = bounds["n"]
-    if total == 0:
+    source = df if keys is None else keys
+    columns = [_c(spec.center), _c(spec.item)]
+    pairs = source.groupBy(*columns).agg(
+        F.min(date).alias("lo"), F.max(date).alias("hi"), F.count(F.lit(1)).alias("n"), F.count_distinct(date).alias("n_days")
+    )
+    # At most INLINE_DIMENSION_LIMIT rows come to the driver, the rest is summed where it is.
+    listed = pairs.orderBy(*columns).limit(INLINE_DIMENSION_LIMIT + 1).collect() if dense else []
+    few = 0 < len(listed) <= INLINE_DIMENSION_LIMIT
+    if few:
+        lo, hi = min(r["lo"] for r in listed), max(r["hi"] for r in listed)
+        n_pairs, rows = len(listed), sum(r["n"] for r in listed)
+        least = min(min(r["n"], r["n_days"]) for r in listed)
+        most = max(r["n"] for r in listed)
+    else:
+        whole = pairs.agg(
+            F.min("lo").alias("lo"),
+            F.max("hi").alias("hi"),
+            F.count(F.lit(1)).alias("pairs"),
+            F.sum("n").alias("rows"),
+            F.min(F.least("n", "n_days")).alias("least"),
+            F.max("n").alias("most"),
+        ).first()
+        lo, hi, n_pairs, rows, least, most = whole
+    if not rows:
         return df.withColumn("row_index", F.lit(None).cast("long")).withColumn("split", F.lit(None).cast("string"))
-    n_days = (bounds["hi"] - bounds["lo"]).days + 1
-    pairs = df.select(_c(spec.center), _c(spec.item)).distinct()
-    n_pairs = bounds["n_pairs"]
-    dense = dense and n_pairs * n_days == total
-    if dense:
-        if n_pairs <= INLINE_DIMENSION_LIMIT:
-            # Counted and small: rank on the driver, broadcast the ranks.
-            keys = sorted(tuple(r) for r in pairs.collect())
-            schema = df.select(_c(spec.center), _c(spec.item)).schema.add("_pair", "long")
-            ranked = F.broadcast(df.sparkSession.createDataFrame([(*k, i) for i, k in enumerate(keys)], schema))
+    n_days = (hi - lo).days + 1
+    if dense and (keys is not None or least == most == n_days):
+        total = n_pairs * n_days
+        if few:
+            schema = df.select(*columns).schema.add("_pair", "long")
+            names = [(r[spec.center], r[spec.item], i) for i, r in enumerate(listed)]
+            ranked = F.broadcast(df.sparkSession.createDataFrame(names, schema))
         else:
-            ranked = dense_index(pairs, [spec.center, spec.item], "_pair")
-        offset = F.datediff(F.to_date(date), F.lit(bounds["lo"]))
+            ranked = dense_index(pairs.select(*columns), [spec.center, spec.item], "_pair")
+        offset = F.datediff(F.to_date(date), F.to_date(F.lit(str(lo)[:10])))
         out = df.join(ranked, [spec.center, spec.item]).withColumn(
             "row_index", F.col("_pair") * F.lit(n_days) + offset.cast("long")
         ).drop("_pair")
     else:
+        total = rows if keys is None else df.count()
         out = dense_index(df, [spec.center, spec.item, spec.date], "row_index")
     n_test = math.ceil(test_size * total)
     return out.withColumn("split", F.when(F.col("row_index") >= total - n_test, "test").otherwise("train"))
 
 
-def split_by_date(df: DataFrame, spec: PanelSpec = PanelSpec(), test_size: float = 0.2) -> DataFrame:
-    """Time-ordered split: the last ceil(f x days) calendar days are test."""
+def split_by_date(df: DataFrame, spec: PanelSpec = PanelSpec(), test_size: float = 0.2, keys: DataFrame | None = None) -> DataFrame:
+    """Time-ordered split: the last ceil(f x days) calendar days are test.
+
+    ``keys`` is a smaller table with the same first and last date."""
     if not 0 < test_size < 1:
         raise ValueError("test_size must be in (0, 1)")
     date = _c(spec.date)
-    bounds = df.agg(F.min(date).alias("lo"), F.max(date).alias("hi")).first()
+    bounds = (df if keys is None else keys).agg(F.min(date).alias("lo"), F.max(date).alias("hi")).first()
     if bounds["lo"] is None:
         return df.withColumn("split", F.lit(None).cast("string"))
     n_days = (bounds["hi"] - bounds["lo"]).days + 1

@@ -76,6 +76,14 @@ def train(
     return result
 
 
+@dataclass
+class ForecastJobResult:
+    forecast: DataFrame
+    recommendations: DataFrame | None
+    backtest: DataFrame
+    importances: DataFrame
+
+
 def forecast_job(
     spark: SparkSession,
     features_path: str,
@@ -85,15 +93,22 @@ def forecast_job(
     stock: DataFrame | None = None,
     spec: PanelSpec = PanelSpec(),
     cfg: FeatureConfig = FeatureConfig(),
-) -> tuple[DataFrame, DataFrame | None, DataFrame]:
-    """Model forecast for every series, back-test metrics, and (with a
-    stock table) inventory recommendations over the same forecast."""
+    series: DataFrame | None = None,
+) -> ForecastJobResult:
+    """Model forecast for every series (or those in ``series``), back-test
+    metrics, top feature importances, and (with a stock table) inventory
+    recommendations.  A stocked pair is forecast as far as its own lead time
+    and one week; the returned forecast ends at ``horizon``."""
     history = files.read_parquet(spark, features_path)
     model = models.load_model(models_path, model_name)
-    needed = max(horizon, inventory.required_horizon(stock)) if stock is not None else horizon
-    fc = models.forecast(model, history, needed, spec, cfg).persist(StorageLevel.MEMORY_AND_DISK)
-    recs = inventory.inventory_recommendations(fc, stock) if stock is not None else None
-    return fc.filter(F.col("step") <= horizon), recs, models.backtest(model, history, spec)
+    fc = models.forecast(model, history, horizon, spec, cfg, series)
+    recs = None
+    if stock is not None:
+        own = inventory.series_horizons(stock, horizon).select(
+            F.col("center").alias(spec.center), F.col("item").alias(spec.item), "horizon"
+        )
+        recs = inventory.inventory_recommendations(models.forecast(model, history, "horizon", spec, cfg, own), stock)
+    return ForecastJobResult(fc, recs, models.backtest(model, history, spec), models.feature_importance(model))
 
 
 def drift_job(
@@ -102,7 +117,7 @@ def drift_job(
     """Drift report of two Parquet tables and its high-severity alerts."""
     ref = files.read_parquet(spark, reference_path)
     cur = files.read_parquet(spark, current_path)
-    report = drift.drift_report(ref, cur, threshold).cache()
+    report = drift.drift_report(ref, cur, threshold)
     return report, drift.drift_alerts(report)
 
 

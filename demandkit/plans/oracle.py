@@ -149,17 +149,22 @@ SERIES = """
 series AS (SELECT center, item, max(date) AS last_date FROM daily GROUP BY center, item)"""
 
 
-def rule_forecast_sql(series: str, horizon: str) -> str:
-    level = """(CASE WHEN contains(upper(item), 'CHILAPI') THEN 1500.0 + 300.0 * sin(step * 0.2)
-                     WHEN contains(upper(item), 'MIX FISH') THEN 2000.0 + 400.0 * sin(step * 0.15)
-                     WHEN contains(upper(item), 'PRAWN') THEN 800.0 + 200.0 * sin(step * 0.25)
-                     WHEN contains(upper(item), 'MUNDI') THEN 600.0 + 150.0 * sin(step * 0.3)
-                     ELSE 1000.0 + 200.0 * sin(step * 0.1) END)"""
+# (keyword, base, amplitude, frequency), first match wins; then the numbers of other items.
+RULES = (
+    ("CHILAPI", 1500.0, 300.0, 0.2),
+    ("MIX FISH", 2000.0, 400.0, 0.15),
+    ("PRAWN", 800.0, 200.0, 0.25),
+    ("MUNDI", 600.0, 150.0, 0.3),
+)
+
+
+def rule_forecast_sql(series: str, horizon: str, rules=RULES, default=(1000.0, 200.0, 0.1)) -> str:
+    cases = " ".join(f"WHEN contains(upper(item), '{k}') THEN {b} + {a} * sin(step * {f})" for k, b, a, f in rules)
+    level = f"(CASE {cases} ELSE {default[0]} + {default[1]} * sin(step * {default[2]}) END)"
     return f"""
 fsteps AS (
-  SELECT s.center, s.item, CAST(g.step AS INTEGER) AS step,
-         CAST(s.last_date + CAST(g.step + 1 AS INTEGER) AS DATE) AS date
-  FROM {series} s CROSS JOIN (SELECT unnest(generate_series(0, {horizon} - 1)) AS step) g),
+  SELECT center, item, CAST(step AS INTEGER) AS step, CAST(last_date + CAST(step + 1 AS INTEGER) AS DATE) AS date
+  FROM (SELECT *, unnest(generate_series(0, {horizon} - 1)) AS step FROM {series})),
 fval AS (
   SELECT center, item, date, step + 1 AS step,
          greatest(100.0, {level}
@@ -178,6 +183,30 @@ stock AS (
          CAST(1 + (length(center) + length(item)) % 7 AS INTEGER) AS lead_time, last_date
   FROM series)"""
 
+def inventory_sql(stock: str, row_id: str = "center || '/' || item") -> str:
+    """Recommendations for the rows of ``stock`` from the forecast ``fc``."""
+    return f"""
+ids AS (SELECT *, {row_id} AS id FROM {stock}),
+sums AS (
+  SELECT s.id, any_value(s.center) AS center, any_value(s.item) AS item, any_value(s.current_stock) AS current_stock,
+         any_value(s.lead_time) AS lead_time,
+         coalesce(sum(CASE WHEN f.step <= s.lead_time THEN f.forecast END), 0.0) AS lead_demand,
+         coalesce(sum(CASE WHEN f.step <= 7 THEN f.forecast END), 0.0) AS week_demand,
+         count(f.step) >= greatest(any_value(s.lead_time), 7) AS covered
+  FROM ids s LEFT JOIN fc f ON f.center = s.center AND f.item = s.item
+  GROUP BY s.id)
+SELECT center, item, round(current_stock, {D}) AS current_stock, CAST(lead_time AS INTEGER) AS lead_time,
+       round({R2('greatest(0.0, lead_demand + week_demand * 0.2 - current_stock)')}, {D}) AS recommended_order,
+       round({R2('lead_demand + week_demand * 0.2')}, {D}) AS reorder_point,
+       round({R2('week_demand * 0.2')}, {D}) AS safety_stock,
+       round({R2('week_demand')}, {D}) AS expected_demand,
+       round({R2('CASE WHEN lead_demand > 0 THEN greatest(0.0, (lead_demand - current_stock) / lead_demand * 100) ELSE 0.0 END')}, {D}) AS stock_out_risk,
+       covered
+FROM sums"""
+
+
+WORD_RULES = (("ECON", 1500.0, 300.0, 0.2), ("ARGE", 2000.0, 400.0, 0.15), ("SMALL", 800.0, 200.0, 0.25), ("M", 600.0, 150.0, 0.3))
+
 DRIFT_SIDES = """
 ev AS (SELECT *, CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 0 ELSE 1 END AS side FROM events),
 lng AS (
@@ -296,23 +325,21 @@ proj AS (
   FROM bl b CROSS JOIN (SELECT unnest(generate_series(0, 11)) AS idx) g)
 SELECT center, item, month, round({R2('v')}, {D}) AS forecast, round({R2('v * 0.9')}, {D}) AS lower_bound,
        round({R2('v * 1.1')}, {D}) AS upper_bound FROM proj""",
-        "inventory": "WITH " + ",".join(
-            [SALES, DAILY, SERIES, STOCK, rule_forecast_sql("stock", "(SELECT max(lead_time) FROM stock) + 7")]
-        )
-        + f""",
-sums AS (
-  SELECT s.center, s.item, s.current_stock, s.lead_time,
-         coalesce(sum(CASE WHEN f.step <= s.lead_time THEN f.forecast END), 0.0) AS lead_demand,
-         coalesce(sum(CASE WHEN f.step <= 7 THEN f.forecast END), 0.0) AS week_demand
-  FROM stock s LEFT JOIN fc f ON f.center = s.center AND f.item = s.item
-  GROUP BY s.center, s.item, s.current_stock, s.lead_time)
-SELECT center, item, round(current_stock, {D}) AS current_stock, lead_time,
-       round({R2('greatest(0.0, lead_demand + week_demand * 0.2 - current_stock)')}, {D}) AS recommended_order,
-       round({R2('lead_demand + week_demand * 0.2')}, {D}) AS reorder_point,
-       round({R2('week_demand * 0.2')}, {D}) AS safety_stock,
-       round({R2('week_demand')}, {D}) AS expected_demand,
-       round({R2('CASE WHEN lead_demand > 0 THEN greatest(0.0, (lead_demand - current_stock) / lead_demand * 100) ELSE 0.0 END')}, {D}) AS stock_out_risk
-FROM sums""",
+        "inventory": "WITH " + ",".join([SALES, DAILY, SERIES, STOCK, rule_forecast_sql("stock", "(lead_time + 7)")])
+        + "," + inventory_sql("stock"),
+        "inventory_repeated_stock": "WITH "
+        + ",".join([SALES, DAILY, SERIES, STOCK.replace("stock AS", "base_stock AS")])
+        + """,
+many AS (
+  SELECT center, item, current_stock, last_date, row_number() OVER () AS row_id, lead_time
+  FROM (SELECT center, item, current_stock, last_date, unnest([0, 5, 5, 45, 400]) AS lead_time FROM base_stock)),
+planned AS (
+  SELECT center, item, last_date, CASE WHEN center = 'AFRICA' THEN 60 ELSE 407 END AS horizon
+  FROM base_stock WHERE center <> 'ASIA'),""" + rule_forecast_sql("planned", "horizon") + "," + inventory_sql("many", "row_id"),
+        "rule_forecast_keywords": "WITH "
+        + ",".join([SALES, DAILY, SERIES, rule_forecast_sql("series", "30", WORD_RULES, (900.0, 100.0, 0.5))])
+        + f"\nSELECT center, item, date, step, round(forecast, {D}) AS forecast, round(lower_bound, {D}) AS lower_bound,"
+        f" round(upper_bound, {D}) AS upper_bound FROM fc",
         "split_tail": BASE + """,
 idx AS (SELECT date, center, item, row_number() OVER (ORDER BY center, item, date) - 1 AS row_index FROM panel),
 tot AS (SELECT count(*) AS n FROM panel)
@@ -379,7 +406,7 @@ runs AS (
          sqrt(avg((actual - predicted) * (actual - predicted))) AS rmse, avg(abs(actual - predicted)) AS mae,
          avg(CASE WHEN actual > 0 THEN abs((actual - predicted) / actual) END) * 100 AS mape
   FROM pred GROUP BY experiment, model)
-SELECT experiment, run_id, round(coalesce(rmse, 0), {D}) AS rmse, round(coalesce(mae, 0), {D}) AS mae,
+SELECT experiment, run_id, 'runs:/' || run_id || '/model' AS model_uri, round(coalesce(rmse, 0), {D}) AS rmse, round(coalesce(mae, 0), {D}) AS mae,
        round(coalesce(mape, 0), {D}) AS mape
 FROM runs QUALIFY row_number() OVER (PARTITION BY experiment ORDER BY rmse ASC NULLS LAST, run_id) = 1""",
         "role_mapping": "WITH " + RAW + f"""
@@ -421,3 +448,105 @@ mapped AS (
   SELECT CAST(TRY_CAST(trim("DATE") AS TIMESTAMP) AS DATE) AS date, "CENTER NAME" AS center, "ITEM" AS item,
          {COERCE('"PAY WEIGHT"')} AS demand
   FROM raw),""" + projection_sql("mapped")
+
+# ---- dirty text: the faults of a careless export, by order key
+
+DIRTY = """
+dirty AS (
+  SELECT l_orderkey AS order_key,
+    CASE l_orderkey % 13
+      WHEN 0 THEN strftime(l_shipdate, '%-m/%-d/%Y') WHEN 1 THEN strftime(l_shipdate, '%m-%d-%Y')
+      WHEN 2 THEN strftime(l_shipdate, '%d.%m.%Y') WHEN 3 THEN strftime(l_shipdate, '%Y%m%d')
+      WHEN 4 THEN strftime(l_shipdate, '%b %-d, %Y') WHEN 5 THEN strftime(l_shipdate, '%Y-%m-%d') || 'T23:30:00+05:30'
+      WHEN 6 THEN strftime(l_shipdate, '%Y/%-m/%-d') || ' 07:05' WHEN 7 THEN '' WHEN 8 THEN 'not a date' WHEN 9 THEN NULL
+      WHEN 10 THEN strftime(l_shipdate, '%m/%d/%y') WHEN 11 THEN '2024-02-30' ELSE strftime(l_shipdate, '%Y-%m-%d') END AS date_text,
+    CASE l_orderkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 'N/A' WHEN 2 THEN 'null' WHEN 3 THEN '' WHEN 4 THEN 'nan'
+      ELSE l_returnflag END AS party,
+    CASE l_orderkey % 11 WHEN 0 THEN '' WHEN 1 THEN 'nan' WHEN 2 THEN '1,000' WHEN 3 THEN '1.0d' WHEN 4 THEN ' 12 '
+      WHEN 5 THEN '-3.5e2' WHEN 6 THEN '.5' WHEN 7 THEN 'abc' WHEN 8 THEN NULL ELSE CAST(l_quantity AS VARCHAR) END AS number_text
+  FROM lineitem),
+dated AS (
+  SELECT *, order_key % 13 AS layout, CAST(CASE WHEN order_key % 13 = 10 THEN try_strptime(date_text, '%m/%d/%y') ELSE coalesce(
+    try_strptime(date_text, '%m/%d/%Y'), try_strptime(date_text, '%m-%d-%Y'), try_strptime(date_text, '%m.%d.%Y'),
+    try_strptime(date_text, '%Y%m%d'), try_strptime(date_text, '%b %d, %Y'), try_strptime(left(date_text, 10), '%Y-%m-%d'),
+    try_strptime(date_text, '%Y/%m/%d %H:%M')) END AS DATE) AS parsed
+  FROM dirty)"""
+
+SQL["clean_dirty_numeric"] = "WITH " + DIRTY + f"""
+SELECT order_key, round(sum({COERCE('number_text')}), {D}) AS pay_weight, count(*) AS n_rows FROM dirty GROUP BY order_key"""
+SQL["clean_dirty_dates"] = "WITH " + DIRTY + """
+SELECT layout, parsed AS date, count(*) AS n_rows FROM dated WHERE parsed IS NOT NULL GROUP BY ALL"""
+SQL["date_rejects"] = "WITH " + DIRTY + """
+SELECT layout, CASE WHEN coalesce(trim(date_text), '') = '' THEN 'missing date' ELSE 'unreadable date' END AS reject_reason,
+       count(*) AS n_rows FROM dated WHERE parsed IS NULL GROUP BY ALL"""
+SQL["clean_dirty_labels"] = "WITH " + DIRTY + """
+SELECT CASE WHEN party IS NULL OR party IN ('N/A', 'null', '', 'nan') THEN 'Unknown' ELSE party END AS party, count(*) AS n_rows
+FROM dirty GROUP BY 1"""
+
+SQL["history_series"] = BASE + f"""
+SELECT center, item, date, round(pay_weight, {D}) AS demand, round(amount, {D}) AS amount, round(rate, {D}) AS rate
+FROM panel WHERE date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31' AND center = 'ASIA' AND item = 'PROMO'"""
+
+SQL["upload_no_roles"] = f"""
+SELECT CAST(DATE '2024-01-01' - CAST(count(*) OVER () - row_number() OVER w + 1 AS INTEGER) AS DATE) AS date,
+       'All Locations' AS center, 'All Products' AS item, round(l_quantity, {D}) AS demand
+FROM lineitem WINDOW w AS (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity)"""
+
+# ---- a column without values on one side
+
+_SPARSE = DRIFT_SIDES[: DRIFT_SIDES.index("vals AS")].replace(
+    "SELECT 'event_id' AS column_name, CAST(event_id AS DOUBLE) AS value, side FROM ev",
+    "SELECT 'extra' AS column_name, CASE WHEN side = 0 THEN CAST(value AS DOUBLE) END AS value, side FROM ev",
+) + DRIFT_SIDES[DRIFT_SIDES.index("vals AS") : DRIFT_SIDES.index("report AS")].replace(
+    "max(abs(r_ref / n_ref - r_cur / n_cur))", "max(abs(r_ref / nullif(n_ref, 0) - r_cur / nullif(n_cur, 0)))"
+)
+SQL["drift_sparse"] = "WITH " + _SPARSE.rstrip().rstrip(",") + f"""
+SELECT k.column_name, round(k.ks_statistic, {D}) AS ks_statistic,
+       CASE WHEN k.n_cur > 0 THEN round(k.p_value, {D}) END AS p_value,
+       CASE WHEN k.n_cur > 0 THEN k.p_value < 0.05 END AS drift_detected,
+       CASE WHEN r.std > 0 THEN round(abs(r.mean - c.mean) / r.std, {D}) END AS mean_shift,
+       CASE WHEN k.n_cur = 0 THEN NULL WHEN k.p_value < 0.01 THEN 'high' WHEN k.p_value < 0.05 THEN 'medium' ELSE 'low' END AS severity
+FROM kp k LEFT JOIN moments r ON r.column_name = k.column_name AND r.side = 0
+LEFT JOIN moments c ON c.column_name = k.column_name AND c.side = 1"""
+
+# ---- a fixed formula in the place of a fitted model
+
+_ALL = f"""
+allf AS (
+  SELECT date, center, item, pay_weight AS actual,
+         lag(pay_weight, 1) OVER (PARTITION BY center, item ORDER BY date) AS lag_1,
+         avg(pay_weight) {W.format(lo=6)} AS rolling_mean_7, avg(pay_weight) {W.format(lo=13)} AS rolling_mean_14
+  FROM panel)"""
+
+
+def _accuracy(rows: str, label: str = "") -> str:
+    return f"""
+SELECT {label}round(avg(abs(actual - predicted)), {D}) AS mae, round(avg((actual - predicted) * (actual - predicted)), {D}) AS mse,
+       round(sqrt(avg((actual - predicted) * (actual - predicted))), {D}) AS rmse,
+       round(avg(CASE WHEN actual > 0 THEN abs((actual - predicted) / actual) END) * 100, {D}) AS mape
+FROM {rows}"""
+
+
+SQL["linear_backtest"] = BASE + "," + _ALL + """,
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY center, item ORDER BY date DESC) AS rn,
+         count(*) OVER (PARTITION BY center, item) AS n FROM allf),
+scored AS (
+  SELECT actual, 0.5 * lag_1 + 0.3 * rolling_mean_7 + 0.2 * rolling_mean_14 + 1.0 AS predicted
+  FROM ranked WHERE rn <= 30 AND n > 30)""" + _accuracy("scored")
+SQL["linear_metrics"] = BASE + "," + _ALL + """,
+nd AS (SELECT lo, CAST(hi - lo AS BIGINT) + 1 AS n_days FROM bounds),
+scored AS (
+  SELECT actual, 0.5 * coalesce(lag_1, 0) + 0.3 * rolling_mean_7 + 0.2 * rolling_mean_14 + 1.0 AS predicted
+  FROM allf CROSS JOIN nd
+  WHERE date >= CAST(lo + CAST(n_days - CAST(ceil(0.2 * n_days) AS BIGINT) AS INTEGER) AS DATE))""" + _accuracy(
+    "scored", "'linear' AS model, "
+)
+SQL["linear_forecast"] = BASE + "," + FUTURE + f""",
+scored AS (SELECT center, item, date, step, 0.5 * tm + 0.3 * tm + 0.2 * tm + 1.0 AS f FROM fut)
+SELECT center, item, date, step, round(f, {D}) AS forecast, round(greatest(0.0, 0.8 * f), {D}) AS lower_bound,
+       round(1.2 * f, {D}) AS upper_bound FROM scored"""
+SQL["gbt_invariants"] = BASE + "," + FUTURE + """
+SELECT center, item, count(*) AS n_rows, min(date) AS first_date, max(date) AS last_date, count(DISTINCT step) AS n_steps,
+       CAST(0 AS BIGINT) AS n_bad
+FROM fut GROUP BY center, item"""

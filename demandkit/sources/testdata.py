@@ -8,12 +8,9 @@ BOX = l_linenumber.
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandkit.session import default_parallelism
 from demandkit.spec import PanelSpec
 
 # Column names used by every registered query on the test tables.
@@ -29,95 +26,48 @@ CENTER_LEVELS = {"region": "r_name", "nation": "n_name"}
 ITEM_LEVELS = {"type": "p_type", "brand": "p_brand"}
 
 
-def spread_narrow_scan(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that has fewer input splits than the session has
-    shuffle partitions (e.g. one large Parquet row group), so CPU-heavy
-    narrow work after it runs on every core.  A scan of a large table has far
-    more splits than that and is returned unchanged: no shuffle at scale."""
-    n = default_parallelism(df.sparkSession)
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def _with_roles(spark: SparkSession, sf_dir: str, facts: DataFrame, center_level: str, item_level: str, roles) -> DataFrame:
+    """``facts`` with the ``center`` and ``item`` columns that ``roles`` asks for.
+
+    An inner join cannot be pruned, so a role that no one reads is not joined.
+    Small dimensions join the fact one after another; Spark broadcasts each by
+    its real file size or shuffles."""
+    if "item" in roles:
+        part = table(spark, sf_dir, "part").select("p_partkey", F.col(ITEM_LEVELS[item_level]).alias("item"))
+        facts = facts.join(part, facts.l_partkey == part.p_partkey)
+    if "center" in roles:
+        supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+        nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+        facts = facts.join(supplier, facts.l_suppkey == supplier.s_suppkey)
+        facts = facts.join(nation, facts.s_nationkey == nation.n_nationkey)
+        if center_level == "region":
+            region = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+            facts = facts.join(region, facts.n_regionkey == region.r_regionkey)
+        facts = facts.withColumn("center", F.col(CENTER_LEVELS[center_level]))
+    return facts
+
+
+def _lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate"
+    )
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The Parquet table as a session temp view, registered on first use so
-    later queries skip file listing and footer reads."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    view = "dk_" + re.sub(r"[^0-9A-Za-z]+", "_", path).strip("_")
-    if not spark.catalog.tableExists(view):
-        spark.read.parquet(path).createOrReplaceTempView(view)
-    return spark.table(view)
-
-
-# Bytes per entry of the broadcast suppkey -> center map besides the name
-# itself: an UnsafeRow of (BIGINT, STRING) is an 8-byte null bitset plus two
-# 8-byte slots, and the hashed relation adds about 16 bytes per key.
-MAP_ENTRY_OVERHEAD = 8 + 2 * 8 + 16
-
-_MAP_BOUNDS: dict[tuple, int] = {}
-
-
-def center_map_bytes(spark: SparkSession, sf_dir: str, level: str) -> int:
-    """Upper bound on the in-memory size of the suppkey -> center map:
-    exact supplier count x (overhead + longest center name, 8-byte aligned).
-    Two small jobs, run once per table and session."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), level)
-    if key not in _MAP_BOUNDS:
-        n = table(spark, sf_dir, "supplier").count()
-        names = table(spark, sf_dir, "region" if level == "region" else "nation")
-        longest = names.agg(F.max(F.octet_length(CENTER_LEVELS[level]))).first()[0] or 0
-        _MAP_BOUNDS[key] = n * (MAP_ENTRY_OVERHEAD + -(-longest // 8) * 8)
-    return _MAP_BOUNDS[key]
-
-
-_UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
-
-
-def broadcast_threshold(spark: SparkSession) -> int:
-    """``spark.sql.autoBroadcastJoinThreshold`` in bytes (-1 = disabled);
-    accepts Spark's size suffixes (``10485760b``, ``10MB``, ``10m``)."""
-    text = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760").strip().lower()
-    m = re.fullmatch(r"(-?\d+)\s*([kmg]?b?)", text)
-    if not m:
-        raise ValueError(f"cannot read spark.sql.autoBroadcastJoinThreshold={text!r}")
-    return int(m.group(1)) * _UNITS[m.group(2)]
-
-
-def supplier_centers(spark: SparkSession, sf_dir: str, level: str = "region") -> DataFrame:
-    """suppkey -> center name.
-
-    supplier grows with the data; nation / region are fixed-size.  The map
-    has one row per supplier; it is broadcast only when its proven size bound
-    (``center_map_bytes``) is under the broadcast threshold (Catalyst cannot
-    size the join result itself without CBO, and would otherwise shuffle the
-    fact first).  Above it Catalyst/AQE decide from measured sizes."""
-    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    out = supplier.join(nation, supplier.s_nationkey == nation.n_nationkey)
-    if level == "region":
-        region = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-        out = out.join(region, out.n_regionkey == region.r_regionkey)
-    out = out.select("s_suppkey", F.col(CENTER_LEVELS[level]).alias("center"))
-    limit = broadcast_threshold(spark)
-    if 0 < limit and center_map_bytes(spark, sf_dir, level) <= limit:
-        out = F.broadcast(out)
-    return out
-
-
-def sales(spark: SparkSession, sf_dir: str, center_level: str = "region", item_level: str = "type") -> DataFrame:
+def sales(
+    spark: SparkSession, sf_dir: str, center_level: str = "region", item_level: str = "type", roles=("center", "item")
+) -> DataFrame:
     """Typed sales fact: date, center, item, pay_weight, amount, rate, box.
 
-    Only the six lineitem columns used are read (column pruning reaches the
-    Parquet scan)."""
-    li = table(spark, sf_dir, "lineitem").select(
-        "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate"
-    )
-    part = table(spark, sf_dir, "part").select("p_partkey", F.col(ITEM_LEVELS[item_level]).alias("item"))
-    centers = supplier_centers(spark, sf_dir, center_level)
-    joined = li.join(part, li.l_partkey == part.p_partkey).join(centers, li.l_suppkey == centers.s_suppkey)
+    ``roles`` names the series keys to join (both by default); only the columns
+    used are read (column pruning reaches the Parquet scan)."""
+    joined = _with_roles(spark, sf_dir, _lineitem(spark, sf_dir), center_level, item_level, roles)
     return joined.select(
         F.to_date("l_shipdate").alias("date"),
-        "center",
-        "item",
+        *[r for r in ("center", "item") if r in roles],
         F.col("l_quantity").alias("pay_weight"),
         F.col("l_extendedprice").alias("amount"),
         F.try_divide("l_extendedprice", "l_quantity").alias("rate"),
@@ -125,24 +75,16 @@ def sales(spark: SparkSession, sf_dir: str, center_level: str = "region", item_l
     )
 
 
-def raw_sales(spark: SparkSession, sf_dir: str, center_level: str = "region", item_level: str = "type") -> DataFrame:
+def raw_sales(
+    spark: SparkSession, sf_dir: str, center_level: str = "region", item_level: str = "type", roles=("center", "item")
+) -> DataFrame:
     """The same fact as it would arrive in a CSV: every column a STRING,
     reference-style names, timestamps with time of day kept as text."""
-    # Formatting every value as text is the CPU-heavy part, so an under-split
-    # scan is spread first (measured at sf0.1: 5.4 s -> 3.0 s for the numeric
-    # coercion query; the typed fact above gains nothing and is not spread).
-    li = spread_narrow_scan(
-        table(spark, sf_dir, "lineitem").select(
-            "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate"
-        )
-    )
-    part = table(spark, sf_dir, "part").select("p_partkey", F.col(ITEM_LEVELS[item_level]).alias("item"))
-    centers = supplier_centers(spark, sf_dir, center_level)
-    joined = li.join(part, li.l_partkey == part.p_partkey).join(centers, li.l_suppkey == centers.s_suppkey)
+    joined = _with_roles(spark, sf_dir, _lineitem(spark, sf_dir), center_level, item_level, roles)
+    names = {"center": "CENTER NAME", "item": "ITEM"}
     return joined.select(
         F.col("l_shipdate").cast("string").alias("DATE"),
-        F.col("center").alias("CENTER NAME"),
-        F.col("item").alias("ITEM"),
+        *[F.col(r).alias(names[r]) for r in ("center", "item") if r in roles],
         F.col("l_quantity").cast("string").alias("PAY WEIGHT"),
         F.col("l_extendedprice").cast("string").alias("AMOUNT"),
         F.try_divide("l_extendedprice", "l_quantity").cast("string").alias("RATE"),
@@ -150,5 +92,40 @@ def raw_sales(spark: SparkSession, sf_dir: str, center_level: str = "region", it
     )
 
 
+def _pick(key: Column, cases: list[Column], otherwise: Column) -> Column:
+    out = F.when(key == 0, cases[0])
+    for i, c in enumerate(cases[1:], 1):
+        out = out.when(key == i, c)
+    return out.otherwise(otherwise)
+
+
+def dirty_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem as a careless export would write it: order_key, DATE, PARTY NAME, PAY WEIGHT as text.
+
+    The order key decides (modulo a prime) which fault a value has: NULLs,
+    missing tokens, blanks, several date layouts, impossible dates, numbers
+    that are none."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_shipdate", "l_returnflag")
+    day = F.to_date("l_shipdate")
+
+    def shown(pattern: str) -> Column:
+        return F.date_format(day, pattern)
+
+    null = F.lit(None).cast("string")
+    dates = [
+        shown("M/d/yyyy"), shown("MM-dd-yyyy"), shown("dd.MM.yyyy"), shown("yyyyMMdd"), shown("MMM d, yyyy"),
+        F.concat(shown("yyyy-MM-dd"), F.lit("T23:30:00+05:30")), F.concat(shown("yyyy/M/d"), F.lit(" 07:05")),
+        F.lit(""), F.lit("not a date"), null, shown("MM/dd/yy"), F.lit("2024-02-30"),
+    ]
+    numbers = [F.lit(v) for v in ("", "nan", "1,000", "1.0d", " 12 ", "-3.5e2", ".5", "abc")] + [null]
+    labels = [null] + [F.lit(v) for v in ("N/A", "null", "", "nan")]
+    return li.select(
+        F.col("l_orderkey").alias("order_key"),
+        _pick(F.col("l_orderkey") % 13, dates, shown("yyyy-MM-dd")).alias("DATE"),
+        _pick(F.col("l_orderkey") % 7, labels, F.col("l_returnflag")).alias("PARTY NAME"),
+        _pick(F.col("l_orderkey") % 11, numbers, F.col("l_quantity").cast("string")).alias("PAY WEIGHT"),
+    )
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events")

@@ -96,7 +96,7 @@ def require_columns(columns, required) -> None:
     present = set(columns)
     missing = [c for c in required if c not in present]
     if missing:
-        raise KeyError(f"Missing required columns: {missing}")
+        raise KeyError(f"the table lacks {missing}, needed for its series and target")
 
 
 def detect_roles(columns) -> dict[str, str | None]:
@@ -117,7 +117,7 @@ def validate_horizon(days: int | None = None, months: int | None = None) -> None
 
 def validate_model(name: str, available) -> None:
     if name not in available:
-        raise ValueError(f"Model {name} not available")
+        raise ValueError(f"no model called {name!r}; there are {sorted(available)}")
 
 
 def feature_columns(columns, spec: PanelSpec) -> list[str]:

@@ -3,6 +3,7 @@ from datetime import date, datetime
 
 import pytest
 
+from demandkit.functions.cleaning import parse_date, parse_timestamp
 from demandkit.operators import clean, dense
 from demandkit.sources import files
 from demandkit.spec import PanelSpec, detect_roles, require_columns, validate_horizon
@@ -104,3 +105,84 @@ def test_map_roles_synthesizes_missing(spark):
     assert rows[20.0]["center"] == "All Locations" and rows[20.0]["item"] == "All Products"
     none, _ = clean.map_roles(spark.createDataFrame([(1,)], "x int"))
     assert none is None
+
+
+DATE_CASES = [
+    ("2024-01-05", "2024-01-05 00:00:00"),
+    ("2024-1-5", "2024-01-05 00:00:00"),
+    ("2024/1/5", "2024-01-05 00:00:00"),
+    ("1/5/2024", "2024-01-05 00:00:00"),
+    ("01/05/24", "2024-01-05 00:00:00"),
+    ("01/05/69", "1969-01-05 00:00:00"),
+    ("05-01-2024", "2024-05-01 00:00:00"),
+    ("05.01.2024", "2024-05-01 00:00:00"),
+    ("25/12/2024", None),
+    ("20240105", "2024-01-05 00:00:00"),
+    ("Jan 5, 2024", "2024-01-05 00:00:00"),
+    ("5 September 2024 7:08", "2024-09-05 07:08:00"),
+    ("2024-01-05 10:30", "2024-01-05 10:30:00"),
+    ("2024-01-05T10:30:00Z", "2024-01-05 10:30:00"),
+    ("2024-01-05T10:30:00+05:30", "2024-01-05 10:30:00"),
+    ("2024-01-05 10:30:00.123456789", "2024-01-05 10:30:00.123456"),
+    ("2024-03-10 02:30:00", "2024-03-10 02:30:00"),
+    ("2024-02-30", None),
+    ("2024-01-05 25:00", None),
+    ("Foo 5, 2024", None),
+    ("not a date", None),
+    ("", None),
+    (None, None),
+]
+
+
+def test_date_layouts(spark):
+    df = spark.createDataFrame([(t,) for t, _ in DATE_CASES], "d string")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")  # 2:30 on 10 March does not exist there
+        got = [r[0] for r in df.select(parse_timestamp("d").cast("string")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got == [want for _, want in DATE_CASES]
+
+
+def test_day_first_holds_for_every_separator(spark):
+    df = spark.createDataFrame([("05-01-2024",), ("05.01.2024",), ("5/1/24",), ("25/12/2024",), ("12/25/2024",), ("2024-01-05",)], "d string")
+    got = [str(r[0]) for r in df.select(parse_date("d", day_first=True)).collect()]
+    assert got == ["2024-01-05"] * 3 + ["2024-12-25", "None", "2024-01-05"]
+
+
+def test_rejected_dates_are_returned(spark):
+    df = spark.createDataFrame([("2024-01-05", 1), ("soon", 2), ("", 3), (None, 4)], "DATE string, n int")
+    kept, lost = clean.parse_dates(df, "DATE"), clean.date_rejects(df, "DATE")
+    assert kept.count() + lost.count() == df.count()
+    assert {r.n: r.reject_reason for r in lost.collect()} == {2: "unreadable date", 3: "missing date", 4: "missing date"}
+
+
+def write(path, text):
+    with open(path, "w") as fh:
+        fh.write(text)
+
+
+def test_csv_quotes_tokens_and_rejects(spark, tmp_out):
+    path = f"{tmp_out}/quoted.csv"
+    write(path, 'DATE,CENTER NAME,ITEM,PAY WEIGHT\n2024-01-01,A,"say ""hi"", x",1.5\n2024-01-02,NA,null,N/A\n2024-01-03,"",b,2,9,9\n2024-01-04,c\n')
+    got = [tuple(r) for r in files.read_sales_csv(spark, path).collect()]
+    assert got == [("2024-01-01", "A", 'say "hi", x', "1.5"), ("2024-01-02", None, None, None)]
+    lost = files.csv_rejects(spark, path)
+    assert lost.count() == 2 and {r.record for r in lost.collect()} == {'2024-01-03,"",b,2,9,9', "2024-01-04,c"}
+    cleaned = clean.clean_sales(files.read_sales_csv(spark, path), PanelSpec(measures=())).collect()
+    assert [(r["CENTER NAME"], r["ITEM"], r["PAY WEIGHT"]) for r in cleaned] == [("A", 'say "hi", x', 1.5), ("Unknown", "Unknown", 0.0)]
+
+
+def test_csv_line_breaks_in_quotes(spark, tmp_out):
+    path = f"{tmp_out}/lines.csv"
+    write(path, 'DATE,CENTER NAME,ITEM,PAY WEIGHT\n2024-01-01,A,"two\nlines",1\n')
+    assert [r["ITEM"] for r in files.read_sales_csv(spark, path, multi_line=True).collect()] == ["two\nlines"]
+    assert files.read_sales_csv(spark, path).count() == 0 and files.csv_rejects(spark, path).count() == 2
+
+
+def test_csv_headers_must_agree(spark, tmp_out):
+    write(f"{tmp_out}/a.csv", "DATE,CENTER NAME,ITEM,PAY WEIGHT\n2024-01-01,A,X,1\n")
+    write(f"{tmp_out}/b.csv", "DATE,ITEM,CENTER NAME,PAY WEIGHT\n2024-01-01,X,A,1\n")
+    with pytest.raises(Exception, match="header"):
+        files.read_sales_csv(spark, tmp_out).collect()

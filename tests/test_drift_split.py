@@ -24,14 +24,14 @@ def frame(spark, xs, ys=None):
     return spark.createDataFrame(rows, "v double, w double")
 
 
-def test_ks_matches_brute_force_with_ties_and_any_bucketing(spark):
+def test_ks_matches_brute_force_with_ties_and_any_task_size(spark):
     rng = random.Random(7)
     a = [rng.choice([0, 1, 1, 2, 3, 5, 8]) + rng.random() * (k % 3 == 0) for k in range(700)]
     b = [rng.choice([1, 2, 2, 3, 13]) for _ in range(450)] + [2.0] * 300  # a hot value
     expected = brute_ks(a, b)
-    for buckets in (1, 2, 7, 64):
-        got = drift.ks_statistic(frame(spark, a), frame(spark, b), ["v"], buckets=buckets).first()
-        assert abs(got["ks_statistic"] - expected) < 1e-12, buckets
+    for rows_per_task in (5, 40, 10_000):
+        got = drift.ks_statistic(frame(spark, a), frame(spark, b), ["v"], rows_per_task=rows_per_task).first()
+        assert abs(got["ks_statistic"] - expected) < 1e-12, rows_per_task
         assert (got["n_ref"], got["n_cur"]) == (700, 750)
 
 
@@ -103,9 +103,9 @@ def test_split_rows_tail_matches_row_order(spark):
 def test_report_from_reference_profile_equals_batch_report(spark):
     ref = spark.createDataFrame([(float(k % 7), k, None) for k in range(40)], "a double, b int, c double")
     cur = spark.createDataFrame([(float(k % 5) + 0.5, k * 2, 1.0) for k in range(25)], "a double, b int, c double")
-    batch = {r["column_name"]: r.asDict() for r in drift.drift_report(ref, cur, buckets=3).collect()}
+    batch = {r["column_name"]: r.asDict() for r in drift.drift_report(ref, cur, rows_per_task=9).collect()}
     profile = drift.reference_profile(ref)
-    streamed = {r["column_name"]: r.asDict() for r in drift.drift_report_from_profile(profile, cur, buckets=3).collect()}
+    streamed = {r["column_name"]: r.asDict() for r in drift.drift_report_from_profile(profile, cur, rows_per_task=9).collect()}
     assert batch.keys() == streamed.keys() == {"a", "b", "c"}
     for name, row in batch.items():
         for key, value in row.items():
@@ -114,10 +114,38 @@ def test_report_from_reference_profile_equals_batch_report(spark):
                 assert other == pytest.approx(value, rel=1e-12, abs=1e-12), (name, key)
             else:
                 assert other == value, (name, key)
-    held = []
-    drift.drift_report_from_profile(profile, cur, buckets=3, held=held).collect()
-    assert len(held) == 1 and held[0].is_cached
-    held[0].unpersist()
-    assert not held[0].is_cached
     only_a = spark.createDataFrame([(1.0,)], "a double")  # columns absent from current are skipped
     assert [r["column_name"] for r in drift.drift_report_from_profile(profile, only_a).collect()] == ["a"]
+
+
+def test_ks_window_tasks_stay_bounded_and_nothing_stays_cached(spark):
+    many = spark.range(20_000).selectExpr("cast(id as double) as v", "cast(id % 3 as double) as w")
+    pinned = drift.pinned_counts(drift.value_counts(many, many, ["v", "w"]), rows_per_task=1000)
+    sizes = [r["count"] for r in pinned.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) >= 15 and max(sizes) < 3000, sizes
+    before = spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    got = {r["column_name"]: r["ks_statistic"] for r in drift.ks_from_counts(pinned, ["v", "w"]).collect()}
+    assert got == {"v": 0.0, "w": 0.0}
+    drift.drift_report(many, many).collect()
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == before
+
+
+def test_report_without_values_or_columns(spark):
+    ref = spark.createDataFrame([(1.0, 2.0), (2.0, 3.0)], "a double, gone double")
+    cur = spark.createDataFrame([(1.0, None), (2.0, None)], "a double, gone double")
+    rep = {r["column_name"]: r for r in drift.drift_report(ref, cur).collect()}
+    assert rep["a"]["severity"] == "low"
+    assert (rep["gone"]["ks_statistic"], rep["gone"]["p_value"], rep["gone"]["drift_detected"], rep["gone"]["severity"]) == (None,) * 4
+    text = spark.createDataFrame([("x",)], "b string")
+    for a, b in ((ref, text), (text, text)):
+        empty = drift.drift_report(a, b)
+        assert empty.count() == 0 and empty.columns == drift.drift_report(ref, cur).columns
+        assert drift.drift_alerts(empty).count() == 0
+    assert drift.drift_report_from_profile(drift.reference_profile(text), ref).count() == 0
+
+
+def test_split_sees_a_duplicate_that_hides_a_gap(spark):
+    d = [date(2024, 1, k) for k in (1, 2, 3)]
+    rows = [(d[0], "A", "x", 1.0), (d[0], "A", "x", 2.0), (d[2], "A", "x", 3.0)]
+    out = split.split_rows_tail(spark.createDataFrame(rows, "d date, c string, i string, y double"), SPEC, 0.3)
+    assert sorted(r["row_index"] for r in out.collect()) == [0, 1, 2]

@@ -13,7 +13,9 @@ EXPECTED = set(
     "monthly_total monthly_by_series center_item_pivot summary profile naive_metrics best_model "
     "monthly_projection rule_forecast forecast_summary inventory column_moments ks_drift drift_report "
     "drift_alerts last_n_rows split_tail split_by_date date_bounds key_counts top_centers feature_preview "
-    "best_run role_mapping profile_values future_features upload_projection".split()
+    "best_run role_mapping profile_values future_features upload_projection clean_dirty_numeric clean_dirty_dates "
+    "clean_dirty_labels date_rejects inventory_repeated_stock rule_forecast_keywords drift_sparse history_series "
+    "upload_no_roles linear_forecast linear_backtest linear_metrics gbt_invariants".split()
 )
 ROWS_ONLY = {"gbt_forecast", "gbt_importance", "gbt_backtest", "gbt_metrics"}
 

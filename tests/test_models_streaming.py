@@ -80,23 +80,23 @@ def test_streaming_daily_aggregate_and_drift_monitor(spark, tmp_out):
     src = f"{tmp_out}/stream_in"
     spec = PanelSpec(measures=(("AMOUNT", "sum"),))
     df = spark.createDataFrame(
-        [("2024-01-01 10:00:00", "A", "x", 2.0, 1.0), ("2024-01-01 12:00:00", "A", "x", 3.0, 1.0), ("2024-01-05 09:00:00", "A", "x", 1.0, 1.0)],
+        [("2024-01-01 10:00:00", "A", "x", 2.0, 1.0), ("2024-01-01 12:00:00", "A", "x", 3.0, 1.0), ("2024-01-05 09:00:00", "A", "x", 1.0, 1.0), ("2024-01-01 11:00:00", None, "x", 9.0, 1.0)],
         "DATE string, `CENTER NAME` string, ITEM string, `PAY WEIGHT` double, AMOUNT double",
     ).withColumn("DATE", F.col("DATE").cast("timestamp"))
     df.write.parquet(src)
     stream = spark.readStream.schema(df.schema).parquet(src)
-    agg = incremental.daily_aggregate_stream(stream, spec, "1 day")
+    agg = incremental.daily_aggregate_stream(stream, "1 day", spec)
     q = (
         agg.writeStream.outputMode("update")
         .format("memory")
         .queryName("daily_stream_test")
-        .option("checkpointLocation", incremental.checkpoint_location(stream, f"daily-{time.time_ns()}"))
+        .option("checkpointLocation", incremental.checkpoint_location(stream, f"daily-{time.time_ns()}", tmp_out))
         .start()
     )
     q.processAllAvailable()
     q.stop()
     got = {(str(r["DATE"]), r["PAY WEIGHT"]) for r in spark.sql("select * from daily_stream_test").collect()}
-    assert ("2024-01-01", 5.0) in got and ("2024-01-05", 1.0) in got
+    assert got == {("2024-01-01", 5.0), ("2024-01-05", 1.0)}  # NULL keys form no group, as in batch
     reports = []
     ref = spark.createDataFrame([(float(k),) for k in range(50)], "`PAY WEIGHT` double")
     mon = incremental.drift_monitor(
@@ -104,6 +104,7 @@ def test_streaming_daily_aggregate_and_drift_monitor(spark, tmp_out):
         ref,
         lambda rep, bid: reports.append(rep.collect()),
         name=f"drift-{time.time_ns()}",
+        location=tmp_out,
     )
     mon.processAllAvailable()
     mon.stop()
@@ -121,7 +122,12 @@ def test_train_and_forecast_jobs_with_inventory(spark, tmp_out):
         [("KASARA", "CHILAPI", 10.0, 3), ("VASAI", "MUNDI", 1e9, 2), ("NOWHERE", "X", 5.0, 1)],
         "center string, item string, current_stock double, lead_time int",
     )
-    fc, recs, bt = jobs.forecast_job(spark, f"{tmp_out}/features", f"{tmp_out}/models", "xgboost", 5, stock, SPEC)
+    out = jobs.forecast_job(spark, f"{tmp_out}/features", f"{tmp_out}/models", "xgboost", 5, stock, SPEC)
+    fc, recs, bt = out.forecast, out.recommendations, out.backtest
+    assert out.importances.count() > 0
+    one = spark.createDataFrame([("VASAI", "MUNDI")], "`CENTER NAME` string, ITEM string")
+    only = jobs.forecast_job(spark, f"{tmp_out}/features", f"{tmp_out}/models", "xgboost", 5, spec=SPEC, series=one)
+    assert only.forecast.count() == 5 and only.recommendations is None
     assert fc.count() == 4 * 5 and fc.agg(F.max("step")).first()[0] == 5
     by = {(r["center"], r["item"]): r for r in recs.collect()}
     assert by[("VASAI", "MUNDI")]["recommended_order"] == 0.0
@@ -143,3 +149,28 @@ def test_drift_job_from_parquet(spark, tmp_out):
     rows = {r["column_name"]: r for r in report.collect()}
     assert rows["g"]["ks_statistic"] == 0.0 and rows["g"]["severity"] == "low"
     assert rows["v"]["drift_detected"] and [r[0] for r in alerts.collect()] == ["v"]
+
+
+def test_stream_goes_on_where_it_stopped(spark, tmp_out):
+    src, place = f"{tmp_out}/restart_in", f"{tmp_out}/progress"
+    one = spark.createDataFrame([(1.0,), (2.0,)], "v double")
+    one.write.parquet(src)
+    ref = spark.createDataFrame([(float(k),) for k in range(9)], "v double")
+    seen = []
+
+    def run():
+        stream = spark.readStream.schema(one.schema).parquet(src)
+        query = incremental.drift_monitor(stream, ref, lambda rep, batch: seen.append((batch, rep.count())), name="again", location=place)
+        query.processAllAvailable()
+        query.stop()
+
+    run()
+    run()  # nothing new: no batch is repeated
+    one.write.mode("append").parquet(src)
+    run()
+    assert seen == [(0, 1), (1, 1)]
+    import pytest
+
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        with pytest.raises(ValueError):
+            incremental.checkpoint_location(one, "x")

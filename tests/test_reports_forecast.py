@@ -116,7 +116,32 @@ def test_inventory_cases(spark):
     assert out[("y", 1.0)]["stock_out_risk"] == 0.0  # lead-time demand 0
     z = out[("x2", 5.0)]
     assert (z["recommended_order"], z["reorder_point"], z["expected_demand"]) == (0.0, 0.0, 0.0)
-    assert inventory.required_horizon(stock) == 10
+    horizons = {(r["center"], r["item"]): r["horizon"] for r in inventory.series_horizons(stock).collect()}
+    assert horizons == {("A", "x"): 9, ("A", "x2"): 9, ("B", "y"): 10}
+
+
+def test_inventory_repeated_rows_and_long_lead_times(spark):
+    fc = spark.createDataFrame([("A", "x", s, 10.0) for s in range(1, 15)], "center string, item string, step int, forecast double")
+    stock = spark.createDataFrame(
+        [("A", "x", 0.0, 2), ("A", "x", 0.0, 2), ("A", "x", 0.0, 400), ("A", "x", 0.0, 0), ("A", "x", 0.0, None), ("Z", "z", 0.0, 1)],
+        "center string, item string, current_stock double, lead_time int",
+    )
+    got = sorted((r["lead_time"] or -1, r["reorder_point"], r["covered"]) for r in inventory.inventory_recommendations(fc, stock).collect())
+    assert got == [(-1, 14.0, True), (-1, 14.0, True), (1, 0.0, False), (2, 34.0, True), (2, 34.0, True), (400, 154.0, False)]
+    assert max(r["horizon"] for r in inventory.series_horizons(stock).collect()) == 407
+
+
+def test_horizon_per_series_and_rules(spark):
+    series = spark.createDataFrame(
+        [("A", "red prawn mix fish", 2, "2024-01-01"), ("A", "MUNDI", 400, "2024-01-01"), ("B", "none", 0, "2024-01-01")],
+        "center string, item string, days int, day string",
+    )
+    got = forecast.rule_forecast(series, "days", as_of="day")
+    assert {r["item"]: r["count"] for r in got.groupBy("item").count().collect()} == {"red prawn mix fish": 2, "MUNDI": 400}
+    first = {r["item"]: r["forecast"] for r in got.filter("step = 1").collect()}
+    assert first == {"red prawn mix fish": 2000.0, "MUNDI": 600.0}  # the first rule wins
+    own = forecast.rule_forecast(series, 1, as_of="day", rules=[("PRAWN", 300, 0, 1)], default=(150, 0, 1))
+    assert sorted(r["forecast"] for r in own.collect()) == [150.0, 150.0, 300.0]
 
 
 def test_metrics_and_model_choice(spark):

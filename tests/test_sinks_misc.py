@@ -36,19 +36,51 @@ def test_totals_counts_and_preview(spark):
     assert reports.centers(df, SPEC).count() == 3 and reports.items_by_center(df, SPEC, "c0").count() == 4
 
 
-def test_center_map_broadcast_only_under_proven_bound(spark):
+def plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_queries_join_only_the_roles_they_use(spark):
+    from demandkit.plans.queries import REGISTRY
+
     sf = "/root/testdata/sf0.001"
-    n = testdata.table(spark, sf, "supplier").count()
-    longest = max(len(r[0].encode()) for r in testdata.table(spark, sf, "region").select("r_name").collect())
-    assert testdata.center_map_bytes(spark, sf, "region") == n * (testdata.MAP_ENTRY_OVERHEAD + -(-longest // 8) * 8)
-    try:
-        for value, expected in (("10MB", 10 << 20), ("10485760b", 10485760), ("64k", 64 << 10), ("-1", -1)):
-            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", value)
-            assert testdata.broadcast_threshold(spark) == expected
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
-        plan = testdata.sales(spark, sf)._jdf.queryExecution().executedPlan().toString()
-        assert "BroadcastHashJoin [l_suppkey" not in plan  # bound above threshold: no hint
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    plan = testdata.sales(spark, sf)._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin [l_suppkey" in plan
+    for name in ("weekday_mean", "monthly_total", "date_bounds", "centers", "demand_by_center", "top_centers", "clean_dates"):
+        assert "p_partkey" not in plan(REGISTRY[name](spark, sf)), name
+    for name in ("top_items", "weekday_mean", "monthly_total", "date_bounds", "clean_dates"):
+        assert "s_suppkey" not in plan(REGISTRY[name](spark, sf)), name
+
+
+def test_backtest_limits_series_before_the_shuffle(spark):
+    from demandkit.operators import models
+    from demandkit.plans.queries import linear_model
+
+    spec = PanelSpec(date="d", center="c", item="i", target="y", measures=())
+    days = spark.range(100).selectExpr("date_add(date'2024-01-01', cast(id as int)) as d", "cast(id % 1 as string) as c", "cast(id % 1 as string) as i", "cast(id as double) as y")
+    ft = days.selectExpr("*", "y as lag_1", "y as rolling_mean_7", "y as rolling_mean_14")
+    out = models.backtest(linear_model(), ft, spec)
+    assert abs(out.first()["mae"] - 1.0) < 1e-9
+    text = out._jdf.queryExecution().executedPlan().toString()
+    first = text.rindex("WindowGroupLimit")
+    assert text.count("WindowGroupLimit") >= 2 and "Exchange" in text[:first]  # the partial limit is below the Exchange
+    assert models.backtest(linear_model(), ft.filter("y < 30"), spec).first()["mae"] is None  # 30 rows are not more than 30
+
+
+def test_history_keys_reach_the_scan(spark, tmp_out):
+    from demandkit.operators import clean
+
+    rows = [(date(2024, 1, k), c, "x", float(k)) for k in range(1, 4) for c in ("A", "B")]
+    spark.createDataFrame(rows, "d date, c string, i string, y double").write.parquet(f"{tmp_out}/h")
+    out = clean.history(files.read_parquet(spark, f"{tmp_out}/h"), SPEC, "2024-01-01", "2024-01-02", "A", "x")
+    text = out._jdf.queryExecution().executedPlan().toString()
+    pushed = text[text.index("PushedFilters") :]
+    assert "EqualTo(c,A)" in pushed and "EqualTo(i,x)" in pushed and out.count() == 2
+
+
+def test_pivot_names_and_bound(spark):
+    import pytest
+
+    df = spark.createDataFrame([("a", "center", 1.0), ("a", "x", 2.0), ("b", "x", 3.0)], "c string, i string, y double")
+    got = {r["center"]: (r["item:center"], r["x"]) for r in reports.center_item_pivot(df, SPEC).collect()}
+    assert got == {"a": (1.0, 2.0), "b": (0.0, 3.0)}
+    with pytest.raises(ValueError):
+        reports.center_item_pivot(df, SPEC, max_items=1)
