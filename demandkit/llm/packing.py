@@ -89,8 +89,8 @@ class Encoder:
         runs = set(chain.from_iterable(p for p, easy in zip(pieces, plain) if p and not easy))
         if len(self.known) + len(words) + len(runs) > self.cached:
             self.known = {}
-        words.difference_update(self.known)
-        self._learn(list(words), list(runs.difference(self.known, words)))
+        words = words.difference(self.known)
+        self._learn(list(words), list(runs.difference(self.known).difference(words)))
         return [
             self._whole(self.tokenizer.encode(t, add_special_tokens=False)) if own is None else b"".join(map(self.known.__getitem__, own))
             for t, own in zip(texts, pieces)
