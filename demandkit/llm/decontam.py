@@ -36,12 +36,12 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 def occurrences(docs: DataFrame, windows: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, row_key, start, length, win): every place where a window's words stand in a document.
 
-    ``windows`` holds (win, tokens), distinct.  The windows' rarest words are
-    written first, so Spark broadcasts them to documents' words only if their
-    real size allows and shuffles (with skewed words split) otherwise.
+    ``windows`` holds (win, tokens), distinct.  The tables of their words that
+    meet documents' words are written first, so Spark broadcasts them only if
+    their real size allows and shuffles (with skewed words split) otherwise.
     """
     spots = windows.select("win", "tokens", F.posexplode("tokens").alias("at", "word"))
-    vocabulary = spots.select("word").distinct()
+    vocabulary = pin(spots.select("word").distinct(), "decontam-vocabulary", few_files=True)
     seen = (
         docs.select(F.explode(words(F.col("text"))).alias("word"))
         .join(vocabulary, "word", "left_semi")
