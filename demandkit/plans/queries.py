@@ -7,7 +7,6 @@ comparison with the SQL oracle; the operators themselves never round.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame, SparkSession
@@ -32,13 +31,15 @@ def sales(spark: SparkSession, sf_dir: str, roles=("center", "item")) -> DataFra
 def wide_feature_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature table of the larger nation x brand panel (625 series)."""
     daily_wide = dense.daily_aggregate(testdata.sales(spark, sf_dir, "nation", "brand"), SPEC)
-    daily_wide = daily_wide.persist(StorageLevel.MEMORY_AND_DISK)
+    daily_wide = daily_wide.checkpoint(eager=True)
     return features.build_features(dense.dense_panel(daily_wide, SPEC), SPEC, CFG)
 
 
-def daily(spark: SparkSession, sf_dir: str, persist: bool = True) -> DataFrame:
+def daily(spark: SparkSession, sf_dir: str, pinned: bool = True) -> DataFrame:
+    """The daily aggregate; ``pinned`` for queries that read it more than once
+    (written to the checkpoint folder, so nothing stays cached afterwards)."""
     out = dense.daily_aggregate(sales(spark, sf_dir), SPEC)
-    return out.persist(StorageLevel.MEMORY_AND_DISK) if persist else out
+    return out.checkpoint(eager=True) if pinned else out
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +51,7 @@ def feature_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_daily_agg(spark, sf_dir):
-    return rounded(daily(spark, sf_dir, persist=False))
+    return rounded(daily(spark, sf_dir, pinned=False))
 
 
 def q_dense_panel(spark, sf_dir):
@@ -193,7 +194,7 @@ def q_best_model(spark, sf_dir):
 
 
 def series_last_dates(spark, sf_dir):
-    d = daily(spark, sf_dir, persist=False)
+    d = daily(spark, sf_dir, pinned=False)
     return d.groupBy(F.col(SPEC.center).alias("center"), F.col(SPEC.item).alias("item")).agg(
         F.max(SPEC.date).alias("last_date")
     )
