@@ -189,6 +189,8 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
         F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("row_key") == F.col("k_key")),
         "left_anti",
     )
+    # Written, so that its size is known: a short list is broadcast and no text moves.
+    gone = pin(gone, "simhash-gone", few_files=True)
     keyed = docs.withColumn("__row_key", F.xxhash64(F.coalesce(F.col("text"), F.lit("")))).alias("a")
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.__row_key") == F.col("b.row_key"))
     out = keyed.join(gone.alias("b"), same, "left_anti").alias("a")
