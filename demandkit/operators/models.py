@@ -114,16 +114,17 @@ def fit_all(train: DataFrame, features: list[str], spec: PanelSpec, params: dict
     A boosting round is a chain of small jobs, so fits submitted from
     separate threads overlap their scheduling latency and share the
     executors; the models are the same as fitted one after another.  All fits
-    read one persisted layout, released when the last one is done."""
+    read one persisted copy of the rows, released when the last one is done."""
     ensure_checkpoint_dir(train.sparkSession)
-    laid_out = training_layout(train).persist(StorageLevel.MEMORY_AND_DISK)
+    cached = train.persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        laid_out = training_layout(cached)
         with ThreadPoolExecutor(max_workers=max(1, len(params))) as pool:
             estimators = {name: build_estimator(features, spec.target, p) for name, p in params.items()}
             futures = {name: pool.submit(e.fit, laid_out) for name, e in estimators.items()}
             return {name: f.result() for name, f in futures.items()}
     finally:
-        laid_out.unpersist()
+        cached.unpersist()
 
 
 def predictions(model: PipelineModel, df: DataFrame, spec: PanelSpec) -> DataFrame:
