@@ -14,12 +14,10 @@ def brute(docs):
         groups[without_spaces(r.text)].append(r)
     out = []
     for norm, members in groups.items():
-        ids = [r for r in members if r.doc_id is not None]
         most = max(len(r.text or "") for r in members)
         top = [r for r in members if len(r.text or "") == most]
         known = [r.doc_id for r in top if r.doc_id is not None]
         keep = min(known) if known else None
-        del ids
         kept = 0
         for r in members:
             first = r.doc_id == keep and len(r.text or "") == most and not kept

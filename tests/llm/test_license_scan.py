@@ -37,7 +37,7 @@ def brute(docs, phrases=scan.PHRASES, templates=scan.TEMPLATES, threshold=0.8, b
 def make(spark, rng):
     texts = []
     fill = ["lorem", "the", "of", "under", "license", "public", "work", "and", "4", "0", "2"]
-    for label, wording in scan.TEMPLATES + [("", p) for p in scan.PHRASES.values()]:
+    for wording in [w for _, w in scan.TEMPLATES] + list(scan.PHRASES.values()):
         for dropped in range(min(5, len(wording.split()))):
             w = wording.split()
             for _ in range(dropped):
