@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from math import log
 
 import pandas as pd
@@ -20,16 +21,19 @@ from pyspark.sql import functions as F
 from demandkit.llm.text import ship_package
 
 MARK = "▁"
-MAX_NODES = 1 << 18
+MAX_NODES = 1 << 19
+COUNTED_DOCS = 256  # at once
 
 
 class Unigram:
-    """Pieces with log probabilities; characters outside the vocabulary fall back to their bytes."""
+    """Pieces with log probabilities (below 0); characters outside the vocabulary fall back to their bytes."""
 
     def __init__(self, pieces: dict[str, float], byte_score: float):
         self.pieces = pieces
         self.byte_score = byte_score
-        self.longest = max(map(len, pieces), default=1)
+        # Scores of pieces, and None for what a longer piece ends in, so a search backwards knows when to stop.
+        self.endings: dict[str, float | None] = {p[i:]: None for p in pieces for i in range(1, len(p))}
+        self.endings.update(pieces)
 
     @classmethod
     def from_model(cls, path: str) -> Unigram:
@@ -50,7 +54,10 @@ def _unigram(path: str) -> Unigram:
 
 
 class TokenTrie:
-    """Best score and token count of every inserted prefix (higher score, then fewer tokens)."""
+    """Best score and token count of every inserted prefix (higher score, then fewer tokens).
+
+    A node is [score, tokens, children]; the count of a pre-token is kept where it ends.
+    """
 
     def __init__(self, model: Unigram, max_nodes: int = MAX_NODES):
         self.model = model
@@ -58,66 +65,71 @@ class TokenTrie:
         self.clear()
 
     def clear(self) -> None:
-        self.child: dict[tuple[int, str], int] = {}
-        self.score = [0.0]
-        self.tokens = [0]
-        self.terminal: dict[str, int] = {}
-
-    def _extend(self, word: str, end: int, path: list[int]) -> int:
-        pieces, best, fewest = self.model.pieces, None, 0
-        for start in range(max(0, end - self.model.longest), end):
-            own = pieces.get(word[start:end])
-            if own is not None:
-                score, n = self.score[path[start]] + own, self.tokens[path[start]] + 1
-                if best is None or score > best or score == best and n < fewest:
-                    best, fewest = score, n
+        self.root: list = [0.0, 0, None]
+        self.size = 1
+        self.terminal: dict[bytes, int] = {}
+
+    def _extend(self, word: str, end: int, path: list[list]) -> list:
+        """The node of ``word[:end]`` from the nodes of all shorter prefixes."""
+        ending, best, fewest = self.model.endings.get, None, 0
+        for start in range(end - 1, -1, -1):
+            own = ending(word[start:end], 0.0)
+            if own is None:
+                continue
+            if own == 0.0:  # no piece ends like this, nor would a longer one
+                break
+            before = path[start]
+            score, n = before[0] + own, before[1] + 1
+            if best is None or score > best or score == best and n < fewest:
+                best, fewest = score, n
         if best is None:
             n = len(word[end - 1].encode("utf-8", "replace"))
-            best, fewest = self.score[path[end - 1]] + n * self.model.byte_score, self.tokens[path[end - 1]] + n
-        self.score.append(best)
-        self.tokens.append(fewest)
-        return len(self.score) - 1
+            best, fewest = path[end - 1][0] + n * self.model.byte_score, path[end - 1][1] + n
+        self.size += 1
+        return [best, fewest, None]
 
-    def count(self, word: str) -> int:
+    def insert(self, word: str) -> int:
         """Tokens of a pre-token; its unseen prefixes are added to the trie."""
-        known = self.terminal.get(word)
-        if known is not None:
-            return known
-        if len(self.score) + len(word) > self.max_nodes and len(self.score) > 1:
-            self.clear()
-        node, path = 0, [0]
+        node, path = self.root, [self.root]
         for end, ch in enumerate(word, 1):
-            nxt = self.child.get((node, ch))
-            if nxt is None:
-                nxt = self.child[node, ch] = self._extend(word, end, path)
-            node = nxt
+            children = node[2]
+            if children is None:
+                children = node[2] = {}
+            after = children.get(ch)
+            if after is None:
+                after = children[ch] = self._extend(word, end, path)
+            node = after
             path.append(node)
-        self.terminal[word] = self.tokens[node]
-        return self.tokens[node]
-
-
-def pre_tokens(text: str) -> list[str]:
-    return [MARK + w.decode() for w in text.encode("utf-8", "replace").split()]
+        return node[1]
+
+    def count_texts(self, texts: list[str]) -> list[tuple[int, int]]:
+        """Pre-tokens and tokens of each text."""
+        split = [t.encode("utf-8", "replace").split() for t in texts]
+        met = set(chain.from_iterable(split))
+        new = met.difference(self.terminal)
+        if self.size > self.max_nodes:
+            self.clear()
+            new = met
+        self.terminal.update((w, self.insert(MARK + w.decode())) for w in new)
+        known = self.terminal.__getitem__
+        return [(len(own), sum(map(known, own))) for own in split]
 
 
 def count_tokens(docs: DataFrame, model_path: str, max_nodes: int = MAX_NODES) -> DataFrame:
     """doc_id, n_pretokens, n_tokens, per input row.
 
     NULL and empty texts have no tokens.  Repeated rows give repeated results;
-    other columns are ignored; an empty table gives an empty result.  A pre-token
-    longer than the trie may be is counted in a trie of its own.
+    other columns are ignored; an empty table gives an empty result.  A full trie
+    starts anew between groups of texts, so it passes ``max_nodes`` by one group.
     """
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trie = TokenTrie(_unigram(model_path), max_nodes)
         for batch in batches:
-            words, tokens = [], []
-            for text in batch.pop("text"):
-                own = pre_tokens(text or "")
-                words.append(len(own))
-                tokens.append(sum(map(trie.count, own)))
-            batch["n_pretokens"], batch["n_tokens"] = words, tokens
+            texts = ["" if t is None else t for t in batch.pop("text")]
+            found = [c for lo in range(0, len(texts), COUNTED_DOCS) for c in trie.count_texts(texts[lo : lo + COUNTED_DOCS])]
+            batch["n_pretokens"], batch["n_tokens"] = [c[0] for c in found], [c[1] for c in found]
             yield batch
 
     # A NULL doc_id would turn the column into floats in pandas; it travels as text.

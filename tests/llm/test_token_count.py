@@ -1,4 +1,5 @@
 import random
+import re
 
 from llm_helpers import rows
 
@@ -6,6 +7,10 @@ from demandkit.llm import token_count as tc
 from demandkit.llm.queries import COUNTING_MODEL, tokenizer_path
 
 
+def pre_tokens(text):
+    return [tc.MARK + w for w in re.split(r"[ \t\n\x0b\x0c\r]+", text or "") if w]
+
+
 def brute(word, model):
     """Best score and fewest tokens by all segmentations, without sharing."""
     best = [(0.0, 0)]
@@ -26,22 +31,26 @@ def test_trie_against_plain_dynamic_programming():
     rng = random.Random(6)
     syllables = ["th", "er", "ing", "ü", "日本", "x", "zz", "tion", "!", "é", "🙂", "tok", "en"]
     words = [tc.MARK + "".join(rng.choice(syllables) for _ in range(rng.randrange(9))) for _ in range(800)]
-    for trie in (tc.TokenTrie(model), tc.TokenTrie(model, max_nodes=50)):
-        assert [trie.count(w) for w in words + words] == [brute(w, model) for w in words] * 2
+    trie = tc.TokenTrie(model)
+    assert [trie.insert(w) for w in words + words] == [brute(w, model) for w in words] * 2
+    small = tc.TokenTrie(model, max_nodes=50)
+    texts = [" ".join(words[i : i + 7]).replace(tc.MARK, "") for i in range(0, 800, 7)]
+    got = [c for i in range(0, len(texts), 5) for c in small.count_texts(texts[i : i + 5])]
+    assert got == [(len(w), sum(brute(x, model) for x in w)) for w in map(pre_tokens, texts)]
 
 
 def test_prefixes_are_scored_once():
     model = tc.Unigram({"a": -1.0, "ab": -1.5, "b": -1.0, "c": -1.0}, -9.0)
     trie = tc.TokenTrie(model)
-    assert [trie.count(w) for w in ("ab", "abc", "abcc", "b", "é")] == [1, 2, 3, 1, 2]
-    assert len(trie.score) == 1 + len({"a", "ab", "abc", "abcc", "b", "é"})
+    assert [trie.insert(w) for w in ("ab", "abc", "abcc", "b", "é")] == [1, 2, 3, 1, 2]
+    assert trie.size == 1 + len({"a", "ab", "abc", "abcc", "b", "é"})
 
 
 def test_documents(odd_docs, clashing, no_docs):
     path = tokenizer_path(COUNTING_MODEL)
     model = tc.Unigram.from_model(path)
     want = sorted(
-        ((r.doc_id, len(w), sum(brute(x, model) for x in set(w) for _ in range(w.count(x)))) for r in odd_docs.collect() if len(r.text or "") < 5000 for w in [tc.pre_tokens(r.text or "")]),
+        ((r.doc_id, len(w), sum(brute(x, model) for x in set(w) for _ in range(w.count(x)))) for r in odd_docs.collect() if len(r.text or "") < 5000 for w in [pre_tokens(r.text)]),
         key=lambda t: (t[0] is not None, t),
     )
     small = clashing.filter("text is null or length(text) < 5000")
