@@ -42,3 +42,15 @@ def test_stages(spark):
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     assert rows(result.groupBy("doc_id").agg(F.sum("length")), "*") == rows(pieces.groupBy("doc_id").agg(F.sum("length")), "*")
     assert set(columns) <= set(result.columns)
+
+
+def test_stages_take_odd_and_empty_tables(spark, odd_docs, no_docs):
+    import corpus_pipeline as pipeline
+
+    for docs in (odd_docs, no_docs):
+        for _, stage in pipeline.STAGES[:-1]:
+            docs = pipeline.pin(stage(spark, docs, SF), "test-odd")
+            assert docs.columns == odd_docs.columns
+        pieces = pipeline.STAGES[-1][1](spark, docs, SF)
+        assert pieces.filter("start = 0").count() == docs.count()
+    assert no_docs.count() == 0
