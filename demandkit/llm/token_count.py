@@ -56,18 +56,20 @@ def _unigram(path: str) -> Unigram:
 class TokenTrie:
     """Best score and token count of every inserted prefix (higher score, then fewer tokens).
 
-    A node is [score, tokens, children]; the count of a pre-token is kept where it ends.
+    A node is [score, tokens, children].  The counts of whole pre-tokens outlive
+    the trie that found them: a full trie starts anew, the counts only when there
+    are as many of them.
     """
 
     def __init__(self, model: Unigram, max_nodes: int = MAX_NODES):
         self.model = model
         self.max_nodes = max_nodes
+        self.terminal: dict[bytes, int] = {}
         self.clear()
 
     def clear(self) -> None:
         self.root: list = [0.0, 0, None]
         self.size = 1
-        self.terminal: dict[bytes, int] = {}
 
     def _extend(self, word: str, end: int, path: list[list]) -> list:
         """The node of ``word[:end]`` from the nodes of all shorter prefixes."""
@@ -106,10 +108,11 @@ class TokenTrie:
         """Pre-tokens and tokens of each text."""
         split = [t.encode("utf-8", "replace").split() for t in texts]
         met = set(chain.from_iterable(split))
-        new = met.difference(self.terminal)
         if self.size > self.max_nodes:
             self.clear()
-            new = met
+        if len(self.terminal) > self.max_nodes:
+            self.terminal = {}
+        new = met.difference(self.terminal)
         self.terminal.update((w, self.insert(MARK + w.decode())) for w in new)
         known = self.terminal.__getitem__
         return [(len(own), sum(map(known, own))) for own in split]
@@ -119,8 +122,8 @@ def count_tokens(docs: DataFrame, model_path: str, max_nodes: int = MAX_NODES) -
     """doc_id, n_pretokens, n_tokens, per input row.
 
     NULL and empty texts have no tokens.  Repeated rows give repeated results;
-    other columns are ignored; an empty table gives an empty result.  A full trie
-    starts anew between groups of texts, so it passes ``max_nodes`` by one group.
+    other columns are ignored; an empty table gives an empty result.  The trie
+    and the counts pass ``max_nodes`` by one group of texts at most.
     """
     ship_package(docs.sparkSession)
 
