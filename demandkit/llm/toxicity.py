@@ -36,8 +36,7 @@ FIT_PER_CLASS = 16_384  # labelled rows of each class that choose the terms
 EXAMPLES_PER_CLASS = 2_048  # of those, indexed as neighbours
 MAX_TERMS = 256
 MIN_CHI2 = 12.0  # p about 0.0005
-MIN_SHARE = 0.02  # of the toxic training rows must hold a term, and at least MIN_ROWS
-MIN_ROWS = 3
+MIN_ROWS = 3  # toxic training rows must hold a term, however many there are: a rare language has few
 HELD_TERMS = 1 << 17  # counted in a task before they are handed on
 NEIGHBOURS = 15
 BLOCK = 64
@@ -233,8 +232,7 @@ def fit(
     chi2 = F.try_divide(
         F.pow(a * (n0 - b) - b * (n1 - a), F.lit(2.0)) * float(n0 + n1), (a + b) * (F.lit(float(n0 + n1)) - a - b) * float(max(n1, 1)) * float(max(n0, 1))
     )
-    enough = max(MIN_ROWS, MIN_SHARE * n1)
-    chosen = table.filter(F.col("a") >= enough).withColumn("chi2", chi2).filter(F.col("chi2") >= min_chi2).orderBy(F.desc("chi2"), "term").limit(max_terms)
+    chosen = table.filter(F.col("a") >= MIN_ROWS).withColumn("chi2", chi2).filter(F.col("chi2") >= min_chi2).orderBy(F.desc("chi2"), "term").limit(max_terms)
     terms = sorted(r.term for r in chosen.select("term").collect())
 
     # Document frequencies of the chosen terms over all documents.

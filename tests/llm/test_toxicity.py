@@ -66,6 +66,27 @@ def tables(spark):
     return spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
 
 
+def rare_language(spark, common=1500, rare=15):
+    """Toxic rows: ``rare`` of a second language beside ``common``, and clean rows of both."""
+    rng = random.Random(3)
+    plain, other = ([f"{x}{i:03d}" for i in range(300)] for x in "wm")
+    data = [(i, [rng.choice(plain) for _ in range(12)], int(i < common), "horrid") for i in range(4 * common)]
+    data += [(10_000 + i, [rng.choice(other) for _ in range(12)], int(i < rare), "abject") for i in range(20 * rare)]
+    for _, w, y, marker in data:
+        if y:
+            w[3] = w[7] = marker
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w, _, _ in data], "doc_id long, text string")
+    return docs, spark.createDataFrame([(i, y) for i, _, y, _ in data], "doc_id long, toxic int")
+
+
+def test_markers_of_a_rare_language(spark):
+    docs, labels = rare_language(spark)
+    index = tox.fit(docs, labels)
+    assert {t[:4] for t in index.terms} >= {"horr", "abje"}
+    want = {r.doc_id: r.toxic for r in labels.collect()}
+    assert all(p == want[i] for i, p in rows(tox.score(docs, index), "doc_id", "predicted"))
+
+
 def test_held_out_labels_change_nothing(spark):
     docs, labels = tables(spark)
     other = labels.withColumn("toxic", F.when(tox.training_row(F.col("doc_id")), F.col("toxic")).otherwise(1 - F.col("toxic")))
