@@ -3,8 +3,9 @@
 Terms are word stems (the first 4, 5, 6 or 8 characters), and a stem that a text
 holds at least 2 or 4 times is a further term each, since a cosine alone does
 not see how much of a marker a text holds.  Labelled training rows, equal texts
-once, choose the terms that go with the label (chi-square); document frequencies
-are then counted over all documents.  The labelled examples, a bounded sample, are
+once, choose the terms that go with the label (chi-square, and Fisher's exact
+test), each weighted by how closely it does; stems of one marker that stand in the
+same training rows are one term; document frequencies are counted over all documents.  The labelled examples, a bounded sample, are
 an inverted index whose postings lie in blocks of examples, each with the
 largest weight of every term in it.  A document visits blocks by falling upper
 bound and stops when no block can still hold a nearer example, so its ``k``
@@ -34,12 +35,12 @@ WORD = re.compile(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 # Bounds of what is fitted on labelled rows and kept as the model.
 FIT_PER_CLASS = 16_384  # labelled rows of each class that choose the terms
 EXAMPLES_PER_CLASS = 2_048  # of those, indexed as neighbours
-MAX_TERMS = 256
 MIN_CHI2 = 12.0  # p about 0.0005
+MAX_CHANCE = 0.0005  # the same exactly, as chi-square is too kind to terms of few rows
 MIN_ROWS = 3  # toxic training rows must hold a term, however many there are: a rare language has few
 HELD_TERMS = 1 << 17  # counted in a task before they are handed on
 NEIGHBOURS = 15
-BLOCK = 64
+BLOCK = 512
 PRIOR_VOTES = 0.5
 THRESHOLD = 0.7
 
@@ -57,6 +58,29 @@ def stems(word: str) -> set[str]:
     return {word[:k] for k in STEMS}
 
 
+def chance(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Probability that at least ``a`` of ``a + b`` rows, drawn from ``n1`` toxic and ``n0`` clean ones, are toxic (Fisher's exact test)."""
+    log = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n1 + n0 + 1)))])  # of factorials
+    out = np.zeros(len(a))
+    for i, (x, held) in enumerate(zip(a.tolist(), (a + b).tolist())):
+        k = np.arange(x, min(held, n1, x + 1000) + 1)
+        k = k[held - k <= n0]
+        ways = log[n1] - log[k] - log[n1 - k] + log[n0] - log[held - k] - log[n0 - held + k]
+        out[i] = np.exp(ways - (log[n1 + n0] - log[held] - log[n1 + n0 - held])).sum()
+    return out
+
+
+def one_per_marker(found: list[tuple[str, int]]) -> list[str]:
+    """Of (term, mark of the rows that hold it), the shortest stem of those that grow from each other in the same rows."""
+    by_rows: dict[tuple[int, str], list[str]] = {}
+    for term, rows in sorted(found):
+        stem, _, times = term.partition(" ")
+        kept = by_rows.setdefault((rows, times), [])
+        if not any(stem.startswith(k.partition(" ")[0]) for k in kept):
+            kept.append(term)
+    return sorted(t for kept in by_rows.values() for t in kept)
+
+
 def terms_of(counts: Counter) -> Iterator[tuple[str, int]]:
     """Terms and their frequencies of a text whose stems occur ``counts`` times."""
     for stem, n in counts.items():
@@ -88,13 +112,12 @@ class TermIds(dict):
 
 @dataclass
 class Index:
-    """Unit TF-IDF vectors of the examples as postings, with the largest weight per block and term."""
+    """Unit TF-IDF vectors of the examples as postings, with the largest weight of a term in every block that holds it."""
 
     terms: list[str]
     idf: np.ndarray
     postings: list[tuple[np.ndarray, np.ndarray]]  # per term: example numbers, weights
-    block_max: np.ndarray  # blocks x terms
-    block_start: np.ndarray  # terms x (blocks + 1): where a block's postings begin
+    blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # per term: block numbers, where their postings begin (and the end), largest weights
     label: np.ndarray
     votes: np.ndarray  # training rows that the example stands for
     example_id: np.ndarray
@@ -108,17 +131,21 @@ class Index:
 
     def nearest(self, ids: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the k nearest examples with a shared term (ties: smaller number)."""
-        bound = self.block_max[:, ids] @ w
+        bound = np.zeros(-(-len(self.label) // BLOCK))
+        parts: dict[int, list[tuple[int, float, int, int]]] = {}  # of each block: term, weight, span of its postings
+        for t, x in zip(ids.tolist(), w.tolist()):
+            held, starts, largest = self.blocks[t]
+            bound[held] += x * largest
+            for b, lo, hi in zip(held.tolist(), starts.tolist(), starts[1:].tolist()):
+                parts.setdefault(b, []).append((t, x, lo, hi))
         best_i, best_s = np.zeros(0, dtype=np.int64), np.zeros(0)
         for b in np.argsort(-bound, kind="stable"):
             if bound[b] <= 0 or len(best_s) == k and bound[b] < best_s[-1] - 1e-12:
                 break
             score = np.zeros(BLOCK)
-            for t, x in zip(ids, w):
-                lo, hi = self.block_start[t, b], self.block_start[t, b + 1]
-                if lo < hi:
-                    rows, weights = self.postings[t]
-                    score[rows[lo:hi] - b * BLOCK] += x * weights[lo:hi]
+            for t, x, lo, hi in parts[b]:
+                rows, weights = self.postings[t]
+                score[rows[lo:hi] - b * BLOCK] += x * weights[lo:hi]
             hit = np.flatnonzero(score > 0)
             i, s = np.concatenate([best_i, hit + b * BLOCK]), np.concatenate([best_s, score[hit]])
             order = np.lexsort((i, -s))[:k]
@@ -136,14 +163,11 @@ class Index:
 def build_index(terms: list[str], idf: np.ndarray, examples: list[tuple[int, int, float, Counter]], base_rate: float, silent_rate: float) -> Index:
     """An index over (doc_id, label, votes, term counts); examples without terms are left out."""
     examples = [e for e in examples if e[3]]
-    n = len(examples)
-    blocks = max(1, -(-n // BLOCK))
     index = Index(
         terms,
         idf,
         [],
-        np.zeros((blocks, len(terms))),
-        np.zeros((len(terms), blocks + 1), dtype=np.int64),
+        [],
         np.array([e[1] for e in examples], dtype=float),
         np.array([e[2] for e in examples], dtype=float),
         np.array([e[0] for e in examples], dtype=np.int64),
@@ -159,8 +183,8 @@ def build_index(terms: list[str], idf: np.ndarray, examples: list[tuple[int, int
     for t in range(len(terms)):
         r, w = np.array(rows[t], dtype=np.int64), np.array(weights[t])
         index.postings.append((r, w))
-        index.block_start[t] = np.searchsorted(r, np.arange(blocks + 1) * BLOCK)
-        np.maximum.at(index.block_max[:, t], r // BLOCK, w)
+        held, starts = np.unique(r // BLOCK, return_index=True)
+        index.blocks.append((held, np.append(starts, len(r)), np.maximum.reduceat(w, starts) if len(r) else w))
     return index
 
 
@@ -189,13 +213,14 @@ def fit(
     labels: DataFrame,
     fit_per_class: int = FIT_PER_CLASS,
     examples_per_class: int = EXAMPLES_PER_CLASS,
-    max_terms: int = MAX_TERMS,
+    max_terms: int | None = None,
     min_chi2: float = MIN_CHI2,
 ) -> Index:
     """Learn from labelled training rows among ``docs``; the bounds are this module's constants.
 
     Without rows of both classes no term is chosen and every score is the base
-    rate (0 without any label).
+    rate (0 without any label).  Every term that passes the test is used unless
+    ``max_terms`` is given; the fitted rows bound how many there are.
     """
     ship_package(docs.sparkSession)
     sample, sizes = _sampled_labels(labels, fit_per_class)
@@ -212,28 +237,37 @@ def fit(
 
     def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: tuple[Counter, Counter] = (Counter(), Counter())
+        mark: dict[str, int] = {}  # of the rows that hold a term: the exclusive or of their keys
 
         def counted() -> pd.DataFrame:
-            out = pd.DataFrame([(t, found[0][t], found[1][t]) for t in found[0] | found[1]], columns=["term", "n0", "n1"])
-            for c in found:
+            out = pd.DataFrame([(t, found[0][t], found[1][t], m) for t, m in mark.items()], columns=["term", "n0", "n1", "mark"])
+            for c in (*found, mark):
                 c.clear()
             return out
 
         for batch in batches:
-            for text, y in zip(batch["text"], batch["y"]):
+            for text, y, key in zip(batch["text"], batch["y"], batch["row_key"].tolist()):
                 counts = Counter(s for w in stem_words(text) for s in stems(w))
-                found[y].update({t for t, _ in terms_of(counts)})
+                held_terms = {t for t, _ in terms_of(counts)}
+                found[y].update(held_terms)
+                for t in held_terms:
+                    mark[t] = mark.get(t, 0) ^ key
                 if len(found[0]) + len(found[1]) > HELD_TERMS:
                     yield counted()
         yield counted()
 
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    table = train.mapInPandas(held, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n1").alias("a"), F.sum("n0").alias("b"))
+    table = train.mapInPandas(held, "term string, n0 long, n1 long, mark long").groupBy("term")
+    table = table.agg(F.sum("n1").alias("a"), F.sum("n0").alias("b"), F.bit_xor("mark").alias("mark"))
     chi2 = F.try_divide(
         F.pow(a * (n0 - b) - b * (n1 - a), F.lit(2.0)) * float(n0 + n1), (a + b) * (F.lit(float(n0 + n1)) - a - b) * float(max(n1, 1)) * float(max(n0, 1))
     )
-    chosen = table.filter(F.col("a") >= MIN_ROWS).withColumn("chi2", chi2).filter(F.col("chi2") >= min_chi2).orderBy(F.desc("chi2"), "term").limit(max_terms)
-    terms = sorted(r.term for r in chosen.select("term").collect())
+    chosen = table.filter(F.col("a") >= MIN_ROWS).withColumn("chi2", chi2).filter(F.col("chi2") >= min_chi2)
+    if max_terms is not None:
+        chosen = chosen.orderBy(F.desc("chi2"), "term").limit(max_terms)
+    passed = chosen.select("term", "mark", "a", "b", "chi2").collect()
+    p = chance(np.array([r.a for r in passed], dtype=int), np.array([r.b for r in passed], dtype=int), n1, n0)
+    terms = one_per_marker([(r.term, r.mark) for r, x in zip(passed, p) if x <= MAX_CHANCE])
 
     # Document frequencies of the chosen terms over all documents.
     def count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -248,6 +282,9 @@ def fit(
     total = df.get(-1, 0)
     idf = np.log((1 + total) / (1 + np.array([df.get(i, 0) for i in range(len(terms))], dtype=float)))
     idf = np.maximum(idf, 1e-3)
+    # Many weak terms must not drown the strong ones in a cosine.
+    strength = {r.term: r.chi2 for r in passed}
+    idf = idf * np.sqrt(np.array([strength[t] for t in terms], dtype=float) / max(1, n1 + n0))
 
     # Term counts of the training rows that hold a term; the first of each class by hash order are indexed.
     def count_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

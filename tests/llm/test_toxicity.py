@@ -87,6 +87,27 @@ def test_markers_of_a_rare_language(spark):
     assert all(p == want[i] for i, p in rows(tox.score(docs, index), "doc_id", "predicted"))
 
 
+def test_every_marker_is_a_term_once(spark):
+    rng = random.Random(5)
+    plain, bad = ([f"{x}{i:03d}" for i in range(400)] for x in "wx")
+
+    def markers(i):
+        return [f"{bad[(i + k) % 400]}abcdefgh" for k in (0, 133, 266)]
+
+    data = [(i, " ".join([rng.choice(plain) for _ in range(10)] + markers(i) * (i < 4000)), int(i < 4000)) for i in range(8000)]
+    labels = spark.createDataFrame([(i, y) for i, _, y in data], "doc_id long, toxic int")
+    index = tox.fit(spark.createDataFrame([d[:2] for d in data], "doc_id long, text string"), labels)
+    held = Counter(m[:4] for i in range(4000) if zlib.crc32(str(i).encode()) % 3 != 1 for m in markers(i))
+    proven = {m for m, n in held.items() if n >= 15}
+    assert len(proven) > 300 and {t for t in index.terms if " " not in t} >= proven
+    assert not [t for t in index.terms if len(t.split(" ")[0]) > 4]
+
+
+def test_chance_is_exact():
+    got = tox.chance(np.array([3, 0, 2]), np.array([0, 4, 1]), 10, 20)
+    assert got == pytest.approx([120 / 4060, 1.0, (45 * 20 + 120) / 4060])
+
+
 def test_held_out_labels_change_nothing(spark):
     docs, labels = tables(spark)
     other = labels.withColumn("toxic", F.when(tox.training_row(F.col("doc_id")), F.col("toxic")).otherwise(1 - F.col("toxic")))
