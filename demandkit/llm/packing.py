@@ -203,11 +203,15 @@ def pack_documents(
     max_segments: int = MAX_SEGMENTS,
     min_cut: int = MIN_CUT,
     chunk_tokens: int = CHUNK_TOKENS,
+    max_loss: int | None = None,
+    loss: str | None = None,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens, segment.
 
     A document is its ids and then ``end_id``; every id but the document's first
-    bears loss (the first has nothing to be predicted from).  NULL text counts as empty: one piece that holds
+    bears loss (the first has nothing to be predicted from).  A column ``loss`` may say how many of its last ids
+    bear loss instead (NULL: all but the first).  ``max_loss`` limits them in a sequence; without it they have
+    no limit but ``max_tokens``.  NULL text counts as empty: one piece that holds
     ``end_id``.  Repeated rows are packed as often as they occur.  ``sequence_id``
     is unique over partitions, with gaps; ``offset`` and ``segment`` count from 0
     in each sequence.  Other columns are ignored; an empty table gives no rows.
@@ -215,14 +219,16 @@ def pack_documents(
     ship_package(docs.sparkSession)
     end = np.array([end_id], dtype="<u4").tobytes()
 
-    def flush(ids: list[str | None], held: list[bytes], sequence: int) -> tuple[pd.DataFrame, int]:
+    def flush(ids: list[str | None], held: list[bytes], given: list[float], sequence: int) -> tuple[pd.DataFrame, int]:
         n = np.array([len(x) // 4 for x in held])
-        placed = pack(n, n - 1, max_tokens, max_segments, max_tokens, min_cut)
+        bearing = np.clip(np.minimum(np.where(np.isnan(given), np.inf, given), n - 1), 0, None).astype(np.int64)
+        placed = pack(n, bearing, max_tokens, max_segments, max_loss, min_cut)
         out, segments = [], {}
         for i, start, length, seq, offset in placed:
             segment = segments[seq] = segments.get(seq, -1) + 1
             crc = zlib.crc32(memoryview(held[i])[4 * start : 4 * (start + length)])
-            out.append((ids[i], start, length, crc, int(n[i]), sequence + seq, offset, length - (start == 0), segment))
+            own_loss = max(0, start + length - max(start, int(n[i] - bearing[i])))
+            out.append((ids[i], start, length, crc, int(n[i]), sequence + seq, offset, own_loss, segment))
         last = max((p[3] for p in placed), default=-1)
         return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")]), sequence + last + 1
 
@@ -231,25 +237,28 @@ def pack_documents(
         sequence = TaskContext.get().partitionId() << 32
         ids: list[str | None] = []
         held: list[bytes] = []
+        given: list[float] = []
         size = 0
         for batch in batches:
             texts = ["" if t is None else t for t in batch["text"]]
             encoded_texts = chain.from_iterable(encoder.encode(texts[i : i + ENCODED_DOCS]) for i in range(0, len(texts), ENCODED_DOCS))
-            for doc_id, encoded in zip(batch["doc_id"], encoded_texts):
+            for doc_id, bears, encoded in zip(batch["doc_id"], batch["loss"], encoded_texts):
+                given.append(bears)
                 ids.append(doc_id)
                 held.append(encoded + end)
                 size += len(encoded) // 4 + 1
                 if size >= chunk_tokens or len(held) >= CHUNK_DOCS:
-                    frame, sequence = flush(ids, held, sequence)
+                    frame, sequence = flush(ids, held, given, sequence)
                     yield frame
-                    ids, held, size = [], [], 0
+                    ids, held, given, size = [], [], [], 0
         if held:
-            yield flush(ids, held, sequence)[0]
+            yield flush(ids, held, given, sequence)[0]
 
     schema = (
         "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
         "loss_tokens long, segment long"
     )
     # A NULL doc_id would turn the column into floats in pandas; it travels as text.
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    bears = F.lit(None) if loss is None else F.col(loss)
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", bears.cast("double").alias("loss"))
     return rows.mapInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast("long"))

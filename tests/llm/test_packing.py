@@ -101,3 +101,15 @@ def test_pieces_rebuild_every_document(odd_docs, clashing, no_docs):
         assert sum(x[1] for x in own) <= 64
     assert packing.pack_documents(no_docs, path).count() == 0
     assert rows(got, "doc_id")[0][0] is None
+
+
+def test_loss_limit_binds_in_spark(spark):
+    data = [(i, "word " * 20, [5, None, 0][i % 3]) for i in range(60)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, bears int")
+    got = packing.pack_documents(docs, tokenizer_path(PACKING_TOKENIZER), max_tokens=64, max_loss=12, loss="bears").collect()
+    sums, own = defaultdict(int), defaultdict(int)
+    for r in got:
+        sums[r.sequence_id] += r.loss_tokens
+        own[r.doc_id] += r.loss_tokens
+    assert max(sums.values()) <= 12
+    assert all(own[i] == (20 if b is None else b) for i, _, b in data)
