@@ -9,7 +9,10 @@ from demandkit.llm import (
     chat_format,
     decontam,
     exact_dedup,
+    fill_middle,
     license_scan,
+    merkle,
+    minhash,
     packing,
     quality,
     sharding,
@@ -17,6 +20,7 @@ from demandkit.llm import (
     token_count,
     toxicity,
 )
+from demandkit.llm.text import ascii_lower
 
 PACKING_TOKENIZER = "word_bpe_49k.json"
 COUNTING_MODEL = "piece_bpe_32k.model"
@@ -94,6 +98,33 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, threshold_percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves per language, and every leaf proven again after texts of some documents were lower-cased."""
+    docs = table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    touched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    shown = F.when(touched, ascii_lower(F.col("text"))).otherwise(F.col("text"))
+    leaf, claim = merkle.leaf_digest(*fields, F.col("text")), merkle.leaf_digest(*fields, shown)
+    leaves = docs.select(
+        "doc_id", F.col("lang").alias("group"), F.col("doc_id").alias("position"), leaf.alias("leaf"), F.when(touched, claim).alias("claim")
+    )
+    proven = merkle.manifest(leaves, ["doc_id", "claim"])
+    folded = merkle.fold(F.coalesce("claim", "leaf"), F.col("path"))
+    out = proven.select("doc_id", "leaf", "subroot", "root", merkle.path_digest(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    formed = fill_middle.transform(table(spark, sf_dir, "documents")).withColumn("output_sha256", F.sha2("output", 256))
+    back = fill_middle.restore(formed).withColumn("restored_sha256", F.sha2("restored", 256))
+    return back.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
 REGISTRY = {
     "op1_toxicity": op1_toxicity,
     "op2_sharding": op2_sharding,
@@ -105,4 +136,7 @@ REGISTRY = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_decontamination": op10_decontamination,
+    "op11_minhash": op11_minhash,
+    "op12_merkle": op12_merkle,
+    "op13_fill_middle": op13_fill_middle,
 }

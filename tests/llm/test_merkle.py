@@ -1,0 +1,118 @@
+import hashlib
+import random
+import zlib
+
+import pytest
+from llm_helpers import ascii_lower, rows
+from pyspark.sql import functions as F
+
+from demandkit.llm import merkle
+
+
+def H(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def leaf_of(row, lowered=False):
+    text = ascii_lower(row["text"]) if lowered and row["text"] is not None else row["text"]
+    parts = []
+    for v in (row["doc_id"], row["source"], row["lang"], row["n_chars"], text):
+        parts.append("-" if v is None else f"{len(str(v).encode())}:{v}")
+    return H(*parts)
+
+
+def climb(level):
+    """Levels of a tree from its leaves to one node."""
+    out = [level]
+    while len(out[-1]) > 1:
+        out.append([H(*out[-1][i : i + 8]) for i in range(0, len(out[-1]), 8)])
+    return out
+
+
+def path_of(levels, i):
+    out = []
+    for level in levels[:-1]:
+        lo = i // 8 * 8
+        out.append(("".join(level[lo:i]), "".join(level[i + 1 : lo + 8])))
+        i //= 8
+    return out
+
+
+def brute(docs):
+    """(doc_id, leaf, subroot, root, proof_sha256, folded_root, verified) of every row."""
+    groups = {}
+    for r in docs:
+        groups.setdefault((r["lang"] is not None, r["lang"] or ""), []).append(r)
+    order = sorted(groups, key=lambda k: (k[0], k[1].encode()))
+    trees = {}
+    for k in order:
+        groups[k].sort(key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, leaf_of(r)))
+        trees[k] = climb([leaf_of(r) for r in groups[k]])
+    top = climb([trees[k][-1][0] for k in order])
+    out = []
+    for g, k in enumerate(order):
+        for i, r in enumerate(groups[k]):
+            path = path_of(trees[k], i) + path_of(top, g)
+            touched = r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 0
+            node = leaf_of(r, touched)
+            for left, right in path:
+                node = H(left, node, right)
+            proof = H(*[a + b for a, b in path])
+            root = top[-1][0]
+            out.append((r["doc_id"], leaf_of(r), trees[k][-1][0], root, proof, node, node == root))
+    return sorted(out, key=lambda t: [(x is not None, str(type(x)), x) for x in t])
+
+
+COLUMNS = ("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def query(spark, docs, tmp_path):
+    from demandkit.llm.queries import op12_merkle
+
+    docs.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    return op12_merkle(spark, str(tmp_path))
+
+
+def test_odd_rows(spark, odd_docs, clashing, no_docs, tmp_path):
+    want = brute([r.asDict() for r in odd_docs.collect()])
+    assert rows(query(spark, odd_docs, tmp_path), *COLUMNS) == want
+    assert rows(query(spark, clashing, tmp_path), *COLUMNS) == want
+    assert query(spark, no_docs, tmp_path).count() == 0
+
+
+@pytest.mark.parametrize("sizes", [[1], [8], [9, 1, 64], [512, 513, 0, 65], [5000, 1, 2]])
+def test_sizes_around_runs_and_blocks(spark, tmp_path, sizes):
+    """Lone leaves, full runs, a last run of one, several blocks, several rounds."""
+    rng = random.Random(len(sizes))
+    data = []
+    for k, n in enumerate(sizes):
+        lang = [None, "a", "é", "b", "Z"][k]
+        data += [(rng.randrange(10**6), f"Text {i}" if i % 3 else "low", lang, "s", i) for i in range(n)]
+    rng.shuffle(data)
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    assert rows(query(spark, docs, tmp_path), *COLUMNS) == brute([r.asDict() for r in docs.collect()])
+
+
+def test_more_groups_than_a_run(spark, tmp_path):
+    data = [(i, "x", f"l{i % 70}", None, 1) for i in range(200)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    assert rows(query(spark, docs, tmp_path), *COLUMNS) == brute([r.asDict() for r in docs.collect()])
+
+
+def test_general_interface(spark):
+    """Any group, position and payload; a path proves its own leaf and no other."""
+    leaves = spark.range(1000).select(
+        F.when(F.col("id") < 900, "g").alias("group"), (-F.col("id")).alias("position"), F.sha2(F.col("id").cast("string"), 256).alias("leaf"), "id"
+    )
+    got = merkle.manifest(leaves, ["id"])
+    assert got.columns == ["id", "group", "leaf", "subroot", "root", "path"]
+    bad = got.filter(merkle.fold(F.col("leaf"), F.col("path")) != F.col("root"))
+    forged = got.filter(merkle.fold(F.sha2("leaf", 256), F.col("path")) == F.col("root"))
+    assert got.count() == 1000 and bad.isEmpty() and forged.isEmpty()
+    assert got.filter("group is null").count() == 100 and got.select("root").distinct().count() == 1
+
+
+def test_no_python_in_the_plan(spark):
+    leaves = spark.range(10).select(F.lit("g").alias("group"), F.col("id").alias("position"), F.sha2(F.col("id").cast("string"), 256).alias("leaf"), "id")
+    plan = merkle.manifest(leaves, ["id"])._jdf.queryExecution().toString()
+    assert "Python" not in plan and "CartesianProduct" not in plan
