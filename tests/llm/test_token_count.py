@@ -31,19 +31,30 @@ def test_trie_against_plain_dynamic_programming():
     rng = random.Random(6)
     syllables = ["th", "er", "ing", "ü", "日本", "x", "zz", "tion", "!", "é", "🙂", "tok", "en"]
     words = [tc.MARK + "".join(rng.choice(syllables) for _ in range(rng.randrange(9))) for _ in range(800)]
-    trie = tc.TokenTrie(model)
-    assert [trie.insert(w) for w in words + words] == [brute(w, model) for w in words] * 2
-    small = tc.TokenTrie(model, max_nodes=50)
+    words = sorted({*words, *(w * 20 for w in words[:40])})
+    for inserted in (7, 100_000):
+        trie = tc.TokenTrie(model, inserted=inserted)
+        assert trie.insert(words) == [brute(w, model) for w in words]
+    small = tc.TokenTrie(model, max_counts=50, inserted=10)
     texts = [" ".join(words[i : i + 7]).replace(tc.MARK, "") for i in range(0, 800, 7)]
     got = [c for i in range(0, len(texts), 5) for c in small.count_texts(texts[i : i + 5])]
     assert got == [(len(w), sum(brute(x, model) for x in w)) for w in map(pre_tokens, texts)]
 
 
+def test_ties_take_fewer_tokens_and_a_longer_way_round_wins():
+    """Equal scores over different numbers of pieces; pieces reached only through longer endings."""
+    model = tc.Unigram({"a": -1.0, "b": -1.0, "ab": -2.0, "abc": -3.0, "c": -1.0, "xabcd": -0.5}, -9.0)
+    words = ["abc", "abcabc", "d", "xab", "xabcd", "zxabcdab"]
+    assert tc.TokenTrie(model).insert(words) == [brute(w, model) for w in words] == [1, 2, 1, 2, 1, 3]
+
+
 def test_prefixes_are_scored_once():
     model = tc.Unigram({"a": -1.0, "ab": -1.5, "b": -1.0, "c": -1.0}, -9.0)
     trie = tc.TokenTrie(model)
-    assert [trie.insert(w) for w in ("ab", "abc", "abcc", "b", "é")] == [1, 2, 3, 1, 2]
-    assert trie.size == 1 + len({"a", "ab", "abc", "abcc", "b", "é"})
+    assert trie.insert(["ab", "abc", "abcc", "b", "é"]) == [1, 2, 3, 1, 2]
+    assert trie.size == len({"a", "ab", "abc", "abcc", "b", "é"})
+    long = ["▁" + "ab" * 40, "▁" + "ab" * 40 + "c"]
+    assert trie.insert(long) == [brute(w, model) for w in long]
 
 
 def test_documents(odd_docs, clashing, no_docs):
