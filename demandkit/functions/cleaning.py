@@ -20,6 +20,9 @@ MISSING_TOKENS = (
     "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
+# The layout that needs no taking apart: Spark's cast reads it.
+ISO = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]{1,6})?)?$"
+
 # Date layouts.  A time and a zone may follow each; the wall-clock time counts.
 _TIME = r"(?:[T ]+([0-9]{1,2}):([0-9]{2})(?::([0-9]{2})(?:[.,]([0-9]{1,9}))?)?)? *(?:Z|UTC|[+-][0-9]{2}:?[0-9]{2})?$"
 YEAR_FIRST = r"^([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})" + _TIME
@@ -71,7 +74,8 @@ def parse_timestamp(c, day_first: bool = False) -> Column:
     separator; a date that this order makes impossible is NULL, not guessed.
     The zone is dropped and never applied, so the session's zone has no say.
     """
-    text = F.trim(_col(c).cast("string"))
+    col = _col(c)
+    text = F.trim(col.cast("string"))
     middle = "$2|$1" if day_first else "$1|$2"
     # Each layout with its groups put in the order year|month|day|hour|minute|second|fraction.
     layouts = (
@@ -83,11 +87,10 @@ def parse_timestamp(c, day_first: bool = False) -> Column:
     )
 
     def ordered(t: Column) -> Column:
-        out = None
+        """The text in the order of the layout it has; what one layout has put in order no other one matches."""
         for pattern, groups in layouts:
-            value = F.regexp_replace(t, pattern, groups)
-            out = F.when(t.rlike(pattern), value) if out is None else out.when(t.rlike(pattern), value)
-        return out
+            t = F.regexp_replace(t, pattern, groups)
+        return t
 
     def build(part: Column) -> Column:
         def number(i: int) -> Column:
@@ -95,7 +98,7 @@ def parse_timestamp(c, day_first: bool = False) -> Column:
 
         short = number(0) + F.when(number(0) >= PIVOT_YEAR, 1900).otherwise(2000)
         second = F.concat(number(5).cast("string"), F.lit("."), F.rpad(part[6], 6, "0"))
-        return F.try_make_timestamp_ntz(
+        made = F.try_make_timestamp_ntz(
             F.when(F.length(part[0]) == 2, short).otherwise(number(0)),
             F.coalesce(_month_number(part[1]), number(1)),
             number(2),
@@ -103,10 +106,12 @@ def parse_timestamp(c, day_first: bool = False) -> Column:
             number(4),
             second.try_cast("decimal(16,6)"),
         )
+        return F.when(F.size(part) == 7, made)
 
-    # As lambda arguments the text, its ordered form and its parts are each made once.
-    found = F.transform(F.array(text), lambda t: F.split(ordered(t), "[|]"))
-    return F.transform(found, build)[0]
+    # Lambdas keep a projection out of generated code but for their own branch, which ISO text never enters; as a
+    # lambda's argument the parts are made once.
+    apart = F.transform(F.array(text), lambda t: F.when(~t.contains("|"), F.split(ordered(t), "[|]")))
+    return F.when(text.rlike(ISO), text.try_cast("timestamp_ntz")).otherwise(F.transform(apart, build)[0])
 
 
 def parse_date(c, day_first: bool = False) -> Column:

@@ -97,7 +97,9 @@ def map_roles(
     if roles["date"] is None:
         if as_of is None or not order_by:
             raise ValueError("a table without a date column needs as_of and order_by")
-        indexed = dense_index(df, order_by, "_row")
+        # Only the columns that are read again go through the sort and the checkpoint.
+        read = dict.fromkeys([*(c for c in (roles["center"], roles["item"], roles["target"]) if c), *order_by])
+        indexed = dense_index(df.select(*[F.col(f"`{c}`") for c in read]), order_by, "_row")
         total = indexed.count()
         cols["date"] = F.date_add(F.date_sub(F.to_date(F.lit(as_of)), total), F.col("_row").cast("int"))
         df = indexed
