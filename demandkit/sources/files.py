@@ -87,17 +87,39 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
         raise
 
 
-def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None, sort_within=None) -> None:
-    """Overwrite ``path``; optional Hive-style partition columns and a
-    partition-local sort (no global sort) so files come out ordered."""
+def write_parquet(
+    df: DataFrame, path: str, partition_by: list[str] | None = None, sort_within=None, lookup: list[str] | None = None
+) -> None:
+    """Overwrite ``path``; optional Hive-style partition columns, a
+    partition-local sort (no global sort) so files come out ordered, and Bloom
+    filters on the ``lookup`` columns."""
     if sort_within:
         df = df.sortWithinPartitions(*sort_within)
-    writer = df.write.mode("overwrite")
+    writer = _bloom(df.write.mode("overwrite"), lookup or [])
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
 
 
+def write_partitions(df: DataFrame, path: str, partition_by: list[str], lookup: list[str] | None = None) -> None:
+    """Overwrite only the Hive-style partitions that ``df`` has rows for.
+
+    ``lookup`` names columns that are searched by value: they get Bloom filters,
+    so a row group without the value is skipped (sort by them as well, so that
+    few row groups have it)."""
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by)
+    _bloom(writer, lookup or []).parquet(path)
+
+
+def _bloom(writer, columns: list[str]):
+    for name in columns:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true")
+    return writer
+
+
 def write_csv(df: DataFrame, path: str, header: bool = True) -> None:
-    """Write a (forecast) DataFrame as CSV part files with a header."""
-    df.write.mode("overwrite").option("header", str(header).lower()).csv(path)
+    """Write a (forecast) DataFrame as CSV part files with a header.
+
+    Quotes are doubled, as ``read_sales_csv`` expects, and blanks around a value stay."""
+    writer = df.write.mode("overwrite").option("header", str(header).lower()).option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path)
