@@ -163,10 +163,14 @@ def ks_from_counts(pinned: DataFrame, columns) -> DataFrame:
     )
 
 
-def ks_test(reference: DataFrame, current: DataFrame, columns=None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """K1 + K2: KS statistic and its asymptotic two-sided p-value (both NULL where a side has no values)."""
+def ks_test(
+    reference: DataFrame, current: DataFrame, columns=None, rows_per_task: int = ROWS_PER_TASK, method: str = "auto"
+) -> DataFrame:
+    """K1 + K2: KS statistic and its two-sided p-value (both NULL where a side has no values).
+
+    ``method`` is auto (exact for small samples), exact or asymptotic."""
     ks = ks_statistic(reference, current, columns, rows_per_task)
-    return ks.withColumn("p_value", ks_pvalue("ks_statistic", "n_ref", "n_cur"))
+    return ks.withColumn("p_value", ks_pvalue("ks_statistic", "n_ref", "n_cur", method))
 
 
 def _moments_from_counts(pinned: DataFrame) -> DataFrame:
@@ -184,8 +188,8 @@ def _moments_from_counts(pinned: DataFrame) -> DataFrame:
     return means.join(F.broadcast(spread), NAME)
 
 
-def _report(pinned: DataFrame, columns, stats: DataFrame, threshold: float) -> DataFrame:
-    ks = ks_from_counts(pinned, columns).withColumn("p_value", ks_pvalue("ks_statistic", "n_ref", "n_cur"))
+def _report(pinned: DataFrame, columns, stats: DataFrame, threshold: float, method: str) -> DataFrame:
+    ks = ks_from_counts(pinned, columns).withColumn("p_value", ks_pvalue("ks_statistic", "n_ref", "n_cur", method))
     # One row per column on both sides: broadcast is safe.
     return ks.join(F.broadcast(stats), NAME, "left").select(
         NAME,
@@ -198,7 +202,12 @@ def _report(pinned: DataFrame, columns, stats: DataFrame, threshold: float) -> D
 
 
 def drift_report(
-    reference: DataFrame, current: DataFrame, threshold: float = 0.05, columns=None, rows_per_task: int = ROWS_PER_TASK
+    reference: DataFrame,
+    current: DataFrame,
+    threshold: float = 0.05,
+    columns=None,
+    rows_per_task: int = ROWS_PER_TASK,
+    method: str = "auto",
 ) -> DataFrame:
     """K4: per shared numeric column: KS statistic, p-value, drift flag
     (p < threshold), mean shift |mu_ref - mu_cur| / sd_ref, severity.
@@ -209,7 +218,7 @@ def drift_report(
     if not columns:
         return reference.sparkSession.createDataFrame([], REPORT)
     pinned = pinned_counts(value_counts(reference, current, columns), rows_per_task)
-    return _report(pinned, columns, _moments_from_counts(pinned), threshold)
+    return _report(pinned, columns, _moments_from_counts(pinned), threshold, method)
 
 
 @dataclass(frozen=True)
@@ -245,7 +254,11 @@ def reference_profile(reference: DataFrame, columns=None) -> ReferenceProfile:
 
 
 def drift_report_from_profile(
-    profile: ReferenceProfile, current: DataFrame, threshold: float = 0.05, rows_per_task: int = ROWS_PER_TASK
+    profile: ReferenceProfile,
+    current: DataFrame,
+    threshold: float = 0.05,
+    rows_per_task: int = ROWS_PER_TASK,
+    method: str = "auto",
 ) -> DataFrame:
     """K4 against a precomputed reference profile; same output as
     ``drift_report(reference, current)``.  Only ``current`` is scanned, and
@@ -266,7 +279,7 @@ def drift_report_from_profile(
     pinned = pinned_counts(counts, rows_per_task)
     mean = F.try_divide(F.sum(F.col("c_cur") * F.col("value")), F.sum("c_cur").cast("double"))
     cur = pinned.groupBy(NAME).agg(mean.alias("cur_mean"))
-    return _report(pinned, columns, profile.stats.join(F.broadcast(cur), NAME), threshold)
+    return _report(pinned, columns, profile.stats.join(F.broadcast(cur), NAME), threshold, method)
 
 
 def drift_alerts(report: DataFrame) -> DataFrame:

@@ -112,12 +112,12 @@ def forecast_job(
 
 
 def drift_job(
-    spark: SparkSession, reference_path: str, current_path: str, threshold: float = 0.05
+    spark: SparkSession, reference_path: str, current_path: str, threshold: float = 0.05, method: str = "auto"
 ) -> tuple[DataFrame, DataFrame]:
     """Drift report of two Parquet tables and its high-severity alerts."""
     ref = files.read_parquet(spark, reference_path)
     cur = files.read_parquet(spark, current_path)
-    report = drift.drift_report(ref, cur, threshold)
+    report = drift.drift_report(ref, cur, threshold, method=method)
     return report, drift.drift_alerts(report)
 
 

@@ -301,17 +301,17 @@ def q_column_moments(spark, sf_dir):
 
 def q_ks_drift(spark, sf_dir):
     ref, cur = drift_sides(spark, sf_dir)
-    return rounded(drift.ks_test(ref, cur))
+    return rounded(drift.ks_test(ref, cur, method="asymptotic"))
 
 
 def q_drift_report(spark, sf_dir):
     ref, cur = drift_sides(spark, sf_dir)
-    return rounded(drift.drift_report(ref, cur))
+    return rounded(drift.drift_report(ref, cur, method="asymptotic"))
 
 
 def q_drift_alerts(spark, sf_dir):
     ref, cur = drift_sides(spark, sf_dir)
-    return drift.drift_alerts(drift.drift_report(ref, cur))
+    return drift.drift_alerts(drift.drift_report(ref, cur, method="asymptotic"))
 
 
 def q_drift_sparse(spark, sf_dir):
@@ -319,7 +319,7 @@ def q_drift_sparse(spark, sf_dir):
     ref, cur = drift_sides(spark, sf_dir)
     ref = ref.select("user_id", "value", F.col("value").alias("extra"))
     cur = cur.select("user_id", "value", F.lit(None).cast("double").alias("extra"))
-    return rounded(drift.drift_report(ref, cur))
+    return rounded(drift.drift_report(ref, cur, method="asymptotic"))
 
 
 # ---------------------------------------------------------------- dirty text
