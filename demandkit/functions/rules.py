@@ -57,6 +57,22 @@ def rule_level(item: Column, step: Column, rules=FORECAST_RULES, default=FORECAS
     return base + amp * F.sin(step.cast("double") * freq)
 
 
+def uniform(*keys: Column) -> Column:
+    """A number in (0, 1) decided by ``keys`` alone: the first 52 bits of their md5.
+
+    Unlike ``rand(seed)`` it does not depend on where a row lies, so a task that
+    is run again, or another partitioning, draws the same numbers.
+    """
+    digits = F.substring(F.md5(F.concat_ws("|", *[F.coalesce(k.cast("string"), F.lit("")) for k in keys]).cast("binary")), 1, 13)
+    return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+
+def normal(*keys: Column) -> Column:
+    """A standard normal number decided by ``keys`` (Box-Muller over two ``uniform`` draws)."""
+    radius = F.sqrt(-2.0 * F.log(uniform(*keys, F.lit("radius"))))
+    return radius * F.cos(2 * math.pi * uniform(*keys, F.lit("angle")))
+
+
 def sample_base(item: Column) -> Column:
     return keyword_case(item, [(k, F.lit(b)) for k, b in SAMPLE_BASE], F.lit(SAMPLE_BASE_DEFAULT))
 

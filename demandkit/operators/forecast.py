@@ -28,11 +28,16 @@ from demandkit.functions.rules import (
     SUMMER_FACTOR,
     SUMMER_MONTHS,
     WEEKEND_FACTOR,
+    normal,
     rule_level,
+    uniform,
 )
 from demandkit.operators.reports import monthly_by_series
+from demandkit.operators.rules_table import match_rules
 from demandkit.spec import FeatureConfig, PanelSpec, validate_horizon
 
+RULE_NUMBERS = ("base", "amplitude", "frequency")
+
 MODEL_LOWER, MODEL_UPPER = 0.8, 1.2  # fixed values: model forecast band
 
 
@@ -138,7 +143,7 @@ def rule_forecast(
     as_of: str | Column | None = None,
     noise_sd: float = 0.0,
     seed: int = 42,
-    rules=FORECAST_RULES,
+    rules: tuple | DataFrame = FORECAST_RULES,
     default=FORECAST_DEFAULT,
 ) -> DataFrame:
     """Keyword-rule forecast for each (center, item) row of ``series``.
@@ -148,12 +153,16 @@ def rule_forecast(
     + N(0, noise_sd) if requested, floored at 100; bounds 0.85 / 1.15;
     2 decimals.  ``as_of`` is a date literal, a column of ``series``
     (e.g. each series' last date), or NULL -> ``current_date()``.
-    A random confidence in [0.70, 0.95] is added only when noise is on.
+    A random confidence in [0.70, 0.95] is added only when noise is on.  Noise
+    and confidence are drawn from (center, item, step, seed), so a run again or
+    another partitioning gives the same forecast.
 
     ``horizon`` is a number of days or a column of ``series`` with each row's
     own (no upper limit).  ``rules`` are (keyword, base, amplitude, frequency),
     the first keyword found in the upper-cased item wins; ``default`` holds the
-    three numbers for other items.
+    three numbers for other items.  Thousands of rules come as a DataFrame
+    (rule_order, keyword, base, amplitude, frequency), which is joined
+    (``match_rules``) instead of put into the plan.
     """
     last = _last_step(horizon)
     if isinstance(horizon, str):
@@ -167,13 +176,23 @@ def rule_forecast(
     else:
         base_date = F.to_date(as_of)
     steps = F.explode(F.sequence(F.lit(0), last - 1)).alias("step")
-    grid = series.select("center", "item", base_date.alias("_as_of"), steps)
+    if isinstance(rules, DataFrame):
+        named = match_rules(series, rules).select(F.col("item").alias("_rule_item"), "base", "amplitude", "frequency")
+        series = series.join(named, F.col("item").eqNullSafe(F.col("_rule_item")), "left")
+        numbers = [F.coalesce(F.col(c).cast("double"), F.lit(float(d))).alias(c) for c, d in zip(RULE_NUMBERS, default)]
+    else:
+        numbers = []
+    grid = series.select("center", "item", base_date.alias("_as_of"), *numbers, steps)
     d = F.date_add(F.col("_as_of"), F.col("step") + 1)
-    level = rule_level(F.col("item"), F.col("step"), rules, default)
+    key = [F.col("center"), F.col("item"), F.col("step") + 1, F.lit(seed)]
+    if numbers:
+        level = F.col("base") + F.col("amplitude") * F.sin(F.col("step").cast("double") * F.col("frequency"))
+    else:
+        level = rule_level(F.col("item"), F.col("step"), rules, default)
     level = level * F.when(F.weekday(d) >= 5, F.lit(WEEKEND_FACTOR)).otherwise(F.lit(1.0))
     level = level * F.when(F.month(d).between(*SUMMER_MONTHS), F.lit(SUMMER_FACTOR)).otherwise(F.lit(1.0))
     if noise_sd:
-        level = level + F.randn(seed) * F.lit(noise_sd)
+        level = level + normal(*key, F.lit("level")) * F.lit(noise_sd)
     value = F.greatest(F.lit(FORECAST_FLOOR), level)
     out = grid.select(
         "center",
@@ -192,7 +211,7 @@ def rule_forecast(
     )
     if noise_sd:
         lo, hi = CONFIDENCE_RANGE
-        out = out.withColumn("confidence", F.round(F.lit(lo) + F.rand(seed + 1) * (hi - lo), 2))
+        out = out.withColumn("confidence", F.round(F.lit(lo) + uniform(F.col("center"), F.col("item"), F.col("step"), F.lit(seed), F.lit("confidence")) * (hi - lo), 2))
     return out
 
 

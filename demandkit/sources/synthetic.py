@@ -17,6 +17,7 @@ from demandkit.functions.rules import (
     SAMPLE_START,
     WEEKEND_FACTOR,
     annual_wave,
+    normal,
     sample_base,
 )
 from demandkit.spec import PanelSpec
@@ -44,7 +45,7 @@ def synthetic_panel(
     level = sample_base(F.col("item")) * annual_wave(F.dayofyear("d"))
     level = level * F.when(F.weekday("d") >= 5, F.lit(WEEKEND_FACTOR)).otherwise(F.lit(1.0))
     if noise_sd:
-        level = level + F.randn(seed) * F.lit(noise_sd)
+        level = level + normal(F.col("center"), F.col("item"), F.col("d"), F.lit(seed)) * F.lit(noise_sd)
     demand = F.greatest(F.lit(SAMPLE_FLOOR), level.cast("long")).cast("double")
     return rows.select(
         F.col("d").cast("timestamp_ntz").alias(spec.date),
