@@ -43,3 +43,14 @@ def best_run(runs: DataFrame, experiment: str | None = None, metric: str = "rmse
     best = runs.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank")
     best = best.withColumn("model_uri", F.format_string("runs:/%s/model", F.col("run_id")))
     return best.fillna(0, subset=[m for m in metrics if m in runs.columns])
+
+
+def best_run_params(runs: DataFrame, keys: list[str], metric: str = "rmse") -> DataFrame:
+    """A18 over runs as ``sources.results.read_runs`` returns them: (experiment, run_id, model_uri, metric, one column per key).
+
+    Runs hold metrics and params as maps.  A key that the best run lacks is
+    NULL, a missing metric sorts last and reads as 0, and an experiment without
+    runs has no row."""
+    flat = runs.select("experiment", "run_id", "params", F.try_element_at("metrics", F.lit(metric)).alias(metric))
+    best = best_run(flat, metric=metric, metrics=(metric,))
+    return best.select("experiment", "run_id", "model_uri", metric, *[F.try_element_at("params", F.lit(k)).alias(k) for k in keys])

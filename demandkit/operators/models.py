@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from demandkit.operators.clean import drop_null_target, fill_features
 from demandkit.operators.forecast import future_frame, last_n_rows, model_forecast
 from demandkit.operators.metrics import accuracy, best_model
-from demandkit.operators.split import split_by_date, split_rows_tail
+from demandkit.operators.split import expanding_folds, split_by_date, split_rows_tail
 from demandkit.session import ensure_checkpoint_dir
 from demandkit.spec import FeatureConfig, PanelSpec, feature_columns, validate_model
 
@@ -37,6 +37,10 @@ class BoostingParams:
     max_bins: int = 32
     seed: int = 42
     checkpoint_interval: int = 10
+    # Early stopping: the last share of the training days judges each round; boosting ends when a round improves the
+    # error there by less than the tolerance (relative).  0 boosts all rounds on all training rows.
+    validation_share: float = 0.0
+    validation_tol: float = 0.01
 
 
 # The two model shapes.  "xgboost": 100 rounds, lr 0.1,
@@ -48,6 +52,9 @@ MODEL_PARAMS = {
 }
 
 
+VALIDATION = "_validation"
+
+
 def build_estimator(features: list[str], label: str, params: BoostingParams) -> Pipeline:
     assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
     gbt = GBTRegressor(
@@ -64,6 +71,8 @@ def build_estimator(features: list[str], label: str, params: BoostingParams) ->
         maxMemoryInMB=1024,  # a tree level in one pass over the rows
         checkpointInterval=params.checkpoint_interval,
     )
+    if params.validation_share > 0:
+        gbt = gbt.setValidationIndicatorCol(VALIDATION).setParams(validationTol=params.validation_tol)
     return Pipeline(stages=[assembler, gbt])
 
 
@@ -103,6 +112,17 @@ def training_layout(train: DataFrame) -> DataFrame:
     return train.coalesce(target) if train.rdd.getNumPartitions() > target else train
 
 
+def mark_validation(train: DataFrame, spec: PanelSpec, share: float) -> DataFrame:
+    """``train`` with a boolean column: whether the row's day is among the last ``share`` of the days."""
+    marked = split_by_date(train, spec, share)
+    return marked.withColumn(VALIDATION, F.col("split") == "test").drop("split")
+
+
+def rounds_kept(model: PipelineModel) -> int:
+    """Boosting rounds of a fitted model: fewer than ``max_iter`` if it stopped early."""
+    return model.stages[-1].getNumTrees
+
+
 def fit(train: DataFrame, features: list[str], spec: PanelSpec, params: BoostingParams) -> PipelineModel:
     """Fit one boosted-tree pipeline."""
     return fit_all(train, features, spec, {"model": params})["model"]
@@ -121,7 +141,9 @@ def fit_all(train: DataFrame, features: list[str], spec: PanelSpec, params: dict
         laid_out = training_layout(cached)
         with ThreadPoolExecutor(max_workers=max(1, len(params))) as pool:
             estimators = {name: build_estimator(features, spec.target, p) for name, p in params.items()}
-            futures = {name: pool.submit(e.fit, laid_out) for name, e in estimators.items()}
+            shares = {p.validation_share for p in params.values() if p.validation_share > 0}
+            rows = {share: mark_validation(laid_out, spec, share) for share in shares} | {0.0: laid_out}
+            futures = {name: pool.submit(e.fit, rows[max(0.0, params[name].validation_share)]) for name, e in estimators.items()}
             return {name: f.result() for name, f in futures.items()}
     finally:
         cached.unpersist()
@@ -182,6 +204,33 @@ class TrainingResult:
     metrics: DataFrame
     best: str
     features: list[str]
+    rounds: dict[str, int]
+
+
+def cross_validate(
+    features_df: DataFrame,
+    spec: PanelSpec = PanelSpec(),
+    n_splits: int = 3,
+    params: dict[str, BoostingParams] | None = None,
+    gap: int = 0,
+) -> DataFrame:
+    """(model, fold, mae, mse, rmse, mape): every model fitted on each expanding window and judged on the days after it.
+
+    The folds come from one pass (``expanding_folds``); the fits of a fold run
+    together, and the metrics of all folds and models are one aggregate."""
+    params = params or MODEL_PARAMS
+    data, features = prepare(features_df, spec)
+    folds = expanding_folds(data, spec, n_splits, gap).persist(StorageLevel.MEMORY_AND_DISK)
+    scored = None
+    for k in range(1, n_splits + 1):
+        own = folds.filter(F.col("fold") == k)
+        fitted = fit_all(own.filter("role = 'train'").drop("fold", "role"), features, spec, params)
+        for name, model in fitted.items():
+            rows = predictions(model, own.filter("role = 'test'"), spec).select(F.lit(name).alias("model"), F.lit(k).alias("fold"), "actual", "predicted")
+            scored = rows if scored is None else scored.unionByName(rows)
+    out = df_of_rows(accuracy(scored, by=["model", "fold"]))
+    folds.unpersist()
+    return out
 
 
 def train_models(
@@ -205,7 +254,7 @@ def train_models(
     metrics = df_of_rows(metrics)
     test.unpersist()
     best = best_model(metrics).first()["model"]
-    return TrainingResult(models, metrics, best, features)
+    return TrainingResult(models, metrics, best, features, {name: rounds_kept(model) for name, model in models.items()})
 
 
 def forecast(

@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 from datetime import timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demandkit.operators.dense import INLINE_DIMENSION_LIMIT
@@ -95,3 +95,38 @@ def split_by_date(df: DataFrame, spec: PanelSpec = PanelSpec(), test_size: float
     n_days = (bounds["hi"] - bounds["lo"]).days + 1
     cutoff = bounds["lo"] + timedelta(days=n_days - math.ceil(test_size * n_days))
     return df.withColumn("split", F.when(F.to_date(date) >= F.lit(cutoff), "test").otherwise("train"))
+
+
+def fold_days(n_days: int, n_splits: int, gap: int = 0) -> list[tuple[int, int, int]]:
+    """(fold, first test day, end of test days) as day offsets; training days are those ``gap`` days before the first.
+
+    The tests are the last ``n_splits`` equal stretches of days (a remainder
+    goes to the training days of all folds), so every window starts at day 0
+    and grows by one stretch."""
+    size = n_days // (n_splits + 1)
+    if n_splits < 1 or size < 1 or n_days - n_splits * size - gap < 1:
+        raise ValueError(f"{n_days} days are too few for {n_splits} folds with a gap of {gap}")
+    start = n_days - n_splits * size
+    return [(k + 1, start + k * size, start + (k + 1) * size) for k in range(n_splits)]
+
+
+def expanding_folds(df: DataFrame, spec: PanelSpec = PanelSpec(), n_splits: int = 3, gap: int = 0, keys: DataFrame | None = None) -> DataFrame:
+    """Rows with ``fold`` (1 .. n_splits) and ``role`` ('train' or 'test'), one per fold that uses the row.
+
+    Windows expand over calendar days: no fold trains on a day at or after its
+    test days.  One explode per row over its own memberships, no join and no
+    second pass.  ``keys`` is a smaller table with the same first and last
+    date."""
+    date = _c(spec.date)
+    bounds = (df if keys is None else keys).agg(F.min(date).alias("lo"), F.max(date).alias("hi")).first()
+    if bounds["lo"] is None:
+        return df.withColumn("fold", F.lit(None).cast("int")).withColumn("role", F.lit(None).cast("string"))
+    day = F.datediff(F.to_date(date), F.to_date(F.lit(str(bounds["lo"])[:10])))
+
+    def member(fold: int, start: int, end: int) -> Column:
+        role = F.when(day < start - gap, "train").when((day >= start) & (day < end), "test")
+        return F.when(role.isNotNull(), F.struct(F.lit(fold).alias("fold"), role.alias("role")))
+
+    folds = fold_days((bounds["hi"] - bounds["lo"]).days + 1, n_splits, gap)
+    members = F.array_compact(F.array(*[member(*f) for f in folds]))
+    return df.select("*", F.explode(members).alias("_m")).select(*[_c(c) for c in df.columns], "_m.fold", "_m.role")
