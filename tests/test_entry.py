@@ -15,15 +15,15 @@ EXPECTED = set(
     "drift_alerts last_n_rows split_tail split_by_date date_bounds key_counts top_centers feature_preview "
     "best_run role_mapping profile_values future_features upload_projection clean_dirty_numeric clean_dirty_dates "
     "clean_dirty_labels date_rejects inventory_repeated_stock rule_forecast_keywords drift_sparse history_series "
-    "upload_no_roles linear_forecast linear_backtest linear_metrics gbt_invariants".split()
+    "upload_no_roles linear_forecast linear_backtest linear_metrics gbt_invariants sparse_features incremental_features csv_sales csv_rejects "
+    "job_features job_drift best_run_params rule_table_match rule_table_forecast rule_forecast_noise tree_forecast "
+    "tree_backtest null_target_metrics cv_folds cv_linear_metrics ks_exact profile_sketch center_item_map".split()
 )
 ROWS_ONLY = {"gbt_forecast", "gbt_importance", "gbt_backtest", "gbt_metrics"}
 
 
 def test_registry_keys():
-    from __spark_entry__ import oracle_sql, queries
-    from demandkit.plans.oracle import SQL
-    from demandkit.plans.queries import REGISTRY
+    from __spark_entry__ import REGISTRY, SQL, oracle_sql, queries
 
     assert set(REGISTRY) == EXPECTED | ROWS_ONLY and set(REGISTRY) <= set(queries())
     assert set(SQL) == EXPECTED and set(SQL) <= set(oracle_sql())
