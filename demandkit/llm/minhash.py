@@ -8,9 +8,16 @@ positions of the two signatures that agree, less those that agree by chance
 (1 in ``2 ** LOW_BITS``), and what lies too far below the threshold goes; the
 rest is confirmed by intersecting the full sets.
 
-Equal sets are one node.  Every bucket first links its members to centres, one
-star a bucket, which makes most of a group one component at a cost linear in
-the bucket.  Then only pairs whose components still differ are candidates.
+Equal sets are one node.  The members of a bucket form a star around its centre,
+the member that shares most (an unedited copy keeps all its band keys, an edited
+one loses some), and most of a group is linked by its star at a cost linear in
+the group.  Every member is taken apart along its centre's set: its own members,
+which the centre lacks, come first and the common ones last.  Two members of a
+star that can still be linked, but are in different components, must share one
+of the first few members in that order (a prefix filter), and early enough for
+the rest to reach the threshold (a positional filter).  What copies have in
+common stands last there and common shingles follow rare ones, so neither makes
+hot keys.
 """
 
 from __future__ import annotations
@@ -26,15 +33,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demandkit.llm.components import connected_components
-from demandkit.llm.text import pin, ship_package
+from demandkit.llm.text import perhaps_in, pin, ship_package
 
 SHINGLE_WORDS = 5
 THRESHOLD_PERCENT = 80
 BANDS = 32
 ROWS = 4  # minima in a band: a pair at 0.8 shares none of the bands with a chance of 5e-8
 LOW_BITS = 4
-MISSED = 1e-9  # chance that the estimate drops a pair that reaches the threshold
-SALT_ROWS = 4096  # rows of a hot bucket that one task compares
+MISSED = 1e-8  # chance that the estimate drops a pair that reaches the threshold
+SIZE_STEP = 1.05  # sizes within this factor are one class
+# Any order of shingles gives the same links; rare ones first gives fewer candidates.  Which ones are common is read off a sample.
+ORDER_DOCS = 4096
+ORDER_SHINGLES = 1 << 17
 CHUNK = 1 << 12  # set members whose minima are taken at once
 CACHED_WORDS = 1 << 17
 
@@ -138,20 +148,47 @@ def sketches(docs: DataFrame, shingle: int, bands: int = BANDS, rows: int = ROWS
     return keyed.mapInArrow(run, schema)
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(id, members): the sets of ``wanted`` (id, doc_id, row_key), made again from the whole texts."""
+def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int, common: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """(id, members): the sets of ``wanted`` (id, doc_id, row_key), made again from the whole texts.
+
+    ``common`` are sorted shingle hashes and how common they are; members come
+    in the order of that, then of their hashes.
+    """
+    ship_package(docs.sparkSession)
+
+    def in_order(members: np.ndarray) -> np.ndarray:
+        if common is None or not len(common[0]) or not len(members):
+            return members
+        at = np.minimum(np.searchsorted(common[0], members), len(common[0]) - 1)
+        return members[np.argsort(np.where(common[0][at] == members, common[1][at], 0), kind="stable")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            found = [shingle_set(t, shingle, hashes).view(np.int64) for t in batch.column("text").to_pylist()]
+            found = [in_order(shingle_set(t, shingle, hashes)).view(np.int64) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), _list_column(found)], names=["id", "members"])
 
-    keyed = docs.select("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("row_key"), "text").alias("d")
+    keyed = docs.select("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("row_key"), "text")
+    # Texts that are not wanted are left where they are, however the join is done.
+    near = perhaps_in(keyed, wanted).alias("d")
     same = F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.row_key") == F.col("w.row_key"))
-    met = keyed.join(wanted.alias("w"), same).select("w.id", "d.text")
-    # Rows that repeat a document give the same set again.
-    return met.mapInArrow(run, "id long, members array<long>").groupBy("id").agg(F.first("members").alias("members"))
+    sets = pin(near.join(wanted.alias("w"), same).select("w.id", "d.text").mapInArrow(run, "id long, members array<long>"), "minhash-sets", few_files=True)
+    if sets.count() > wanted.count():
+        # Rows that repeat a document give the same set again.
+        sets = pin(sets.groupBy("id").agg(F.first("members").alias("members")), "minhash-sets", few_files=True)
+    return sets
+
+
+def common_shingles(docs: DataFrame, sketched: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) of the most common shingles among a bounded sample of sets, and their counts."""
+    order = F.xxhash64("row_key", F.lit("shingle order"))
+    sample = sketched.filter("set_key is not null").select("doc_id", "row_key").orderBy(order, "doc_id").limit(ORDER_DOCS)
+    sample = pin(sample.distinct().withColumn("id", F.monotonically_increasing_id()), "minhash-sample", few_files=True)
+    counts = full_sets(docs, sample, shingle).select(F.explode("members").alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    rows = counts.orderBy(F.desc("n"), "h").limit(ORDER_SHINGLES).toPandas()
+    hashes, n = rows["h"].to_numpy(dtype=np.int64).view(U64), rows["n"].to_numpy(dtype=np.int64)
+    at = np.argsort(hashes)
+    return hashes[at], n[at]
 
 
 def least_agreeing(threshold_percent: int, positions: int, missed: float = MISSED) -> int:
@@ -190,23 +227,97 @@ def estimate(a: str, b: str, longs: int) -> Column:
     return (agreeing(a, b, longs) / (longs * PER_LONG) - chance) / (1 - chance)
 
 
-def _likely(pairs: DataFrame, threshold_percent: int, longs: int) -> DataFrame:
-    """Of (a, b, na, nb, bits_a, bits_b), those that sizes and signatures let reach the threshold."""
-    lengths = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * threshold_percent
-    enough = agreeing("bits_a", "bits_b", longs) >= least_agreeing(threshold_percent, longs * PER_LONG)
-    return pairs.filter(lengths & enough).select("a", "b", "na", "nb")
+def _lengths(a: str, b: str, percent: int) -> Column:
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, threshold_percent: int) -> DataFrame:
-    """Of distinct (a, b, na, nb), the pairs (a, b) whose full sets reach the threshold."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = pin(nodes.join(wanted, "id", "left_semi").select("id", "doc_id", "row_key"), "minhash-wanted", few_files=True)
-    sets = pin(full_sets(docs, wanted, shingle), "minhash-sets")
-    left = sets.select(F.col("id").alias("a"), F.col("members").alias("set_a"))
-    right = sets.select(F.col("id").alias("b"), F.col("members").alias("set_b"))
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    reached = common * 100 >= (F.col("na") + F.col("nb") - common) * threshold_percent
-    return pairs.join(left, "a").join(right, "b").filter(reached).select("a", "b")
+def _reached(common: Column, a: str, b: str, percent: int) -> Column:
+    return common * 100 >= (F.col(a) + F.col(b) - common) * percent
+
+
+def _needed(a: Column, b: Column, percent: int) -> Column:
+    """Least intersection of sets of ``a`` and ``b`` members that reach the threshold."""
+    return F.ceil((a + b) * percent / (100 + percent) - 1e-9)
+
+
+def _stars(nodes: DataFrame) -> DataFrame:
+    """(centre, id), distinct: every node with the centre of each bucket it shares."""
+    keys = nodes.select("id", F.explode("bands").alias("key"))
+    sizes = pin(keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "minhash-buckets", few_files=True)
+    shared = pin(keys.join(sizes, "key"), "minhash-members", few_files=True)
+    weights = shared.groupBy("id").agg(F.sum("size").alias("weight"))
+    centres = shared.join(weights, "id").groupBy("key").agg(F.max(F.struct("weight", "id")).alias("c")).select("key", F.col("c.id").alias("centre"))
+    return shared.join(centres, "key").filter("id != centre").select("centre", "id").distinct()
+
+
+def _taken_apart(stars: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(centre, id, n, n_centre, bits, bits_centre, common, own, shared) of every star's members.
+
+    ``common`` counts the members that the centre has too.  ``own`` are the
+    first of those it lacks and ``shared`` the first of those it has: as many as
+    a prefix filter can ask for.
+    """
+    about = nodes.select("id", "n", "bits").join(sets, "id")
+    centre = about.select(F.col("id").alias("centre"), F.col("n").alias("n_centre"), F.col("bits").alias("bits_centre"), F.col("members").alias("c"))
+    both = stars.join(about, "id").join(centre, "centre")
+    least = F.ceil(F.col("n") * percent / 100 - 1e-9).cast("int")  # of any set that it can be linked with
+    held = F.array_intersect("members", "c")
+    own = F.slice(F.array_except("members", "c"), F.lit(1), (F.col("n") - least + 1).cast("int"))
+    shared = F.slice(held, F.lit(1), F.greatest(F.size(held) - _needed(F.col("n"), least, percent).cast("int") + 1, F.lit(0)))
+    return both.select(
+        "centre", "id", "n", "n_centre", "bits", "bits_centre", F.size(held).alias("common"), own.alias("own"), shared.alias("shared")
+    )
+
+
+def _size_class(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / float(np.log(SIZE_STEP))).cast("int")
+
+
+def _left_over(members: DataFrame, percent: int, longs: int) -> DataFrame:
+    """(a, b, na, nb), distinct: pairs of one star, in different components, that sizes, prefixes and signatures allow.
+
+    ``members`` are those of ``_taken_apart`` with ``root`` and ``outside`` (not in
+    the centre's component); one of a pair is outside.  Pairs that share a member
+    of their own meet on it.  The others can only be linked through what they
+    share with the centre, and meet on that if they have enough of it: the size
+    that a partner may then have is bounded, and enters the key as a class.
+    """
+    n, common = F.col("n"), F.col("common")
+    side = ["centre", "id", "n", "bits", "common", "root", "outside"]
+    least = F.ceil(n * percent / 100 - 1e-9)
+    most = F.least(F.floor(common * (100 + percent) / percent - n + 1e-9), F.floor(n * 100 / percent + 1e-9))
+    # ``left``: the members of its own (or shared ones) from this place on.
+    by_own = members.select(*side, F.lit(-1).alias("size_class"), F.posexplode("own").alias("at", "token"))
+    by_own = by_own.withColumn("left", n - common - F.col("at")).drop("at")
+    by_shared = members.filter(F.size("shared") > 0).select(*side, _size_class(n).alias("size_class"), F.posexplode("shared").alias("at", "token"))
+    by_shared = by_shared.withColumn("left", common - F.col("at")).drop("at")
+    # A class begins at the power of the step, rounded down, so its prefix is never too short.
+    classes = members.filter("outside").withColumn("least", least).withColumn("most", most).filter("most >= least")
+    classes = classes.withColumn("size_class", F.explode(F.sequence(_size_class(F.col("least")), _size_class(F.col("most")))))
+    smallest = F.greatest(F.col("least"), F.floor(F.pow(F.lit(SIZE_STEP), F.col("size_class"))))
+    prefix = F.greatest((common - _needed(n, smallest, percent) + 1).cast("int"), F.lit(0))
+    wanted = classes.select(*side, "size_class", F.posexplode(F.slice("shared", F.lit(1), prefix)).alias("at", "token"))
+    wanted = wanted.withColumn("left", common - F.col("at")).drop("at")
+
+    def named(rows: DataFrame, end: str) -> DataFrame:
+        names = {"id": end, "n": f"n{end}", **{c: f"{c}_{end}" for c in ("bits", "common", "root", "outside", "left")}}
+        return rows.withColumnsRenamed(names)
+
+    probe = named(by_own.filter("outside").unionByName(wanted), "a")
+    index = named(by_own.unionByName(by_shared), "b")
+    # Two outsiders meet from both sides when they share an own member; by a centre's member only the smaller prefix need match.
+    once = ~F.col("outside_b") | (F.col("a") < F.col("b")) | (F.col("size_class") >= 0)
+    needed = _needed(F.col("na"), F.col("nb"), percent)
+    of_own = F.greatest(needed - F.least("common_a", "common_b"), F.lit(1))
+    enough = F.least("left_a", "left_b") >= F.when(F.col("size_class") < 0, of_own).otherwise(needed)
+    alike = agreeing("bits_a", "bits_b", longs) >= least_agreeing(percent, longs * PER_LONG)
+    met = probe.join(index, ["centre", "size_class", "token"])
+    met = met.filter((F.col("root_a") != F.col("root_b")) & once & _lengths("na", "nb", percent) & enough & alike)
+    ordered = met.select(
+        F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"),
+        F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"),
+    )
+    return ordered.select(F.col("x").alias("a"), F.col("y").alias("b"), "na", "nb").distinct()
 
 
 def near_duplicates(
@@ -227,8 +338,8 @@ def near_duplicates(
     other.  Repeated rows give repeated results; other columns are ignored; an
     empty table gives an empty result.
 
-    Nothing is capped: a bucket of any size links all members to its centres,
-    and those it leaves in other components are compared with all its members.
+    Nothing is capped: every pair that shares a band key, whatever the size of
+    its bucket, is linked through its star, confirmed, or ruled out.
     """
     longs = bands * rows // PER_LONG
     if longs * PER_LONG != bands * rows or not 0 < threshold_percent <= 100:
@@ -242,63 +353,28 @@ def near_duplicates(
     # Written before use, so the ids stay what they are.
     nodes = first.select("set_key", "f.doc_id", "f.row_key", "first_id", "n", "bands", "bits", F.monotonically_increasing_id().alias("id"))
     nodes = pin(nodes, "minhash-nodes", few_files=True)
-    about = nodes.select("id", "n", "bits")
-    keys = nodes.select("id", F.explode("bands").alias("key"))
-
-    def with_signatures(pairs: DataFrame) -> DataFrame:
-        left = about.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
-        right = about.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
-        return _likely(pairs.join(left, "a").join(right, "b"), threshold_percent, longs)
-
-    # One star a bucket.  The centre differs from band to band, so a group gets several.
-    order = F.xxhash64("key", "id")
-    centres = keys.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id")).alias("c"), F.count("*").alias("size")).filter("size > 1")
-    centres = pin(centres.select("key", F.col("c.id").alias("centre"), "size"), "minhash-buckets", few_files=True)
-    shared = pin(keys.join(centres, "key").select("key", "id", "centre", "size"), "minhash-members", few_files=True)
-    spokes = shared.filter("id != centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-    star = pin(with_signatures(spokes), "minhash-spokes", few_files=True)
-    links = pin(_confirmed(star, nodes, docs, shingle, threshold_percent), "minhash-star-links", few_files=True)
-    roots = pin(connected_components(links), "minhash-star-roots", few_files=True)
-
-    # Buckets with several components: pairs across them, each found from outside the bucket's main component.
-    named = shared.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "size", F.coalesce("root", "id").alias("root"))
-    split = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("key")
-    open_members = pin(named.join(split, "key", "left_semi"), "minhash-open", few_files=True)
-    weights = open_members.groupBy("key", "root").agg(F.count("*").alias("w"))
-    main = weights.groupBy("key").agg(F.max(F.struct("w", "root")).alias("m")).select("key", F.col("m.root").alias("main"))
-    salts = F.ceil(F.col("size") / SALT_ROWS).cast("int")
-    full = open_members.join(about, "id").withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int"))
-    outside = (
-        open_members.join(main, "key")
-        .filter("root != main")
-        .join(about, "id")
-        .select(
-            "key",
-            F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"),
-            F.col("id").alias("x"),
-            F.col("root").alias("x_root"),
-            (F.col("root") != F.col("main")).alias("x_out"),
-            F.col("n").alias("na"),
-            F.col("bits").alias("bits_a"),
-            "main",
-        )
-    )
-    # Two outsiders meet twice; the smaller id brings them.
-    once = (F.col("root") == F.col("main")) | (F.col("x") < F.col("id"))
-    crossing = outside.join(full.select("key", "salt", "id", "root", F.col("n").alias("nb"), F.col("bits").alias("bits_b")), ["key", "salt"])
-    crossing = crossing.filter((F.col("root") != F.col("x_root")) & once).withColumnsRenamed({"x": "a", "id": "b"})
-    rest = _likely(crossing, threshold_percent, longs).distinct()
-    rest = pin(rest, "minhash-rest", few_files=True)
-    # The star's own pairs have been read already.
-    rest = rest.join(star, (F.least(rest.a, rest.b) == star.a) & (F.greatest(rest.a, rest.b) == star.b), "left_anti")
-    rest = pin(rest, "minhash-left", few_files=True)
-    more = _confirmed(rest, nodes, docs, shingle, threshold_percent)
-    joined = roots.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(
-        more.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
-        .join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-        .select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-    )
-    whole = connected_components(joined)
+    stars = pin(_stars(nodes), "minhash-stars", few_files=True)
+    starred = stars.select(F.explode(F.array("centre", "id")).alias("id")).distinct()
+    wanted = pin(nodes.join(starred, "id", "left_semi").select("id", "doc_id", "row_key"), "minhash-wanted", few_files=True)
+    sets = full_sets(docs, wanted, shingle, common_shingles(docs, all_rows, shingle))
+    apart = pin(_taken_apart(stars, nodes, sets, threshold_percent), "minhash-apart", few_files=True)
+    close = agreeing("bits", "bits_centre", longs) >= least_agreeing(threshold_percent, longs * PER_LONG)
+    links = apart.filter(close & _reached(F.col("common"), "n", "n_centre", threshold_percent)).select(F.col("centre").alias("a"), F.col("id").alias("b"))
+    roots = pin(connected_components(links), "minhash-roots", few_files=True)
+
+    # Stars that are not one component: pairs across components, of which one at least is not in the centre's.
+    of_member = roots.select(F.col("node").alias("id"), F.col("root"))
+    of_centre = roots.select(F.col("node").alias("centre"), F.col("root").alias("centre_root"))
+    named = apart.join(of_member, "id", "left").join(of_centre, "centre", "left").withColumn("root", F.coalesce("root", "id"))
+    named = named.withColumn("outside", F.col("root") != F.coalesce("centre_root", "centre"))
+    open_stars = named.filter("outside").select("centre").distinct()
+    members = pin(named.join(open_stars, "centre", "left_semi").drop("n_centre", "bits_centre", "centre_root"), "minhash-open", few_files=True)
+    rest = pin(_left_over(members, threshold_percent, longs), "minhash-rest", few_files=True)
+    left = sets.select(F.col("id").alias("a"), F.col("members").alias("set_a"))
+    right = sets.select(F.col("id").alias("b"), F.col("members").alias("set_b"))
+    held = F.size(F.array_intersect("set_a", "set_b"))
+    more = rest.join(left, "a").join(right, "b").filter(_reached(held, "na", "nb", threshold_percent)).select("a", "b")
+    whole = connected_components(links.unionByName(more))
 
     linked = nodes.select("id", "set_key", "first_id").join(whole.withColumnRenamed("node", "id"), "id", "left")
     linked = linked.withColumn("root", F.coalesce("root", "id"))

@@ -43,6 +43,24 @@ def without_spaces(text: Column) -> Column:
     return out
 
 
+_PINNED: list[str] = []
+
+
+def release_pins(spark: SparkSession) -> int:
+    """Delete the tables that ``pin`` has written in this process, and tell how many.
+
+    For long-lived sessions, once the results are written elsewhere: a DataFrame
+    that still reads a pinned table fails from then on.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    paths, _PINNED[:] = list(_PINNED), []
+    for path in paths:
+        at = hadoop.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    return len(paths)
+
+
 def pin(df: DataFrame, name: str, few_files: bool = False) -> DataFrame:
     """Write ``df`` under the shared checkpoint folder and read it back.
 
@@ -50,14 +68,79 @@ def pin(df: DataFrame, name: str, few_files: bool = False) -> DataFrame:
     re-read and not a recomputation; later joins also see real table sizes.
     ``few_files`` is for what comes out of a shuffle and is much smaller than
     the documents: at most one file per core, however many shuffle partitions.
+    ``release_pins`` deletes what is no longer read.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     out = df.coalesce(max(1, spark.sparkContext.defaultParallelism)) if few_files else df
     out.write.parquet(path)
+    _PINNED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_key() -> Column:
+    """Hash of the whole original text (NULL counts as empty); with doc_id it names a document."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def _fresh(docs: DataFrame) -> str:
+    """A column name that ``docs`` does not have."""
+    name = "__row_key"
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
+def _listed(docs: DataFrame, documents: DataFrame, how: str) -> DataFrame:
+    key = _fresh(docs)
+    keyed = docs.withColumn(key, row_key()).alias("a")
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col(f"a.{key}") == F.col("b.row_key"))
+    return keyed.join(documents.alias("b"), same, how).drop(key)
+
+
+PAGE_BITS = 32768  # of one bitmap made by bitmap_construct_agg (4 KB)
+MAX_PAGES = 4096  # at most 16 MB are broadcast
+
+
+def perhaps_in(rows: DataFrame, keys: DataFrame, key: str = "row_key") -> DataFrame:
+    """``rows`` whose ``key`` (a hash, as a long) may be among those of ``keys``; none that is gets lost.
+
+    The keys are broadcast as a bitmap of about 16 bits each, never over 16 MB:
+    some rows pass in vain, more of them if there are very many keys.  Put before
+    a join, it keeps most rows that would find nothing from being shuffled.
+    """
+    pages = min(MAX_PAGES, max(1, -(-16 * keys.count() // PAGE_BITS)))
+
+    def place(name: str) -> Column:
+        return F.pmod(F.col(name), F.lit(pages * PAGE_BITS))
+
+    bitmap = (
+        keys.select(place(key).alias("slot"))
+        .groupBy((F.col("slot") / PAGE_BITS).cast("int").alias("__page"))
+        .agg(F.bitmap_construct_agg(F.col("slot") % PAGE_BITS).alias("__bits"))
+    )
+    bit = place(key) % PAGE_BITS
+    byte = F.conv(F.hex(F.substring("__bits", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    paged = rows.withColumn("__page", (place(key) / PAGE_BITS).cast("int")).join(F.broadcast(bitmap), "__page")
+    return paged.filter(F.getbit(byte, (bit % 8).cast("int")) == 1).drop("__page", "__bits")
+
+
+def without(docs: DataFrame, documents: DataFrame) -> DataFrame:
+    """Rows of ``docs`` that ``documents`` (doc_id, row_key) does not name; all columns kept, whatever their names."""
+    return _listed(docs, documents, "left_anti")
+
+
+def only(docs: DataFrame, documents: DataFrame) -> DataFrame:
+    """Rows of ``docs`` that ``documents`` (doc_id, row_key) names."""
+    return _listed(docs, documents, "left_semi")
+
+
+def once_each(docs: DataFrame) -> DataFrame:
+    """One row of each document (doc_id and text)."""
+    key = _fresh(docs)
+    return docs.withColumn(key, row_key()).dropDuplicates(["doc_id", key]).drop(key)
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -67,10 +67,29 @@ def test_components_against_brute_force(spark, near_docs, k, percent):
     assert rows(got, "doc_id", "n_shingles", "component_id") == brute(near_docs, k, percent)
 
 
-def test_hot_buckets_in_salted_parts(spark, near_docs, monkeypatch):
-    monkeypatch.setattr(minhash, "SALT_ROWS", 7)
-    docs = spark.createDataFrame(near_docs, "doc_id long, text string")
-    assert rows(minhash.near_duplicates(docs, shingle=2), "doc_id", "n_shingles", "component_id") == brute(near_docs)
+def test_links_that_miss_the_centre(spark):
+    """Chains of cut and edited copies, few of them linked with the group's centre, come out whole."""
+    rng = random.Random(2)
+    texts = []
+    for g in range(6):
+        base = [f"g{g}w{rng.randrange(300)}" for _ in range(90)]
+        texts += [" ".join(base)] * 2
+        texts += [" ".join(base[lo:hi]) for lo, hi in ((0, 60), (0, 66), (5, 62), (30, 90), (26, 90), (20, 80), (22, 83), (0, 40), (0, 45))]
+        for _ in range(8):
+            own = list(base)
+            spots = rng.sample(range(90), 9)
+            for k in spots:
+                own[k] = f"v{rng.randrange(10**6)}"
+            texts.append(" ".join(own))
+            own[rng.randrange(90)] = "again"
+            texts.append(" ".join(own))
+            texts.append(" ".join(own[: rng.randrange(70, 90)]))
+    docs = list(enumerate(texts, 1))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    for percent in (80, 70):
+        want = brute(docs, 2, percent)
+        assert rows(minhash.near_duplicates(frame, shingle=2, threshold_percent=percent), "doc_id", "n_shingles", "component_id") == want
+    assert len({c for _, _, c in want}) > 12
 
 
 def test_odd_rows(odd_docs, clashing, no_docs):
