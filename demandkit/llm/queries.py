@@ -38,9 +38,8 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    index = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, index).withColumn("held_out", F.coalesce(~toxicity.training_row(F.col("doc_id")), F.lit(False)))
+    scored = toxicity.fit_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.withColumn("held_out", F.coalesce(~toxicity.training_row(F.col("doc_id")), F.lit(False)))
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,12 +4,14 @@ Terms are word stems (the first 4, 5, 6 or 8 characters), and a stem that a text
 holds at least 2 or 4 times is a further term each, since a cosine alone does
 not see how much of a marker a text holds.  Labelled training rows, equal texts
 once, choose the terms that go with the label (chi-square, and Fisher's exact
-test), each weighted by how closely it does; stems of one marker that stand in the
-same training rows are one term; document frequencies are counted over all documents.  The labelled examples, a bounded sample, are
-an inverted index whose postings lie in blocks of examples, each with the
-largest weight of every term in it.  A document visits blocks by falling upper
-bound and stops when no block can still hold a nearer example, so its ``k``
-nearest are exact.  Their votes, weighted by similarity and by how many
+test, and at least twice as frequent in its rows); stems of one marker that stand in the same training rows are one term.
+A term's weight is its TF-IDF times the square root of its chi-square per row
+(its association with the label), so that many weak terms do not drown the
+strong ones in a cosine; document frequencies are counted over all documents.
+The labelled examples, a bounded sample, are an inverted index whose postings
+lie in blocks of examples, each with the largest weight of every term in it.  A
+document visits blocks by falling upper bound and stops when no block can still
+hold a nearer example, so its ``k`` nearest are exact.  Their votes, weighted by similarity and by how many
 training rows each example stands for, and shrunk to the base rate, give the
 score; the nearest examples and the shared terms are its evidence.
 """
@@ -23,10 +25,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from demandkit.llm.text import pin, ship_package
+from demandkit.llm.text import pin, ship_package, without
 
 STEMS = (4, 5, 6, 8)
 TIMES = (2, 4)
@@ -37,6 +40,7 @@ FIT_PER_CLASS = 16_384  # labelled rows of each class that choose the terms
 EXAMPLES_PER_CLASS = 2_048  # of those, indexed as neighbours
 MIN_CHI2 = 12.0  # p about 0.0005
 MAX_CHANCE = 0.0005  # the same exactly, as chi-square is too kind to terms of few rows
+MIN_LIFT = 2.0  # toxic rows must hold a term so many times as often as clean ones: with many rows any small difference is significant
 MIN_ROWS = 3  # toxic training rows must hold a term, however many there are: a rare language has few
 HELD_TERMS = 1 << 17  # counted in a task before they are handed on
 NEIGHBOURS = 15
@@ -104,87 +108,96 @@ class TermIds(dict):
         found = self[head] = tuple(stems(head) & self.stems)
         return found
 
-    def counts(self, text: str | None) -> Counter:
-        """Frequencies of the chosen terms in a text, by term id."""
-        held = Counter(s for w in stem_words(text or "") for s in self[w[: STEMS[-1]]])
-        return Counter({self.ids[t]: n for t, n in terms_of(held) if t in self.ids})
+    def counts(self, text: str | None) -> dict[int, int]:
+        """Frequencies of the chosen terms in a text, by term id, ids ascending."""
+        held: Counter[str] = Counter()
+        # Counted by their longest stem first, then spread over the chosen stems.
+        for head, n in Counter([w[: STEMS[-1]] for w in stem_words(text or "")]).items():
+            for stem in self[head]:
+                held[stem] += n
+        found = ((self.ids[t], n) for t, n in terms_of(held) if t in self.ids)
+        return dict(sorted(found))
 
 
 @dataclass
 class Index:
-    """Unit TF-IDF vectors of the examples as postings, with the largest weight of a term in every block that holds it."""
+    """Unit TF-IDF vectors of the examples as postings in blocks, with every block's largest weight of every term."""
 
     terms: list[str]
     idf: np.ndarray
-    postings: list[tuple[np.ndarray, np.ndarray]]  # per term: example numbers, weights
-    blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # per term: block numbers, where their postings begin (and the end), largest weights
+    starts: np.ndarray  # of a block's postings of a term: [block, term], and the end behind the last term
+    rows: np.ndarray  # example numbers within their block, of all postings
+    weights: np.ndarray
+    largest: np.ndarray  # [term, block]
     label: np.ndarray
     votes: np.ndarray  # training rows that the example stands for
     example_id: np.ndarray
     base_rate: float
     silent_rate: float  # of training rows without any chosen term
 
-    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.array(sorted(counts), dtype=np.int64)
-        w = (1 + np.log([counts[i] for i in ids])) * self.idf[ids] if len(ids) else np.zeros(0)
-        return ids, w / max(np.sqrt((w * w).sum()), 1e-12)
+    def vector(self, ids: list[int], tf: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (as an array) and unit weights of a text's terms, ids ascending."""
+        at = np.array(ids, dtype=np.int64)
+        w = (1 + np.log(np.array(tf, dtype=float))) * self.idf[at] if len(at) else np.zeros(0)
+        return at, w / max(np.sqrt((w * w).sum()), 1e-12)
 
     def nearest(self, ids: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the k nearest examples with a shared term (ties: smaller number)."""
-        bound = np.zeros(-(-len(self.label) // BLOCK))
-        parts: dict[int, list[tuple[int, float, int, int]]] = {}  # of each block: term, weight, span of its postings
-        for t, x in zip(ids.tolist(), w.tolist()):
-            held, starts, largest = self.blocks[t]
-            bound[held] += x * largest
-            for b, lo, hi in zip(held.tolist(), starts.tolist(), starts[1:].tolist()):
-                parts.setdefault(b, []).append((t, x, lo, hi))
+        bound = w @ self.largest[ids]
         best_i, best_s = np.zeros(0, dtype=np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
+        for b in np.argsort(-bound, kind="stable").tolist():
             if bound[b] <= 0 or len(best_s) == k and bound[b] < best_s[-1] - 1e-12:
                 break
-            score = np.zeros(BLOCK)
-            for t, x, lo, hi in parts[b]:
-                rows, weights = self.postings[t]
-                score[rows[lo:hi] - b * BLOCK] += x * weights[lo:hi]
-            hit = np.flatnonzero(score > 0)
+            lo = self.starts[b, ids]
+            held = self.starts[b, ids + 1] - lo
+            # The block's postings of all terms, one after the other.
+            at = np.arange(held.sum()) + np.repeat(lo - np.cumsum(held) + held, held)
+            score = np.bincount(self.rows[at], weights=np.repeat(w, held) * self.weights[at], minlength=BLOCK)
+            hit = np.flatnonzero(score > (best_s[-1] - 1e-12 if len(best_s) == k else 0))
             i, s = np.concatenate([best_i, hit + b * BLOCK]), np.concatenate([best_s, score[hit]])
             order = np.lexsort((i, -s))[:k]
             best_i, best_s = i[order], s[order]
         return best_i, best_s
 
-    def score(self, ids: np.ndarray, w: np.ndarray, k: int, prior_votes: float) -> tuple[float, np.ndarray, np.ndarray]:
+    def score(self, ids: list[int], tf: list[int], k: int, prior_votes: float) -> tuple[float, np.ndarray]:
+        """Score of a text with these terms, and its nearest examples."""
         if not len(ids):
-            return self.silent_rate, np.zeros(0, dtype=np.int64), np.zeros(0)
-        near, sims = self.nearest(ids, w, k)
+            return self.silent_rate, np.zeros(0, dtype=np.int64)
+        near, sims = self.nearest(*self.vector(ids, tf), k)
         weight = sims * self.votes[near]
-        return float((weight @ self.label[near] + prior_votes * self.base_rate) / (weight.sum() + prior_votes)), near, sims
+        return float((weight @ self.label[near] + prior_votes * self.base_rate) / (weight.sum() + prior_votes)), near
 
 
-def build_index(terms: list[str], idf: np.ndarray, examples: list[tuple[int, int, float, Counter]], base_rate: float, silent_rate: float) -> Index:
-    """An index over (doc_id, label, votes, term counts); examples without terms are left out."""
+def build_index(
+    terms: list[str], idf: np.ndarray, examples: list[tuple[int, int, float, dict[int, int]]], base_rate: float, silent_rate: float
+) -> Index:
+    """An index over (doc_id, label, votes, term counts by ascending id); examples without terms are left out."""
     examples = [e for e in examples if e[3]]
+    n_blocks = -(-len(examples) // BLOCK)
     index = Index(
         terms,
         idf,
-        [],
-        [],
+        np.zeros((n_blocks, len(terms) + 1), dtype=np.int64),
+        np.zeros(0, dtype=np.int64),
+        np.zeros(0),
+        np.zeros((len(terms), n_blocks)),
         np.array([e[1] for e in examples], dtype=float),
         np.array([e[2] for e in examples], dtype=float),
         np.array([e[0] for e in examples], dtype=np.int64),
         base_rate,
         silent_rate,
     )
-    rows: list[list[int]] = [[] for _ in terms]
-    weights: list[list[float]] = [[] for _ in terms]
-    for number, e in enumerate(examples):
-        for t, x in zip(*index.vector(e[3])):
-            rows[t].append(number)
-            weights[t].append(x)
-    for t in range(len(terms)):
-        r, w = np.array(rows[t], dtype=np.int64), np.array(weights[t])
-        index.postings.append((r, w))
-        held, starts = np.unique(r // BLOCK, return_index=True)
-        index.blocks.append((held, np.append(starts, len(r)), np.maximum.reduceat(w, starts) if len(r) else w))
+    vectors = [index.vector(list(e[3]), list(e[3].values())) for e in examples]
+    if not vectors:
+        return index
+    number = np.repeat(np.arange(len(vectors)), [len(ids) for ids, _ in vectors])
+    term, weight = (np.concatenate(part) for part in zip(*vectors))
+    order = np.lexsort((number, term, number // BLOCK))
+    number, term, weight = number[order], term[order], weight[order]
+    index.rows, index.weights = number % BLOCK, weight
+    cells = number // BLOCK * (len(terms) + 1) + term
+    index.starts = np.searchsorted(cells, np.arange(n_blocks * (len(terms) + 1))).reshape(n_blocks, -1)
+    np.maximum.at(index.largest, (term, number // BLOCK), weight)
     return index
 
 
@@ -208,19 +221,28 @@ def _sampled_labels(labels: DataFrame, per_class: int) -> tuple[DataFrame, dict[
     return taken, sizes
 
 
-def fit(
+@dataclass
+class Chosen:
+    """Terms and their association with the label, and the training rows that chose them."""
+
+    terms: list[str]
+    strength: np.ndarray  # chi-square
+    train: DataFrame  # row_key, doc_id, y, text: equal texts once
+    labelled: dict[int, int]  # labelled training rows of each class
+    fitted: dict[int, int]  # of those in ``train``
+
+
+def choose_terms(
     docs: DataFrame,
     labels: DataFrame,
     fit_per_class: int = FIT_PER_CLASS,
-    examples_per_class: int = EXAMPLES_PER_CLASS,
     max_terms: int | None = None,
     min_chi2: float = MIN_CHI2,
-) -> Index:
-    """Learn from labelled training rows among ``docs``; the bounds are this module's constants.
+) -> Chosen:
+    """The terms that go with the label in the training rows among ``docs``.
 
-    Without rows of both classes no term is chosen and every score is the base
-    rate (0 without any label).  Every term that passes the test is used unless
-    ``max_terms`` is given; the fitted rows bound how many there are.
+    Every term that passes the tests is chosen unless ``max_terms`` is given;
+    the fitted rows bound how many there are.
     """
     ship_package(docs.sparkSession)
     sample, sizes = _sampled_labels(labels, fit_per_class)
@@ -233,7 +255,6 @@ def fit(
     train = pin(once, "toxicity-train", few_files=True)
     of = {r.y: r.n for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = of.get(1, 0), of.get(0, 0)
-    base_rate = sizes.get(1, 0) / max(1, sum(sizes.values()))
 
     def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: tuple[Counter, Counter] = (Counter(), Counter())
@@ -247,7 +268,10 @@ def fit(
 
         for batch in batches:
             for text, y, key in zip(batch["text"], batch["y"], batch["row_key"].tolist()):
-                counts = Counter(s for w in stem_words(text) for s in stems(w))
+                counts: Counter[str] = Counter()
+                for head, n in Counter([w[: STEMS[-1]] for w in stem_words(text)]).items():
+                    for stem in stems(head):
+                        counts[stem] += n
                 held_terms = {t for t, _ in terms_of(counts)}
                 found[y].update(held_terms)
                 for t in held_terms:
@@ -262,106 +286,163 @@ def fit(
     chi2 = F.try_divide(
         F.pow(a * (n0 - b) - b * (n1 - a), F.lit(2.0)) * float(n0 + n1), (a + b) * (F.lit(float(n0 + n1)) - a - b) * float(max(n1, 1)) * float(max(n0, 1))
     )
-    chosen = table.filter(F.col("a") >= MIN_ROWS).withColumn("chi2", chi2).filter(F.col("chi2") >= min_chi2)
+    often = F.col("a") * n0 >= MIN_LIFT * F.col("b") * n1
+    chosen = table.filter((F.col("a") >= MIN_ROWS) & often).withColumn("chi2", chi2).filter(F.col("chi2") >= min_chi2)
     if max_terms is not None:
         chosen = chosen.orderBy(F.desc("chi2"), "term").limit(max_terms)
-    passed = chosen.select("term", "mark", "a", "b", "chi2").collect()
-    p = chance(np.array([r.a for r in passed], dtype=int), np.array([r.b for r in passed], dtype=int), n1, n0)
-    terms = one_per_marker([(r.term, r.mark) for r, x in zip(passed, p) if x <= MAX_CHANCE])
 
-    # Document frequencies of the chosen terms over all documents.
-    def count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, n, seen = TermIds(terms), 0, np.zeros(len(terms), dtype=np.int64)
+    def unlikely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            n += len(batch)
-            for text in batch["text"]:
-                seen[list(ids.counts(text))] += 1
-        yield pd.DataFrame({"t": [*range(len(terms)), -1], "n": [*seen, n]})
+            p = chance(batch["a"].to_numpy(), batch["b"].to_numpy(), n1, n0)
+            yield batch.loc[p <= MAX_CHANCE, ["term", "mark", "chi2"]]
 
-    df = {r.t: r.n for r in docs.select("text").mapInPandas(count_terms, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()}
-    total = df.get(-1, 0)
-    idf = np.log((1 + total) / (1 + np.array([df.get(i, 0) for i in range(len(terms))], dtype=float)))
-    idf = np.maximum(idf, 1e-3)
-    # Many weak terms must not drown the strong ones in a cosine.
+    passed = chosen.select("term", "mark", "a", "b", "chi2").mapInPandas(unlikely, "term string, mark long, chi2 double").collect()
+    terms = one_per_marker([(r.term, r.mark) for r in passed])
     strength = {r.term: r.chi2 for r in passed}
-    idf = idf * np.sqrt(np.array([strength[t] for t in terms], dtype=float) / max(1, n1 + n0))
+    return Chosen(terms, np.array([strength[t] for t in terms], dtype=float), train, sizes, {1: n1, 0: n0})
+
+
+def term_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
+    """doc_id, row_key (hash of the text), t (ids of the terms that the text holds, ascending) and tf, per input row."""
+    ship_package(docs.sparkSession)
 
-    # Term counts of the training rows that hold a term; the first of each class by hash order are indexed.
-    def count_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = TermIds(terms)
         for batch in batches:
-            counts = [ids.counts(t) for t in batch.pop("text")]
-            batch["t"] = [sorted(c) for c in counts]
-            batch["tf"] = [[c[i] for i in sorted(c)] for c in counts]
-            yield batch[["doc_id", "y", "t", "tf"]]
-
-    vectors = pin(train.mapInPandas(count_rows, "doc_id long, y int, t array<int>, tf array<int>"), "toxicity-vectors")
-    heard = {r.y: r.n for r in vectors.filter("size(t) > 0").groupBy("y").agg(F.count("*").alias("n")).collect()}
-    rate = {y: sizes.get(y, 0) / max(1, of.get(y, 0)) for y in (0, 1)}  # labelled rows per fitted row
-    examples: list[tuple[int, int, float, Counter]] = []
+            found = [ids.counts(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    batch.column("row_key"),
+                    pa.array([list(c) for c in found], pa.list_(pa.int32())),
+                    pa.array([list(c.values()) for c in found], pa.list_(pa.int32())),
+                ],
+                names=["doc_id", "row_key", "t", "tf"],
+            )
+
+    text = F.coalesce(F.col("text"), F.lit(""))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row_key"), text.alias("text"))
+    return keyed.mapInArrow(count, "doc_id long, row_key long, t array<int>, tf array<int>")
+
+
+def weigh(chosen: Chosen, counts: DataFrame, examples_per_class: int = EXAMPLES_PER_CLASS) -> Index:
+    """The index of ``chosen``, its document frequencies taken from ``counts`` (of all documents)."""
+    terms, sizes, of = chosen.terms, chosen.labelled, chosen.fitted
+    base_rate = sizes.get(1, 0) / max(1, sum(sizes.values()))
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, rows = np.zeros(len(terms), dtype=np.int64), 0
+        for batch in batches:
+            rows += batch.num_rows
+            seen += np.bincount(batch.column("t").flatten().to_numpy(), minlength=len(terms))
+        found = np.flatnonzero(seen)
+        ids, n = np.append(found, -1), np.append(seen[found], rows)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(n, pa.int64())], names=["t", "n"])
+
+    # One row per term and task, and one per term here; -1 counts documents.
+    df = {r.t: r.n for r in counts.select("t").mapInArrow(held, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()}
+    total = df.get(-1, 0)
+    idf = np.log((1 + total) / (1 + np.array([df.get(i, 0) for i in range(len(terms))], dtype=float)))
+    # Many weak terms must not drown the strong ones in a cosine.
+    idf = np.maximum(idf, 1e-3) * np.sqrt(chosen.strength / max(1, of[1] + of[0]))
+
+    # Of the training rows that hold a term, the first of each class by hash order are indexed.
+    rows = term_counts(chosen.train, terms).select("row_key", "t", "tf")
+    vectors = pin(chosen.train.select("row_key", "doc_id", "y").join(rows, "row_key").filter("size(t) > 0"), "toxicity-vectors", few_files=True)
+    heard = {r.y: r.n for r in vectors.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    rate = {y: sizes.get(y, 0) / max(1, of[y]) for y in (0, 1)}  # labelled rows per fitted row
+    examples: list[tuple[int, int, float, dict[int, int]]] = []
     for y in (0, 1):
         order = F.xxhash64("doc_id", F.lit("toxicity example"))
-        few: list[Row] = vectors.filter(f"size(t) > 0 and y = {y}").orderBy(order, "doc_id").limit(examples_per_class).collect()
+        few: list[Row] = vectors.filter(f"y = {y}").orderBy(order, "doc_id").limit(examples_per_class).collect()
         votes = rate[y] * heard.get(y, 0) / max(1, len(few))
-        examples += [(r.doc_id, y, votes, Counter(dict(zip(r.t, r.tf)))) for r in few]
-    silent = [rate[y] * (of.get(y, 0) - heard.get(y, 0)) for y in (0, 1)]
+        examples += [(r.doc_id, y, votes, dict(zip(r.t, r.tf))) for r in few]
+    silent = [rate[y] * (of[y] - heard.get(y, 0)) for y in (0, 1)]
     silent_rate = (silent[1] + base_rate) / (sum(silent) + 1)
     order = np.random.default_rng(0).permutation(len(examples))
     return build_index(terms, idf, [examples[i] for i in order], base_rate, silent_rate)
 
 
-def score(docs: DataFrame, index: Index, neighbours: int = NEIGHBOURS, prior_votes: float = PRIOR_VOTES) -> DataFrame:
-    """Per input row: doc_id, score, predicted, evidence_terms (shared by document and model), evidence_ids (nearest examples).
+def fit(
+    docs: DataFrame,
+    labels: DataFrame,
+    fit_per_class: int = FIT_PER_CLASS,
+    examples_per_class: int = EXAMPLES_PER_CLASS,
+    max_terms: int | None = None,
+    min_chi2: float = MIN_CHI2,
+) -> Index:
+    """Learn from labelled training rows among ``docs``; the bounds are this module's constants.
 
-    NULL and empty texts hold no term and get the rate of such training rows.
-    Labels, lang, source and doc_id do not enter a score; equal texts get equal
-    scores.  Repeated rows give repeated results; other columns are ignored; an
-    empty table gives an empty result.
+    Without rows of both classes no term is chosen and every score is the base
+    rate (0 without any label).
     """
-    ship_package(docs.sparkSession)
+    chosen = choose_terms(docs, labels, fit_per_class, max_terms, min_chi2)
+    return weigh(chosen, term_counts(docs, chosen.terms), examples_per_class)
+
+
+def score_counts(counts: DataFrame, index: Index, neighbours: int = NEIGHBOURS, prior_votes: float = PRIOR_VOTES) -> DataFrame:
+    """doc_id, row_key, score, evidence_terms, evidence_ids from the rows of ``term_counts``; equal counts are scored once a task."""
+    ship_package(counts.sparkSession)
+    schema = "doc_id long, row_key long, score double, evidence_terms array<string>, evidence_ids array<long>"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = TermIds(index.terms)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple, tuple[float, list[int]]] = {}
         for batch in batches:
             scores, terms, examples = [], [], []
-            for text in batch.pop("text"):
-                counts = ids.counts(text)
-                key = tuple(sorted(counts.items()))
+            for t, tf in zip(batch.column("t").to_pylist(), batch.column("tf").to_pylist()):
+                key = (*t, *tf)
                 if key not in known:
                     if len(known) > 1 << 14:
                         known.clear()
-                    value, near, _ = index.score(*index.vector(counts), neighbours, prior_votes)
+                    value, near = index.score(t, tf, neighbours, prior_votes)
                     known[key] = value, index.example_id[near[:3]].tolist()
                 value, close = known[key]
                 scores.append(value)
-                terms.append([index.terms[i] for i, _ in key])
+                terms.append([index.terms[i] for i in t])
                 examples.append(close)
-            batch["score"], batch["evidence_terms"], batch["evidence_ids"] = scores, terms, examples
-            yield batch
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    batch.column("row_key"),
+                    pa.array(scores, pa.float64()),
+                    pa.array(terms, pa.list_(pa.string())),
+                    pa.array(examples, pa.list_(pa.int64())),
+                ],
+                names=["doc_id", "row_key", "score", "evidence_terms", "evidence_ids"],
+            )
+
+    return counts.mapInArrow(run, schema)
+
+
+def _learn_and_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Scores of ``docs`` by what is learnt from them; their texts are read for terms only once."""
+    chosen = choose_terms(docs, labels)
+    counts = pin(term_counts(docs, chosen.terms), "toxicity-counts")
+    return score_counts(counts, weigh(chosen, counts))
 
-    # A NULL doc_id would turn the column into floats in pandas; it travels as text.
-    out = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(
-        run, "doc_id string, score double, evidence_terms array<string>, evidence_ids array<long>"
-    )
-    return out.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+def _decided(scored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    return scored.drop("row_key").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def score(docs: DataFrame, index: Index, neighbours: int = NEIGHBOURS, prior_votes: float = PRIOR_VOTES) -> DataFrame:
+    """Per input row: doc_id, score, predicted, evidence_terms (shared by document and model), evidence_ids (nearest examples).
+
+    NULL and empty texts hold no term and get the rate of such training rows.
+    Labels, lang, source and doc_id do not enter a score; equal texts get equal
+    scores.  Repeated rows give repeated results; other columns are ignored; an
+    empty table gives an empty result.
+    """
+    return _decided(score_counts(term_counts(docs, index.terms), index, neighbours, prior_votes))
+
+
+def fit_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``score(docs, fit(docs, labels))``, with the terms of the texts counted once for both."""
+    return _decided(_learn_and_score(docs, labels))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the documents whose score reaches ``threshold``, all columns kept."""
-    index = fit(docs, labels)
-    ship_package(docs.sparkSession)
-
-    def toxic(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = TermIds(index.terms)
-        for batch in batches:
-            got = [index.score(*index.vector(ids.counts(t)), NEIGHBOURS, PRIOR_VOTES)[0] for t in batch["text"]]
-            yield batch.loc[np.array(got, dtype=float) >= threshold, ["doc_id", "row_key"]]
-
-    keyed = docs.select("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("row_key"), "text")
-    keyed = keyed.withColumn("doc_id", F.col("doc_id").cast("string"))
-    bad = pin(keyed.mapInPandas(toxic, "doc_id string, row_key long").distinct(), "toxicity-dropped", few_files=True)
-    bad = bad.withColumn("doc_id", F.col("doc_id").cast("long")).alias("b")
-    all_rows = docs.withColumn("__row_key", F.xxhash64(F.coalesce(F.col("text"), F.lit("")))).alias("a")
-    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.__row_key") == F.col("b.row_key"))
-    return all_rows.join(bad, same, "left_anti").drop("__row_key")
+    found = _learn_and_score(docs, labels).filter(F.col("score") >= threshold)
+    bad = pin(found.select("doc_id", "row_key").distinct(), "toxicity-dropped", few_files=True)
+    return without(docs, bad)

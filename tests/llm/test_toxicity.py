@@ -31,7 +31,7 @@ def test_block_max_search_is_exact():
     dense = np.array([vector(e[3]) for e in held])
     for _ in range(60):
         query = Counter({rng.randrange(40): rng.randrange(1, 9) for _ in range(rng.randrange(1, 9))})
-        near, sims = index.nearest(*index.vector(query), 10)
+        near, sims = index.nearest(*index.vector(list(query), list(query.values())), 10)
         cosine = dense @ vector(query)
         order = np.lexsort((np.arange(len(cosine)), -cosine.round(12)))[:10]
         order = order[cosine[order] > 0]
@@ -144,3 +144,74 @@ def test_drop_toxic(spark, clashing):
     assert kept.columns == extra.columns
     assert rows(kept, "doc_id") == [(i,) for i in range(400) if i % 5]
     assert tox.drop_toxic(clashing, labels).count() == clashing.count()
+
+
+def test_a_slight_difference_is_no_marker(spark):
+    """A word that toxic rows hold 1.3 times as often is proven by many rows, and is still no term."""
+    rng = random.Random(4)
+    plain = [f"w{i:03d}" for i in range(300)]
+    data = []
+    for i in range(9000):
+        toxic = i % 3 == 0
+        w = [rng.choice(plain) for _ in range(8)] + ["common"] * (rng.random() < (0.52 if toxic else 0.4)) + ["horrid"] * (toxic and rng.random() < 0.9)
+        data.append((i, " ".join(w), int(toxic)))
+    docs = spark.createDataFrame([d[:2] for d in data], "doc_id long, text string")
+    chosen = tox.choose_terms(docs, spark.createDataFrame([(i, y) for i, _, y in data], "doc_id long, toxic int"))
+    assert {t.split(" ")[0] for t in chosen.terms} == {"horr"}
+
+
+def test_terms_weights_votes_and_scores_against_brute_force(spark):
+    """Term choice, document frequencies, weights, neighbours, votes and scores of a small table, by plain loops."""
+    docs, labels = tables(spark)
+    docs = docs.unionByName(docs.filter("doc_id < 20").withColumn("doc_id", F.col("doc_id") + 1000)).cache()
+    text = {r.doc_id: r.text for r in docs.collect()}
+    label = {r.doc_id: r.toxic for r in labels.collect()}
+    train = {i: y for i, y in label.items() if zlib.crc32(str(i).encode()) % 3 != 1}
+
+    def terms(t):
+        held = Counter()
+        for w in t.lower().split():
+            for s in {w[:k] for k in tox.STEMS}:
+                held[s] += 1
+        return {**held, **{f"{s} {k}x": n for s, n in held.items() for k in tox.TIMES if n >= k}}
+
+    rows = [(i, y, terms(text[i])) for i, y in sorted(train.items())]
+    n1, n0 = sum(y for _, y, _ in rows), sum(1 - y for _, y, _ in rows)
+    chosen, strength, marks = [], {}, {}
+    for term in {t for _, _, c in rows for t in c}:
+        a, b = (sum(term in c for _, y, c in rows if y == side) for side in (1, 0))
+        chi2 = (a * (n0 - b) - b * (n1 - a)) ** 2 * (n0 + n1) / ((a + b) * (n0 + n1 - a - b) * n1 * n0) if 0 < a + b < n0 + n1 else 0
+        if a >= tox.MIN_ROWS and a * n0 >= tox.MIN_LIFT * b * n1 and chi2 >= tox.MIN_CHI2 and tox.chance(np.array([a]), np.array([b]), n1, n0)[0] <= tox.MAX_CHANCE:
+            chosen.append(term)
+            strength[term], marks[term] = chi2, frozenset(i for i, _, c in rows if term in c)
+    kept = sorted(t for t in chosen if not any(o != t and marks[o] == marks[t] and t.partition(" ")[2] == o.partition(" ")[2] and t.startswith(o.partition(" ")[0]) and len(o) < len(t) for o in chosen))
+    index = tox.fit(docs, labels)
+    assert index.terms == kept
+    df = {t: sum(t in terms(x) for x in text.values()) for t in kept}
+    weight = {t: np.log((1 + len(text)) / (1 + df[t])) * np.sqrt(strength[t] / (n1 + n0)) for t in kept}
+    assert index.idf == pytest.approx([weight[t] for t in kept])
+
+    def vector(t):
+        v = {k: (1 + np.log(n)) * weight[k] for k, n in terms(t).items() if k in weight}
+        size = np.sqrt(sum(x * x for x in v.values()))
+        return {k: x / size for k, x in v.items()}
+
+    examples = [(i, y, vector(text[i])) for i, y, _ in rows]
+    heard = [e for e in examples if e[2]]
+    base = n1 / (n1 + n0)
+    silent = sum(y for _, y, v in examples if not v)
+    got = {r.doc_id: r.score for r in tox.fit_score(docs, labels).collect()}
+    assert got == pytest.approx({r.doc_id: r.score for r in tox.score(docs, index).collect()})
+    for i, t in text.items():
+        own = vector(t)
+        if not own:
+            assert got[i] == pytest.approx((silent + base) / (len(examples) - len(heard) + 1))
+            continue
+        sims = sorted(((sum(x * v.get(k, 0.0) for k, x in own.items()), y) for _, y, v in heard), key=lambda s: -s[0])
+        near = [s for s in sims[: tox.NEIGHBOURS] if s[0] > 0]
+        if len(sims) > tox.NEIGHBOURS and sims[tox.NEIGHBOURS][0] > sims[tox.NEIGHBOURS - 1][0] - 1e-9:
+            tied = {y for s, y in sims if abs(s - sims[tox.NEIGHBOURS - 1][0]) < 1e-9}
+            if len(tied) > 1:
+                continue  # which of equal neighbours of both classes vote is the index's choice
+        total = sum(s for s, _ in near)
+        assert got[i] == pytest.approx((sum(s * y for s, y in near) + tox.PRIOR_VOTES * base) / (total + tox.PRIOR_VOTES))
