@@ -7,13 +7,15 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from demandkit.operators import dense, drift, features, forecast, metrics, models, reports, rules_table, split, trees
 from demandkit.plans import jobs, refresh
 from demandkit.plans.common import rounded
-from demandkit.plans.queries import CFG, KEYS, daily, drift_sides, feature_frame, naive_predictions_by_center, panel, sales, series_last_dates
+from demandkit.plans.queries import CFG, daily, drift_sides, feature_frame, naive_predictions_by_center, panel, sales, series_last_dates, stock_table
 from demandkit.session import ensure_checkpoint_dir
 from demandkit.sources import files, results, testdata
 from demandkit.sources.testdata import SALES_SPEC as SPEC
@@ -103,6 +105,42 @@ def q_job_drift(spark, sf_dir):
     return rounded(report)
 
 
+def q_sorted_sink(spark, sf_dir):
+    """S3 + T1: a table partitioned by center and sorted within, read back in file order."""
+    path = folder(spark, "sorted")
+    table = daily(spark, sf_dir).repartition(SPEC.center)
+    files.write_parquet(table, path, partition_by=[SPEC.center], sort_within=[SPEC.item, SPEC.date])
+    here = files.read_parquet(spark, path).select(
+        F.col("center").cast("string").alias("center"), F.struct("item", "date").alias("key"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")
+    )
+    before = F.lag("key").over(Window.partitionBy("file").orderBy("at"))
+    rows = here.withColumn("back", (before > F.col("key")).cast("int"))
+    first, last = F.min_by("key", "at"), F.max_by("key", "at")
+    return rows.groupBy("center").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_distinct("file").alias("n_files"),
+        F.coalesce(F.sum("back"), F.lit(0)).alias("n_out_of_order"),
+        first["item"].alias("first_item"),
+        first["date"].alias("first_date"),
+        last["item"].alias("last_item"),
+        last["date"].alias("last_date"),
+    )
+
+
+# Features that differ in the future frame, each with a weight of its own.
+FORMULA = "0.5D * lag_1 + 0.3D * rolling_std_7 + 0.25D * rolling_min_14 + 0.001D * rate + 5.0D * month_sin + 0.7D * day_of_week + 1.0D"
+
+
+def q_job_forecast(spark, sf_dir):
+    """B3 + S7: a saved model over a written feature table; recommendations for every stocked pair."""
+    table, saved = folder(spark, "job-table"), folder(spark, "job-models")
+    files.write_parquet(feature_frame(spark, sf_dir), table)
+    model = PipelineModel(stages=[SQLTransformer(statement=f"SELECT *, ({FORMULA}) AS prediction FROM __THIS__")])
+    model.write().save(f"{saved}/xgboost")
+    stock = stock_table(spark, sf_dir).drop("last_date")
+    return rounded(jobs.forecast_job(spark, table, saved, "xgboost", 30, stock=stock, spec=SPEC).recommendations)
+
+
 # ---------------------------------------------------------------- runs
 
 
@@ -278,6 +316,8 @@ REGISTRY = {
     "csv_rejects": q_csv_rejects,
     "job_features": q_job_features,
     "job_drift": q_job_drift,
+    "job_forecast": q_job_forecast,
+    "sorted_sink": q_sorted_sink,
     "best_run_params": q_best_run_params,
     "rule_table_match": q_rule_table_match,
     "rule_table_forecast": q_rule_table_forecast,

@@ -19,8 +19,10 @@ from demandkit.plans.oracle import (
     SEASONAL_COLS,
     SERIES,
     SQL as BASE_SQL,
+    STOCK,
     W,
     _accuracy,
+    inventory_sql,
     rule_forecast_sql,
 )
 
@@ -93,6 +95,17 @@ UNION ALL SELECT whole || ',surplus', count(*) FROM lines WHERE k % 11 <> 0 AND
 UNION ALL SELECT '(rows read)', count(*) FROM lines WHERE k % 11 <> 0 AND k % 7 <> 0""",
     "job_features": BASE_SQL["feature_table"],
     "job_drift": BASE_SQL["drift_report"],
+    "job_forecast": BASE + "," + ",".join([FUTURE, SERIES, STOCK]) + """,
+fc AS (
+  SELECT center, item, date, step,
+         (0.5 * coalesce(tm, 0) + 0.3 * coalesce(ts, 0) + 0.25 * coalesce(tmin, 0) + 0.001 * coalesce(tr, 0)
+          + 5.0 * sin(2 * pi() * month(date) / 12.0) + 0.7 * (isodow(date) - 1) + 1.0)::DOUBLE AS forecast
+  FROM fut),""" + inventory_sql("stock"),
+    "sorted_sink": "WITH " + ",".join([SALES, DAILY]) + """
+SELECT center, count(*) AS n_rows, 1::BIGINT AS n_files, 0::BIGINT AS n_out_of_order,
+       first(item ORDER BY item, date) AS first_item, first(date ORDER BY item, date) AS first_date,
+       last(item ORDER BY item, date) AS last_item, last(date ORDER BY item, date) AS last_date
+FROM daily GROUP BY center""",
     "best_run_params": BASE_SQL["best_run"][: BASE_SQL["best_run"].index("SELECT experiment, run_id,")] + f"""
 SELECT experiment, run_id, 'runs:/' || run_id || '/model' AS model_uri, round(rmse, {D}) AS rmse,
        CASE WHEN run_id LIKE '%/rolling%' THEN 'mean' WHEN run_id LIKE '%lag_1' THEN NULL ELSE 'lag' END AS kind,

@@ -81,7 +81,7 @@ class ForecastJobResult:
     forecast: DataFrame
     recommendations: DataFrame | None
     backtest: DataFrame
-    importances: DataFrame
+    importances: DataFrame | None
 
 
 def forecast_job(
@@ -96,8 +96,8 @@ def forecast_job(
     series: DataFrame | None = None,
 ) -> ForecastJobResult:
     """Model forecast for every series (or those in ``series``), back-test
-    metrics, top feature importances, and (with a stock table) inventory
-    recommendations.  A stocked pair is forecast as far as its own lead time
+    metrics, top feature importances (None for a model without trees), and (with
+    a stock table) inventory recommendations.  A stocked pair is forecast as far as its own lead time
     and one week; the returned forecast ends at ``horizon``."""
     history = files.read_parquet(spark, features_path)
     model = models.load_model(models_path, model_name)
@@ -108,7 +108,8 @@ def forecast_job(
             F.col("center").alias(spec.center), F.col("item").alias(spec.item), "horizon"
         )
         recs = inventory.inventory_recommendations(models.forecast(model, history, "horizon", spec, cfg, own), stock)
-    return ForecastJobResult(fc, recs, models.backtest(model, history, spec), models.feature_importance(model))
+    importances = models.feature_importance(model) if hasattr(model.stages[-1], "featureImportances") else None
+    return ForecastJobResult(fc, recs, models.backtest(model, history, spec), importances)
 
 
 def drift_job(

@@ -16,7 +16,7 @@ EXPECTED = set(
     "best_run role_mapping profile_values future_features upload_projection clean_dirty_numeric clean_dirty_dates "
     "clean_dirty_labels date_rejects inventory_repeated_stock rule_forecast_keywords drift_sparse history_series "
     "upload_no_roles linear_forecast linear_backtest linear_metrics gbt_invariants sparse_features incremental_features csv_sales csv_rejects "
-    "job_features job_drift best_run_params rule_table_match rule_table_forecast rule_forecast_noise tree_forecast "
+    "job_features job_drift job_forecast sorted_sink best_run_params rule_table_match rule_table_forecast rule_forecast_noise tree_forecast "
     "tree_backtest null_target_metrics cv_folds cv_linear_metrics ks_exact profile_sketch center_item_map".split()
 )
 ROWS_ONLY = {"gbt_forecast", "gbt_importance", "gbt_backtest", "gbt_metrics"}
