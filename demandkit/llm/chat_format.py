@@ -45,12 +45,14 @@ def loss_spans(turns: Column) -> Column:
 def conversations_to_turns(conversations: DataFrame) -> DataFrame:
     """(conv_id, turns): one row per conversation, turns by turn number, then role and text.
 
-    NULL roles and texts become empty.  A conversation is one training example
-    and so one row.
+    NULL roles and texts become empty, and a NULL turn comes first.  Rows without
+    a conv_id belong to no conversation and give none.  Repeated rows are turns
+    of their own.  A conversation, however long, is one training example and so
+    one row.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     role = F.coalesce(F.col("role"), F.lit(""))
-    gathered = conversations.groupBy("conv_id").agg(
+    gathered = conversations.filter(F.col("conv_id").isNotNull()).groupBy("conv_id").agg(
         F.array_sort(F.collect_list(F.struct(F.coalesce("turn", F.lit(-1)).alias("turn"), role.alias("role"), text.alias("text")))).alias("t")
     )
     return gathered.select("conv_id", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
@@ -68,7 +70,7 @@ def neighbour_pairs(conversations: DataFrame) -> DataFrame:
         F.transform("turns", lambda t, i: F.when(t["role"] == "assistant", i + 1))
     )
     cut = turns.withColumn("n", last).filter("n is not null").select("conv_id", F.slice("turns", F.lit(1), F.col("n")).alias("chosen"))
-    reply = cut.select((F.col("conv_id") - 1).alias("conv_id"), F.slice("chosen", -1, 1).alias("other"))
+    reply = cut.select(F.try_subtract("conv_id", F.lit(1)).alias("conv_id"), F.slice("chosen", -1, 1).alias("other"))
     same_start = F.slice("chosen", F.lit(1), F.size("chosen") - 1)
     return cut.join(reply, "conv_id", "left").select(
         "conv_id", "chosen", F.concat(same_start, F.coalesce("other", F.array().cast(TURNS))).alias("rejected")

@@ -1,16 +1,19 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is ``block_words`` consecutive words of a document; blocks start every
-half block, so any passage of up to half a block lies whole in one.  A block
-matches a template when it holds at least ``threshold`` of the template's
-distinct words.  Template words are ordered by how many documents hold them,
-rarest first; then
-
-* length: a block must hold as many template words as the match needs;
-* prefix: the first word that both share must be early in both orders;
-* position: what is left after that word must still reach the needed overlap;
-
-and the survivors' overlaps are counted exactly.
+A block is any ``block_words`` consecutive words of a document, wherever they
+start.  A block matches a template when it holds at least ``threshold`` of the
+template's distinct words, all of its deciding words, and none of its excluded
+ones (words that make it another license).  Template words are ordered by how
+many documents hold them, rarest first; then
+
+* prefix: a block that matches holds one of the template's first words, so only
+  the blocks around these words' places are looked at (each place brings the
+  words around it once);
+* length: those words must hold as many template words as the match needs;
+* position: what is left after the first shared word must still reach the needed
+  overlap;
+
+and of the places that are left, the overlap of every block is counted exactly.
 """
 
 from __future__ import annotations
@@ -31,19 +34,24 @@ PHRASES = {
     "cc-by-nc": "cc by nc",
 }
 
-# Notice wordings, as (label, words).  The one-line MIT notice is a phrase above and no
-# template: "mit" is a German word, and four of its five words stand in other notices.
+# Notice wordings, as (label, words, deciding words, excluded words).  The one-line MIT notice is a
+# phrase above and no template: "mit" is a German word, and four of its five words stand in other notices.
 TEMPLATES = [
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("apache-2", "licensed under the apache license version 2 0"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-]
-
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "", ""),
+    ("apache-2", "licensed under the apache license version 2 0", "apache", ""),
+    ("cc-by-nc", "licensed under cc by nc 4 0", "cc nc", ""),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", "commons noncommercial", ""),
+    ("cc-by-sa", "licensed under cc by sa 4 0", "cc sa", ""),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", "commons sharealike", ""),
+    ("cc-by", "licensed under cc by 4 0", "cc by", "nc sa nd"),
+    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", "commons attribution", "noncommercial sharealike noderivatives"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "waived", ""),
+    ("gpl-3", "this work is licensed under the gnu general public license version 3", "gnu", "lesser affero"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution", ""),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla", ""),
+]
+
+Template = tuple[str, str, str, str]
 THRESHOLD = 0.8
 BLOCK_WORDS = 64
 
@@ -73,11 +81,11 @@ def word_order(docs: DataFrame, vocabulary: list[str]) -> list[str]:
     return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
 
-def _prefixes(spark: SparkSession, templates: list[tuple[str, str]], order: list[str], threshold: float) -> tuple[DataFrame, list[str]]:
-    """One row per template and prefix word (word, at, n, need, label, tokens), and the distinct prefix words."""
+def _prefixes(spark: SparkSession, templates: list[Template], order: list[str], threshold: float) -> tuple[DataFrame, list[str]]:
+    """One row per template and prefix word (word, at, n, need, label, tokens, deciding, excluded), and the distinct prefix words."""
     rank = {w: i for i, w in enumerate(order)}
     rows, first = [], set()
-    for label, wording in templates:
+    for label, wording, deciding, excluded in templates:
         tokens = sorted(set(wording.split()), key=rank.__getitem__)
         need = ceil(threshold * len(tokens) - 1e-9)
         for at, word in enumerate(tokens[: len(tokens) - need + 1]):
@@ -90,6 +98,8 @@ def _prefixes(spark: SparkSession, templates: list[tuple[str, str]], order: list
                     F.lit(need).alias("need"),
                     F.lit(label).alias("label"),
                     _text_array(tokens).alias("tokens"),
+                    _text_array(deciding.split()).alias("deciding"),
+                    _text_array(excluded.split()).alias("excluded"),
                 )
             )
     return spark.range(1).select(F.inline(F.array(*rows))), sorted(first)
@@ -97,46 +107,53 @@ def _prefixes(spark: SparkSession, templates: list[tuple[str, str]], order: list
 
 def matches(
     docs: DataFrame,
-    templates: list[tuple[str, str]] = TEMPLATES,
+    templates: list[Template] = TEMPLATES,
     threshold: float = THRESHOLD,
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
-    """(doc_id, row_key, start, label, overlap, n): every block and template that meet the threshold.
+    """(doc_id, row_key, place, start, label, overlap, n): places of prefix words in blocks that meet the threshold.
 
-    ``start`` is the block's first word in the document.  NULL and empty texts
+    Of the blocks around a place, the best one (then the first) is told:
+    ``start`` is its first word in the document.  A document has a row for a
+    template if and only if any of its blocks matches.  NULL and empty texts
     have no blocks.  The template side is broadcast: its size comes from the
     templates alone.
     """
-    if any(2 * len(wording.split()) > block_words for _, wording in templates):
-        raise ValueError("a block must be at least twice as long as any template")
-    order = word_order(docs, sorted({w for _, wording in templates for w in wording.split()}))
+    if any(len(wording.split()) > block_words for _, wording, _, _ in templates):
+        raise ValueError("a block must be at least as long as any template")
+    order = word_order(docs, sorted({w for _, wording, _, _ in templates for w in wording.split()}))
     prefixes, first = _prefixes(docs.sparkSession, templates, order, threshold)
-    step = block_words // 2
-    found = (
+    place = F.col("place")
+    low = F.greatest(place - (block_words - 1), F.lit(0))
+    near = (
         docs.select("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("row_key"), words(F.col("text")).alias("words"))
         .filter(F.arrays_overlap("words", _text_array(first)))
-        .select("doc_id", "row_key", "words", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - step - 1, F.lit(0)), F.lit(step))).alias("start"))
-    )
-    # Template words of the block in global order; array_intersect keeps the order of its first argument.
-    held = found.select(
-        "doc_id", "row_key", "start", F.array_intersect(_text_array(order), F.slice("words", F.col("start") + 1, F.lit(block_words))).alias("held")
-    )
-    size = F.size("held")
-    able = held.select("doc_id", "row_key", "start", "held", F.posexplode("held").alias("here", "word"))
-    left = F.least(F.col("n") - F.col("at"), size - F.col("here"))
-    pairs = able.join(F.broadcast(prefixes), "word").filter((size >= F.col("need")) & (left >= F.col("need")))
-    overlap = F.size(F.array_intersect("held", "tokens"))
-    return (
-        pairs.withColumn("overlap", overlap)
-        .filter(F.col("overlap") >= F.col("need"))
-        .select("doc_id", "row_key", "start", "label", "overlap", "n")
+        .select("doc_id", "row_key", "words", F.posexplode("words").alias("place", "word"))
+        .filter(F.col("word").isin(first))
+        .select("doc_id", "row_key", "word", "place", low.alias("low"), F.slice("words", low + 1, place - low + block_words).alias("around"))
     )
+    # Template words around the place in global order; array_intersect keeps the order of its first argument.
+    able = near.withColumn("held", F.array_intersect(_text_array(order), "around"))
+    size, here = F.size("held"), F.array_position("held", F.col("word")) - 1
+    left = F.least(F.col("n") - F.col("at"), size - here)
+    need = F.col("need")
+    pairs = able.join(F.broadcast(prefixes), "word").filter((size >= need) & (left >= need) & (F.size(F.array_intersect("held", "tokens")) >= need))
+
+    def overlap(offset: Column) -> Column:
+        block = F.slice("around", offset + 1, F.lit(block_words))
+        fits = (F.size(F.array_except("deciding", block)) == 0) & ~F.arrays_overlap(block, F.col("excluded"))
+        return F.when(fits, F.size(F.array_intersect("tokens", block))).otherwise(0)
+
+    found = pairs.withColumn("overlaps", F.transform(F.sequence(F.lit(0), place - F.col("low")), overlap))
+    found = found.withColumn("overlap", F.array_max("overlaps")).filter(F.col("overlap") >= need)
+    start = (F.col("low") + F.array_position("overlaps", F.col("overlap")) - 1).cast("int")
+    return found.select("doc_id", "row_key", "place", start.alias("start"), "label", "overlap", "n")
 
 
 def scan(
     docs: DataFrame,
     phrases: dict[str, str] = PHRASES,
-    templates: list[tuple[str, str]] = TEMPLATES,
+    templates: list[Template] = TEMPLATES,
     threshold: float = THRESHOLD,
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:

@@ -16,20 +16,20 @@ def _values(rows) -> str:
 
 
 _PHRASES = _values(PHRASES.items())
-_TEMPLATES = _values((i, label, text) for i, (label, text) in enumerate(TEMPLATES))
+_TEMPLATES = _values((i, *template) for i, template in enumerate(TEMPLATES))
 
 SQL = {
     "op3_chat_format": r"""
 WITH t AS (
   SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
          row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(turn, -1), coalesce(role, ''), coalesce(text, '')) AS i
-  FROM conversations
+  FROM conversations WHERE conv_id IS NOT NULL
 ),
 ends AS (SELECT conv_id, max(i) AS k FROM t WHERE role = 'assistant' GROUP BY conv_id),
 replies AS (SELECT conv_id, k, text FROM t JOIN ends USING (conv_id) WHERE i = k),
 pairs AS (
   SELECT a.conv_id, a.k, a.text AS yes, b.text AS no, CASE WHEN a.text = b.text THEN a.k ELSE a.k - 1 END AS n
-  FROM replies a LEFT JOIN replies b ON b.conv_id = a.conv_id + 1
+  FROM replies a LEFT JOIN replies b ON b.conv_id::HUGEINT = a.conv_id::HUGEINT + 1
 ),
 prompts AS (
   SELECT p.conv_id, string_agg('<|' || role || '|>' || chr(10) || t.text || '<|end|>' || chr(10), '' ORDER BY i) AS prompt
@@ -67,15 +67,20 @@ base AS (
   SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_sort(list(DISTINCT label)) AS labels
   FROM places GROUP BY doc_id
 ),
-templates(label, tokens) AS (SELECT label, list_distinct(string_split(words, ' ')) FROM (VALUES {_TEMPLATES}) t(i, label, words)),
-vocabulary AS (SELECT list(DISTINCT token) AS held FROM (SELECT unnest(tokens) AS token FROM templates)),
+templates(label, tokens, deciding, excluded) AS (
+  SELECT label, list_distinct(string_split(words, ' ')), list_filter(string_split(deciding, ' '), lambda x: x <> ''),
+         list_filter(string_split(excluded, ' '), lambda x: x <> '')
+  FROM (VALUES {_TEMPLATES}) t(i, label, words, deciding, excluded)
+),
+vocabulary AS (SELECT list(DISTINCT token) AS held FROM (SELECT unnest(list_concat(tokens, excluded)) AS token FROM templates)),
+-- Every start is a block; only template words of it matter.
+marked AS (SELECT doc_id, list_transform(w, lambda x: CASE WHEN list_contains(held, x) THEN x ELSE '' END) AS w FROM d, vocabulary),
 blocks AS (
-  SELECT doc_id, list_distinct(w[i + 1 : i + {BLOCK_WORDS}]) AS block
-  FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - {BLOCK_WORDS // 2}, 1), {BLOCK_WORDS // 2})) AS i FROM d)
+  SELECT DISTINCT doc_id, list_distinct(w[i + 1 : i + {BLOCK_WORDS}]) AS block FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM marked)
 ),
-small AS (SELECT doc_id, list_intersect(block, held) AS block FROM blocks, vocabulary WHERE len(list_intersect(block, held)) >= 4),
 shares AS (
-  SELECT doc_id, label, len(list_intersect(block, tokens)) / len(tokens) AS share FROM small, templates
+  SELECT doc_id, label, len(list_intersect(block, tokens)) / len(tokens) AS share FROM blocks, templates
+  WHERE len(block) >= 4 AND list_has_all(block, deciding) AND NOT list_has_any(block, excluded)
 ),
 more AS (
   SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS share FROM shares WHERE share >= {THRESHOLD} - 1e-9 GROUP BY doc_id

@@ -70,7 +70,6 @@ def test_pairs_from_conversations(spark):
         5: ([("", ""), (U, "first"), (A, "late")], [("", ""), (U, "first"), (A, "same")]),
         6: ([(U, "q"), (A, "same")], [(U, "q"), (A, "same")]),
         7: ([(A, "same")], []),
-        None: ([(A, "lost")], []),
     }
 
 
@@ -80,3 +79,15 @@ def test_empty_table(spark):
     one = spark.createDataFrame([(1, 0, A, "x")], "conv_id long, turn long, role string, text string")
     clash = one.select("*", F.lit("z").alias("turns"), F.lit("z").alias("chosen"))
     assert rows(chat.format_pairs(chat.neighbour_pairs(clash)), "conv_id", "chosen") == [(1, "<|assistant|>\nx<|end|>\n")]
+
+
+def test_rows_without_a_conversation_give_none(spark):
+    """Rows without conv_id are not one conversation; ids at both ends of the range; repeated and NULL turns."""
+    low, high = -(2**63), 2**63 - 1
+    data = [(None, 1, U, "one"), (None, 2, A, "dialogue"), (None, 1, U, "another"), (None, 2, A, "reply")]
+    data += [(low, 1, U, "q"), (low, 2, A, "r"), (low + 1, 1, A, "s"), (high, 1, U, "q"), (high, 1, U, "q"), (high, 2, A, "t"), (high, None, S, None)]
+    frame = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.format_pairs(chat.neighbour_pairs(frame)).collect()}
+    assert set(got) == {low, low + 1, high}
+    assert got[low].rejected == shown([(A, "s")]) and got[high].rejected == ""
+    assert got[high].prompt == shown([(S, ""), (U, "q"), (U, "q")])
