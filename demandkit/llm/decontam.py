@@ -14,9 +14,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandkit.llm.text import pin, words
+from demandkit.llm.text import pin, without, words
 
 WINDOW = 10
+BROADCAST_WORDS = 1 << 20  # distinct benchmark words; tables of up to so many are broadcast (some 50 MB)
 
 
 def _tokenised(docs: DataFrame) -> DataFrame:
@@ -33,22 +34,28 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return cut.select("item_id", F.array_join("tokens", " ").alias("win"), "tokens").distinct()
 
 
-def occurrences(docs: DataFrame, windows: DataFrame, window: int = WINDOW) -> DataFrame:
+def occurrences(docs: DataFrame, windows: DataFrame, window: int = WINDOW, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """(doc_id, row_key, start, length, win): every place where a window's words stand in a document.
 
-    ``windows`` holds (win, tokens), distinct.  The tables of their words that
-    meet documents' words are written first, so Spark broadcasts them only if
-    their real size allows and shuffles (with skewed words split) otherwise.
+    ``windows`` holds (win, tokens), distinct.  Tables with one row per
+    benchmark word are broadcast up to ``broadcast_words`` (counted first), so a
+    common word is no hot key; beyond that they are shuffled.  Either way a word
+    moves with the few words around it, never with its whole text.
     """
     spots = windows.select("win", "tokens", F.posexplode("tokens").alias("at", "word"))
     vocabulary = pin(spots.select("word").distinct(), "decontam-vocabulary", few_files=True)
+    small = vocabulary.count() <= broadcast_words
+
+    def per_word(table: DataFrame) -> DataFrame:
+        return F.broadcast(table) if small else table
+
     seen = (
         docs.select(F.explode(words(F.col("text"))).alias("word"))
-        .join(vocabulary, "word", "left_semi")
+        .join(per_word(vocabulary), "word", "left_semi")
         .groupBy("word")
         .agg(F.count("*").alias("n"))
     )
-    ranked = spots.join(seen, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    ranked = spots.join(per_word(seen), "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     rarest = ranked.groupBy("win").agg(F.min(F.struct("n", "word", "at")).alias("r"), F.first("tokens").alias("tokens"))
     # A window with a word that no document holds cannot occur.
     anchors = pin(
@@ -62,10 +69,10 @@ def occurrences(docs: DataFrame, windows: DataFrame, window: int = WINDOW) -> Da
     around = window - 1
     pos = F.col("pos")
     low = F.greatest(pos - around, F.lit(0))
+    # The words around are cut out below the join; generated code does that only for words that the join finds.
     near = (
         _tokenised(docs)
         .select("doc_id", "row_key", "words", F.posexplode("words").alias("pos", "word"))
-        .join(keys, "word", "left_semi")
         .select(
             "doc_id",
             "row_key",
@@ -75,6 +82,7 @@ def occurrences(docs: DataFrame, windows: DataFrame, window: int = WINDOW) -> Da
             (F.size("words") - pos).alias("after"),
             F.slice("words", low + 1, pos - low + window).alias("context"),
         )
+        .join(per_word(keys), "word", "left_semi")
     )
     fits = (F.col("before") >= F.col("at")) & (F.col("after") >= F.col("length") - F.col("at"))
     # Filters may run after the slice, whose start must be positive.
@@ -144,7 +152,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without the documents that hold a window of the benchmark, all columns kept."""
     found = contamination(docs, benchmark, window).filter("contaminated")
-    bad = pin(found.select("doc_id", "row_key").distinct(), "decontam-dropped", few_files=True).alias("b")
-    keyed = docs.withColumn("__row_key", F.xxhash64(F.coalesce(F.col("text"), F.lit("")))).alias("a")
-    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.__row_key") == F.col("b.row_key"))
-    return keyed.join(bad, same, "left_anti").drop("__row_key")
+    return without(docs, pin(found.select("doc_id", "row_key").distinct(), "decontam-dropped", few_files=True))

@@ -59,6 +59,31 @@ def test_against_brute_force(spark, odd_docs):
         assert rows(decontam.contamination(docs, bench, window), *COLUMNS) == brute(docs.collect(), ITEMS, window)
 
 
+def test_without_broadcast_no_text_is_carried(spark, odd_docs):
+    """Beyond the bound words are shuffled with the words around them, and the result is the same."""
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    docs = make(spark, random.Random(2)).unionByName(odd_docs.select("doc_id", "text"))
+    windows = decontam.benchmark_windows(bench).select("win", "tokens").distinct()
+    columns = ("doc_id", "start", "length", "win")
+    want = rows(decontam.occurrences(docs, windows), *columns)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for limit in (0, decontam.BROADCAST_WORDS):
+            found = decontam.occurrences(docs, windows, broadcast_words=limit)
+            assert rows(found, *columns) == want
+            plan = found._jdf.queryExecution().sparkPlan().toString()
+            physical = found._jdf.queryExecution().executedPlan().toString()
+            assert ("BroadcastHashJoin" in plan) == (limit > 0)
+            lines = physical.split("\n")
+            for i, line in enumerate(lines):
+                if "Exchange hashpartitioning(word" in line:
+                    below = next(x for x in lines[i + 1 :] if "Project" in x or "HashAggregate" in x or "Scan" in x)
+                    assert "words#" not in below.split("AS")[0], below
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_drop_contaminated(spark, clashing):
     bench = spark.createDataFrame([(1, "no id at all"), (2, "word word word")], "item_id long, text string")
     kept = decontam.drop_contaminated(clashing, bench)
