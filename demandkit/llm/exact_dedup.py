@@ -13,11 +13,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandkit.llm.text import pin, without_spaces
+from demandkit.llm.text import once_each, only, pin, without, without_spaces
 
 PREFIX_CHARS = 64
 PAGE_BITS = 32768  # of one bitmap made by bitmap_construct_agg (4 KB)
 MAX_PAGES = 4096  # at most 16 MB are broadcast
+HEAVY_ROWS = 512  # distinct documents of one text; larger groups may be joined by broadcast
+HEAVY_GROUPS = 10_000  # at most so many of them
 
 
 def _key_slot(slots: int):
@@ -89,21 +91,26 @@ def decisions(docs: DataFrame, hash_unique: bool = False, prefix_chars: int = PR
         "text_sha256",
     )
     members = full.filter("suspect").groupBy("text_sha256", "doc_id", "row_key", "n_points").agg(F.count("*").alias("copies"))
+    # Most code points, then a doc_id that is there, then the smallest.
+    order = F.struct((-F.col("n_points")).alias("points"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
     best = members.groupBy("text_sha256").agg(
-        F.max(F.struct("n_points", (-F.col("doc_id")).alias("order"), "row_key")).alias("best"),
-        F.sum("copies").alias("group_size"),
+        F.min(order).alias("best"), F.sum("copies").alias("group_size"), F.count("*").alias("n_members")
     )
-    keep_id = -F.col("best.order")
-    first = F.col("doc_id").eqNullSafe(keep_id) & (F.col("row_key") == F.col("best.row_key")) & (F.col("copy") == 0)
+    best = pin(best, "dedup-groups", few_files=True)
+    # Groups of over 1 / HEAVY_GROUPS of all rows are at most so many; their members stay where they are.
+    heavy = best.filter(F.col("n_members") > max(HEAVY_ROWS, full.count() // HEAVY_GROUPS))
+    spread = members.join(F.broadcast(heavy), "text_sha256").unionByName(
+        members.join(F.broadcast(heavy.select("text_sha256")), "text_sha256", "left_anti").join(best, "text_sha256")
+    )
+    first = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("row_key") == F.col("best.row_key")) & (F.col("copy") == 0)
     grouped = (
-        members.join(best, "text_sha256")
-        .withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))))
+        spread.withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))))
         .select(
             "doc_id",
             "row_key",
             "copy",
             "n_points",
-            keep_id.alias("keep_id"),
+            F.col("best.doc_id").alias("keep_id"),
             "group_size",
             first.alias("kept"),
             "text_sha256",
@@ -119,25 +126,17 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     a whole document are reduced to one afterwards, over just those documents.
     """
     plan = pin(decisions(docs).filter("group_size > 1").select("doc_id", "row_key", "copy", "kept"), "dedup-plan", few_files=True)
-    keyed = docs.withColumn("__row_key", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-
-    def match(side: str):
-        return F.col("a.doc_id").eqNullSafe(F.col(f"{side}.doc_id")) & (F.col("a.__row_key") == F.col(f"{side}.row_key"))
-
     out = plan.filter("kept").select("doc_id", "row_key")
     gone = plan.select("doc_id", "row_key").distinct().alias("p")
     gone = gone.join(
         out.alias("k"), F.col("p.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("p.row_key") == F.col("k.row_key")), "left_anti"
     )
-    kept = keyed.alias("a").join(gone.alias("b"), match("b"), "left_anti")
-    repeated = plan.filter("kept").select("doc_id", "row_key").alias("k")
-    repeated = repeated.join(
+    kept = without(docs, gone)
+    repeated = out.alias("k").join(
         plan.filter("copy > 0").select("doc_id", "row_key").distinct().alias("c"),
         F.col("k.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("k.row_key") == F.col("c.row_key")),
         "left_semi",
     )
     if repeated.isEmpty():
-        return kept.select("a.*").drop("__row_key")
-    once = kept.join(repeated.alias("r"), match("r"), "left_semi").select("a.*").dropDuplicates(["doc_id", "__row_key"])
-    rest = kept.join(repeated.alias("r"), match("r"), "left_anti").select("a.*")
-    return rest.unionByName(once).drop("__row_key")
+        return kept
+    return without(kept, repeated).unionByName(once_each(only(kept, repeated)))

@@ -36,6 +36,30 @@ def test_bitmap_of_any_size_gives_the_same(odd_docs):
         assert rows(exact_dedup.decisions(odd_docs, hash_unique=True, **options), *COLUMNS) == want
 
 
+def test_large_groups_are_joined_by_broadcast(odd_docs, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HEAVY_ROWS", 1)
+    got = exact_dedup.decisions(odd_docs, hash_unique=True)
+    assert rows(got, *COLUMNS) == brute(odd_docs.collect())
+    # Groups of two and more are heavy here, so none is left for the shuffle by text.
+    assert "BroadcastHashJoin [text_sha256" in got._jdf.queryExecution().toString()
+
+
+def test_extreme_ids(spark):
+    low, high = -(2**63), 2**63 - 1
+    docs = spark.createDataFrame([(high, "a"), (low, "a "), (None, "a "), (5, "a"), (low, "b"), (high, "b")], "doc_id long, text string")
+    assert rows(exact_dedup.decisions(docs, hash_unique=True), *COLUMNS) == brute(docs.collect())
+    assert {(r.doc_id, r.text) for r in exact_dedup.drop_copies(docs).collect()} == {(low, "a "), (low, "b")}
+
+
+def test_input_columns_named_like_helpers(odd_docs):
+    from pyspark.sql import functions as F
+
+    own = odd_docs.withColumn("__row_key", F.lit("mine")).withColumn("__row_key_", F.lit(1))
+    kept = exact_dedup.drop_copies(own)
+    assert kept.columns == own.columns and {r[0] for r in kept.select("__row_key").collect()} == {"mine"}
+    assert kept.count() == exact_dedup.drop_copies(odd_docs).count()
+
+
 def test_unique_texts_are_not_hashed(odd_docs):
     got = {(r.doc_id, r.group_size): r.text_sha256 for r in exact_dedup.decisions(odd_docs).collect()}
     assert got[0, 1] is None and got[24, 5] is not None
