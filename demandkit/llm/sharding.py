@@ -89,10 +89,14 @@ def place(rows: DataFrame, key: str, shards: int = SHARDS, virtual_nodes: int =
     shuffled whole.  Rows with equal keys are ordered by all other columns, so
     only rows that are alike in every column are interchangeable.  A NULL key
     is spread by the other columns.  An empty table gives an empty result.
-    Input columns may not be called shard, slot or begin with an underscore.
+    Other columns may have any name; one called shard or slot is replaced.
     """
     spark = rows.sparkSession
-    others = [c for c in rows.columns if c != key]
+    # Names of our own meanwhile, so that none of the input's can clash.
+    names = {f"c{i}": c for i, c in enumerate(rows.columns)}
+    key = f"c{rows.columns.index(key)}"
+    rows = rows.toDF(*names)
+    others = [c for c in names if c != key]
     spot = F.when(F.col(key).isNotNull(), F.xxhash64(key)).otherwise(F.xxhash64(*[F.col(c) for c in others] or [F.lit(0)]))
     placed = rows.withColumn("_spot", spot).withColumn("_cell", F.shiftrightunsigned("_spot", 64 - cell_bits).cast("int"))
     counts = placed.groupBy("_cell").agg(F.count("*").alias("n"))
@@ -113,5 +117,7 @@ def place(rows: DataFrame, key: str, shards: int = SHARDS, virtual_nodes: int =
     ranked = placed.withColumn("_n", rank).join(F.broadcast(offsets), "_cell").withColumn("_rank", F.col("_before") + F.col("_n"))
     here = (F.col("_arc") == F.col("_on")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi"))
     return ranked.join(F.broadcast(pieces), here).select(
-        *rows.columns, F.col("_shard").alias("shard"), (F.col("_slot") + F.col("_rank") - F.col("_lo")).alias("slot")
+        *[F.col(c).alias(name) for c, name in names.items() if name not in ("shard", "slot")],
+        F.col("_shard").alias("shard"),
+        (F.col("_slot") + F.col("_rank") - F.col("_lo")).alias("slot"),
     )

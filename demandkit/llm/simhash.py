@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demandkit.llm.components import connected_components
-from demandkit.llm.text import pin, ship_package
+from demandkit.llm.text import once_each, only, pin, ship_package, without
 
 SHINGLE_WORDS = 3
 MAX_DISTANCE = 2
@@ -191,11 +191,8 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     )
     # Written, so that its size is known: a short list is broadcast and no text moves.
     gone = pin(gone, "simhash-gone", few_files=True)
-    keyed = docs.withColumn("__row_key", F.xxhash64(F.coalesce(F.col("text"), F.lit("")))).alias("a")
-    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.__row_key") == F.col("b.row_key"))
-    out = keyed.join(gone.alias("b"), same, "left_anti").alias("a")
+    out = without(docs, gone)
     repeated = keep.filter("n > 1").select("doc_id", "row_key").distinct()
     if repeated.isEmpty():
-        return out.drop("__row_key")
-    once = out.join(repeated.alias("b"), same, "left_semi").dropDuplicates(["doc_id", "__row_key"])
-    return out.join(repeated.alias("b"), same, "left_anti").unionByName(once).drop("__row_key")
+        return out
+    return without(out, repeated).unionByName(once_each(only(out, repeated)))

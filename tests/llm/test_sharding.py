@@ -76,6 +76,14 @@ def test_odd_rows(odd_docs, clashing, no_docs):
     assert sharding.place(no_docs.select("doc_id"), "doc_id").count() == 0
 
 
+def test_input_columns_named_like_the_operators_own(spark):
+    own = spark.range(300).select(F.col("id").alias("doc_id"), *[F.lit(k).alias(c) for k, c in enumerate(["shard", "slot", "_spot", "_cell", "_n", "c0", "n"])])
+    got = sharding.place(own, "doc_id", shards=4)
+    assert got.columns == ["doc_id", "_spot", "_cell", "_n", "c0", "n", "shard", "slot"]
+    check_balance(got, 4)
+    assert {tuple(r) for r in got.select("_spot", "_cell", "_n", "c0", "n").collect()} == {(2, 3, 4, 5, 6)}
+
+
 def test_query_digests(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = op2_sharding(spark, SF)
