@@ -78,14 +78,17 @@ def pin(df: DataFrame, name: str, few_files: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+PAGE_BITS = 32768  # of one bitmap made by bitmap_construct_agg (4 KB)
+MAX_PAGES = 4096  # at most 16 MB are broadcast
+
+
 def row_key() -> Column:
     """Hash of the whole original text (NULL counts as empty); with doc_id it names a document."""
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
-def _fresh(docs: DataFrame) -> str:
+def _fresh(docs: DataFrame, name: str = "__row_key") -> str:
     """A column name that ``docs`` does not have."""
-    name = "__row_key"
     while name in docs.columns:
         name += "_"
     return name
@@ -98,8 +101,23 @@ def _listed(docs: DataFrame, documents: DataFrame, how: str) -> DataFrame:
     return keyed.join(documents.alias("b"), same, how).drop(key)
 
 
-PAGE_BITS = 32768  # of one bitmap made by bitmap_construct_agg (4 KB)
-MAX_PAGES = 4096  # at most 16 MB are broadcast
+def _flagged(rows: DataFrame, keys: DataFrame, key: str, of_keys: str) -> tuple[DataFrame, str]:
+    """``rows`` with a boolean column (its name is returned): whether ``key`` may be among ``of_keys`` of ``keys``."""
+    pages = min(MAX_PAGES, max(1, -(-16 * keys.count() // PAGE_BITS)))
+    page, bits, flag = (_fresh(rows, name) for name in ("__page", "__bits", "__flag"))
+
+    def place(name: str) -> Column:
+        return F.pmod(F.col(name), F.lit(pages * PAGE_BITS))
+
+    bitmap = (
+        keys.select(place(of_keys).alias("slot"))
+        .groupBy((F.col("slot") / PAGE_BITS).cast("int").alias(page))
+        .agg(F.bitmap_construct_agg(F.col("slot") % PAGE_BITS).alias(bits))
+    )
+    bit = place(key) % PAGE_BITS
+    byte = F.conv(F.hex(F.substring(bits, (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    paged = rows.withColumn(page, (place(key) / PAGE_BITS).cast("int")).join(F.broadcast(bitmap), page, "left")
+    return paged.withColumn(flag, F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))).drop(page, bits), flag
 
 
 def perhaps_in(rows: DataFrame, keys: DataFrame, key: str = "row_key") -> DataFrame:
@@ -109,20 +127,18 @@ def perhaps_in(rows: DataFrame, keys: DataFrame, key: str = "row_key") -> DataFr
     some rows pass in vain, more of them if there are very many keys.  Put before
     a join, it keeps most rows that would find nothing from being shuffled.
     """
-    pages = min(MAX_PAGES, max(1, -(-16 * keys.count() // PAGE_BITS)))
+    flagged, flag = _flagged(rows, keys, key, key)
+    return flagged.filter(flag).drop(flag)
 
-    def place(name: str) -> Column:
-        return F.pmod(F.col(name), F.lit(pages * PAGE_BITS))
 
-    bitmap = (
-        keys.select(place(key).alias("slot"))
-        .groupBy((F.col("slot") / PAGE_BITS).cast("int").alias("__page"))
-        .agg(F.bitmap_construct_agg(F.col("slot") % PAGE_BITS).alias("__bits"))
-    )
-    bit = place(key) % PAGE_BITS
-    byte = F.conv(F.hex(F.substring("__bits", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    paged = rows.withColumn("__page", (place(key) / PAGE_BITS).cast("int")).join(F.broadcast(bitmap), "__page")
-    return paged.filter(F.getbit(byte, (bit % 8).cast("int")) == 1).drop("__page", "__bits")
+def _listed(docs: DataFrame, documents: DataFrame, how: str) -> DataFrame:
+    """Rows that ``documents`` names, or does not; only texts that it may name take part in the join."""
+    key = _fresh(docs)
+    flagged, flag = _flagged(docs.withColumn(key, row_key()), documents, key, "row_key")
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col(f"a.{key}") == F.col("b.row_key"))
+    joined = flagged.filter(flag).alias("a").join(documents.alias("b"), same, how).select("a.*")
+    out = joined.unionByName(flagged.filter(~F.col(flag))) if how == "left_anti" else joined
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def without(docs: DataFrame, documents: DataFrame) -> DataFrame:
