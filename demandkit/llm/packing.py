@@ -21,7 +21,7 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -219,9 +219,10 @@ def pack_documents(
     ship_package(docs.sparkSession)
     end = np.array([end_id], dtype="<u4").tobytes()
 
-    def flush(ids: list[str | None], held: list[bytes], given: list[float], sequence: int) -> tuple[pd.DataFrame, int]:
+    def flush(ids: list[int | None], held: list[bytes], given: list[float | None], sequence: int) -> tuple[pa.RecordBatch, int]:
         n = np.array([len(x) // 4 for x in held])
-        bearing = np.clip(np.minimum(np.where(np.isnan(given), np.inf, given), n - 1), 0, None).astype(np.int64)
+        bears = np.array([np.inf if x is None or np.isnan(x) else x for x in given])
+        bearing = np.clip(np.minimum(bears, n - 1), 0, None).astype(np.int64)
         placed = pack(n, bearing, max_tokens, max_segments, max_loss, min_cut)
         out, segments = [], {}
         for i, start, length, seq, offset in placed:
@@ -230,20 +231,21 @@ def pack_documents(
             own_loss = max(0, start + length - max(start, int(n[i] - bearing[i])))
             out.append((ids[i], start, length, crc, int(n[i]), sequence + seq, offset, own_loss, segment))
         last = max((p[3] for p in placed), default=-1)
-        return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")]), sequence + last + 1
+        columns = [pa.array(c, pa.int64()) for c in zip(*out)]
+        return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in schema.split(", ")]), sequence + last + 1
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path)
         sequence = TaskContext.get().partitionId() << 32
-        ids: list[str | None] = []
+        ids: list[int | None] = []
         held: list[bytes] = []
-        given: list[float] = []
+        given: list[float | None] = []
         size = 0
-        for batch in batches:
-            texts = ["" if t is None else t for t in batch["text"]]
-            encoded_texts = chain.from_iterable(encoder.encode(texts[i : i + ENCODED_DOCS]) for i in range(0, len(texts), ENCODED_DOCS))
-            for doc_id, bears, encoded in zip(batch["doc_id"], batch["loss"], encoded_texts):
-                given.append(bears)
+        # A few texts at a time become Python strings.
+        for part in (batch.slice(lo, ENCODED_DOCS) for batch in batches for lo in range(0, batch.num_rows, ENCODED_DOCS)):
+            doc_ids, texts, bears = (part.column(c).to_pylist() for c in ("doc_id", "text", "loss"))
+            for doc_id, own, encoded in zip(doc_ids, bears, encoder.encode(["" if t is None else t for t in texts])):
+                given.append(own)
                 ids.append(doc_id)
                 held.append(encoded + end)
                 size += len(encoded) // 4 + 1
@@ -255,10 +257,9 @@ def pack_documents(
             yield flush(ids, held, given, sequence)[0]
 
     schema = (
-        "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
+        "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
         "loss_tokens long, segment long"
     )
-    # A NULL doc_id would turn the column into floats in pandas; it travels as text.
     bears = F.lit(None) if loss is None else F.col(loss)
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", bears.cast("double").alias("loss"))
-    return rows.mapInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", bears.cast("double").alias("loss"))
+    return rows.mapInArrow(run, schema)

@@ -42,6 +42,7 @@ MIN_CHI2 = 12.0  # p about 0.0005
 MAX_CHANCE = 0.0005  # the same exactly, as chi-square is too kind to terms of few rows
 MIN_LIFT = 2.0  # toxic rows must hold a term so many times as often as clean ones: with many rows any small difference is significant
 MIN_ROWS = 3  # toxic training rows must hold a term, however many there are: a rare language has few
+COUNTED_DOCS = 256
 HELD_TERMS = 1 << 17  # counted in a task before they are handed on
 NEIGHBOURS = 15
 BLOCK = 512
@@ -309,7 +310,9 @@ def term_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = TermIds(terms)
         for batch in batches:
-            found = [ids.counts(t) for t in batch.column("text").to_pylist()]
+            text = batch.column("text")
+            # A few texts at a time become Python strings.
+            found = [ids.counts(t) for lo in range(0, batch.num_rows, COUNTED_DOCS) for t in text.slice(lo, COUNTED_DOCS).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
