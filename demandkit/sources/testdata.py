@@ -30,19 +30,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+# A dimension beyond this many rows is not broadcast: its file size, which Spark goes by, says little about its
+# size as a hash table (up to 64 bytes a row), and the driver holds that.
+BROADCAST_ROWS = 1 << 18
+
+
+def _dimension(rows: DataFrame) -> DataFrame:
+    """``rows`` to be joined with a fact: left to Spark, or shuffled if there are more than ``BROADCAST_ROWS``."""
+    return rows.hint("merge") if rows.count() > BROADCAST_ROWS else rows
+
+
 def _with_roles(spark: SparkSession, sf_dir: str, facts: DataFrame, center_level: str, item_level: str, roles) -> DataFrame:
     """``facts`` with the ``center`` and ``item`` columns that ``roles`` asks for.
 
     An inner join cannot be pruned, so a role that no one reads is not joined.
-    Small dimensions join the fact one after another; Spark broadcasts each by
-    its real file size or shuffles."""
+    Dimensions join the fact one after another; Spark broadcasts each small one
+    by its real file size or shuffles, and shuffles the others."""
     if "item" in roles:
         part = table(spark, sf_dir, "part").select("p_partkey", F.col(ITEM_LEVELS[item_level]).alias("item"))
-        facts = facts.join(part, facts.l_partkey == part.p_partkey)
+        facts = facts.join(_dimension(part), facts.l_partkey == part.p_partkey)
     if "center" in roles:
         supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
         nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
-        facts = facts.join(supplier, facts.l_suppkey == supplier.s_suppkey)
+        facts = facts.join(_dimension(supplier), facts.l_suppkey == supplier.s_suppkey)
         facts = facts.join(nation, facts.s_nationkey == nation.n_nationkey)
         if center_level == "region":
             region = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
