@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandkit.llm.text import ship_package
+from demandkit.llm.text import few_at_a_time, ship_package
 
 END_ID = 1
 SEQUENCE_TOKENS = 2048
@@ -217,6 +217,7 @@ def pack_documents(
     in each sequence.  Other columns are ignored; an empty table gives no rows.
     """
     ship_package(docs.sparkSession)
+    few_at_a_time(docs.sparkSession)
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def flush(ids: list[int | None], held: list[bytes], given: list[float | None], sequence: int) -> tuple[pa.RecordBatch, int]:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demandkit.llm.components import connected_components
-from demandkit.llm.text import once_each, only, pin, ship_package, without
+from demandkit.llm.text import few_at_a_time, once_each, only, pin, ship_package, without
 
 SHINGLE_WORDS = 3
 MAX_DISTANCE = 2
@@ -65,6 +65,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
             yield batch
 
     ship_package(docs.sparkSession)
+    few_at_a_time(docs.sparkSession)
     text = F.col("text")
     keyed = docs.select("doc_id", F.xxhash64(F.coalesce(text, F.lit(""))).alias("row_key"), "text")
     # A NULL doc_id would turn the column into floats in pandas; it travels as text.

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from demandkit.llm.text import pin, ship_package, without
+from demandkit.llm.text import few_at_a_time, pin, ship_package, without
 
 STEMS = (4, 5, 6, 8)
 TIMES = (2, 4)
@@ -306,6 +306,7 @@ def choose_terms(
 def term_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
     """doc_id, row_key (hash of the text), t (ids of the terms that the text holds, ascending) and tf, per input row."""
     ship_package(docs.sparkSession)
+    few_at_a_time(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = TermIds(terms)

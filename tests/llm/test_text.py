@@ -1,8 +1,9 @@
 import os
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from demandkit.llm import text
+from demandkit.llm import text, toxicity
 
 
 def test_release_pins(spark, monkeypatch):
@@ -22,3 +23,17 @@ def test_perhaps_in_loses_none(spark):
         found = {r.id for r in got.collect()}
         assert set(range(share)) <= found and len(found) <= share + 0.15 * 20_000
     assert text.perhaps_in(rows.limit(0), rows).count() == 0
+
+
+def test_few_texts_reach_python_at_once(spark):
+    docs = spark.range(20_000, numPartitions=1).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))
+    before = spark.conf.get(text.BATCH_ROWS)
+    try:
+        for given, most in (("10000", 1024), ("0", 1024), ("100", 100)):
+            spark.conf.set(text.BATCH_ROWS, given)
+            toxicity.term_counts(docs, ["a"])
+            sizes = docs.mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in bs), "n long")
+            got = [r.n for r in sizes.collect()]
+            assert sum(got) == 20_000 and max(got) == most
+    finally:
+        spark.conf.set(text.BATCH_ROWS, before)
